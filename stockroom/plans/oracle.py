@@ -82,7 +82,8 @@ file_uploads AS (
 }
 
 
-def with_tables(body: str, *tables: str) -> str:
-    """Prefix ``body`` with the CTEs of the derived tables it reads."""
-    ctes = ",".join(_CTE[t] for t in tables)
-    return f"WITH {ctes}\n{body.strip()}"
+def with_tables(body: str, *tables: str, ctes: dict[str, str] | None = None) -> str:
+    """Prefix ``body`` with the CTEs of the derived tables it reads (plus ``ctes``)."""
+    parts = [_CTE[t] for t in tables]
+    parts += [f"\n{name} AS ({text.strip()})" for name, text in (ctes or {}).items()]
+    return f"WITH {','.join(parts)}\n{body.strip()}"
