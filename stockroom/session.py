@@ -30,8 +30,13 @@ _LOCAL = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "stockroom") -> SparkSession:
-    """Return the active session, or build a local one for tests/bench."""
+                app: str = "stockroom", checkpoint_dir: str | None = None) -> SparkSession:
+    """Return the active session, or build a local one for tests/bench.
+
+    A session built here gets ``spark.checkpoint.dir`` (a static setting) from
+    ``checkpoint_dir`` or a fresh scratch folder; an existing session keeps
+    whatever its cluster configured.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         for k, v in _ALWAYS.items():
@@ -44,6 +49,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    builder = builder.config("spark.checkpoint.dir",
+                             checkpoint_dir or tempfile.mkdtemp(prefix="stockroom-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -55,14 +62,19 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
     fresh scratch folder is created and recorded in the session.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="stockroom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        global _LOCAL_DIR
+        if _LOCAL_DIR is None:
+            _LOCAL_DIR = tempfile.mkdtemp(prefix="stockroom-ckpt-")
+            spark.sparkContext.setCheckpointDir(_LOCAL_DIR)
+        path = _LOCAL_DIR
     return path.rstrip("/")
 
 
+_LOCAL_DIR: str | None = None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-path of the shared folder for one written intermediate."""
     base = shared_dir(spark)

@@ -1,0 +1,20 @@
+"""Every registered query against its independent DuckDB SQL (sf0.001)."""
+
+import pytest
+
+import __spark_entry__ as se
+from tests.conftest import SF_SMALL
+from tests.oracle_harness import compare, duck
+
+KEYS = sorted(se.queries())
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_SMALL)
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_matches_oracle(spark, con, key):
+    res = compare(spark, SF_SMALL, [key], con=con, verbose=False)[key]
+    assert res.startswith("ok"), res
