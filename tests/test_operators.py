@@ -1,0 +1,181 @@
+"""Hand-made edge rows the generated tables lack (null rating, stock 0, two locations, …)."""
+
+import datetime as dt
+
+import pytest
+
+from stockroom.operators import anomalies, lookups, network, sales, stock, suppliers
+from stockroom.schemas import INVENTORY, PURCHASE_ORDER, SALES, SUPPLIER
+from stockroom.sources.derived import Tables
+from tests.conftest import SF_MID
+
+D = dt.date
+
+
+@pytest.fixture()
+def sup(spark):
+    return spark.createDataFrame([
+        ("S1", "Null rating long lead", 25, None, None, "DE"),
+        ("S2", "Null rating short lead", 5, None, None, "DE"),
+        ("S3", "Low rated", 10, None, 2.5, "FR"),
+        ("S4", "Mid rated", 10, None, 3.5, "FR"),
+        ("S5", "Lonely", 3, None, 4.8, "US"),
+    ], SUPPLIER)
+
+
+@pytest.fixture()
+def inv(spark):
+    return spark.createDataFrame([
+        ("A", 0, 10, "WH-1", 2.0, "S1"),      # out of stock
+        ("B", 5, 0, "WH-1", 1.0, "S1"),       # reorder point 0
+        ("C", 4, 10, "WH-1", 3.0, "S3"),      # critical
+        ("D", 8, 10, "WH-1", 3.0, "S3"),      # order now
+        ("E", 14, 10, "WH-1", 3.0, "S4"),     # order soon
+        ("F", 50, 10, "WH-1", 3.0, None),     # ok, no supplier
+        ("G", 7, 10, "WH-1", 1.0, "S4"),      # two locations, different stock
+        ("G", 9, 10, "WH-2", 1.0, "S4"),
+        ("H", 7, 10, "WH-1", 1.0, "S4"),      # two locations, equal stock
+        ("H", 7, 10, "WH-2", 1.0, "S4"),
+    ], INVENTORY)
+
+
+@pytest.fixture()
+def po(spark):
+    return spark.createDataFrame([
+        ("P1", "G", 10.0, D(2024, 1, 1), None, "S4"),
+        ("P1", "H", 5.0, D(2024, 1, 1), None, "S4"),
+        ("P2", "H", 1.0, D(2024, 1, 2), D(2024, 1, 5), "S3"),
+        ("P3", "Z", 2.0, D(2024, 1, 3), None, "S9"),     # unknown sku and supplier
+    ], PURCHASE_ORDER)
+
+
+@pytest.fixture()
+def sal(spark):
+    return spark.createDataFrame([
+        (D(2024, 1, 1), "A", 2.0, 20.0, "x", "EU", "c"),
+        (D(2024, 1, 1), "A", 4.0, 40.0, "x", "EU", "c"),
+        (D(2024, 1, 2), "C", 0.0, 10.0, "y", "US", "c"),  # quantity 0
+    ], SALES)
+
+
+def test_risk_levels_with_null_rating(spark, sup, inv, po):
+    got = {r["supplier_id"]: r for r in suppliers.supplier_risk(sup, inv, po).collect()}
+    assert got["S1"]["risk_level"] == "MEDIUM RISK (Long Lead Time)"
+    assert got["S2"]["risk_level"] == "LOW RISK"          # null rating skips rating tests
+    assert got["S3"]["risk_level"] == "HIGH RISK"
+    assert got["S4"]["risk_level"] == "MEDIUM RISK (Low Rating)"
+    assert got["S5"]["products_supplied"] == 0 and got["S5"]["active_orders"] == 0
+    assert got["S4"]["products_supplied"] == 3 and got["S4"]["active_orders"] == 1
+    order = [r["supplier_id"] for r in suppliers.supplier_risk(sup, inv, po).collect()]
+    assert order[-2:] == ["S1", "S2"]                      # null ratings last
+
+
+def test_supplier_without_orders(spark, sup, po):
+    perf = {r["supplier_id"]: r for r in suppliers.supplier_performance(sup, po).collect()}
+    assert perf["S5"]["total_orders"] == 0 and perf["S5"]["total_quantity_ordered"] is None
+    assert perf["S4"]["total_orders"] == 2 and perf["S4"]["total_quantity_ordered"] == 15.0
+    prof = {r["supplier_id"]: r for r in suppliers.supplier_profile(sup, po).collect()}
+    assert prof["S4"]["total_orders"] == 1 and prof["S4"]["unique_products"] == 2
+    one = suppliers.supplier_profile(sup, po, supplier_id="S3").collect()
+    assert [r["supplier_id"] for r in one] == ["S3"]
+
+
+def test_supplier_products_lists(spark, sup, inv):
+    got = {r["supplier_id"]: r for r in suppliers.supplier_products(sup, inv).collect()}
+    assert got["S4"]["sku_list"] == "E,G,H" and got["S4"]["products_supplied"] == 3
+    assert got["S4"]["total_stock"] == 14 + 7 + 9 + 7 + 7
+    assert got["S5"]["sku_list"] is None and got["S5"]["total_stock"] is None
+
+
+def test_reorder_priorities(spark, sup, inv, sal):
+    rows = stock.reorder_recommendations(inv, sup, sal).collect()
+    by = {(r["sku"], r["qty_on_hand"]): r for r in rows}
+    assert by[("A", 0)]["priority"] == "URGENT - OUT OF STOCK"
+    assert by[("A", 0)]["avg_daily_demand"] == 3.0         # mean per sales record
+    assert by[("C", 4)]["priority"] == "URGENT - CRITICAL LOW"
+    assert by[("D", 8)]["priority"] == "ORDER NOW"
+    assert by[("E", 14)]["priority"] == "ORDER SOON"
+    assert by[("D", 8)]["avg_daily_demand"] == 0.0         # no sales → 0
+    assert ("F", 50) not in by and ("B", 5) not in by      # above 1.5 × rp
+    assert rows[0]["sku"] == "A"
+
+
+def test_critical_stock_ratio_nulls_last(spark, inv):
+    rows = stock.critical_inventory(inv).collect()
+    assert [r["sku"] for r in rows] == ["A", "C"]
+    zero_rp = stock.critical_inventory(inv.where("sku = 'B'").selectExpr(
+        "sku", "0 AS qty_on_hand", "0 AS reorder_point", "location")).collect()
+    assert zero_rp[0]["stock_ratio"] is None
+
+
+def test_product_orders_two_locations(spark, po, inv):
+    rows = network.product_orders(po, inv).collect()
+    g = sorted((r["current_stock"], r["total_ordered"]) for r in rows if r["sku"] == "G")
+    assert g == [(7, 10.0), (9, 10.0)]                   # one row per distinct level
+    h = [r for r in rows if r["sku"] == "H"]
+    assert len(h) == 1 and h[0]["total_ordered"] == 6.0 and h[0]["suppliers"] == "S3,S4"
+    z = [r for r in rows if r["sku"] == "Z"][0]
+    assert z["current_stock"] is None
+
+
+def test_graph_only_links_existing_ends(spark, sup, inv, po):
+    edges = network.graph_edges(sup, inv, po).collect()
+    assert not [e for e in edges if e["src"] == "P3"]      # unknown sku and supplier
+    nodes = network.graph_nodes(sup, inv, po).collect()
+    products = [n for n in nodes if n["label"] == "Product"]
+    assert len(products) == 8                             # one node per sku
+    g = [n for n in products if n["node_id"] == "G"][0]
+    assert g["location"] == "WH-1"
+    orders = {n["node_id"]: n for n in nodes if n["label"] == "PurchaseOrder"}
+    assert orders["P1"]["quantity"] == 15.0
+
+
+def test_unit_price_zero_quantity(spark, sal):
+    rows = anomalies.sales_anomalies(sal, k=0.4).collect()   # revenue threshold 9.33
+    c = [r for r in rows if r["sku"] == "C"]
+    assert c and c[0]["unit_price"] is None
+
+
+def test_empty_filter_summaries(spark, sal):
+    tool = sales.sales_summary(sal, sku="NOPE").first()
+    assert tool["total_records"] == 0 and tool["total_revenue"] == 0.0
+    assert tool["avg_revenue_per_record"] == 0.0 and tool["earliest_date"] is None
+    svc = sales.sales_summary(sal, empty_as_zero=False, sku="NOPE").first()
+    assert svc["total_revenue"] is None and svc["avg_revenue"] is None
+
+
+def test_lookup_filters(spark, inv, sup):
+    rows = lookups.inventory_rows(inv, status_filter="reorder_needed").collect()
+    assert [r["stock_status"] for r in rows] == ["REORDER NOW"] * len(rows)
+    assert [r["qty_on_hand"] for r in rows] == sorted(r["qty_on_hand"] for r in rows)
+    assert lookups.supplier_rows(sup, min_rating=0).count() == 5    # 0 means no filter
+    assert lookups.supplier_rows(sup, min_rating=3).count() == 2
+    assert lookups.supplier_rows(sup, country="FR", limit=1).count() == 1
+
+
+def test_kpi_metamorphic(spark):
+    t = Tables(spark, SF_MID)
+    k = sales.kpi_sales(t.sales).first()
+    by_region = sales.sales_by(t.sales, "region", limit=1000).collect()
+    by_sku = sales.sales_by(t.sales, "sku", limit=100000).collect()
+    assert sum(r["num_records"] for r in by_region) == k["total_transactions"]
+    assert sum(r["total_qty"] for r in by_sku) == k["total_units_sold"]
+    assert round(sum(r["total_revenue"] for r in by_region), 2) == round(k["total_revenue"], 2)
+    dash = {(r["area"], r["metric"]): r["value"] for r in sales.kpi_dashboard(
+        t.sales, t.inventory, t.supplier, t.purchase_orders).collect()}
+    assert dash[("sales", "total_transactions")] == k["total_transactions"]
+
+
+def test_fixture_counts(spark):
+    """Counts stated for the derived tables at sf0.01."""
+    t = Tables(spark, SF_MID)
+    assert t.sales.count() == 60000
+    inv = t.inventory
+    assert inv.count() == 2000 and inv.where("supplier_id IS NULL").count() == 118
+    status = {r["status"]: r["count"] for r in
+              stock.inventory_status(inv).groupBy("status").count().collect()}
+    assert status == {"REORDER": 641, "LOW": 321, "OK": 1038}
+    assert stock.critical_inventory(inv).count() == 344
+    assert inv.where("qty_on_hand <= 0").count() == 21
+    assert anomalies.supplier_concerns(t.supplier).count() == 32
+    assert stock.reorder_recommendations(inv, t.supplier, t.sales).count() == 962
