@@ -135,14 +135,8 @@ def _future(rules: CategoryRules, as_of) -> Column:
     return F.col(d).try_cast("date") > _as_of(as_of)
 
 
-def quality_issues(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
-    """``(issue_type, severity, column_name, issue_count, auto_resolved)``.
-
-    One aggregate row of counters, unpivoted; kinds with a zero count are left
-    out.  Future dates are counted among the rows that survive cleaning and
-    are the only unresolved kind.
-    """
-    rules = rules_for(category)
+def _kinds(tagged: DataFrame, rules: CategoryRules, as_of):
+    """(issue_type, severity, column, auto_resolved, counter expression) in report order."""
     cols = [c for c in tagged.columns if not c.startswith("_")]
     rule = F.col("_rule")
     kinds = [("duplicate_rows", "warning", None, True, F.sum(F.col("_n") - 1))]
@@ -153,27 +147,49 @@ def quality_issues(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
     if rules.date_column and rules.date_column in cols:
         kinds.append(("future_dates", "warning", rules.date_column, False,
                       F.count_if((rule == VALID) & _future(rules, as_of))))
-    counts = tagged.agg(*[F.coalesce(k[4], F.lit(0)).cast("long").alias(f"k{i}")
-                          for i, k in enumerate(kinds)])
+    return kinds
+
+
+def quality_counts(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
+    """One aggregate pass: every issue counter plus total and valid row counts."""
+    kinds = _kinds(tagged, rules_for(category), as_of)
+    return tagged.agg(
+        *[F.coalesce(k[4], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(kinds)],
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
+        F.count_if(F.col("_rule") == VALID).cast("long").alias("valid_rows"))
+
+
+def quality_issues(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
+    """``(issue_type, severity, column_name, issue_count, auto_resolved)``.
+
+    The one-row counter aggregate, unpivoted; kinds with a zero count are left
+    out.  Future dates are counted among the rows that survive cleaning and
+    are the only unresolved kind.
+    """
+    kinds = _kinds(tagged, rules_for(category), as_of)
     rows = ", ".join(
         f"'{t}', '{s}', {('NULL' if c is None else repr(c))}, k{i}, {str(a).lower()}"
         for i, (t, s, c, a, _) in enumerate(kinds))
-    return (counts.selectExpr(
+    return (quality_counts(tagged, category, as_of).selectExpr(
         f"stack({len(kinds)}, {rows}) AS (issue_type, severity, column_name, issue_count, auto_resolved)")
         .where(F.col("issue_count") > 0))
 
 
 def quality_score(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
-    """``valid/total·100 − 2·(unresolved kinds)``, rounded to 2, clamped 0..100."""
-    issues = quality_issues(tagged, category, as_of)
-    unresolved = issues.agg(F.count_if(~F.col("auto_resolved")).alias("unresolved_issues"))
-    totals = tagged.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
-                        F.count_if(F.col("_rule") == VALID).cast("long").alias("valid_rows"))
+    """``valid/total·100 − 2·(unresolved kinds)``, rounded to 2, clamped 0..100.
+
+    Computed from the same one-row counter aggregate as the issues.
+    """
+    kinds = _kinds(tagged, rules_for(category), as_of)
+    unresolved = F.lit(0)
+    for i, k in enumerate(kinds):
+        if not k[3]:
+            unresolved = unresolved + F.when(F.col(f"k{i}") > 0, 1).otherwise(0)
     t, v, u = F.col("total_rows"), F.col("valid_rows"), F.col("unresolved_issues")
     raw = F.round(v.cast("double") / t.cast("double") * F.lit(100.0) - u * F.lit(2.0), 2)
     score = F.when(t == 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)))
-    return (totals.select("total_rows", "valid_rows",
-                          unresolved.scalar().cast("int").alias("unresolved_issues"))
+    return (quality_counts(tagged, category, as_of)
+            .select("total_rows", "valid_rows", unresolved.cast("int").alias("unresolved_issues"))
             .select("total_rows", "valid_rows", (t - v).alias("rejected_rows"),
                     "unresolved_issues", score.alias("quality_score")))
 
@@ -190,12 +206,12 @@ def rejected_rows(tagged: DataFrame) -> DataFrame:
     first copy is rejected by its failed rule, if any.
     """
     cols = [c for c in tagged.columns if not c.startswith("_")]
-    dup = (tagged.where(F.col("_n") > 1)
-           .select(*cols, F.lit(DUPLICATE).alias("rule"),
-                   (F.col("_n") - 1).cast("long").alias("rejected_count")))
-    bad = (tagged.where(F.col("_rule") != VALID)
-           .select(*cols, F.col("_rule").alias("rule"), F.lit(1).cast("long").alias("rejected_count")))
-    return dup.unionByName(bad)
+    entry = lambda rule, n: F.struct(rule.alias("rule"), n.cast("long").alias("rejected_count"))
+    entries = F.array(
+        F.when(F.col("_n") > 1, entry(F.lit(DUPLICATE), F.col("_n") - 1)),
+        F.when(F.col("_rule") != VALID, entry(F.col("_rule"), F.lit(1))))
+    return (tagged.select(*cols, F.inline(F.filter(entries, lambda e: e.isNotNull())))
+            .select(*cols, "rule", "rejected_count"))
 
 
 def quality_report(upload: DataFrame, category: str, as_of=None) -> DataFrame:

@@ -82,8 +82,28 @@ file_uploads AS (
 }
 
 
-def with_tables(body: str, *tables: str, ctes: dict[str, str] | None = None) -> str:
+BUSINESS = ("sales_data", "inventory_data", "supplier_data", "purchase_order_data")
+
+
+class OracleSQL(str):
+    """SQL text; ``stored`` is the same query over stored business tables."""
+
+    stored: str
+
+
+def _assemble(parts: list[str], body: str) -> str:
+    return f"WITH {','.join(parts)}\n{body.strip()}" if parts else body.strip()
+
+
+def with_tables(body: str, *tables: str, ctes: dict[str, str] | None = None) -> OracleSQL:
     """Prefix ``body`` with the CTEs of the derived tables it reads (plus ``ctes``)."""
-    parts = [_CTE[t] for t in tables]
-    parts += [f"\n{name} AS ({text.strip()})" for name, text in (ctes or {}).items()]
-    return f"WITH {','.join(parts)}\n{body.strip()}"
+    extra = [f"\n{name} AS ({text.strip()})" for name, text in (ctes or {}).items()]
+    out = OracleSQL(_assemble([_CTE[t] for t in tables] + extra, body))
+    out.stored = _assemble([_CTE[t] for t in tables if t not in BUSINESS] + extra, body)
+    return out
+
+
+def business_table_sql(name: str) -> str:
+    """The SELECT that derives one business table (for loading it once)."""
+    text = _CTE[name].strip()
+    return text[text.index("(") + 1:text.rindex(")")]
