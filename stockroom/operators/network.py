@@ -194,3 +194,15 @@ def product_trace(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
                     F.lit(None).cast("double").alias("rating"), "quantity", "order_date"))
     out = sups.unionByName(ords)
     return out.where(F.col("sku") == F.lit(sku)) if sku else out
+
+
+def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str) -> None:
+    """Rebuild — overwrite the node and edge tables, uncapped.
+
+    Each table is written by its own distributed job; a rebuild replaces the
+    previous graph as a whole (no per-node round trips, no row cap).
+    """
+    graph_nodes(suppliers, inventory, orders).write.mode("overwrite").partitionBy("label") \
+        .parquet(f"{path.rstrip('/')}/nodes")
+    graph_edges(suppliers, inventory, orders).write.mode("overwrite").partitionBy("rel") \
+        .parquet(f"{path.rstrip('/')}/edges")
