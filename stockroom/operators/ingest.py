@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockroom.schemas import CategoryRules, rules_for
 from stockroom.sources.files import read_upload, write_table
@@ -150,16 +151,21 @@ def _kinds(tagged: DataFrame, rules: CategoryRules, as_of):
     return kinds
 
 
-def quality_counts(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
-    """One aggregate pass: every issue counter plus total and valid row counts."""
+def quality_counts(tagged: DataFrame, category: str, as_of=None,
+                   by: list[str] | None = None) -> DataFrame:
+    """One aggregate pass: every issue counter plus total and valid row counts.
+
+    ``by`` groups the counters (e.g. per source file of a directory upload).
+    """
     kinds = _kinds(tagged, rules_for(category), as_of)
-    return tagged.agg(
+    return (tagged.groupBy(*by) if by else tagged).agg(
         *[F.coalesce(k[4], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(kinds)],
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
         F.count_if(F.col("_rule") == VALID).cast("long").alias("valid_rows"))
 
 
-def quality_issues(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
+def quality_issues(tagged: DataFrame, category: str, as_of=None,
+                   by: list[str] | None = None) -> DataFrame:
     """``(issue_type, severity, column_name, issue_count, auto_resolved)``.
 
     The one-row counter aggregate, unpivoted; kinds with a zero count are left
@@ -170,12 +176,15 @@ def quality_issues(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
     rows = ", ".join(
         f"'{t}', '{s}', {('NULL' if c is None else repr(c))}, k{i}, {str(a).lower()}"
         for i, (t, s, c, a, _) in enumerate(kinds))
-    return (quality_counts(tagged, category, as_of).selectExpr(
+    keys = [f"`{k}`" for k in (by or [])]
+    return (quality_counts(tagged, category, as_of, by).selectExpr(
+        *keys,
         f"stack({len(kinds)}, {rows}) AS (issue_type, severity, column_name, issue_count, auto_resolved)")
         .where(F.col("issue_count") > 0))
 
 
-def quality_score(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
+def quality_score(tagged: DataFrame, category: str, as_of=None,
+                  by: list[str] | None = None) -> DataFrame:
     """``valid/total·100 − 2·(unresolved kinds)``, rounded to 2, clamped 0..100.
 
     Computed from the same one-row counter aggregate as the issues.
@@ -188,9 +197,11 @@ def quality_score(tagged: DataFrame, category: str, as_of=None) -> DataFrame:
     t, v, u = F.col("total_rows"), F.col("valid_rows"), F.col("unresolved_issues")
     raw = F.round(v.cast("double") / t.cast("double") * F.lit(100.0) - u * F.lit(2.0), 2)
     score = F.when(t == 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)))
-    return (quality_counts(tagged, category, as_of)
-            .select("total_rows", "valid_rows", unresolved.cast("int").alias("unresolved_issues"))
-            .select("total_rows", "valid_rows", (t - v).alias("rejected_rows"),
+    keys = list(by or [])
+    return (quality_counts(tagged, category, as_of, keys)
+            .select(*keys, "total_rows", "valid_rows",
+                    unresolved.cast("int").alias("unresolved_issues"))
+            .select(*keys, "total_rows", "valid_rows", (t - v).alias("rejected_rows"),
                     "unresolved_issues", score.alias("quality_score")))
 
 
@@ -285,3 +296,54 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
     return UploadResult("success", category, filename, int(score["total_rows"]),
                         int(score["valid_rows"]), float(score["quality_score"]), issues,
                         f"Uploaded {int(score['valid_rows'])} rows to {category}")
+
+
+def process_directory(spark: SparkSession, directory: str, category: str, store: str,
+                      mode: str = "replace", uploaded_by: str = "system", as_of=None,
+                      pattern: str = "*.csv") -> list[UploadResult]:
+    """I14 over a directory: every matching file is one upload, cleaned in one job.
+
+    All files are read together (header validated against the first file's
+    layout), each row keeps its source file, and duplicates are detected
+    within a file.  Clean rows of the whole batch replace or extend the stored
+    table in one write; rejected rows and issues (per file) are appended; one
+    ledger row per file is written last — the first file (by name) carries the
+    batch's mode, the others are recorded as appends, so the derived archive
+    status matches what the table holds.  Only per-file summary rows reach the
+    driver.
+    """
+    from stockroom.operators.ledger import ledger_rows_for_files  # local: avoids a cycle
+
+    rules = rules_for(category)
+    reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
+    names = reader.csv(directory).columns                       # header of one file
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    upload = normalise_columns(
+        reader.option("enforceSchema", False).schema(text).csv(directory)
+        .withColumn("_file", F.input_file_name()))
+    check = validate_schema(upload.drop("_file"), category)
+    if not check.valid:
+        return [UploadResult("error", category, directory, message=check.error or "invalid schema")]
+    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    staged = os.path.join(store, "staging", f"{category}-{stamp}")
+    tag_rows(upload, category).write.mode("overwrite").parquet(staged)
+    tagged = spark.read.parquet(staged)
+
+    write_table(clean_rows(tagged, category), os.path.join(store, rules.table), mode)
+    rejected_rows(tagged).write.mode("append").parquet(os.path.join(store, "rejected_rows", category))
+    issues = quality_issues(tagged, category, as_of, by=["_file"])
+    (issues.withColumnRenamed("_file", "upload_file").write.mode("append")
+     .parquet(os.path.join(store, "data_quality_issues")))
+    per_file = quality_score(tagged, category, as_of, by=["_file"])
+    unresolved = (issues.where(~F.col("auto_resolved")).groupBy("_file")
+                  .agg(F.to_json(F.collect_list(F.struct("issue_type", "severity", "column_name",
+                                                          "issue_count"))).alias("errors")))
+    summary = (per_file.join(unresolved, "_file", "left")
+               .select("_file", "total_rows", "valid_rows", "quality_score",
+                       F.coalesce(F.col("errors"), F.lit("[]")).alias("errors"))
+               .orderBy("_file").collect())               # one row per file
+    ledger_rows_for_files(spark, os.path.join(store, "file_uploads"), category, summary, mode,
+                          uploaded_by)
+    return [UploadResult("success", category, os.path.basename(r["_file"]), int(r["total_rows"]),
+                         int(r["valid_rows"]), float(r["quality_score"]), None,
+                         f"Uploaded {int(r['valid_rows'])} rows to {category}") for r in summary]

@@ -51,38 +51,73 @@ def record_upload(spark: SparkSession, ledger_path: str, *, category: str, filen
     return uid
 
 
+def ledger_rows_for_files(spark: SparkSession, ledger_path: str, category: str, summary: list,
+                          mode: str, uploaded_by: str,
+                          when: _dt.datetime | None = None) -> list[int]:
+    """Append one ledger row per file of a batch (``summary``: per-file result rows).
+
+    Files are recorded one microsecond apart in name order; the first carries
+    the batch mode and the rest are appends.
+    """
+    when = when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    base = int((when - _dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    rows = []
+    for i, r in enumerate(summary):
+        ts = when + _dt.timedelta(microseconds=i)
+        rows.append((base + i, category, r["_file"].rsplit("/", 1)[-1], ts,
+                     mode if i == 0 else "append", uploaded_by, int(r["valid_rows"]), None,
+                     float(r["quality_score"]), r["errors"], r["_file"]))
+    if rows:
+        spark.createDataFrame(rows, LEDGER).write.mode("append").parquet(ledger_path)
+    return [r[0] for r in rows]
+
+
 def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     """U4: every upload with ``status`` (active/archived) and ``version_number``.
 
     ``bucket`` is the time unit of the first scan level (``date_trunc`` unit).
+    One window pass per (category, bucket) gives the next mode, the running
+    count of replaces and whether the bucket starts with a replace; the number
+    of archived uploads up to row k of a bucket is then
+    ``replaces(1..k) − first_is_replace + [next mode is replace]``.  The
+    per-bucket summary (one row per bucket) carries the first mode of the next
+    bucket and the archived count of all earlier buckets.
     """
     order = [F.col(TS), F.col(ID)]
+    is_rep = (F.col(MODE) == F.lit("replace")).cast("long")
     rows = ledger.withColumn("_b", F.date_trunc(bucket, F.col(TS)))
     in_bucket = Window.partitionBy(CAT, "_b").orderBy(*order)
-    rows = rows.withColumn("_next_local", F.lead(MODE).over(in_bucket))
+    rows = rows.select(
+        "*",
+        F.lead(MODE).over(in_bucket).alias("_next_local"),
+        F.sum(is_rep).over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("_cum_rep"),
+        F.first(is_rep).over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("_first_rep"))
 
-    first = (rows.groupBy(CAT, "_b")
-             .agg(F.min_by(MODE, F.struct(*order)).alias("_first_mode")))
     by_bucket = Window.partitionBy(CAT).orderBy("_b")
-    nxt = first.select(CAT, "_b", F.lead("_first_mode").over(by_bucket).alias("_next_bucket"))
-
-    rows = (rows.join(nxt, [CAT, "_b"], "left")
-            .withColumn("_archived",
-                        F.coalesce(F.col("_next_local"), F.col("_next_bucket")) == F.lit("replace"))
-            .withColumn("_archived", F.coalesce(F.col("_archived"), F.lit(False))))
-    rows = rows.withColumn(
-        "_local_rank", F.sum(F.col("_archived").cast("long")).over(
-            in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    counts = rows.groupBy(CAT, "_b").agg(F.sum(F.col("_archived").cast("long")).alias("_k"))
-    offsets = counts.select(CAT, "_b", F.coalesce(F.sum("_k").over(
-        by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return (rows.join(offsets, [CAT, "_b"], "left")
-            .withColumn("status", F.when(F.col("_archived"), F.lit("archived"))
-                        .otherwise(F.lit("active")))
-            .withColumn("version_number",
-                        F.when(F.col("_archived"), (F.col("_offset") + F.col("_local_rank"))
-                               .cast("int")))
-            .drop("_b", "_next_local", "_next_bucket", "_archived", "_local_rank", "_offset"))
+    summary = (ledger.withColumn("_b", F.date_trunc(bucket, F.col(TS)))
+               .groupBy(CAT, "_b")
+               .agg(F.min_by(MODE, F.struct(*order)).alias("_first_mode"),
+                    F.count_if(F.col(MODE) == "replace").alias("_n_rep"))
+               .withColumn("_next_bucket", F.lead("_first_mode").over(by_bucket)))
+    summary = (summary
+               .withColumn("_arch", F.col("_n_rep")
+                           - (F.col("_first_mode") == "replace").cast("long")
+                           + F.coalesce((F.col("_next_bucket") == "replace").cast("long"), F.lit(0)))
+               .select(CAT, "_b", "_next_bucket",
+                       F.coalesce(F.sum("_arch").over(
+                           by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                       .alias("_offset")))
+
+    nxt = F.coalesce(F.col("_next_local"), F.col("_next_bucket"))
+    archived = F.coalesce(nxt == F.lit("replace"), F.lit(False))
+    rank = (F.col("_offset") + F.col("_cum_rep") - F.col("_first_rep")
+            + F.when(archived, 1).otherwise(0))
+    return (rows.join(summary, [CAT, "_b"], "left")
+            .withColumn("status", F.when(archived, F.lit("archived")).otherwise(F.lit("active")))
+            .withColumn("version_number", F.when(archived, rank.cast("int")))
+            .drop("_b", "_next_local", "_cum_rep", "_first_rep", "_next_bucket", "_offset"))
 
 
 def ledger_active(ledger: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def kpi_inventory(inventory: DataFrame) -> DataFrame:
     return inventory.agg(
         F.count(F.lit(1)).alias("total_skus_tracked"),
         F.coalesce(F.sum(q), F.lit(0)).cast("long").alias("total_units_in_stock"),
-        F.coalesce(F.sum(F.when(q <= F.col("reorder_point"), 1).otherwise(0)), F.lit(0))
-        .cast("long").alias("items_needing_reorder"),
+        F.sum(F.when(q <= F.col("reorder_point"), 1).otherwise(0)).cast("long")
+        .alias("items_needing_reorder"),                       # null on an empty table
         F.coalesce(F.avg(q), F.lit(0.0)).alias("avg_stock_level"),
         F.coalesce(F.sum(q.cast("decimal(18,0)") * F.col("unit_cost").cast("decimal(18,2)"))
                    .cast("double"), F.lit(0.0)).alias("estimated_inventory_value"),

@@ -150,3 +150,25 @@ def test_ledger_fixture_counts(spark):
     mx = {r["file_category"]: r["m"] for r in v.groupBy("file_category").agg(
         F.max("version_number").alias("m")).collect()}
     assert mx["click"] == 1480
+
+
+def test_process_directory_one_job_per_batch(spark, workdir):
+    up = os.path.join(workdir, "batch")
+    os.makedirs(up)
+    _csv(os.path.join(up, "a.csv"), "date,sku,quantity,revenue\n2024-01-01,A,1,10\n"
+                                    "2024-01-01,A,1,10\n2999-01-01,B,1,5\n")
+    _csv(os.path.join(up, "b.csv"), "date,sku,quantity,revenue\n2024-01-01,A,1,10\n,C,-1,3\n")
+    _csv(os.path.join(up, "notes.txt"), "not an upload\n")
+    store = os.path.join(workdir, "store")
+    res = {r.filename: r for r in ingest.process_directory(spark, up, "sales", store,
+                                                           as_of=AS_OF)}
+    assert set(res) == {"a.csv", "b.csv"}
+    assert (res["a.csv"].total_rows, res["a.csv"].valid_rows) == (3, 2)   # duplicate within a.csv
+    assert res["a.csv"].quality_score == round(2 / 3 * 100 - 2, 2)        # future date unresolved
+    assert (res["b.csv"].total_rows, res["b.csv"].valid_rows) == (2, 1)   # same row in b is kept
+    assert spark.read.parquet(os.path.join(store, "sales_data")).count() == 3
+    led = ledger.ledger_versions(spark.read.parquet(os.path.join(store, "file_uploads"))).collect()
+    assert sorted(r["upload_mode"] for r in led) == ["append", "replace"]
+    assert all(r["status"] == "active" for r in led)
+    issues = spark.read.parquet(os.path.join(store, "data_quality_issues"))
+    assert issues.where("issue_type = 'future_dates'").count() == 1
