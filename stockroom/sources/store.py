@@ -5,8 +5,18 @@ shared folder, and registers them as catalog tables.  Sales, inventory and
 purchase orders are bucketed (and sorted) by ``sku`` with the same bucket
 count, so that the frequent ``groupBy("sku")`` aggregates and the joins on
 ``sku`` between these tables (demand → reorder list, orders → stock) read
-co-located buckets instead of shuffling.  Suppliers are small per row and are
-written plainly.
+co-located buckets instead of shuffling.
+
+Bucketing is *checked*, like a broadcast: a bucketed scan reads each bucket in
+one task, so a sku holding a large share of the rows would put that share in
+a single task.  Before writing, one aggregate measures the hottest key; the
+table is bucketed only if that key alone stays under ``skew_factor`` times an
+average bucket.  Otherwise it is written plainly (splittable files) and the
+queries fall back to shuffles, where partial aggregation and AQE's skew-join
+split handle the hot key.  ``Store.layout`` records the decision per table.
+
+Size ``buckets`` so that one bucket is about a task's worth of data
+(≈ table bytes / 1 GB); each bucket is written as one file.
 
 A ``Store`` offers the same attributes as ``sources.derived.Tables``, so every
 registered query runs on either.
@@ -19,7 +29,9 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stockroom.session import scratch_path
 from stockroom.sources.derived import Tables
 
 BUSINESS = ("sales_data", "inventory_data", "supplier_data", "purchase_order_data")
@@ -33,23 +45,33 @@ class Store:
         self.raw_tables = raw
         self.sf_dir = raw.sf_dir
         self.prefix = re.sub(r"\W", "_", prefix)
+        self.layout: dict[str, str] = {}
 
     def _name(self, table: str) -> str:
         return f"{self.prefix}_{table}"
 
     @classmethod
-    def materialize(cls, tables: Tables, path: str, buckets: int = 16,
-                    prefix: str = "stockroom") -> "Store":
-        """Write (overwrite) the business tables under ``path`` and register them."""
+    def materialize(cls, tables: Tables, path: str | None = None, buckets: int = 16,
+                    prefix: str = "stockroom", skew_factor: float = 2.0) -> "Store":
+        """Write (overwrite) the business tables under ``path`` and register them.
+
+        ``path`` defaults to a new folder under the session's shared folder.
+        """
+        path = path or scratch_path(tables.spark, "store")
         store = cls(tables.spark, path, tables, prefix)
         for name in BUSINESS:
             df = tables.table(name)
-            writer = df.write.mode("overwrite").format("parquet").option(
+            writer_df, key = df, BUCKETED.get(name)
+            if key and not _balanced(df, key, buckets, skew_factor):
+                key = None
+            if key:
+                writer_df = df.repartition(buckets, key)          # one file per bucket
+            writer = writer_df.write.mode("overwrite").format("parquet").option(
                 "path", os.path.join(store.path, name))
-            key = BUCKETED.get(name)
             if key:
                 writer = writer.bucketBy(buckets, key).sortBy(key)
             writer.saveAsTable(store._name(name))
+            store.layout[name] = f"bucketed({buckets}, {key})" if key else "plain"
         return store
 
     def table(self, name: str) -> DataFrame:
@@ -84,3 +106,15 @@ class Store:
 
     def raw(self, name: str) -> DataFrame:
         return self.raw_tables.raw(name)
+
+
+def _balanced(df: DataFrame, key: str, buckets: int, skew_factor: float) -> bool:
+    """True if no single key value exceeds ``skew_factor`` average buckets.
+
+    One partial+final aggregate; only its one-row result reaches the driver.
+    """
+    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.max("n").alias("top"), F.sum("n").alias("total")).first())
+    if not stats["total"]:
+        return True
+    return stats["top"] * buckets <= skew_factor * stats["total"]

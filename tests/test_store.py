@@ -58,3 +58,24 @@ def test_graph_sink_round_trip(spark, store, workdir):
                                                 store.purchase_orders).count()
     assert {r["rel"] for r in edges.select("rel").distinct().collect()} == \
         {"SUPPLIES", "ORDERS", "FROM_SUPPLIER"}
+
+
+class _HotSales(Tables):
+    """Sales where one sku holds half of all rows."""
+
+    @property
+    def sales(self):
+        from pyspark.sql import functions as F
+        base = Tables(self.spark, self.sf_dir).sales
+        return base.unionByName(base.withColumn("sku", F.lit("SKU-HOT")))
+
+
+def test_hot_key_is_not_bucketed(spark, workdir):
+    from stockroom.operators import demand
+    hot = _HotSales(spark, SF_SMALL)
+    st = Store.materialize(hot, os.path.join(workdir, "hot"), buckets=8, prefix="hotstore")
+    assert st.layout["sales_data"] == "plain"
+    assert st.layout["inventory_data"].startswith("bucketed")
+    want = demand.demand_stats(hot.sales)
+    got = demand.demand_stats(st.sales)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
