@@ -55,3 +55,13 @@ def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str,
         df.createOrReplaceTempView(name)
     out = spark.sql(stmt, args=args) if args else spark.sql(stmt)
     return out.limit(limit) if limit else out
+
+
+def run_sql_capped(spark: SparkSession, tables: dict[str, DataFrame], text: str, cap: int,
+                   args: dict | None = None) -> tuple[DataFrame, int]:
+    """Q3: the first ``cap`` rows (a ``LIMIT`` in the plan) and the full row count.
+
+    The count is a distributed aggregate; the full result is never collected.
+    """
+    full = run_sql(spark, tables, text, args)
+    return full.limit(cap), full.count()

@@ -240,6 +240,32 @@ def quality_report(upload: DataFrame, category: str, as_of=None) -> DataFrame:
     return score.select(*head, "total_rows", "valid_rows", "rejected_rows", "quality_score")
 
 
+@dataclass(frozen=True)
+class Validation:
+    """I11 as DataFrames: the report row, issues, clean rows, rejected rows, a preview."""
+
+    schema: SchemaCheck
+    report: DataFrame
+    issues: DataFrame
+    clean: DataFrame
+    rejected: DataFrame
+    preview: DataFrame
+
+
+def validate(upload: DataFrame, category: str, as_of=None, preview_rows: int = 10) -> Validation:
+    """Validate without loading: every output is a lazy DataFrame over one tagged plan.
+
+    The preview is the first ``preview_rows`` rows of the upload in a total
+    order of its columns (deterministic, unlike "first rows read").
+    """
+    df = normalise_columns(upload)
+    tagged = tag_rows(df, category)
+    ordered = df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns])
+    return Validation(validate_schema(df, category), quality_report(df, category, as_of),
+                      quality_issues(tagged, category, as_of), clean_rows(tagged, category),
+                      rejected_rows(tagged), ordered.limit(preview_rows))
+
+
 # ---------------------------------------------------------------------------
 # I14 — the upload job
 # ---------------------------------------------------------------------------

@@ -30,22 +30,23 @@ def network_overview(inventory: DataFrame, suppliers: DataFrame) -> DataFrame:
             .orderBy(F.col("supplier_name").asc_nulls_last(), "supplier_id", "sku"))
 
 
-def product_orders(orders: DataFrame, inventory: DataFrame) -> DataFrame:
+def product_orders(orders: DataFrame, inventory: DataFrame, with_list: bool = True) -> DataFrame:
     """Per ordered sku and its stock level: distinct POs, units, supplier list.
 
     Orders are aggregated to sku grain first and then joined to the distinct
     (sku, qty_on_hand) pairs of inventory.  A sku stocked at several
     locations with different levels gives one row per level; equal levels at
     two locations give one row whose units are *not* doubled (a join at line
-    grain would double them).
+    grain would double them).  ``with_list=False`` leaves the supplier list out.
     """
-    per = orders.groupBy("sku").agg(
-        F.countDistinct("po_number").alias("num_orders"),
-        F.sum("quantity").alias("total_ordered"),
-        list_text("supplier_id").alias("suppliers"))
+    aggs = [F.countDistinct("po_number").alias("num_orders"),
+            F.sum("quantity").alias("total_ordered")]
+    if with_list:
+        aggs.append(list_text("supplier_id").alias("suppliers"))
+    per = orders.groupBy("sku").agg(*aggs)
     stock = inventory.select("sku", "qty_on_hand").distinct()
     return (per.join(stock, "sku", "left")
-            .select("sku", "num_orders", "total_ordered", "suppliers",
+            .select("sku", "num_orders", "total_ordered", *(["suppliers"] if with_list else []),
                     F.col("qty_on_hand").alias("current_stock"))
             .orderBy(F.col("total_ordered").desc_nulls_last(), "sku"))
 

@@ -94,23 +94,25 @@ def supplier_risk(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame)
             .orderBy(F.col("rating").asc_nulls_last(), "supplier_id"))
 
 
-def supplier_products(suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
+def supplier_products(suppliers: DataFrame, inventory: DataFrame,
+                      with_list: bool = True) -> DataFrame:
     """Distinct products, total stock and sorted sku list per supplier.
 
     The sku list is deduplicated at (supplier, sku) grain by a distributed
     aggregate first; its length is the number of distinct skus of the
-    supplier.  Ordered by products supplied, descending.
+    supplier.  Ordered by products supplied, descending.  ``with_list=False``
+    leaves the list out (the pairs themselves are ``supplier_dependents``).
     """
     pairs = (inventory.where(F.col("supplier_id").isNotNull())
              .groupBy("supplier_id", "sku")
              .agg(F.sum("qty_on_hand").alias("stock")))
-    per = pairs.groupBy("supplier_id").agg(
-        F.count("sku").alias("n_sku"),
-        F.sum("stock").alias("total_stock"),
-        list_text("sku").alias("sku_list"))
+    aggs = [F.count("sku").alias("n_sku"), F.sum("stock").alias("total_stock")]
+    if with_list:
+        aggs.append(list_text("sku").alias("sku_list"))
+    per = pairs.groupBy("supplier_id").agg(*aggs)
     return (suppliers.select("supplier_id", "supplier_name", "country")
             .join(per, "supplier_id", "left")
             .select("supplier_id", "supplier_name", "country",
                     F.coalesce(F.col("n_sku"), F.lit(0)).alias("products_supplied"),
-                    "total_stock", "sku_list")
+                    "total_stock", *(["sku_list"] if with_list else []))
             .orderBy(F.col("products_supplied").desc(), "supplier_id"))

@@ -66,3 +66,10 @@ def test_stream_upload_directory(spark, workdir):
     assert sorted(r["sku"] for r in data.collect()) == ["A", "B"]
     led = spark.read.parquet(os.path.join(store, "file_uploads")).collect()
     assert sum(r["row_count"] for r in led) == 2
+
+
+def test_run_sql_capped_reports_full_count(spark):
+    t = Tables(spark, SF_SMALL)
+    head, total = adhoc.run_sql_capped(spark, {"sales_data": t.sales},
+                                       "SELECT sku FROM sales_data", cap=5)
+    assert head.count() == 5 and total == t.sales.count()

@@ -172,3 +172,14 @@ def test_process_directory_one_job_per_batch(spark, workdir):
     assert all(r["status"] == "active" for r in led)
     issues = spark.read.parquet(os.path.join(store, "data_quality_issues"))
     assert issues.where("issue_type = 'future_dates'").count() == 1
+
+
+def test_validate_bundle(spark, workdir):
+    p = _csv(os.path.join(workdir, "v.csv"), "Date,SKU,Quantity,Revenue\n2024-01-01,A,1,10\n"
+                                             "2024-01-01,A,1,10\n2024-01-02,,1,1\n")
+    v = ingest.validate(read_upload(spark, p), "sales", as_of=AS_OF)
+    assert v.schema.valid
+    rep = v.report.first()
+    assert (rep["total_rows"], rep["valid_rows"], rep["rejected_rows"]) == (3, 1, 2)
+    assert v.clean.count() == 1 and v.preview.count() == 3
+    assert {r["rule"] for r in v.rejected.collect()} == {"duplicate_rows", "null:sku"}
