@@ -171,15 +171,32 @@ def preview(df: DataFrame, n: int = 100) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).limit(n)
 
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """U8: ``(table_name, row_count)`` for each stored table."""
+def row_counts(tables: dict[str, DataFrame | None], spark: SparkSession | None = None) -> DataFrame:
+    """U8: ``(table_name, row_count)`` for each stored table; an absent table (None) counts 0."""
     from functools import reduce
-    parts = [df.agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(name).alias("table_name"), "row_count")
-             for name, df in tables.items()]
+    present = [df for df in tables.values() if df is not None]
+    spark = spark or (present[0].sparkSession if present else SparkSession.getActiveSession())
+    parts = []
+    for name, df in tables.items():
+        if df is None:
+            parts.append(spark.range(1).select(F.lit(name).alias("table_name"),
+                                               F.lit(0).cast("long").alias("row_count")))
+        else:
+            parts.append(df.agg(F.count(F.lit(1)).alias("row_count"))
+                         .select(F.lit(name).alias("table_name"), "row_count"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored parquet table, or None when it has not been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return None
+        raise
+
+
 def describe(df: DataFrame) -> list[tuple[str, str]]:
     """Column names and types (schema metadata only)."""
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]

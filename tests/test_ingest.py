@@ -183,3 +183,11 @@ def test_validate_bundle(spark, workdir):
     assert (rep["total_rows"], rep["valid_rows"], rep["rejected_rows"]) == (3, 1, 2)
     assert v.clean.count() == 1 and v.preview.count() == 3
     assert {r["rule"] for r in v.rejected.collect()} == {"duplicate_rows", "null:sku"}
+
+
+def test_row_counts_absent_table_is_zero(spark, workdir):
+    present = ledger.stored_table(spark, os.path.join(workdir, "nothing-here"))
+    assert present is None
+    got = {r["table_name"]: r["row_count"] for r in ledger.row_counts(
+        {"sales_data": spark.range(3), "inventory_data": present}, spark).collect()}
+    assert got == {"sales_data": 3, "inventory_data": 0}
