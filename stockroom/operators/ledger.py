@@ -80,8 +80,8 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     count of replaces and whether the bucket starts with a replace; the number
     of archived uploads up to row k of a bucket is then
     ``replaces(1..k) − first_is_replace + [next mode is replace]``.  The
-    per-bucket summary (one row per bucket) carries the first mode of the next
-    bucket and the archived count of all earlier buckets.
+    per-bucket summary (one row per bucket) carries whether the next bucket
+    starts with a replace and the archived count of all earlier buckets.
     """
     order = [F.col(TS), F.col(ID)]
     is_rep = (F.col(MODE) == F.lit("replace")).cast("long")
@@ -95,29 +95,29 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
         F.first(is_rep).over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("_first_rep"))
 
+    # per-bucket summary from the windowed rows: same (category, bucket)
+    # partitioning, so this hash aggregate needs no further shuffle
     by_bucket = Window.partitionBy(CAT).orderBy("_b")
-    summary = (ledger.withColumn("_b", F.date_trunc(bucket, F.col(TS)))
-               .groupBy(CAT, "_b")
-               .agg(F.min_by(MODE, F.struct(*order)).alias("_first_mode"),
-                    F.count_if(F.col(MODE) == "replace").alias("_n_rep"))
-               .withColumn("_next_bucket", F.lead("_first_mode").over(by_bucket)))
+    summary = (rows.groupBy(CAT, "_b")
+               .agg(F.max("_first_rep").alias("_bucket_first_rep"),
+                    F.sum(is_rep).alias("_n_rep"))
+               .withColumn("_next_first_rep", F.lead("_bucket_first_rep").over(by_bucket)))
     summary = (summary
-               .withColumn("_arch", F.col("_n_rep")
-                           - (F.col("_first_mode") == "replace").cast("long")
-                           + F.coalesce((F.col("_next_bucket") == "replace").cast("long"), F.lit(0)))
-               .select(CAT, "_b", "_next_bucket",
+               .withColumn("_arch", F.col("_n_rep") - F.col("_bucket_first_rep")
+                           + F.coalesce(F.col("_next_first_rep"), F.lit(0)))
+               .select(CAT, "_b", "_next_first_rep",
                        F.coalesce(F.sum("_arch").over(
                            by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                        .alias("_offset")))
 
-    nxt = F.coalesce(F.col("_next_local"), F.col("_next_bucket"))
-    archived = F.coalesce(nxt == F.lit("replace"), F.lit(False))
+    archived = F.coalesce(F.col("_next_local") == F.lit("replace"),
+                          F.col("_next_first_rep") == F.lit(1), F.lit(False))
     rank = (F.col("_offset") + F.col("_cum_rep") - F.col("_first_rep")
             + F.when(archived, 1).otherwise(0))
     return (rows.join(summary, [CAT, "_b"], "left")
             .withColumn("status", F.when(archived, F.lit("archived")).otherwise(F.lit("active")))
             .withColumn("version_number", F.when(archived, rank.cast("int")))
-            .drop("_b", "_next_local", "_cum_rep", "_first_rep", "_next_bucket", "_offset"))
+            .drop("_b", "_next_local", "_cum_rep", "_first_rep", "_next_first_rep", "_offset"))
 
 
 def ledger_active(ledger: DataFrame) -> DataFrame:

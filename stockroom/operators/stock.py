@@ -36,8 +36,9 @@ def reorder_recommendations(inventory: DataFrame, suppliers: DataFrame,
     """Items at or below 1.5× their reorder point, with supplier and demand.
 
     Plan: the stock filter runs before any join; demand is a partial+final
-    hash aggregate at sku grain joined *left* (rows without sales get 0);
-    suppliers join left on ``supplier_id``.  Join strategies are left to AQE
+    hash aggregate at sku grain joined *left* (rows without sales get 0) —
+    first, so that on sku-bucketed stored tables it reads co-located buckets;
+    then suppliers join left on ``supplier_id``.  Join strategies are left to AQE
     (broadcast when a side measures under the threshold, sort-merge otherwise).
     Output is ordered by priority rank, stock level, sku.
     """
@@ -49,8 +50,9 @@ def reorder_recommendations(inventory: DataFrame, suppliers: DataFrame,
     demand = demand_per_sku(sales.select("sku", "quantity"))
     rank = _priority_rank()
     labels = F.element_at(F.array(*[F.lit(p) for p in PRIORITIES]), rank + 1)
-    return (low.join(sup, "supplier_id", "left")
-            .join(demand, "sku", "left")
+    # demand first: on stored tables bucketed by sku this join needs no shuffle
+    return (low.join(demand, "sku", "left")
+            .join(sup, "supplier_id", "left")
             .select("sku", "qty_on_hand", "reorder_point",
                     (F.col("reorder_point") - F.col("qty_on_hand")).alias("units_below_reorder"),
                     "unit_cost", "supplier_id", "supplier_name", "supplier_lead_time_days",
