@@ -25,6 +25,13 @@ row = st.tuples(
 )
 
 
+def _date(text):
+    try:
+        return dt.date.fromisoformat(text)
+    except (TypeError, ValueError):
+        return None
+
+
 def brute(rows):
     df = pd.DataFrame(rows, columns=REQUIRED)
     total = len(df)
@@ -37,12 +44,13 @@ def brute(rows):
         low = df[c] < m
         counts[("constraint_violation", c)] = int(low.sum())
         df = df[~low]
-    dates = pd.to_datetime(df["date"], errors="coerce", format="%Y-%m-%d")
-    counts[("future_dates", "date")] = int((dates > AS_OF).sum())
+    # calendar dates via the standard library: pandas' nanosecond timestamps end in 2262
+    counts[("future_dates", "date")] = sum(1 for d in df["date"] if _date(d) and _date(d) > AS_OF.date())
     return total, len(df), {k: v for k, v in counts.items() if v > 0}
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(row, min_size=0, max_size=25))
 def test_tagging_equals_sequential_cleaning(spark, rows):
     df = spark.createDataFrame(rows, "date string, sku string, quantity double, revenue double")
