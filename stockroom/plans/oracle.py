@@ -83,6 +83,7 @@ file_uploads AS (
 
 
 BUSINESS = ("sales_data", "inventory_data", "supplier_data", "purchase_order_data")
+STORED = BUSINESS + ("raw_sales", "file_uploads")     # tables that exist once loaded
 
 
 class OracleSQL(str):
@@ -99,11 +100,10 @@ def with_tables(body: str, *tables: str, ctes: dict[str, str] | None = None) ->
     """Prefix ``body`` with the CTEs of the derived tables it reads (plus ``ctes``)."""
     extra = [f"\n{name} AS ({text.strip()})" for name, text in (ctes or {}).items()]
     out = OracleSQL(_assemble([_CTE[t] for t in tables] + extra, body))
-    out.stored = _assemble([_CTE[t] for t in tables if t not in BUSINESS] + extra, body)
+    out.stored = _assemble([_CTE[t] for t in tables if t not in STORED] + extra, body)
     return out
 
 
-def business_table_sql(name: str) -> str:
-    """The SELECT that derives one business table (for loading it once)."""
-    text = _CTE[name].strip()
-    return text[text.index("(") + 1:text.rindex(")")]
+def stored_table_sql(name: str) -> str:
+    """A query that derives one stored table (for loading it once)."""
+    return f"WITH {_CTE[name].strip()}\nSELECT * FROM {name}"

@@ -18,6 +18,9 @@ split handle the hot key.  ``Store.layout`` records the decision per table.
 Size ``buckets`` so that one bucket is about a task's worth of data
 (≈ table bytes / 1 GB); each bucket is written as one file.
 
+The landed dirty upload and the upload ledger are written too (plain parquet
+over several files): they are inputs that exist as files before any query.
+
 A ``Store`` offers the same attributes as ``sources.derived.Tables``, so every
 registered query runs on either.
 """
@@ -36,6 +39,8 @@ from stockroom.sources.derived import Tables
 
 BUSINESS = ("sales_data", "inventory_data", "supplier_data", "purchase_order_data")
 BUCKETED = {"sales_data": "sku", "inventory_data": "sku", "purchase_order_data": "sku"}
+# inputs that exist as files before any query runs: the landed dirty upload and the ledger
+LANDED = {"raw_sales": "raw_sales", "file_uploads": "ledger"}
 
 
 class Store:
@@ -72,11 +77,18 @@ class Store:
                 writer = writer.bucketBy(buckets, key).sortBy(key)
             writer.saveAsTable(store._name(name))
             store.layout[name] = f"bucketed({buckets}, {key})" if key else "plain"
+        for name, attr in LANDED.items():
+            # spread over several files (round-robin) so that reads are parallel
+            (getattr(tables, attr).repartition(buckets).write.mode("overwrite")
+             .parquet(os.path.join(store.path, name)))
+            store.layout[name] = "plain"
         return store
 
     def table(self, name: str) -> DataFrame:
         if name in BUSINESS:
             return self.spark.table(self._name(name))
+        if name in LANDED:
+            return self.spark.read.parquet(os.path.join(self.path, name))
         return self.raw_tables.table(name)
 
     @cached_property
@@ -95,14 +107,14 @@ class Store:
     def purchase_orders(self) -> DataFrame:
         return self.table("purchase_order_data")
 
-    # fixtures of the ingest and ledger operators are not business tables
-    @property
+    # the landed upload and the ledger, as files
+    @cached_property
     def raw_sales(self) -> DataFrame:
-        return self.raw_tables.raw_sales
+        return self.table("raw_sales")
 
-    @property
+    @cached_property
     def ledger(self) -> DataFrame:
-        return self.raw_tables.ledger
+        return self.table("file_uploads")
 
     def raw(self, name: str) -> DataFrame:
         return self.raw_tables.raw(name)
