@@ -9,11 +9,13 @@ co-located buckets instead of shuffling.
 
 Bucketing is *checked*, like a broadcast: a bucketed scan reads each bucket in
 one task, so a sku holding a large share of the rows would put that share in
-a single task.  Before writing, one aggregate measures the hottest key; the
-table is bucketed only if that key alone stays under ``skew_factor`` times an
-average bucket.  Otherwise it is written plainly (splittable files) and the
-queries fall back to shuffles, where partial aggregation and AQE's skew-join
-split handle the hot key.  ``Store.layout`` records the decision per table.
+a single task.  Each table is derived once and written to a staging folder;
+one aggregate over the staged key column measures the hottest key, and the
+table is bucketed (rewritten from the staged files) only if that key alone
+stays under ``skew_factor`` times an average bucket.  Otherwise the staged,
+splittable files become the table and queries fall back to shuffles, where
+partial aggregation and AQE's skew-join split handle the hot key.
+``Store.layout`` records the decision per table.
 
 Size ``buckets`` so that one bucket is about a task's worth of data
 (≈ table bytes / 1 GB); each bucket is written as one file.
@@ -64,19 +66,29 @@ class Store:
         """
         path = path or scratch_path(tables.spark, "store")
         store = cls(tables.spark, path, tables, prefix)
+        spark = tables.spark
         for name in BUSINESS:
-            df = tables.table(name)
-            writer_df, key = df, BUCKETED.get(name)
-            if key and not _balanced(df, key, buckets, skew_factor):
-                key = None
-            if key:
-                writer_df = df.repartition(buckets, key)          # one file per bucket
-            writer = writer_df.write.mode("overwrite").format("parquet").option(
-                "path", os.path.join(store.path, name))
-            if key:
-                writer = writer.bucketBy(buckets, key).sortBy(key)
-            writer.saveAsTable(store._name(name))
-            store.layout[name] = f"bucketed({buckets}, {key})" if key else "plain"
+            key = BUCKETED.get(name)
+            table = store._name(name)
+            spark.sql(f"DROP TABLE IF EXISTS {table}")     # external: files are kept
+            if not key:
+                (tables.table(name).write.mode("overwrite").format("parquet")
+                 .option("path", os.path.join(store.path, name)).saveAsTable(table))
+                store.layout[name] = "plain"
+                continue
+            # derive once into staging (cuts lineage), then decide on the written files
+            staged = os.path.join(store.path, "_staged", name)
+            tables.table(name).write.mode("overwrite").parquet(staged)
+            staged_df = spark.read.parquet(staged)
+            if _balanced(staged_df, key, buckets, skew_factor):
+                (staged_df.repartition(buckets, key)              # one file per bucket
+                 .write.mode("overwrite").format("parquet")
+                 .option("path", os.path.join(store.path, name))
+                 .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+                store.layout[name] = f"bucketed({buckets}, {key})"
+            else:                                                  # hot key: keep plain files
+                spark.catalog.createTable(table, path=staged, source="parquet")
+                store.layout[name] = "plain"
         for name, attr in LANDED.items():
             # spread over several files (round-robin) so that reads are parallel
             (getattr(tables, attr).repartition(buckets).write.mode("overwrite")
