@@ -73,7 +73,10 @@ def ledger_rows_for_files(spark: SparkSession, ledger_path: str, category: str,
 
 
 def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
-    """U4: every upload with ``status`` (active/archived) and ``version_number``.
+    """U4: every upload with ``status``, ``version_number`` and ``replaced_at``.
+
+    ``replaced_at`` of an archived upload is the time of the upload that
+    replaced it (its successor in the category).
 
     ``bucket`` is the time unit of the first scan level (``date_trunc`` unit).
     One window pass per (category, bucket) gives the next mode, the running
@@ -90,6 +93,7 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     rows = rows.select(
         "*",
         F.lead(MODE).over(in_bucket).alias("_next_local"),
+        F.lead(TS).over(in_bucket).alias("_next_local_ts"),
         F.sum(is_rep).over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("_cum_rep"),
         F.first(is_rep).over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -100,12 +104,14 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     by_bucket = Window.partitionBy(CAT).orderBy("_b")
     summary = (rows.groupBy(CAT, "_b")
                .agg(F.max("_first_rep").alias("_bucket_first_rep"),
-                    F.sum(is_rep).alias("_n_rep"))
-               .withColumn("_next_first_rep", F.lead("_bucket_first_rep").over(by_bucket)))
+                    F.sum(is_rep).alias("_n_rep"),
+                    F.min(TS).alias("_bucket_first_ts"))
+               .withColumn("_next_first_rep", F.lead("_bucket_first_rep").over(by_bucket))
+               .withColumn("_next_first_ts", F.lead("_bucket_first_ts").over(by_bucket)))
     summary = (summary
                .withColumn("_arch", F.col("_n_rep") - F.col("_bucket_first_rep")
                            + F.coalesce(F.col("_next_first_rep"), F.lit(0)))
-               .select(CAT, "_b", "_next_first_rep",
+               .select(CAT, "_b", "_next_first_rep", "_next_first_ts",
                        F.coalesce(F.sum("_arch").over(
                            by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                        .alias("_offset")))
@@ -117,7 +123,10 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     return (rows.join(summary, [CAT, "_b"], "left")
             .withColumn("status", F.when(archived, F.lit("archived")).otherwise(F.lit("active")))
             .withColumn("version_number", F.when(archived, rank.cast("int")))
-            .drop("_b", "_next_local", "_cum_rep", "_first_rep", "_next_first_rep", "_offset"))
+            .withColumn("replaced_at", F.when(archived, F.coalesce(F.col("_next_local_ts"),
+                                                                   F.col("_next_first_ts"))))
+            .drop("_b", "_next_local", "_next_local_ts", "_cum_rep", "_first_rep",
+                  "_next_first_rep", "_next_first_ts", "_offset"))
 
 
 def ledger_active(ledger: DataFrame) -> DataFrame:
@@ -157,7 +166,8 @@ def ledger_history(ledger: DataFrame, n: int = 10, bucket: str = "day",
         Window.partitionBy(CAT, "_s").orderBy(*newest))).where(F.col("_r") <= n))
     stage2 = (stage1.withColumn("_r", F.row_number().over(Window.partitionBy(CAT).orderBy(*newest)))
               .where(F.col("_r") <= n))
-    return stage2.select(CAT, *DETAIL_COLS, "status", "version_number").orderBy(CAT, *newest)
+    return (stage2.select(CAT, *DETAIL_COLS, "status", "version_number", "replaced_at")
+            .orderBy(CAT, *newest))
 
 
 def ledger_quality_report(ledger: DataFrame, bucket: str = "day") -> DataFrame:

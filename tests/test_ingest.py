@@ -133,9 +133,11 @@ def test_ledger_two_level_scan_equals_plain_window(spark, bucket):
     plain = (led.withColumn("a", arch)
              .withColumn("v", F.when(F.col("a"), F.sum(F.col("a").cast("int")).over(
                  w.rowsBetween(Window.unboundedPreceding, 0))))
-             .select("id", "a", "v"))
+             .withColumn("r", F.when(F.col("a"), F.lead("upload_timestamp").over(w)))
+             .select("id", "a", "v", "r"))
     got = (ledger.ledger_versions(led, bucket)
-           .select("id", (F.col("status") == "archived").alias("a"), F.col("version_number").alias("v")))
+           .select("id", (F.col("status") == "archived").alias("a"), F.col("version_number").alias("v"),
+                   F.col("replaced_at").alias("r")))
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
