@@ -39,11 +39,15 @@ def product_orders(orders: DataFrame, inventory: DataFrame, with_list: bool = Tr
     two locations give one row whose units are *not* doubled (a join at line
     grain would double them).  ``with_list=False`` leaves the supplier list out.
     """
-    aggs = [F.countDistinct("po_number").alias("num_orders"),
-            F.sum("quantity").alias("total_ordered")]
+    per = orders.groupBy("sku").agg(F.countDistinct("po_number").alias("num_orders"),
+                                    F.sum("quantity").alias("total_ordered"))
     if with_list:
-        aggs.append(list_text("supplier_id").alias("suppliers"))
-    per = orders.groupBy("sku").agg(*aggs)
+        # (sku, supplier) pairs by a plain hash aggregate first; the list is
+        # then built once per sku rather than inside the distinct-count path
+        pairs = (orders.where(F.col("supplier_id").isNotNull())
+                 .select("sku", "supplier_id").distinct())
+        per = per.join(pairs.groupBy("sku").agg(list_text("supplier_id").alias("suppliers")),
+                       "sku", "left")
     stock = inventory.select("sku", "qty_on_hand").distinct()
     return (per.join(stock, "sku", "left")
             .select("sku", "num_orders", "total_ordered", *(["suppliers"] if with_list else []),
