@@ -89,11 +89,13 @@ class Store:
             else:                                                  # hot key: keep plain files
                 spark.catalog.createTable(table, path=staged, source="parquet")
                 store.layout[name] = "plain"
-        for name, attr in LANDED.items():
-            # spread over several files (round-robin) so that reads are parallel
-            (getattr(tables, attr).repartition(buckets).write.mode("overwrite")
-             .parquet(os.path.join(store.path, name)))
-            store.layout[name] = "plain"
+        # the landed upload is data: spread it over several files (as a multi-file
+        # upload arrives) so that reads are parallel; the ledger is metadata, one row
+        # per uploaded file, and is written as it comes
+        (tables.raw_sales.repartition(buckets).write.mode("overwrite")
+         .parquet(os.path.join(store.path, "raw_sales")))
+        tables.ledger.write.mode("overwrite").parquet(os.path.join(store.path, "file_uploads"))
+        store.layout.update({"raw_sales": "plain", "file_uploads": "plain"})
         return store
 
     def table(self, name: str) -> DataFrame:
