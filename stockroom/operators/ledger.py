@@ -13,8 +13,8 @@ all uploads, so the scan is done in two levels instead of one window over the
 category: rows are windowed within (category, time bucket); a per-bucket
 summary — one row per bucket, so bounded by the time span, not the volume —
 supplies the first mode of the next bucket and the count of archived uploads
-in earlier buckets.  Latest-per-category is a ``max(struct)`` hash aggregate,
-and the newest-N history is a two-stage top-N.
+in earlier buckets.  Latest-per-category is a ``max(struct)`` aggregate with a
+partial phase (no window), and the newest-N history is a two-stage top-N.
 """
 
 from __future__ import annotations

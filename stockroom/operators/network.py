@@ -81,7 +81,8 @@ def supplier_nodes(suppliers: DataFrame) -> DataFrame:
 def first_inventory_row(inventory: DataFrame) -> DataFrame:
     """The inventory row that represents a sku: smallest (location, qty, rp, supplier).
 
-    A hash aggregate of ``min(struct)`` — partial per task, no sort, no window.
+    An aggregate of ``min(struct)`` with a partial phase per task (sort-based,
+    since a struct buffer is not fixed-width) — no window.
     """
     best = F.min(F.struct("location", "qty_on_hand", "reorder_point", "supplier_id")).alias("r")
     return (inventory.where(F.col("sku").isNotNull()).groupBy("sku").agg(best)

@@ -59,10 +59,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for written intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh scratch folder is created and recorded in the session.
+    Read from ``spark.checkpoint.dir``.  Only a local session without it (tests)
+    gets a fresh scratch folder; on a cluster an unset value is an error, never
+    a machine-local folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder shared by the cluster")
     if not path:
         global _LOCAL_DIR
         if _LOCAL_DIR is None:

@@ -68,8 +68,9 @@ class Tables:
     @cached_property
     def inventory(self) -> DataFrame:
         # Main supplier of a part: most quantity shipped, ties to the smaller
-        # supplier key.  Two hash aggregates (partial + final each) instead of
-        # a window: a hot part is collapsed map-side before any shuffle.
+        # supplier key.  Two aggregates, each with a partial (map-side) phase,
+        # instead of a window: a hot part is collapsed before any shuffle.  The
+        # max(struct) one is sort-based (a struct buffer is not fixed-width).
         per_pair = (self.raw("lineitem")
                     .groupBy("l_partkey", "l_suppkey")
                     .agg(F.sum("l_quantity").alias("q")))
