@@ -39,13 +39,16 @@ def product_orders(orders: DataFrame, inventory: DataFrame, with_list: bool = Tr
     two locations give one row whose units are *not* doubled (a join at line
     grain would double them).  ``with_list=False`` leaves the supplier list out.
     """
-    per = orders.groupBy("sku").agg(F.countDistinct("po_number").alias("num_orders"),
-                                    F.sum("quantity").alias("total_ordered"))
+    # one pass over the order lines to (sku, po, supplier) grain; both roll-ups
+    # below read this aggregate, so Spark reuses its exchange (one scan of orders)
+    grain = (orders.groupBy("sku", "po_number", "supplier_id")
+             .agg(F.sum("quantity").alias("q")))
+    per = grain.groupBy("sku").agg(F.countDistinct("po_number").alias("num_orders"),
+                                   F.sum("q").alias("total_ordered"))
     if with_list:
-        # (sku, supplier) pairs by a plain hash aggregate first; the list is
-        # then built once per sku rather than inside the distinct-count path
-        pairs = (orders.where(F.col("supplier_id").isNotNull())
-                 .select("sku", "supplier_id").distinct())
+        # the supplier list is built from distinct (sku, supplier) pairs, once
+        # per sku, outside the distinct-count path
+        pairs = grain.where(F.col("supplier_id").isNotNull()).select("sku", "supplier_id").distinct()
         per = per.join(pairs.groupBy("sku").agg(list_text("supplier_id").alias("suppliers")),
                        "sku", "left")
     stock = inventory.select("sku", "qty_on_hand").distinct()
@@ -96,10 +99,22 @@ def product_nodes(inventory: DataFrame) -> DataFrame:
                  reorder_point=F.col("reorder_point"), location=F.col("location"))
 
 
+def order_lines(orders: DataFrame) -> DataFrame:
+    """Order lines at (po, sku, supplier) grain: Σ quantity, earliest order date.
+
+    Order nodes and both order edge types roll up from this one aggregate;
+    built identically each time, its exchange is reused within a plan, so the
+    order table is scanned once per graph query.
+    """
+    return (orders.where(F.col("po_number").isNotNull())
+            .groupBy("po_number", "sku", "supplier_id")
+            .agg(F.sum("quantity").alias("q"), F.min("order_date").alias("d")))
+
+
 def order_nodes(orders: DataFrame) -> DataFrame:
     """One node per PO number; quantity is the PO total, date the earliest."""
-    per = (orders.where(F.col("po_number").isNotNull()).groupBy("po_number")
-           .agg(F.sum("quantity").alias("q"), F.min("order_date").alias("d")))
+    per = (order_lines(orders).groupBy("po_number")
+           .agg(F.sum("q").alias("q"), F.min("d").alias("d")))
     return _node(per, ORDER, node_id=F.col("po_number"), quantity=F.col("q"), order_date=F.col("d"))
 
 
@@ -122,17 +137,17 @@ def supplies_edges(suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def orders_edges(orders: DataFrame, inventory: DataFrame) -> DataFrame:
     """PO → product, one edge per (po, sku) carrying the line quantity total."""
-    skus = inventory.where(F.col("sku").isNotNull()).select(F.col("sku").alias("dst")).distinct()
-    per = (orders.where(F.col("po_number").isNotNull() & F.col("sku").isNotNull())
+    skus = first_inventory_row(inventory).select(F.col("sku").alias("dst"))   # product nodes
+    per = (order_lines(orders).where(F.col("sku").isNotNull())
            .groupBy(F.col("po_number").alias("src"), F.col("sku").alias("dst"))
-           .agg(F.sum("quantity").alias("quantity")))
+           .agg(F.sum("q").alias("quantity")))
     return per.join(skus, "dst").select(F.lit(ORDERS).alias("rel"), "src", "dst", "quantity")
 
 
 def from_supplier_edges(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     """PO → supplier, distinct."""
     sup_ids = suppliers.select(F.col("supplier_id").alias("dst")).distinct()
-    pairs = (orders.where(F.col("po_number").isNotNull() & F.col("supplier_id").isNotNull())
+    pairs = (order_lines(orders).where(F.col("supplier_id").isNotNull())
              .select(F.col("po_number").alias("src"), F.col("supplier_id").alias("dst")).distinct())
     return (pairs.join(sup_ids, "dst")
             .select(F.lit(FROM_SUPPLIER).alias("rel"), "src", "dst",
