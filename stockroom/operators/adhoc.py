@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Statement words that make a query not read-only.
 FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE", "TRUNCATE", "EXEC", "MERGE")
 
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", re.S)
+# one left-to-right scan: whichever starts first — a quoted literal/identifier
+# or a comment — is consumed whole, so '--' inside a string is not a comment
+_QUOTED_OR_COMMENT = re.compile(
+    r"(?P<q>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(?P<c>--[^\n]*|/\*.*?\*/)", re.S)
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -30,7 +32,7 @@ def check_read_only(text: str) -> str:
     inside a string or a column such as ``updated_at`` does not trip the
     check, while ``DROP;`` does.
     """
-    body = _QUOTED.sub(" '' ", _COMMENT.sub(" ", text)).strip()
+    body = _QUOTED_OR_COMMENT.sub(lambda m: " '' " if m.group("q") else " ", text).strip()
     body = body.rstrip(";").strip()
     if ";" in body:
         raise ReadOnlyViolation("Only one statement is allowed")

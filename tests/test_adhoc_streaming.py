@@ -18,6 +18,8 @@ from tests.conftest import SF_SMALL
     "SELECT updated_at FROM t",
     "WITH x AS (SELECT 1 AS a) SELECT a FROM x",
     "SELECT 1;",
+    "SELECT '--not a comment; DROP' AS x",
+    "SELECT /* DROP */ 1 -- DELETE",
 ])
 def test_guard_accepts(text):
     check_read_only(text)
@@ -31,6 +33,8 @@ def test_guard_accepts(text):
     "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x",
     "  update t set a = 1",
     "",
+    "SELECT '--' AS x; DROP TABLE t",
+    "SELECT 'it''s' AS x; DELETE FROM t",
 ])
 def test_guard_refuses(text):
     with pytest.raises(ReadOnlyViolation):
