@@ -92,3 +92,27 @@ def _count():
 
 
 _counter = _count()
+
+
+def scale_settings(input_bytes: int, target_bytes: int = 512 << 20,
+                   max_partitions: int = 100_000) -> dict[str, str]:
+    """Session settings sized for ``input_bytes`` of parquet input.
+
+    Scan splits and AQE's target partition size are ``target_bytes``; the
+    initial shuffle partition count is the input over that size (capped), which
+    AQE then coalesces per stage from measured sizes.  Apply with
+    ``spark.conf.set`` on the cluster session before running large jobs.
+    """
+    parts = max(1, min(max_partitions, -(-int(input_bytes) // target_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_bytes),
+    }
+
+
+def bucket_count(table_bytes: int, bucket_bytes: int = 1 << 30) -> int:
+    """Buckets for a stored table so that one bucket is about ``bucket_bytes``."""
+    return max(1, -(-int(table_bytes) // bucket_bytes))
