@@ -166,17 +166,30 @@ def graph_edges(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame) -
 def network_links(suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
     """Every supplier and every product, linked where a SUPPLIES edge exists.
 
-    Full outer join of supplier nodes, SUPPLIES edges and product nodes: an
-    unlinked supplier or product appears once with nulls on the other side.
+    An unlinked supplier or product appears once with nulls on the other side.
+    Built as linked rows (left joins from the edges, which AQE can split when a
+    supplier holds many products) plus the unlinked suppliers and products
+    (anti-joins against the *distinct* linked keys) — no full outer join, whose
+    skewed partitions AQE cannot split.
     """
     sup = suppliers.select("supplier_id", "supplier_name", "country", "rating")
     prod = first_inventory_row(inventory).select("sku", "qty_on_hand", "location")
     links = supplies_edges(suppliers, inventory).select(
         F.col("src").alias("supplier_id"), F.col("dst").alias("sku"))
-    linked = links.join(sup, "supplier_id", "full_outer")
-    return (linked.join(prod, "sku", "full_outer")
-            .select("supplier_id", "supplier_name", "country", "rating",
-                    "sku", "qty_on_hand", "location"))
+    cols = ["supplier_id", "supplier_name", "country", "rating", "sku", "qty_on_hand", "location"]
+    linked = links.join(sup, "supplier_id", "left").join(prod, "sku", "left").select(*cols)
+    lonely_sup = (sup.join(links.select("supplier_id").distinct(), "supplier_id", "left_anti")
+                  .select("supplier_id", "supplier_name", "country", "rating",
+                          F.lit(None).cast("string").alias("sku"),
+                          F.lit(None).cast("int").alias("qty_on_hand"),
+                          F.lit(None).cast("string").alias("location")))
+    lonely_prod = (prod.join(links.select("sku"), "sku", "left_anti")
+                   .select(F.lit(None).cast("string").alias("supplier_id"),
+                           F.lit(None).cast("string").alias("supplier_name"),
+                           F.lit(None).cast("string").alias("country"),
+                           F.lit(None).cast("double").alias("rating"),
+                           "sku", "qty_on_hand", "location"))
+    return linked.unionByName(lonely_sup).unionByName(lonely_prod)
 
 
 def supplier_dependencies(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,

@@ -179,3 +179,13 @@ def test_fixture_counts(spark):
     assert inv.where("qty_on_hand <= 0").count() == 21
     assert anomalies.supplier_concerns(t.supplier).count() == 32
     assert stock.reorder_recommendations(inv, t.supplier, t.sales).count() == 962
+
+
+def test_network_links_keeps_unlinked_ends(spark, sup, inv):
+    rows = network.network_links(sup, inv).collect()
+    lonely_sup = [r for r in rows if r["supplier_id"] == "S5"]
+    assert len(lonely_sup) == 1 and lonely_sup[0]["sku"] is None
+    lonely_prod = [r for r in rows if r["sku"] == "F"]
+    assert len(lonely_prod) == 1 and lonely_prod[0]["supplier_id"] is None
+    assert len([r for r in rows if r["supplier_id"] == "S4"]) == 3       # E, G, H linked once each
+    assert len(rows) == len({(r["supplier_id"], r["sku"]) for r in rows})
