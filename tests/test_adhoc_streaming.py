@@ -77,3 +77,25 @@ def test_run_sql_capped_reports_full_count(spark):
     head, total = adhoc.run_sql_capped(spark, {"sales_data": t.sales},
                                        "SELECT sku FROM sales_data", cap=5)
     assert head.count() == 5 and total == t.sales.count()
+
+
+def test_stream_restart_processes_only_new_files(spark, workdir):
+    up = os.path.join(workdir, "incoming2")
+    os.makedirs(up)
+    header = "date,sku,quantity,revenue,customer_name,region,category\n"
+    with open(os.path.join(up, "a.csv"), "w") as f:
+        f.write(header + "2024-01-01,A,1,10,x,EU,c\n")
+    store, ckpt = os.path.join(workdir, "store2"), os.path.join(workdir, "ckpt2")
+    for _ in range(2):     # the second run finds nothing new
+        q = start_upload_stream(spark, up, "sales", store, checkpoint=ckpt, as_of="2026-01-01",
+                                available_now=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    with open(os.path.join(up, "b.csv"), "w") as f:
+        f.write(header + "2024-01-02,B,2,20,y,US,c\n")
+    q = start_upload_stream(spark, up, "sales", store, checkpoint=ckpt, as_of="2026-01-01",
+                            available_now=True)
+    q.awaitTermination(120)
+    data = spark.read.parquet(os.path.join(store, "sales_data")).collect()
+    assert sorted(r["sku"] for r in data) == ["A", "B"]          # a.csv loaded exactly once
+    assert spark.read.parquet(os.path.join(store, "file_uploads")).count() == 2
