@@ -2,11 +2,13 @@
 
 New CSV files of one category arriving in ``upload_dir`` are read with the
 category's all-text schema (no inference), and each micro-batch goes through
-the same cleaning plan as a batch upload (``operators.ingest``): clean rows
-are appended to the stored table, rejected rows and issue counts are written
-next to it, and one ledger row per micro-batch is appended last.  Progress
-and exactly-once file tracking live in the checkpoint folder, which must be
-on shared storage; by default it is placed under ``spark.checkpoint.dir``.
+the same cleaning plan as a batch upload (``operators.ingest``).  Outputs go
+under ``<store>/stream/``, each table partitioned by micro-batch
+(``epoch=<id>``): clean rows, rejected rows, issue counts, and one ledger row
+per micro-batch written last.  Each epoch overwrites only its own partition,
+so a micro-batch replayed after a failure cannot duplicate rows.  Progress and
+file tracking live in the checkpoint folder, which must be on shared storage;
+by default it is placed under ``spark.checkpoint.dir``.
 
 Files must carry the category's full column layout: the header is validated
 against it (``enforceSchema=false``), so a file with other columns fails the
@@ -16,6 +18,7 @@ layouts go through the batch job, which maps columns by name.
 
 from __future__ import annotations
 
+import datetime as _dt
 import json
 import os
 
@@ -25,8 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stockroom.operators import ingest
-from stockroom.operators.ledger import record_upload
-from stockroom.schemas import rules_for
+from stockroom.schemas import LEDGER, rules_for
 from stockroom.session import shared_dir
 
 
@@ -38,26 +40,34 @@ def upload_schema(category: str) -> T.StructType:
 
 def _batch_writer(category: str, store: str, as_of, uploaded_by: str):
     rules = rules_for(category)
+    out = os.path.join(store, "stream")
+
+    def part(name: str, epoch: int) -> str:
+        return os.path.join(out, name, f"epoch={epoch}")
 
     def write(batch: DataFrame, epoch: int) -> None:
+        # Every output of an epoch overwrites its own epoch=<id> folder, so a
+        # micro-batch replayed after a failure replaces what it wrote before
+        # instead of appending it twice (foreachBatch is at-least-once).
         staged = os.path.join(store, "staging", f"{category}-stream-{epoch}")
         ingest.tag_rows(batch, category).write.mode("overwrite").parquet(staged)
         tagged = batch.sparkSession.read.parquet(staged)
-        ingest.clean_rows(tagged, category).write.mode("append").parquet(
-            os.path.join(store, rules.table))
-        ingest.rejected_rows(tagged).write.mode("append").parquet(
-            os.path.join(store, "rejected_rows", category))
+        ingest.clean_rows(tagged, category).write.mode("overwrite").parquet(
+            part(rules.table, epoch))
+        ingest.rejected_rows(tagged).write.mode("overwrite").parquet(
+            part(f"rejected_rows_{category}", epoch))
         issues = ingest.quality_issues(tagged, category, as_of)
-        issues.withColumn("upload_file", F.lit(f"epoch-{epoch}")).write.mode("append").parquet(
-            os.path.join(store, "data_quality_issues"))
+        issues.write.mode("overwrite").parquet(part("data_quality_issues", epoch))
         score = ingest.quality_score(tagged, category, as_of).first()
         if score["total_rows"] == 0:
             return
         unresolved = [r.asDict() for r in issues.where(~F.col("auto_resolved")).collect()]
-        record_upload(batch.sparkSession, os.path.join(store, "file_uploads"), category=category,
-                      filename=f"{category}-epoch-{epoch}", row_count=int(score["valid_rows"]),
-                      quality_score=float(score["quality_score"]), upload_mode="append",
-                      uploaded_by=uploaded_by, validation_errors=json.dumps(unresolved, default=str))
+        when = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        row = (int(epoch), category, f"{category}-epoch-{epoch}", when, "append", uploaded_by,
+               int(score["valid_rows"]), None, float(score["quality_score"]),
+               json.dumps(unresolved, default=str), staged)
+        (batch.sparkSession.createDataFrame([row], LEDGER).write.mode("overwrite")
+         .parquet(part("file_uploads", epoch)))
 
     return write
 
