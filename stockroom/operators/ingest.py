@@ -290,12 +290,19 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
     store (cutting lineage, and the point from which a lost executor's work is
     recomputed), and every output is derived from that written table.  The
     data is written before the ledger row, so a failed load never leaves a
-    ledger row pointing at missing data.  Only small aggregates (issue counts,
-    score) reach the driver.
+    ledger row pointing at missing data, and a retry with the same
+    ``upload_id`` after a completed run is a no-op.  Only small aggregates
+    (issue counts, score) reach the driver.
     """
     from stockroom.operators.ledger import record_upload  # local: avoids a cycle
 
     filename = os.path.basename(path.rstrip("/"))
+    if upload_id is not None:                          # a retried, already recorded upload
+        from stockroom.operators.ledger import stored_table
+        done = stored_table(spark, os.path.join(store, "file_uploads"))
+        if done is not None and done.where(F.col("id") == F.lit(upload_id)).limit(1).count():
+            return UploadResult("success", category, filename,
+                                message=f"upload {upload_id} is already recorded")
     upload = normalise_columns(read_upload(spark, path))
     check = validate_schema(upload, category)
     if not check.valid:

@@ -112,6 +112,8 @@ def test_process_upload_replace_append_and_ledger(spark, workdir):
     r4 = ingest.process_upload(spark, bad, "sales", store, "replace", "dan", upload_id=4)
     assert r4.status == "error" and os.path.exists(os.path.join(store, "rejected", "bad.csv"))
 
+    again = ingest.process_upload(spark, b, "sales", store, "append", "bob", upload_id=2)
+    assert "already recorded" in again.message                 # retried upload: no-op
     led = spark.read.parquet(os.path.join(store, "file_uploads"))
     assert led.count() == 3
     v = {r["id"]: r for r in ledger.ledger_versions(led).collect()}
