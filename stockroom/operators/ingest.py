@@ -22,10 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockroom.schemas import CategoryRules, rules_for
-from stockroom.sources.files import read_upload, write_table
+from stockroom.sources.files import read_upload, write_keyed, write_table
 
 VALID = "valid"
 DUPLICATE = "duplicate_rows"
+UPLOAD_KEY = "upload_key"      # partition column of stored upload outputs (= ledger id)
+
+
+def _new_id() -> int:
+    """An upload id: microseconds since the epoch, now."""
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    return int((now - _dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+
+
+def _recorded(spark: SparkSession, store: str, upload_id: int) -> bool:
+    from stockroom.operators.ledger import stored_table  # local: avoids a cycle
+    led = stored_table(spark, os.path.join(store, "file_uploads"))
+    return led is not None and led.where(F.col("id") == F.lit(upload_id)).limit(1).count() > 0
 
 
 # ---------------------------------------------------------------------------
@@ -92,8 +105,11 @@ def _typed(df: DataFrame, rules: CategoryRules) -> DataFrame:
     return df.select(*out)
 
 
-def conform(df: DataFrame, category: str) -> DataFrame:
-    """The stored layout, selected by name; missing optional columns → null."""
+def conform(df: DataFrame, category: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The stored layout, selected by name; missing optional columns → null.
+
+    ``keep`` names extra columns passed through unchanged after the layout.
+    """
     rules = rules_for(category)
     present = set(df.columns)
     cols = []
@@ -102,7 +118,7 @@ def conform(df: DataFrame, category: str) -> DataFrame:
             cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *[F.col(c) for c in keep])
 
 
 # ---------------------------------------------------------------------------
@@ -205,9 +221,12 @@ def quality_score(tagged: DataFrame, category: str, as_of=None,
                     "unresolved_issues", score.alias("quality_score")))
 
 
-def clean_rows(tagged: DataFrame, category: str) -> DataFrame:
-    """Rows that pass every rule, in the stored layout (bad dates → null, kept)."""
-    return conform(tagged.where(F.col("_rule") == VALID), category)
+def clean_rows(tagged: DataFrame, category: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that pass every rule, in the stored layout (bad dates → null, kept).
+
+    ``keep`` carries extra columns along (e.g. the upload key of a batch).
+    """
+    return conform(tagged.where(F.col("_rule") == VALID), category, keep)
 
 
 def rejected_rows(tagged: DataFrame) -> DataFrame:
@@ -297,12 +316,10 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
     from stockroom.operators.ledger import record_upload  # local: avoids a cycle
 
     filename = os.path.basename(path.rstrip("/"))
-    if upload_id is not None:                          # a retried, already recorded upload
-        from stockroom.operators.ledger import stored_table
-        done = stored_table(spark, os.path.join(store, "file_uploads"))
-        if done is not None and done.where(F.col("id") == F.lit(upload_id)).limit(1).count():
-            return UploadResult("success", category, filename,
-                                message=f"upload {upload_id} is already recorded")
+    if upload_id is not None and _recorded(spark, store, upload_id):   # a finished retry
+        return UploadResult("success", category, filename,
+                            message=f"upload {upload_id} is already recorded")
+    uid = upload_id if upload_id is not None else _new_id()
     upload = normalise_columns(read_upload(spark, path))
     check = validate_schema(upload, category)
     if not check.valid:
@@ -314,18 +331,22 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
     tag_rows(upload, category).write.mode("overwrite").parquet(staged)
     tagged = spark.read.parquet(staged)
 
-    write_table(clean_rows(tagged, category), os.path.join(store, rules.table), mode)
-    rejected_rows(tagged).write.mode("append").parquet(os.path.join(store, "rejected_rows", category))
+    key = F.lit(str(uid)).alias(UPLOAD_KEY)
+    table_path = os.path.join(store, rules.table)
+    write_keyed(clean_rows(tagged, category).select("*", key), table_path, UPLOAD_KEY, mode)
+    write_keyed(rejected_rows(tagged).select("*", key),
+                os.path.join(store, "rejected_rows", category), UPLOAD_KEY)
     issues_df = quality_issues(tagged, category, as_of)
     issues = [r.asDict() for r in issues_df.collect()]            # at most a dozen rows
-    write_table(issues_df.withColumn("upload_file", F.lit(filename)),
-                os.path.join(store, "data_quality_issues"), "append")
+    write_keyed(issues_df.select("*", F.lit(filename).alias("upload_file"), key),
+                os.path.join(store, "data_quality_issues"), UPLOAD_KEY)
     score = quality_score(tagged, category, as_of).first()        # one row
     unresolved = [i for i in issues if not i["auto_resolved"]]
     record_upload(spark, os.path.join(store, "file_uploads"), category=category, filename=filename,
                   row_count=int(score["valid_rows"]), quality_score=float(score["quality_score"]),
-                  upload_mode=mode, uploaded_by=uploaded_by, storage_path=path,
-                  validation_errors=json.dumps(unresolved, default=str), upload_id=upload_id)
+                  upload_mode=mode, uploaded_by=uploaded_by,
+                  storage_path=f"{table_path}/{UPLOAD_KEY}={uid}",
+                  validation_errors=json.dumps(unresolved, default=str), upload_id=uid)
     return UploadResult("success", category, filename, int(score["total_rows"]),
                         int(score["valid_rows"]), float(score["quality_score"]), issues,
                         f"Uploaded {int(score['valid_rows'])} rows to {category}")
@@ -333,7 +354,8 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
 
 def process_directory(spark: SparkSession, directory: str, category: str, store: str,
                       mode: str = "replace", uploaded_by: str = "system", as_of=None,
-                      pattern: str = "*.csv") -> list[UploadResult]:
+                      pattern: str = "*.csv", batch_id: int | None = None,
+                      broadcast_files: int = 100_000) -> list[UploadResult]:
     """I14 over a directory: every matching file is one upload, cleaned in one job.
 
     All files are read together (header validated against the first file's
@@ -342,8 +364,11 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     table in one write; rejected rows and issues (per file) are appended; one
     ledger row per file is written last — the first file (by name) carries the
     batch's mode, the others are recorded as appends, so the derived archive
-    status matches what the table holds.  Only per-file summary rows reach the
-    driver.
+    status matches what the table holds.  File *i* (in name order) gets the
+    upload id ``batch_id + i``, which also keys its rows in every output, so a
+    retried batch (same ``batch_id``) rewrites its own partitions instead of
+    adding rows twice.  Only the file list and per-file summary rows reach the
+    driver; the file → id table is broadcast only up to ``broadcast_files``.
     """
     from stockroom.operators.ledger import ledger_rows_for_files  # local: avoids a cycle
 
@@ -357,16 +382,25 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     check = validate_schema(upload.drop("_file"), category)
     if not check.valid:
         return [UploadResult("error", category, directory, message=check.error or "invalid schema")]
-    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    staged = os.path.join(store, "staging", f"{category}-{stamp}")
+    base = batch_id if batch_id is not None else _new_id()
+    if _recorded(spark, store, base):                            # a finished retry
+        return [UploadResult("success", category, directory,
+                             message=f"batch {base} is already recorded")]
+    staged = os.path.join(store, "staging", f"{category}-{base}")
     tag_rows(upload, category).write.mode("overwrite").parquet(staged)
-    tagged = spark.read.parquet(staged)
-
-    write_table(clean_rows(tagged, category), os.path.join(store, rules.table), mode)
-    rejected_rows(tagged).write.mode("append").parquet(os.path.join(store, "rejected_rows", category))
-    issues = quality_issues(tagged, category, as_of, by=["_file"])
-    (issues.withColumnRenamed("_file", "upload_file").write.mode("append")
-     .parquet(os.path.join(store, "data_quality_issues")))
+    files = sorted(r["_file"] for r in spark.read.parquet(staged).select("_file").distinct().collect())
+    ids = spark.createDataFrame([(f, str(base + i)) for i, f in enumerate(files)],
+                                f"_file string, {UPLOAD_KEY} string")
+    tagged = spark.read.parquet(staged).join(
+        F.broadcast(ids) if len(files) <= broadcast_files else ids, "_file")
+
+    write_keyed(clean_rows(tagged, category, keep=(UPLOAD_KEY,)),
+                os.path.join(store, rules.table), UPLOAD_KEY, mode)
+    write_keyed(rejected_rows(tagged),                    # carries upload_key
+                os.path.join(store, "rejected_rows", category), UPLOAD_KEY)
+    issues = quality_issues(tagged, category, as_of, by=["_file", UPLOAD_KEY])
+    write_keyed(issues.withColumnRenamed("_file", "upload_file"),
+                os.path.join(store, "data_quality_issues"), UPLOAD_KEY)
     per_file = quality_score(tagged, category, as_of, by=["_file"])
     unresolved = (issues.where(~F.col("auto_resolved")).groupBy("_file")
                   .agg(F.to_json(F.collect_list(F.struct("issue_type", "severity", "column_name",
@@ -376,7 +410,7 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
                        F.coalesce(F.col("errors"), F.lit("[]")).alias("errors"))
                .orderBy("_file").collect())               # one row per file
     ledger_rows_for_files(spark, os.path.join(store, "file_uploads"), category, summary, mode,
-                          uploaded_by)
+                          uploaded_by, first_id=base)
     return [UploadResult("success", category, os.path.basename(r["_file"]), int(r["total_rows"]),
                          int(r["valid_rows"]), float(r["quality_score"]), None,
                          f"Uploaded {int(r['valid_rows'])} rows to {category}") for r in summary]

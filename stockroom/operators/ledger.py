@@ -52,15 +52,16 @@ def record_upload(spark: SparkSession, ledger_path: str, *, category: str, filen
 
 
 def ledger_rows_for_files(spark: SparkSession, ledger_path: str, category: str, summary: list,
-                          mode: str, uploaded_by: str,
-                          when: _dt.datetime | None = None) -> list[int]:
+                          mode: str, uploaded_by: str, when: _dt.datetime | None = None,
+                          first_id: int | None = None) -> list[int]:
     """Append one ledger row per file of a batch (``summary``: per-file result rows).
 
     Files are recorded one microsecond apart in name order; the first carries
     the batch mode and the rest are appends.
     """
     when = when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    base = int((when - _dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    base = first_id if first_id is not None else int(
+        (when - _dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
     rows = []
     for i, r in enumerate(summary):
         ts = when + _dt.timedelta(microseconds=i)
@@ -198,11 +199,11 @@ def row_counts(tables: dict[str, DataFrame | None], spark: SparkSession | None =
 
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored parquet table, or None when it has not been written yet."""
+    """A stored parquet table, or None when it has no files yet (or no folder)."""
     try:
         return spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for these
+        if any(m in str(e) for m in ("PATH_NOT_FOUND", "does not exist", "UNABLE_TO_INFER_SCHEMA")):
             return None
         raise
 

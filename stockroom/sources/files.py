@@ -57,3 +57,18 @@ def write_table(df: DataFrame, path: str, mode: str = "replace",
 def with_source_file(df: DataFrame) -> DataFrame:
     """Attach the file each row came from (for per-file ledger rows)."""
     return df.withColumn("_source_file", F.input_file_name())
+
+
+def write_keyed(df: DataFrame, path: str, key: str, mode: str = "append") -> None:
+    """Write rows partitioned by their upload key, so that a retry cannot duplicate.
+
+    ``replace``: static overwrite — afterwards the table holds only these
+    uploads.  ``append``: dynamic partition overwrite — only the partitions of
+    these uploads are (re)written; a re-run of the same upload replaces its own
+    rows instead of adding them again.
+    """
+    if mode not in ("replace", "append"):
+        raise ValueError(f"mode must be replace or append, not {mode!r}")
+    (df.write.mode("overwrite").partitionBy(key)
+     .option("partitionOverwriteMode", "static" if mode == "replace" else "dynamic")
+     .parquet(path))
