@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import exact_avg, ratio, times
+from stockroom.functions.exprs import exact_avg, ratio
 from stockroom.operators.stock import critical_inventory
 
 
@@ -96,4 +96,4 @@ def anomalies_all(sales: DataFrame, inventory: DataFrame, suppliers: DataFrame,
 
 
 __all__ = ["outliers", "sales_anomalies", "event_anomalies", "critical_inventory",
-           "supplier_concerns", "anomalies_all", "times"]
+           "supplier_concerns", "anomalies_all"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockroom.schemas import ALLOWED_EXTENSIONS
@@ -54,10 +53,6 @@ def write_table(df: DataFrame, path: str, mode: str = "replace",
     writer.parquet(path)
 
 
-def with_source_file(df: DataFrame) -> DataFrame:
-    """Attach the file each row came from (for per-file ledger rows)."""
-    return df.withColumn("_source_file", F.input_file_name())
-
 
 def write_keyed(df: DataFrame, path: str, key: str, mode: str = "append") -> None:
     """Write rows partitioned by their upload key, so that a retry cannot duplicate.
