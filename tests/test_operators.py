@@ -148,6 +148,9 @@ def test_lookup_filters(spark, inv, sup):
     rows = lookups.inventory_rows(inv, status_filter="reorder_needed").collect()
     assert [r["stock_status"] for r in rows] == ["REORDER NOW"] * len(rows)
     assert [r["qty_on_hand"] for r in rows] == sorted(r["qty_on_hand"] for r in rows)
+    wh2 = lookups.inventory_rows(inv, location="WH-2", status_filter="low_stock").collect()
+    assert sorted((r["sku"], r["location"]) for r in wh2) == [("G", "WH-2"), ("H", "WH-2")]
+    assert lookups.inventory_rows(inv, sku="E").first()["stock_status"] == "LOW STOCK"
     assert lookups.supplier_rows(sup, min_rating=0).count() == 5    # 0 means no filter
     assert lookups.supplier_rows(sup, min_rating=3).count() == 2
     assert lookups.supplier_rows(sup, country="FR", limit=1).count() == 1
