@@ -358,8 +358,9 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
                       broadcast_files: int = 100_000) -> list[UploadResult]:
     """I14 over a directory: every matching file is one upload, cleaned in one job.
 
-    All files are read together (header validated against the first file's
-    layout), each row keeps its source file, and duplicates are detected
+    All files are read together (CSV headers validated against the first
+    file's layout; ``pattern="*.parquet"`` reads parquet files), each row keeps
+    its source file, and duplicates are detected
     within a file.  Clean rows of the whole batch replace or extend the stored
     table in one write; rejected rows and issues (per file) are appended; one
     ledger row per file is written last — the first file (by name) carries the
@@ -373,12 +374,14 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     from stockroom.operators.ledger import ledger_rows_for_files  # local: avoids a cycle
 
     rules = rules_for(category)
-    reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
-    names = reader.csv(directory).columns                       # header of one file
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    upload = normalise_columns(
-        reader.option("enforceSchema", False).schema(text).csv(directory)
-        .withColumn("_file", F.input_file_name()))
+    if pattern.lower().endswith(".parquet"):                      # typed files
+        raw = spark.read.option("pathGlobFilter", pattern).parquet(directory)
+    else:                                                         # CSV, all text
+        reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
+        names = reader.csv(directory).columns                     # header of one file
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = reader.option("enforceSchema", False).schema(text).csv(directory)
+    upload = normalise_columns(raw.withColumn("_file", F.input_file_name()))
     check = validate_schema(upload.drop("_file"), category)
     if not check.valid:
         return [UploadResult("error", category, directory, message=check.error or "invalid schema")]

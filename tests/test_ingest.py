@@ -225,3 +225,14 @@ def test_directory_batch_retry_is_a_no_op(spark, workdir):
     assert sorted(int(r["upload_key"]) for r in data.select("upload_key").collect()) == [500, 501]
     led = spark.read.parquet(os.path.join(store, "file_uploads"))
     assert sorted(r["id"] for r in led.collect()) == [500, 501]
+
+
+def test_process_directory_parquet(spark, workdir):
+    up = os.path.join(workdir, "pq")
+    spark.createDataFrame([("2024-01-01", "A", 1.0, 10.0), ("2024-01-01", "A", 1.0, 10.0),
+                           ("2024-01-02", None, 1.0, 1.0)],
+                          "date string, sku string, quantity double, revenue double") \
+        .coalesce(1).write.parquet(up)
+    res = ingest.process_directory(spark, up, "sales", os.path.join(workdir, "s"),
+                                   pattern="*.parquet", batch_id=1)
+    assert len(res) == 1 and (res[0].total_rows, res[0].valid_rows) == (3, 1)
