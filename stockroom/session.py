@@ -33,9 +33,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app: str = "stockroom", checkpoint_dir: str | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests/bench.
 
-    A session built here gets ``spark.checkpoint.dir`` (a static setting) from
-    ``checkpoint_dir`` or a fresh scratch folder; an existing session keeps
-    whatever its cluster configured.
+    Local defaults (UI off, driver memory, a scratch ``spark.checkpoint.dir``)
+    apply only to an explicit ``local[...]`` master; otherwise only the AQE
+    settings are added and the cluster's own configuration is kept.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -43,14 +43,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
             active.conf.set(k, v)
         return active
     builder = SparkSession.builder.appName(app)
+    local = bool(master) and master.startswith("local")
     if master:
         builder = builder.master(master)
-    for k, v in {**_LOCAL, **_ALWAYS}.items():
+    for k, v in ({**_LOCAL, **_ALWAYS} if local else _ALWAYS).items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.checkpoint.dir",
-                             checkpoint_dir or tempfile.mkdtemp(prefix="stockroom-ckpt-"))
+    if checkpoint_dir or local:       # a cluster names its shared folder in its own config
+        builder = builder.config("spark.checkpoint.dir",
+                                 checkpoint_dir or tempfile.mkdtemp(prefix="stockroom-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
