@@ -236,3 +236,22 @@ def test_process_directory_parquet(spark, workdir):
     res = ingest.process_directory(spark, up, "sales", os.path.join(workdir, "s"),
                                    pattern="*.parquet", batch_id=1)
     assert len(res) == 1 and (res[0].total_rows, res[0].valid_rows) == (3, 1)
+
+
+def test_describe_schema_frame_and_sinks(spark, workdir):
+    from stockroom.sources.files import write_table
+    t = Tables(spark, "/root/testdata/sf0.001")
+    cols = dict(ledger.describe(t.inventory))
+    assert cols == {"sku": "string", "qty_on_hand": "int", "reorder_point": "int",
+                    "location": "string", "unit_cost": "double", "supplier_id": "string"}
+    df = spark.createDataFrame([("2024-01-01", "A")], "date string, sku string")
+    frame = ingest.validate_schema(df, "sales").as_frame(spark).first()
+    assert frame["schema_valid"] is False and frame["missing_columns"] == "quantity,revenue"
+    path = os.path.join(workdir, "sink")
+    write_table(df, path, "replace")
+    write_table(df, path, "append")
+    assert spark.read.parquet(path).count() == 2
+    write_table(df, path, "replace")
+    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(ValueError):
+        write_table(df, path, "upsert")
