@@ -79,3 +79,10 @@ def test_hot_key_is_not_bucketed(spark, workdir):
     want = demand.demand_stats(hot.sales)
     got = demand.demand_stats(st.sales)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_default_store_path_is_under_the_shared_folder(spark):
+    from stockroom.session import shared_dir
+    st = Store.materialize(Tables(spark, SF_SMALL), buckets=2, prefix="defaultpath")
+    assert st.path.startswith(shared_dir(spark))
+    assert st.sales.count() == Tables(spark, SF_SMALL).sales.count()
