@@ -307,11 +307,14 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
 
     ``store`` is a shared folder.  The tagged table is written once under the
     store (cutting lineage, and the point from which a lost executor's work is
-    recomputed), and every output is derived from that written table.  The
-    data is written before the ledger row, so a failed load never leaves a
-    ledger row pointing at missing data, and a retry with the same
-    ``upload_id`` after a completed run is a no-op.  Only small aggregates
-    (issue counts, score) reach the driver.
+    recomputed), and every output is derived from that written table.  Clean
+    rows, rejected rows and issues carry the upload id as the partition column
+    ``upload_key`` (replace: static overwrite; append: dynamic partition
+    overwrite), so re-running an upload rewrites its own partitions.  The data
+    is written before the ledger row, so a failed load never leaves a ledger
+    row pointing at missing data, and a retry with the same ``upload_id`` after
+    a completed run is a no-op.  Only small aggregates (issue counts, score)
+    reach the driver.
     """
     from stockroom.operators.ledger import record_upload  # local: avoids a cycle
 
@@ -360,9 +363,9 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
 
     All files are read together (CSV headers validated against the first
     file's layout; ``pattern="*.parquet"`` reads parquet files), each row keeps
-    its source file, and duplicates are detected
-    within a file.  Clean rows of the whole batch replace or extend the stored
-    table in one write; rejected rows and issues (per file) are appended; one
+    its source file, and duplicates are detected within a file.  Clean rows of
+    the whole batch replace or extend the stored table in one write; rejected
+    rows and per-file issues are written under each file's upload key; one
     ledger row per file is written last — the first file (by name) carries the
     batch's mode, the others are recorded as appends, so the derived archive
     status matches what the table holds.  File *i* (in name order) gets the
