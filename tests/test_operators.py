@@ -192,3 +192,25 @@ def test_network_links_keeps_unlinked_ends(spark, sup, inv):
     assert len(lonely_prod) == 1 and lonely_prod[0]["supplier_id"] is None
     assert len([r for r in rows if r["supplier_id"] == "S4"]) == 3       # E, G, H linked once each
     assert len(rows) == len({(r["supplier_id"], r["sku"]) for r in rows})
+
+
+def test_parameter_variants(spark, sup, inv, po, sal):
+    from stockroom.operators import demand
+    areas = {r["area"] for r in anomalies.anomalies_all(sal, inv, sup, k=0.4).collect()}
+    assert areas == {"sales", "inventory", "supplier"}
+    only = {r["area"] for r in anomalies.anomalies_all(sal, inv, sup, category="supplier").collect()}
+    assert only == {"supplier"}
+    with pytest.raises(ValueError):
+        anomalies.anomalies_all(sal, inv, sup, category="nope")
+    hist = demand.demand_history(sal, sku="A").collect()
+    assert [(r["sku"], r["daily_qty"], r["daily_revenue"]) for r in hist] == [("A", 6.0, 60.0)]
+    stats = demand.demand_stats(sal, sku="A").first()
+    assert (stats["num_days"], stats["avg_daily_qty"], stats["total_qty"]) == (1, 3.0, 6.0)
+    fc = demand.demand_forecast(sal, periods=3, sku="A").collect()
+    assert [r["period"] for r in fc] == [1, 2, 3] and all(r["forecast_qty"] == 6.0 for r in fc)
+    deps = network.supplier_dependencies(sup, inv, po, supplier_id="S4").collect()
+    assert {(r["kind"], r["item_id"]) for r in deps} == {("product", "E"), ("product", "G"),
+                                                         ("product", "H"), ("order", "P1")}
+    trace = network.product_trace(sup, inv, po, sku="H").collect()
+    assert {(r["kind"], r["item_id"]) for r in trace} == {("supplier", "S4"), ("order", "P1"),
+                                                          ("order", "P2")}
