@@ -24,3 +24,14 @@ def test_scale_settings():
     assert int(s["spark.sql.shuffle.partitions"]) == 100_000
     assert int(scale_settings(10**9)["spark.sql.shuffle.partitions"]) == 2
     assert bucket_count(100 * 10**12) > 90_000 and bucket_count(1) == 1
+
+
+def test_command_line_runs_a_query(spark, workdir):
+    import os
+
+    from stockroom.__main__ import main
+    out = os.path.join(workdir, "reorder")
+    assert main(["run", "reorder_recommendations", "--raw", "/root/testdata/sf0.001",
+                 "--out", out]) == 0
+    assert spark.read.parquet(out).count() == se.entry(spark).count()
+    assert main(["list"]) == 0
