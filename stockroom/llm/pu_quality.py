@@ -31,6 +31,7 @@ from stockroom.llm import common
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "stops", "other_ascii",
             "non_ascii", "distinct", "adjacent", "line_repeats", "line_words", "long_words")
 HIDDEN = 16
+CLIP = 3            # standard deviations beyond which a feature no longer counts
 
 _CLASS = np.zeros(256, np.int64)        # byte -> class
 for _chars, _k in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b"#*$%&|<>~^_=+{}[]\\@/", 3),
@@ -49,10 +50,11 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
     m = max(1, len(lines))
     lengths = list(map(len, words))
-    return [float(np.log1p(len(words))), sum(lengths) / n, counts[1] / inked, counts[2] / inked,
-            counts[3] / inked, counts[4] / inked, counts[5] / inked, counts[6] / inked,
-            counts[8] / inked, len(set(words)) / n ** 0.75, sum(map(eq, words, words[1:])) / n,
-            1 - len(set(lines)) / m, float(np.log1p(len(words) / m)), sum(x > 20 for x in lengths) / n]
+    # roots: a small share of odd signs beside none counts more than beside many
+    shares = np.sqrt([*(counts[[1, 2, 3, 4, 5, 6, 8]] / inked), sum(map(eq, words, words[1:])) / n,
+                      1 - len(set(lines)) / m, sum(x > 20 for x in lengths) / n]).tolist()
+    return [float(np.log1p(len(words))), sum(lengths) / n, *shares[:7], len(set(words)) / n ** 0.75,
+            shares[7], shares[8], float(np.log1p(len(words) / m)), shares[9]]
 
 
 @dataclass
@@ -70,7 +72,7 @@ class Network:
         return hidden, hidden @ self.w2 + self.b2[0]
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
-        x = np.clip((raw - self.mean) / self.scale, -8, 8)
+        x = np.clip((raw - self.mean) / self.scale, -CLIP, CLIP)
         return sigmoid(self.margin(x)[1])
 
 
@@ -78,15 +80,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000,
-        batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 3) -> Network:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 5000,
+        batch: int = 1024, rate: float = 6e-3, decay: float = 1e-4, seed: int = 3) -> Network:
     """Adam on the non-negative risk.  While the estimated risk of the negatives is
     below zero, its own gradient is ascended instead, as the estimator asks."""
     rng = np.random.default_rng(seed)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
     net = Network(mean, scale, rng.normal(0, .3, (positive.shape[1], HIDDEN)), np.zeros(HIDDEN),
                   rng.normal(0, .3, HIDDEN), np.zeros(1), prior)
-    pos, unl = (np.clip((v - mean) / scale, -8, 8) for v in (positive, unlabelled))
+    pos, unl = (np.clip((v - mean) / scale, -CLIP, CLIP) for v in (positive, unlabelled))
     names = ("w1", "b1", "w2", "b2")
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
