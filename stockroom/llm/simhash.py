@@ -224,17 +224,14 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """
     spark = distinct.sparkSession
     spread = common.cut(replicated(distinct, max_bits), "simhash-anchors")
-    counts = (spread.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"),
-                                           F.count(F.lit(1)).alias("members")))
-    # anchors where nothing can meet end here
-    groups = counts.where((F.col("homes") > 0) & (F.col("members") > 1)).select(
-        F.col("anchor").alias("_a"), F.ceil(F.col("homes") / HOME).cast("int").alias("_n"))
-    held = spread.join(groups, F.col("anchor") == F.col("_a"))
-    own = F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int")
-    dealt = held.select("anchor", "fp", "home", "_n", own.alias("own"),
-                        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("part"))
-    dealt = dealt.select("anchor", "part", "fp",
-                         (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
+    crowded = (spread.where("home").groupBy(F.col("anchor").alias("_a"))
+               .agg(F.ceil(F.count(F.lit(1)) / HOME).cast("int").alias("_n")).where(F.col("_n") > 1))
+    parts = F.coalesce(F.col("_n"), F.lit(1))
+    dealt = (spread.join(crowded, F.col("anchor") == F.col("_a"), "left")
+             .select("anchor", "fp", "home", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"),
+                     F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+             .select("anchor", "part", "fp",
+                     (F.col("home") & (F.col("own") == F.col("part"))).alias("home")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
 
