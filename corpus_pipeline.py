@@ -24,7 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from stockroom.llm import bpe_codec, common, entries, lang_id, mixture, pii, simhash  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SURE = 0.4      # a document's mean probability of its language, below which it is rejected
+SURE = 0.3      # a document's mean probability of its language, below which it is rejected
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
