@@ -67,13 +67,27 @@ def codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", se
             .where(F.col("code").isNotNull() & F.col("id").isNotNull()))
 
 
-def segments(n_codes: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment; widths near log2 of the number of codes."""
-    m = max(1, min(bits // 4, round(bits / max(4.0, math.log2(max(2, n_codes))))))
+def segments(m: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """(first bit, width) of each of m segments, as even as can be."""
     edges = [round(i * bits / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def ceilings(queries: DataFrame, sized: DataFrame, k: int, sample: int) -> DataFrame:
+    """(code, most): an upper bound of each query's kth distance, its kth distance
+    within a bounded sample of the codes.  Candidates beyond it need not be kept."""
+    some = [r[0] for r in sized.select("code").orderBy(F.xxhash64("code"), "code").limit(sample).collect()]
+    codes = np.array(some, np.int64)
+
+    @F.pandas_udf("int")
+    def kth(part: pd.Series) -> pd.Series:
+        if len(codes) < k:
+            return pd.Series(np.full(len(part), BITS, np.int32))
+        return pd.Series([int(np.partition(np.bitwise_count((codes ^ q).view(np.uint64)), k - 1)[k - 1])
+                          for q in part.to_numpy(np.int64)], dtype="int32")
+    return queries.select("code", kth("code").alias("most"))
+
+
 def masks(spark: SparkSession, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
     """(seg, mask): all values of weight ``radius`` in each segment."""
     rows = [(s, sum(1 << b for b in places)) for s, (_, width) in enumerate(cuts)
@@ -96,9 +110,14 @@ def smallest(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFram
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id",
-          vector: str = "embedding", seed: int = 5) -> DataFrame:
+          vector: str = "embedding", seed: int = 5, parts: int = 4, sample: int = 2048) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest of every row whose id is
-    divisible by ``every``."""
+    divisible by ``every``.
+
+    ``parts``: segments of a code; fewer and wider ones suit more codes (a segment of
+    about log2 of their number bits).  ``sample``: codes that give the first bound of
+    a query's kth distance; the result does not depend on it.
+    """
     spark = vectors.sparkSession
     coded = common.cut(codes(vectors, key, vector, seed), "mih-codes")
     # the k smallest ids of every code
@@ -106,35 +125,36 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
     index = common.cut(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")),
                        "mih-index")
     n_codes = index.count()
-    queries = common.cut(coded.where(F.col("id") % every == 0).select("code").distinct(), "mih-queries")
-    cuts = segments(n_codes)
+    cuts = segments(parts)
     # of equal distances the code with the smaller first id comes first: a code behind
     # k others has k ids before its own
     sized = index.select("code", F.element_at("ids", 1).alias("lo"), F.size("ids").alias("n"))
     entries = common.cut(with_segments(sized, cuts), "mih-entries")
-    open_q, found, r = queries, None, 0
+    asked = coded.where(F.col("id") % every == 0).select("code").distinct()
+    open_q, found, r = common.cut(ceilings(asked, sized, k, sample), "mih-queries"), None, 0
     done: list[DataFrame] = []
     while not open_q.isEmpty():
         if sum(math.comb(w, r) for _, w in cuts) > n_codes:
-            done.append(scan(open_q, sized, k))
+            done.append(scan(open_q, sized, k, n_codes))
             break
         wanted = (with_segments(open_q, cuts).join(F.broadcast(masks(spark, cuts, r)), "seg")
-                  .select(F.col("code").alias("q"), "seg",
+                  .select(F.col("code").alias("q"), "most", "seg",
                           F.col("val").bitwiseXOR(F.col("mask")).alias("val")))
-        hits = (wanted.join(entries, ["seg", "val"])
-                .select("q", "code", "lo", "n",
-                        F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d")))
+        far = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = (F.col("seg") == F.col("_seg")) & (F.col("val") == F.col("_val")) & (far <= F.col("most"))
+        hits = (wanted.join(entries.withColumnsRenamed({"seg": "_seg", "val": "_val"}), met)
+                .select("q", "code", "lo", "n", far.alias("d")))
         pool = (hits if found is None else hits.union(found)).distinct()
         best = common.cut(smallest(pool, ["q"], ["d", "lo", "code"], k).drop("_r"), "mih-best")
         upto = W.partitionBy("q").orderBy("d").rangeBetween(W.unboundedPreceding, 0)
-        ended = (best.withColumn("have", F.sum("n").over(upto)).where(F.col("have") >= k)
-                 .groupBy("q").agg(F.min("d").alias("kth"))
-                 .where(F.col("kth") <= len(cuts) * (r + 1) - 1).select("q"))
-        ended = common.cut(ended, "mih-ended")
-        done.append(best.join(ended, "q"))
-        open_q = common.cut(open_q.join(ended.select(F.col("q").alias("code")), "code", "left_anti"),
-                            "mih-open")
-        found = best.join(ended, "q", "left_anti").select(*hits.columns)
+        reach = common.cut(best.withColumn("have", F.sum("n").over(upto)).where(F.col("have") >= k)
+                           .groupBy(F.col("q").alias("_q")).agg(F.min("d").alias("kth")), "mih-kth")
+        ended = reach.where(F.col("kth") <= len(cuts) * (r + 1) - 1).select("_q")
+        done.append(best.join(ended, F.col("q") == F.col("_q"), "left_semi"))
+        found = best.join(ended, F.col("q") == F.col("_q"), "left_anti").select(*hits.columns)
+        left = open_q.join(ended, F.col("code") == F.col("_q"), "left_anti")
+        open_q = common.cut(left.join(reach, F.col("code") == F.col("_q"), "left").select(
+            "code", F.least("most", F.coalesce("kth", "most")).alias("most")), "mih-open")
         r += 1
     if not done:
         return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
@@ -150,16 +170,18 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
                                           "neighbor_id", F.col("d").cast("int").alias("distance"))
 
 
-def scan(open_q: DataFrame, sized: DataFrame, k: int) -> DataFrame:
+def scan(open_q: DataFrame, sized: DataFrame, k: int, n_codes: int) -> DataFrame:
     """(q, code, lo, n, d): for the queries still open, their nearest codes by
-    comparing every part of the codes with blocks of the queries; a task returns k
-    per query and block."""
-    n = 4 * int(open_q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    comparing every part of the codes with blocks of the queries; a task returns at
+    most k per query and part, none beyond the query's bound."""
+    n = max(1, -(-n_codes // BLOCK))
+    groups = int(open_q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.floor((F.row_number().over(W.partitionBy("h").orderBy("code")) - 1) / QUERIES)
-    asked = (open_q.withColumn("h", F.pmod(F.xxhash64("code"), F.lit(n)))
+    asked = (open_q.withColumn("h", F.pmod(F.xxhash64("code"), F.lit(groups)))
              .withColumn("b", block).groupBy("h", "b")
-             .agg(F.collect_list("code").alias("qs"))              # at most QUERIES a row
-             .select("qs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p")))
+             .agg(F.collect_list(F.struct("code", "most")).alias("qs"))    # at most QUERIES a row
+             .select(F.col("qs.code").alias("qs"), F.col("qs.most").alias("most"),
+                     F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p")))
     part = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(n)).cast("int")
     place = F.floor((F.row_number().over(W.partitionBy("p").orderBy("code")) - 1) / BLOCK)
     held = (sized.withColumn("p", part).withColumn("b", place).groupBy("p", "b")
@@ -169,15 +191,15 @@ def scan(open_q: DataFrame, sized: DataFrame, k: int) -> DataFrame:
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for qs, code, lo, size in zip(part["qs"], part["code"], part["lo"], part["n"]):
+            for qs, most, code, lo, size in part[["qs", "most", "code", "lo", "n"]].itertuples(index=False):
                 c, lo, size = np.asarray(code, np.int64), np.asarray(lo, np.int64), np.asarray(size)
-                for q in np.asarray(qs, np.int64):
+                for q, edge in zip(np.asarray(qs, np.int64), most):
                     d = np.bitwise_count((c ^ q).view(np.uint64))
                     last = min(k, len(d)) - 1
-                    at = np.flatnonzero(d <= np.partition(d, last)[last])
+                    at = np.flatnonzero(d <= min(edge, np.partition(d, last)[last]))
                     at = at[np.lexsort((c[at], lo[at], d[at]))][:k]
                     yield pd.DataFrame({"q": np.full(len(at), q), "code": c[at], "lo": lo[at],
                                         "n": size[at].astype(np.int32), "d": d[at].astype(np.int32)})
-    some = asked.join(held, "p").select("qs", "code", "lo", "n").mapInPandas(
+    some = asked.join(held, "p").select("qs", "most", "code", "lo", "n").mapInPandas(
         nearest, "q long, code long, lo long, n int, d int")
     return smallest(some, ["q"], ["d", "lo", "code"], k).drop("_r")
