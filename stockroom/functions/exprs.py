@@ -1,18 +1,20 @@
 """Column expressions shared by the operators.
 
 Everything here is a built-in Spark expression, so it stays inside whole-stage
-code generation.  Money and ratings carry at most two decimals: summing them as
-``DECIMAL`` makes totals exact and independent of the order in which partial
-aggregates are merged (a sum of doubles is not).
+code generation.  Money is summed as wide decimals, which makes totals independent
+of the order in which partial aggregates are merged (a sum of doubles is not);
+only a finished total or mean is rounded, to ``DIGITS`` decimals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+WIDE = T.DecimalType(38, 10)
+WIDEST = 1e18       # from here on, and for NaN and infinities, values are added as doubles
+DIGITS = 4
 
 
 def _c(col: str | Column) -> Column:
@@ -29,15 +31,29 @@ def times(col: str | Column, factor: float) -> Column:
     return _c(col).cast("double") * F.lit(float(factor))
 
 
-def exact_sum(col: str | Column, dtype: T.DataType = MONEY) -> Column:
-    """Order-independent sum of values with at most two decimals, as DOUBLE."""
-    return F.sum(_c(col).cast(dtype)).cast("double")
+def _total(c: Column) -> Column:
+    """Sum of all values, unrounded: ordinary ones as decimals, the others as doubles."""
+    v = c.cast("double")
+    plain = F.abs(v) < F.lit(WIDEST)
+    ordinary = F.sum(F.when(plain, v.cast(WIDE))).cast("double")
+    others = F.sum(F.when(~plain, v))
+    return F.coalesce(ordinary + others, ordinary, others)
 
 
-def exact_avg(col: str | Column, dtype: T.DataType = MONEY) -> Column:
-    """Mean as exact sum / count, returned as DOUBLE (null on no values)."""
+def exact_sum(col: str | Column) -> Column:
+    """Sum as DOUBLE, rounded at the end (null on no values; NaN if a value is NaN)."""
+    return F.round(_total(_c(col)), DIGITS)
+
+
+def exact_avg(col: str | Column) -> Column:
+    """Mean as total / count of the same values, rounded at the end (null on no values)."""
     c = _c(col)
-    return exact_sum(c, dtype) / F.nullif(F.count(c), F.lit(0)).cast("double")
+    return F.round(_total(c) / F.nullif(F.count(c), F.lit(0)).cast("double"), DIGITS)
+
+
+def first(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; None is no limit, 0 is none."""
+    return df if limit is None else df.limit(limit)
 
 
 def ratio(num: str | Column, den: str | Column) -> Column:

@@ -56,7 +56,7 @@ def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str,
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     out = spark.sql(stmt, args=args) if args else spark.sql(stmt)
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)
 
 
 def run_sql_capped(spark: SparkSession, tables: dict[str, DataFrame], text: str, cap: int,

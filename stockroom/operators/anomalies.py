@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import exact_avg, ratio
+from stockroom.functions.exprs import exact_avg, first, ratio
 from stockroom.operators.stock import critical_inventory
 
 
@@ -20,7 +20,7 @@ def outliers(df: DataFrame, measures: dict[str, str], k: float, keep: list[str],
              order_by: list, limit: int | None) -> DataFrame:
     """Rows where any measure exceeds ``k`` × its global mean (mean of that table).
 
-    ``measures`` maps column → "money" (two-decimal values, exact mean) or
+    ``measures`` maps column → "money" (mean of wide decimals) or
     "plain".  ``limit`` is the top-k of the report (None = every outlier).
     """
     cond = None
@@ -29,8 +29,7 @@ def outliers(df: DataFrame, measures: dict[str, str], k: float, keep: list[str],
         thr = df.select((mean * F.lit(float(k))).alias("t")).scalar()
         c = F.col(col) > thr
         cond = c if cond is None else (cond | c)
-    out = df.where(cond).select(*keep).orderBy(*order_by)
-    return out.limit(limit) if limit else out
+    return first(df.where(cond).select(*keep).orderBy(*order_by), limit)
 
 
 def sales_anomalies(sales: DataFrame, k: float = 3.0, limit: int | None = 20) -> DataFrame:
@@ -59,17 +58,19 @@ def supplier_concerns(suppliers: DataFrame, factor: float = 2.0,
 
 
 def anomalies_all(sales: DataFrame, inventory: DataFrame, suppliers: DataFrame,
-                  k: float = 3.0, category: str = "all") -> DataFrame:
+                  k: float = 3.0, category: str = "all",
+                  limit: int | None = 20) -> DataFrame:
     """The three reports in long form ``(area, entity, metric, value, threshold)``.
 
     One row per flagged record with the measure that flagged it (revenue
-    before quantity, rating before lead time).  Sales keep the report's top 20.
+    before quantity, rating before lead time).  Sales keep the report's top
+    ``limit`` (None: all).
     """
     parts = []
     if category in ("sales", "all"):
         rev_thr = sales.select((exact_avg("revenue") * F.lit(float(k))).alias("t")).scalar()
         qty_thr = sales.select((F.avg("quantity") * F.lit(float(k))).alias("t")).scalar()
-        top = sales_anomalies(sales, k)
+        top = sales_anomalies(sales, k, limit)
         by_rev = F.col("revenue") > rev_thr
         parts.append(top.select(
             F.lit("sales").alias("area"),

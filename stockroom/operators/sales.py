@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import exact_avg, exact_sum, ratio
+from stockroom.functions.exprs import exact_avg, exact_sum, first, ratio
 
 
 def sales_filter(sales: DataFrame, start_date: str | None = None, end_date: str | None = None,
@@ -34,10 +34,10 @@ def sales_filter(sales: DataFrame, start_date: str | None = None, end_date: str
     return sales.where(reduce(lambda a, b: a & b, conds)) if conds else sales
 
 
-def sales_rows(sales: DataFrame, limit: int = 50, **filters) -> DataFrame:
-    """L1: filtered rows, first ``limit`` in a total order of all columns."""
+def sales_rows(sales: DataFrame, limit: int | None = 50, **filters) -> DataFrame:
+    """L1: filtered rows, first ``limit`` (None: all) in a total order of all columns."""
     df = sales_filter(sales, **filters)
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).limit(limit)
+    return first(df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]), limit)
 
 
 def sales_summary(sales: DataFrame, empty_as_zero: bool = True, **filters) -> DataFrame:
@@ -58,8 +58,8 @@ def sales_summary(sales: DataFrame, empty_as_zero: bool = True, **filters) -> Da
     )
 
 
-def sales_by(sales: DataFrame, key: str, limit: int = 50, **filters) -> DataFrame:
-    """A3–A5: totals per ``key`` (sku / date / region), top ``limit``.
+def sales_by(sales: DataFrame, key: str, limit: int | None = 50, **filters) -> DataFrame:
+    """A3–A5: totals per ``key`` (sku / date / region), top ``limit`` (None: all).
 
     ``date`` is ordered newest first, the others by revenue descending; the key
     breaks ties.  ``orderBy().limit()`` plans as TakeOrderedAndProject: each
@@ -73,7 +73,7 @@ def sales_by(sales: DataFrame, key: str, limit: int = 50, **filters) -> DataFram
     )
     order = ([F.col(key).desc_nulls_last()] if key == "date"
              else [F.col("total_revenue").desc_nulls_last(), F.col(key).asc_nulls_last()])
-    return agg.orderBy(*order).limit(limit)
+    return first(agg.orderBy(*order), limit)
 
 
 # ---------------------------------------------------------------------------
@@ -100,8 +100,8 @@ def kpi_inventory(inventory: DataFrame) -> DataFrame:
         F.sum(F.when(q <= F.col("reorder_point"), 1).otherwise(0)).cast("long")
         .alias("items_needing_reorder"),                       # null on an empty table
         F.coalesce(F.avg(q), F.lit(0.0)).alias("avg_stock_level"),
-        F.coalesce(F.sum(q.cast("decimal(18,0)") * F.col("unit_cost").cast("decimal(18,2)"))
-                   .cast("double"), F.lit(0.0)).alias("estimated_inventory_value"),
+        F.coalesce(exact_sum(q.cast("double") * F.col("unit_cost")), F.lit(0.0))
+        .alias("estimated_inventory_value"),
     )
 
 

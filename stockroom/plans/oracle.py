@@ -76,7 +76,7 @@ file_uploads AS (
          ts AS upload_timestamp,
          CASE WHEN event_id % 4 = 0 THEN 'append' ELSE 'replace' END AS upload_mode,
          'user' || CAST(user_id AS VARCHAR) AS uploaded_by,
-         CAST(user_id * 10 AS INTEGER) AS row_count,
+         CAST(user_id * 10 AS BIGINT) AS row_count,
          CAST(50 + event_id % 51 AS DOUBLE) AS quality_score
   FROM events)""",
 }

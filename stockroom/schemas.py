@@ -58,7 +58,7 @@ LEDGER = T.StructType([
     T.StructField("upload_timestamp", T.TimestampNTZType()),
     T.StructField("upload_mode", T.StringType()),
     T.StructField("uploaded_by", T.StringType()),
-    T.StructField("row_count", T.IntegerType()),
+    T.StructField("row_count", T.LongType()),
     T.StructField("file_size_bytes", T.LongType()),
     T.StructField("quality_score", T.DoubleType()),
     T.StructField("validation_errors", T.StringType()),

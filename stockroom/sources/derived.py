@@ -153,7 +153,7 @@ class Tables:
             F.col("ts").alias("upload_timestamp"),
             F.when(eid % 4 == 0, F.lit("append")).otherwise(F.lit("replace")).alias("upload_mode"),
             F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("uploaded_by"),
-            (F.col("user_id") * 10).cast("int").alias("row_count"),
+            (F.col("user_id") * 10).cast("long").alias("row_count"),
             (F.lit(50) + eid % 51).cast("double").alias("quality_score"),
         )
 

@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as se
+from stockroom.plans import catalog
 from tests.conftest import SF_SMALL
 from tests.oracle_harness import compare, duck
 
-KEYS = sorted(se.queries())
+KEYS = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
