@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockroom.schemas import CategoryRules, rules_for
-from stockroom.sources.files import read_upload, write_keyed, write_table
+from stockroom.sources.files import (csv_reader, missing_as_null, read_upload, text_schema, write_keyed,
+                                     write_table)
 
 VALID = "valid"
 DUPLICATE = "duplicate_rows"
@@ -88,7 +89,7 @@ def validate_schema(df: DataFrame, category: str) -> SchemaCheck:
 
 
 def _typed(df: DataFrame, rules: CategoryRules) -> DataFrame:
-    """Cast the category's columns *by name* (``try_cast``: bad values → null).
+    """Cast the category's columns *by name* (bad values and NaN → null).
 
     The date column stays text until the date step; unknown columns are kept
     (they take part in whole-row duplicate detection) and dropped on load.
@@ -97,7 +98,7 @@ def _typed(df: DataFrame, rules: CategoryRules) -> DataFrame:
     out = []
     for c in df.columns:
         if c in types and c != rules.date_column:
-            out.append(F.col(c).try_cast(types[c]).alias(c))
+            out.append(as_type(F.col(c), types[c]).alias(c))
         elif c == rules.date_column:
             out.append(F.col(c).cast("string").alias(c))
         else:
@@ -105,6 +106,30 @@ def _typed(df: DataFrame, rules: CategoryRules) -> DataFrame:
     return df.select(*out)
 
 
+# Date layouts tried after ISO dates, in this order.
+DATE_LAYOUTS = ("MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+
+
+def as_date(c: Column) -> Column:
+    """A date from a date, a timestamp or text in one of several layouts; else null."""
+    text = F.trim(c.cast("string"))
+    tries = [F.try_to_timestamp(text, F.lit(p)).cast("date") for p in DATE_LAYOUTS]
+    return F.coalesce(text.try_cast("date"), *tries)
+
+
+def as_type(c: Column, to: T.DataType) -> Column:
+    """A value of the stored type, or null.  Whole numbers may be written as 10.0."""
+    if isinstance(to, T.DateType):
+        return as_date(c)
+    if isinstance(to, (T.IntegerType, T.LongType)):
+        number = c.try_cast("double")
+        return F.coalesce(c.cast("string").try_cast(to), F.when(number == F.floor(number), number.try_cast(to)))
+    if isinstance(to, T.DoubleType):
+        number = c.try_cast("double")
+        return F.when(~F.isnan(number), number)
+    return c.try_cast(to)
+
+
 def conform(df: DataFrame, category: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The stored layout, selected by name; missing optional columns → null.
 
@@ -115,7 +140,7 @@ def conform(df: DataFrame, category: str, keep: tuple[str, ...] = ()) -> DataFra
     cols = []
     for f in rules.schema.fields:
         if f.name in present:
-            cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
+            cols.append(as_type(F.col(f.name), f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols, *[F.col(c) for c in keep])
@@ -134,11 +159,20 @@ def _rule_ladder(rules: CategoryRules, columns: list[str]) -> Column:
 
 
 def tag_rows(upload: DataFrame, category: str) -> DataFrame:
-    """Distinct rows of the upload with multiplicity ``_n`` and first failed ``_rule``."""
+    """Distinct rows of the upload with multiplicity ``_n`` and first failed ``_rule``.
+
+    Rows are compared as they were uploaded; the typed values stand beside them, and
+    ``_raw`` keeps the uploaded ones for the rejects.
+    """
     rules = rules_for(category)
-    df = _typed(normalise_columns(upload), rules)
+    df = normalise_columns(upload)
+    cols = [c for c in df.columns if not c.startswith("_")]
     grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return grouped.withColumn("_rule", _rule_ladder(rules, df.columns))
+    raw = F.struct(*[F.col(c) for c in cols]).alias("_raw")
+    beside = [c for c in df.columns if c not in cols]
+    held = grouped.select(*cols, *beside, "_n", raw)
+    typed = _typed(held.select(*cols, *beside, "_n", "_raw"), rules)
+    return typed.withColumn("_rule", _rule_ladder(rules, cols))
 
 
 def _as_of(as_of) -> Column:
@@ -149,7 +183,7 @@ def _as_of(as_of) -> Column:
 
 def _future(rules: CategoryRules, as_of) -> Column:
     d = rules.date_column
-    return F.col(d).try_cast("date") > _as_of(as_of)
+    return as_date(F.col(d)) > _as_of(as_of)
 
 
 def _kinds(tagged: DataFrame, rules: CategoryRules, as_of):
@@ -230,7 +264,7 @@ def clean_rows(tagged: DataFrame, category: str, keep: tuple[str, ...] = ()) ->
 
 
 def rejected_rows(tagged: DataFrame) -> DataFrame:
-    """I13 (row level): each distinct rejected row, the rule, and how many copies.
+    """I13 (row level): each distinct rejected row as uploaded, the rule, and how many copies.
 
     Extra copies of a duplicated row are rejected as ``duplicate_rows``; the
     first copy is rejected by its failed rule, if any.
@@ -240,7 +274,10 @@ def rejected_rows(tagged: DataFrame) -> DataFrame:
     entries = F.array(
         F.when(F.col("_n") > 1, entry(F.lit(DUPLICATE), F.col("_n") - 1)),
         F.when(F.col("_rule") != VALID, entry(F.col("_rule"), F.lit(1))))
-    return (tagged.select(*cols, F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    # a column added after tagging (the upload's key) has no uploaded value
+    raw = tagged.schema["_raw"].dataType.names
+    shown = [F.col(f"_raw.{c}").alias(c) if c in raw else F.col(c) for c in cols]
+    return (tagged.select(*shown, F.inline(F.filter(entries, lambda e: e.isNotNull())))
             .select(*cols, "rule", "rejected_count"))
 
 
@@ -380,10 +417,9 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     if pattern.lower().endswith(".parquet"):                      # typed files
         raw = spark.read.option("pathGlobFilter", pattern).parquet(directory)
     else:                                                         # CSV, all text
-        reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
+        reader = csv_reader(spark).option("pathGlobFilter", pattern)
         names = reader.csv(directory).columns                     # header of one file
-        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = reader.option("enforceSchema", False).schema(text).csv(directory)
+        raw = missing_as_null(reader.option("enforceSchema", False).schema(text_schema(names)).csv(directory))
     upload = normalise_columns(raw.withColumn("_file", F.input_file_name()))
     check = validate_schema(upload.drop("_file"), category)
     if not check.valid:

@@ -9,10 +9,15 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockroom.schemas import ALLOWED_EXTENSIONS
 
+# Words that stand for a missing value in CSV uploads.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+           "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 
 def allowed_file(filename: str) -> bool:
     """Extension check, case-insensitive (``.csv``, ``.xlsx``, ``.parquet``)."""
@@ -21,22 +26,44 @@ def allowed_file(filename: str) -> bool:
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV upload, read from its header line only."""
-    return spark.read.option("header", True).csv(path).columns
+    return csv_reader(spark).csv(path).columns
+
+
+def text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def csv_reader(spark: SparkSession, multi_line: bool = True):
+    """Reader of CSV uploads: a header row, and quotes doubled inside quoted fields.
+
+    ``multi_line`` lets quoted fields hold line breaks; a file is then read by one
+    task.  Uploads are small files; turn it off for huge ones without such breaks.
+    """
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
+
+
+def missing_as_null(df: DataFrame) -> DataFrame:
+    """Text columns with the words for a missing value as null."""
+    return df.select(*[F.when(~F.trim(F.col(f"`{n}`")).isin(*MISSING), F.col(f"`{n}`")).alias(n)
+                       if t == "string" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
-def read_upload(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, fmt: str | None = None,
+                multi_line: bool = True) -> DataFrame:
     """Read one upload (file or directory of files of one format).
 
-    CSV: header row, comma separated, every column as text.  Parquet keeps its
+    CSV: header row, comma separated, every column as text, words for a missing
+    value as null.  Files of a directory must share one header: another one ends
+    the read with an error instead of shifting columns.  Parquet keeps its
     own types.  ``.xlsx`` is not read on Spark (single-file, single-machine
     format); convert it to CSV first.
     """
     fmt = fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower() or "csv"
     if fmt == "csv":
-        names = csv_header(spark, path)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        return (spark.read.schema(schema).option("header", True)
-                .option("mode", "PERMISSIVE").csv(path))
+        schema = text_schema(csv_header(spark, path))
+        return missing_as_null(csv_reader(spark, multi_line).option("enforceSchema", False)
+                               .schema(schema).csv(path))
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported file format: .{fmt}")
