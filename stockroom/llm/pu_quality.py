@@ -128,7 +128,7 @@ def feature_udf():
 def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000,
           text: str = "text", key: str = "doc_id", mark: str = "quality") -> Network | None:
     """Fit on at most ``positives`` trusted and ``unlabelled`` other texts (parameters),
-    chosen by a hash of the text; only their features reach the driver."""
+    chosen by a hash of the text, copies once; only their features reach the driver."""
     common.python_ready(docs.sparkSession)
     marks = (labels.where(F.col(key).isNotNull() & F.col(mark).isNotNull())
              .groupBy(F.col(key).alias("_id")).agg(F.max(mark).alias("_mark")))
@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
 
     def pick(df: DataFrame, have: int, want: int) -> np.ndarray:
         bound = min(1.0, 1.5 * want / max(1, have))
-        part = df.where(F.col("h") < F.lit(int(bound * (1 << 30)))).orderBy("h", "text").limit(want)
-        got = part.select(feature_udf()("text").alias("f")).toPandas()["f"]
+        part = df.where(F.col("h") < F.lit(int(bound * (1 << 30)))).dropDuplicates(["h"])
+        got = part.select("h", feature_udf()("text").alias("f")).orderBy("h").limit(want).toPandas()["f"]
         return np.array(got.tolist(), np.float64).reshape(-1, len(FEATURES))
     pos = pick(rows.join(marks.where(F.col("_mark") == 1), F.col("id") == F.col("_id"), "left_semi"),
                share[1], positives)
