@@ -19,6 +19,10 @@ FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE", "TRUNCATE"
 _QUOTED_OR_COMMENT = re.compile(
     r"(?P<q>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(?P<c>--[^\n]*|/\*.*?\*/)", re.S)
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+# functions that reach outside the query
+_OUTSIDE = re.compile(r"'(?:java_method|reflect|try_reflect)\(", re.I)
+_RELATION = re.compile(r"'?Unresolved(?:Relation|TableValuedFunction) \[([^\]]*)\]")
+_CTE = re.compile(r"CTE \[([^\]]*)\]")
 
 
 class ReadOnlyViolation(ValueError):
@@ -45,6 +49,19 @@ def check_read_only(text: str) -> str:
     return text.strip().rstrip(";")
 
 
+def check_plan(spark: SparkSession, stmt: str, tables: dict[str, DataFrame]) -> None:
+    """Q2 on the parsed plan: it reads the given tables and its own WITH names only,
+    and calls no function that reaches outside the query."""
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt).treeString()
+    if _OUTSIDE.search(tree):
+        raise ReadOnlyViolation("Function is not allowed")
+    own = {n.strip().lower() for m in _CTE.findall(tree) for n in m.split(",")}
+    known = own | {n.lower() for n in tables}
+    for name in _RELATION.findall(tree):
+        if name.strip().lower() not in known:
+            raise ReadOnlyViolation(f"Unknown table: {name}")
+
+
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str,
             args: dict | None = None, limit: int | None = None) -> DataFrame:
     """Q1 + Q3: run a guarded SELECT over ``tables`` (registered as temp views).
@@ -53,9 +70,19 @@ def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str,
     text.  ``limit`` caps the result inside the plan.
     """
     stmt = check_read_only(text)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(stmt, args=args) if args else spark.sql(stmt)
+    check_plan(spark, stmt, tables)
+    # the statement is resolved at once, so the caller's own views come back after it
+    before = {n: spark.table(n) for n in tables if spark.catalog.tableExists(n)}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        out = spark.sql(stmt, args=args) if args else spark.sql(stmt)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
     return out if limit is None else out.limit(limit)
 
 

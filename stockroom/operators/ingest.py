@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,15 +32,26 @@ UPLOAD_KEY = "upload_key"      # partition column of stored upload outputs (= le
 
 
 def _new_id() -> int:
-    """An upload id: microseconds since the epoch, now."""
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    return int((now - _dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    """A random upload id; the last bits stay free for the files of a batch."""
+    return uuid.uuid4().int >> 85 << 20
 
 
-def _recorded(spark: SparkSession, store: str, upload_id: int) -> bool:
+def _recorded(spark: SparkSession, store: str, upload_id: int, category: str,
+              filename: str | None = None) -> bool:
+    """Whether this very upload is in the ledger; an id of another upload is an error."""
     from stockroom.operators.ledger import stored_table  # local: avoids a cycle
     led = stored_table(spark, os.path.join(store, "file_uploads"))
-    return led is not None and led.where(F.col("id") == F.lit(upload_id)).limit(1).count() > 0
+    row = None if led is None else led.where(F.col("id") == F.lit(upload_id)).first()
+    if row is None:
+        return False
+    if row["file_category"] != category or (filename is not None and row["filename"] != filename):
+        raise ValueError(f"upload id {upload_id} belongs to {row['file_category']}/{row['filename']}")
+    return True
+
+
+def _file_bytes(spark: SparkSession, path: str) -> int | None:
+    """Size of an upload from file metadata; the content column is not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
 
 
 # ---------------------------------------------------------------------------
@@ -356,7 +368,7 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
     from stockroom.operators.ledger import record_upload  # local: avoids a cycle
 
     filename = os.path.basename(path.rstrip("/"))
-    if upload_id is not None and _recorded(spark, store, upload_id):   # a finished retry
+    if upload_id is not None and _recorded(spark, store, upload_id, category, filename):   # a finished retry
         return UploadResult("success", category, filename,
                             message=f"upload {upload_id} is already recorded")
     uid = upload_id if upload_id is not None else _new_id()
@@ -386,7 +398,8 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
                   row_count=int(score["valid_rows"]), quality_score=float(score["quality_score"]),
                   upload_mode=mode, uploaded_by=uploaded_by,
                   storage_path=f"{table_path}/{UPLOAD_KEY}={uid}",
-                  validation_errors=json.dumps(unresolved, default=str), upload_id=uid)
+                  validation_errors=json.dumps(unresolved, default=str), upload_id=uid,
+                  file_size_bytes=_file_bytes(spark, path))
     return UploadResult("success", category, filename, int(score["total_rows"]),
                         int(score["valid_rows"]), float(score["quality_score"]), issues,
                         f"Uploaded {int(score['valid_rows'])} rows to {category}")
@@ -394,8 +407,7 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
 
 def process_directory(spark: SparkSession, directory: str, category: str, store: str,
                       mode: str = "replace", uploaded_by: str = "system", as_of=None,
-                      pattern: str = "*.csv", batch_id: int | None = None,
-                      broadcast_files: int = 100_000) -> list[UploadResult]:
+                      pattern: str = "*.csv", batch_id: int | None = None) -> list[UploadResult]:
     """I14 over a directory: every matching file is one upload, cleaned in one job.
 
     All files are read together (CSV headers validated against the first
@@ -408,8 +420,7 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     status matches what the table holds.  File *i* (in name order) gets the
     upload id ``batch_id + i``, which also keys its rows in every output, so a
     retried batch (same ``batch_id``) rewrites its own partitions instead of
-    adding rows twice.  Only the file list and per-file summary rows reach the
-    driver; the file → id table is broadcast only up to ``broadcast_files``.
+    adding rows twice.  The file list and per-file summary rows reach the driver.
     """
     from stockroom.operators.ledger import ledger_rows_for_files  # local: avoids a cycle
 
@@ -423,9 +434,10 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     upload = normalise_columns(raw.withColumn("_file", F.input_file_name()))
     check = validate_schema(upload.drop("_file"), category)
     if not check.valid:
+        write_table(upload, os.path.join(store, "rejected", os.path.basename(directory.rstrip("/"))), "replace")
         return [UploadResult("error", category, directory, message=check.error or "invalid schema")]
     base = batch_id if batch_id is not None else _new_id()
-    if _recorded(spark, store, base):                            # a finished retry
+    if _recorded(spark, store, base, category):                            # a finished retry
         return [UploadResult("success", category, directory,
                              message=f"batch {base} is already recorded")]
     staged = os.path.join(store, "staging", f"{category}-{base}")
@@ -433,8 +445,7 @@ def process_directory(spark: SparkSession, directory: str, category: str, store:
     files = sorted(r["_file"] for r in spark.read.parquet(staged).select("_file").distinct().collect())
     ids = spark.createDataFrame([(f, str(base + i)) for i, f in enumerate(files)],
                                 f"_file string, {UPLOAD_KEY} string")
-    tagged = spark.read.parquet(staged).join(
-        F.broadcast(ids) if len(files) <= broadcast_files else ids, "_file")
+    tagged = spark.read.parquet(staged).join(ids, "_file")
 
     write_keyed(clean_rows(tagged, category, keep=(UPLOAD_KEY,)),
                 os.path.join(store, rules.table), UPLOAD_KEY, mode)

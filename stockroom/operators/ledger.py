@@ -121,12 +121,14 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
                           F.col("_next_first_rep") == F.lit(1), F.lit(False))
     rank = (F.col("_offset") + F.col("_cum_rep") - F.col("_first_rep")
             + F.when(archived, 1).otherwise(0))
-    return (rows.join(summary, [CAT, "_b"], "left")
+    summary = summary.withColumnsRenamed({CAT: "_cat", "_b": "_bucket"})
+    same = F.col(CAT).eqNullSafe(F.col("_cat")) & F.col("_b").eqNullSafe(F.col("_bucket"))
+    return (rows.join(summary, same, "left")
             .withColumn("status", F.when(archived, F.lit("archived")).otherwise(F.lit("active")))
             .withColumn("version_number", F.when(archived, rank.cast("int")))
             .withColumn("replaced_at", F.when(archived, F.coalesce(F.col("_next_local_ts"),
                                                                    F.col("_next_first_ts"))))
-            .drop("_b", "_next_local", "_next_local_ts", "_cum_rep", "_first_rep",
+            .drop("_b", "_cat", "_bucket", "_next_local", "_next_local_ts", "_cum_rep", "_first_rep",
                   "_next_first_rep", "_next_first_ts", "_offset"))
 
 

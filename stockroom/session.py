@@ -96,16 +96,15 @@ def _count():
 _counter = _count()
 
 
-def scale_settings(input_bytes: int, target_bytes: int = 512 << 20,
-                   max_partitions: int = 100_000) -> dict[str, str]:
+def scale_settings(input_bytes: int, target_bytes: int = 512 << 20) -> dict[str, str]:
     """Session settings sized for ``input_bytes`` of parquet input.
 
     Scan splits and AQE's target partition size are ``target_bytes``; the
-    initial shuffle partition count is the input over that size (capped), which
+    initial shuffle partition count is the input over that size, which
     AQE then coalesces per stage from measured sizes.  Apply with
     ``spark.conf.set`` on the cluster session before running large jobs.
     """
-    parts = max(1, min(max_partitions, -(-int(input_bytes) // target_bytes)))
+    parts = max(1, -(-int(input_bytes) // target_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_bytes),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes),

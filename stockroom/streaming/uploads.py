@@ -21,6 +21,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stockroom.operators import ingest
 from stockroom.schemas import LEDGER, rules_for
 from stockroom.session import shared_dir
+from stockroom.sources.files import missing_as_null
 
 
 def upload_schema(category: str) -> T.StructType:
@@ -43,19 +45,19 @@ def _batch_writer(category: str, store: str, as_of, uploaded_by: str):
     out = os.path.join(store, "stream")
 
     def part(name: str, epoch: int) -> str:
-        return os.path.join(out, name, f"epoch={epoch}")
+        return os.path.join(out, name, f"upload_category={category}", f"epoch={epoch}")
 
     def write(batch: DataFrame, epoch: int) -> None:
         # Every output of an epoch overwrites its own epoch=<id> folder, so a
         # micro-batch replayed after a failure replaces what it wrote before
         # instead of appending it twice (foreachBatch is at-least-once).
         staged = os.path.join(store, "staging", f"{category}-stream-{epoch}")
-        ingest.tag_rows(batch, category).write.mode("overwrite").parquet(staged)
+        ingest.tag_rows(missing_as_null(batch), category).write.mode("overwrite").parquet(staged)
         tagged = batch.sparkSession.read.parquet(staged)
         ingest.clean_rows(tagged, category).write.mode("overwrite").parquet(
             part(rules.table, epoch))
         ingest.rejected_rows(tagged).write.mode("overwrite").parquet(
-            part(f"rejected_rows_{category}", epoch))
+            part("rejected_rows", epoch))
         issues = ingest.quality_issues(tagged, category, as_of)
         issues.write.mode("overwrite").parquet(part("data_quality_issues", epoch))
         score = ingest.quality_score(tagged, category, as_of).first()
@@ -63,9 +65,10 @@ def _batch_writer(category: str, store: str, as_of, uploaded_by: str):
             return
         unresolved = [r.asDict() for r in issues.where(~F.col("auto_resolved")).collect()]
         when = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        row = (int(epoch), category, f"{category}-epoch-{epoch}", when, "append", uploaded_by,
+        # ids of different categories' epochs do not meet
+        row = ((zlib.crc32(category.encode()) << 30) + int(epoch), category, f"{category}-epoch-{epoch}", when, "append", uploaded_by,
                int(score["valid_rows"]), None, float(score["quality_score"]),
-               json.dumps(unresolved, default=str), staged)
+               json.dumps(unresolved, default=str), part(rules.table, epoch))
         (batch.sparkSession.createDataFrame([row], LEDGER).write.mode("overwrite")
          .parquet(part("file_uploads", epoch)))
 
@@ -79,7 +82,7 @@ def start_upload_stream(spark: SparkSession, upload_dir: str, category: str, sto
     """Start the stream; ``available_now`` processes what is there and stops."""
     checkpoint = checkpoint or os.path.join(shared_dir(spark), f"uploads-{category}")
     stream = (spark.readStream.schema(upload_schema(category))
-              .option("header", True).option("enforceSchema", False)
+              .option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"')
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .csv(upload_dir))
     writer = (stream.writeStream.foreachBatch(_batch_writer(category, store, as_of, uploaded_by))
