@@ -21,7 +21,7 @@ def test_every_query_has_sql_and_unique_keys():
 def test_scale_settings():
     from stockroom.session import bucket_count, scale_settings
     s = scale_settings(100 * 10**12)                      # 100 TB
-    assert int(s["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(s["spark.sql.shuffle.partitions"]) == 186_265   # 512 MB each
     assert int(scale_settings(10**9)["spark.sql.shuffle.partitions"]) == 2
     assert bucket_count(100 * 10**12) > 90_000 and bucket_count(1) == 1
 
