@@ -100,11 +100,11 @@ def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
         F.first(is_rep).over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("_first_rep"))
 
-    # per-bucket summary from the windowed rows: same (category, bucket)
-    # partitioning, so this hash aggregate needs no further shuffle
+    # per-bucket summary straight from the ledger: partial aggregates, one small row
+    # per bucket into the shuffle, no second sort of the uploads
     by_bucket = Window.partitionBy(CAT).orderBy("_b")
-    summary = (rows.groupBy(CAT, "_b")
-               .agg(F.max("_first_rep").alias("_bucket_first_rep"),
+    summary = (ledger.withColumn("_b", F.date_trunc(bucket, F.col(TS))).groupBy(CAT, "_b")
+               .agg(F.min_by(is_rep, F.struct(*order)).alias("_bucket_first_rep"),
                     F.sum(is_rep).alias("_n_rep"),
                     F.min(TS).alias("_bucket_first_ts"))
                .withColumn("_next_first_rep", F.lead("_bucket_first_rep").over(by_bucket))
@@ -179,9 +179,14 @@ def ledger_quality_report(ledger: DataFrame, bucket: str = "day") -> DataFrame:
             .orderBy(F.col(TS).desc(), F.col(ID).desc()).drop(ID))
 
 
-def preview(df: DataFrame, n: int = 100) -> DataFrame:
-    """The first ``n`` rows in a total order of all columns."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).limit(n)
+def preview(df: DataFrame, n: int = 100, ordered: bool = False) -> DataFrame:
+    """``n`` rows of a stored table; the read stops early.
+
+    ``ordered`` gives the first ``n`` in a total order of all columns instead, which
+    reads the whole table.
+    """
+    return (df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]) if ordered else df).limit(n)
+
 
 
 def row_counts(tables: dict[str, DataFrame | None], spark: SparkSession | None = None) -> DataFrame:
