@@ -27,6 +27,7 @@ equal names).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,7 @@ from stockroom.llm import common
 CONTEXT = 40
 NEAR = 0.2
 KEEP = 0.6
+BLOCK = 256         # elements that one inner fold collects
 
 
 @dataclass(frozen=True)
@@ -49,18 +51,22 @@ class Kind:
     always: bool         # kept whatever its score
 
 
+# A whole run of digits with single separators, entered at its first digit only.  Runs
+# too short for the check are no match at all, so lists of small numbers cost nothing.
+RUN = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){{{more},}}+"
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          "@", 0.8, "mail|contact|write|reach", True),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6,
          "ip|server|address|host|login", True),
-    Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9]", 0.8,
+    Kind("card", RUN.format(more=15), r"[0-9](?:[\x20-]?[0-9]){15}", 0.8,
          "card|visa|credit|payment|account", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7,
          "phone|call|tel|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
          r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|transfer", True),
-    Kind("card_short", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9]", 0.4,
+    Kind("card_short", RUN.format(more=12), r"[0-9](?:[\x20-]?[0-9]){12}", 0.4,
          "card|visa|credit|amex|payment", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4,
          "ssn|social|security|insurance|identity", False),
@@ -111,10 +117,49 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: Kind) -> Column:
-    """Array of struct<kind, rank, start, end, score> of one kind, in order of place.
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` elements; an empty one is one empty block."""
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, first: Column, step: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """The states of a fold: before each element, and after the last.
 
-    The running position is a fold over the matches, linear in their number."""
+    An array grows by copying, so the fold runs over blocks: one over the blocks for
+    the state each starts from, then one inside each.
+    """
+    def states(parts: Column, at: Column, move: Callable[[Column, Column], Column]) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(parts, start, lambda a, x: F.struct(
+            move(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def within(bs: Column) -> Column:
+        return let(states(bs, first, lambda at, b: F.aggregate(b, at, step)), lambda outer: F.concat(
+            F.flatten(F.zip_with(bs, outer["out"], lambda b, at: states(b, at, step)["out"])),
+            F.array(outer["at"])))
+    return let(blocks(values), within)
+
+
+def pieces(text: Column, cuts: Column) -> Column:
+    """The text between the places s and e of every cut, in order.  A place is found by
+    walking the text, so each block of cuts walks a piece of its own."""
+    def inside(b: Column) -> Column:
+        first = b[0]["s"]
+        held = F.struct(first.alias("s"), F.substr(
+            text, first + 1, F.element_at(b, -1)["e"] - first).alias("t"))
+        return let(held, lambda h: F.transform(b, lambda x: F.substr(
+            h["t"], x["s"] - h["s"] + 1, x["e"] - x["s"])))
+    return F.flatten(F.transform(blocks(cuts), inside))
+
+
+def spans_of(text: Column, kind: Kind) -> Column:
+    """Array of struct<kind, rank, start, end, score> of one kind, in order of place."""
     rank = [k.name for k in KINDS].index(kind.name)
     none = F.from_json(F.lit("[]"), "array<struct<kind:string,rank:int,start:int,end:int,score:double>>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -134,22 +179,14 @@ def spans_of(text: Column, kind: Kind) -> Column:
         return F.round(F.lit(kind.base) + near - far, 3)
 
     shape = "array<struct<kind:string,rank:int,start:int,end:int,score:double,ok:boolean>>"
-    # Ends of the matches as one running sum: split off into an array first, so that
-    # each element's own check is evaluated once.
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<s:int,e:int>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(
-                (a["at"] + p["gap"]).alias("s"),
-                (a["at"] + p["gap"] + F.length(p["m"])).alias("e")))).alias("out")))["out"]
-    spans = F.zip_with(pairs, walked, lambda p, w: F.struct(
-        F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), w["s"].alias("start"),
-        w["e"].alias("end"), score(p).alias("score"),
-        valid(kind.name, p["m"]).alias("ok"))).cast(shape)
-    good = F.filter(spans, lambda s: s["ok"] & (F.lit(kind.always) | (s["score"] >= KEEP)))
+
+    def judged(ps: Column) -> Column:
+        past = running(ps, F.lit(0), lambda at, p: at + p["gap"] + F.length(p["m"]))
+        return F.zip_with(ps, F.slice(past, 1, F.size(ps)), lambda p, at: F.struct(
+            F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), (at + p["gap"]).alias("start"),
+            (at + p["gap"] + F.length(p["m"])).alias("end"), score(p).alias("score"),
+            valid(kind.name, p["m"]).alias("ok"))).cast(shape)
+    good = F.filter(let(pairs, judged), lambda s: s["ok"] & (F.lit(kind.always) | (s["score"] >= KEEP)))
     plain = F.transform(good, lambda s: F.struct(
         s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"),
         s["end"].alias("end"), s["score"].alias("score")))
@@ -180,22 +217,25 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     found = detect(docs, text)
     ordered = F.array_sort(F.transform(F.col("pii"), lambda s: F.struct(
         s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k"))))
-    merged = F.aggregate(
-        ordered, F.array().cast("array<struct<s:int,e:int,k:string>>"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["e"] > x["s"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
-                F.element_at(a, -1)["s"].alias("s"),
-                F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"),
-                F.element_at(a, -1)["k"].alias("k")))))
-        .otherwise(F.concat(a, F.array(x))))
+
+    def merged(xs: Column) -> Column:
+        """A span that starts where all before it have ended opens a cut; the cut ends
+        where the spans before the next one have."""
+        def cuts(reach: Column) -> Column:
+            opened = F.filter(F.zip_with(xs, F.slice(reach, 1, F.size(xs)), lambda x, e: F.struct(
+                x["s"].alias("s"), e.alias("before"), x["k"].alias("k"))), lambda o: o["s"] >= o["before"])
+            return let(opened, lambda o: F.zip_with(
+                o, F.concat(F.slice(F.transform(o, lambda x: x["before"]), F.lit(2), F.size(o)),
+                            F.slice(reach, -1, 1)),
+                lambda x, e: F.struct(x["s"].alias("s"), e.alias("e"), x["k"].alias("k"))))
+        return let(running(xs, F.lit(0), lambda e, x: F.greatest(e, x["e"])), cuts)
     t = F.col(text)
-    held = found.withColumn("_cuts", F.when(F.size("pii") > 0, merged))
+    held = found.withColumn("_cuts", F.when(F.size("pii") > 0, let(ordered, merged)))
     m = F.col("_cuts")
     starts = F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["e"]))
     ends = F.concat(F.transform(m, lambda x: x["s"]), F.array(F.length(t)))
-    pieces = F.zip_with(starts, ends, lambda s, e: F.substr(t, s + 1, e - s))
+    between = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     masks = F.concat(F.transform(m, lambda x: F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))),
                      F.array(F.lit("")))
-    clean = F.array_join(F.zip_with(pieces, masks, lambda p, k: F.concat(p, k)), "")
+    clean = F.array_join(F.zip_with(let(between, lambda b: pieces(t, b)), masks, lambda p, k: F.concat(p, k)), "")
     return common.put(held, **{text: F.when(m.isNotNull(), clean).otherwise(t)}).drop("_cuts", "pii")

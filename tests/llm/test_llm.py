@@ -194,6 +194,22 @@ def test_pii_redaction(docs):
             assert r.text == EN * 3
 
 
+def test_pii_in_long_texts(spark):
+    """Tens of thousands of matches, and runs of digits of any length."""
+    text = " ".join([f"{i:05d}, " for i in range(20_000)] + [f"a{i}@b.com 10.0.0.{i % 300}" for i in range(5_000)]
+                    + ["4111 1111 1111 1111 -4111111111111111", "1" * 4_000, "+1 (555) 010-9999"])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.detect(docs).first()
+    spans = [(s["kind"], s["start"], s["end"]) for s in row["pii"]]
+    assert [s for s in spans if s[0] in pii.BASE_KINDS] == brute.base_spans(text)
+    clean = pii.redact(docs).first().text
+    want, at = [], 0
+    for kind, start, end in sorted((s for s in spans), key=lambda s: s[1]):
+        want += [text[at:start], f"[{kind.upper()}]"]
+        at = end
+    assert clean == "".join(want) + text[at:]
+
+
 def test_pii_base_columns_in_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
