@@ -37,7 +37,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of every near-duplicate group; of rows that share
     it, the first one stored."""
-    placed = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    placed = common.stored_rows(docs.select(*COLUMNS), "dedup-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = simhash.near_duplicates(placed.select(key.alias("doc_id"), "text"))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_first"))

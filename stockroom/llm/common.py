@@ -10,6 +10,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,20 @@ def python_ready(spark: SparkSession) -> None:
 _SENT: dict[str, str] = {}
 
 
+def stored_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``_row``, the file and place a row is stored at, in stored order.
+
+    Unlike a running id it does not depend on how a scan is split, so two reads of the
+    table agree even if executors come or go between them.  Rows that are not read
+    from files are written first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    try:
+        return df.withColumn("_row", place)
+    except AnalysisException:
+        return cut(df, name).withColumn("_row", place)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: later steps read the
     table, so neither recomputation nor a lost executor repeats the work above."""

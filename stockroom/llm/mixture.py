@@ -115,12 +115,13 @@ def mix(docs: DataFrame, seed: int = 20, text: str = "text", source: str = "sour
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: every row of ``docs`` as often as it is taken.
 
-    ``docs`` must be a stored table: rows meet their copies on their place in it,
-    so rows that are equal or share an id are still told apart.
+    Rows meet their copies on the place they are stored at, so rows that are equal or
+    share an id are still told apart; the place decides nothing else, so reruns agree.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    taken = (mix(placed, **{**options, "key": "_row"}).where(F.col("copies") > 0)
-             .select(F.col("doc_id").alias("_of"), "copies"))
+    placed = common.stored_rows(docs, "mix-rows")
+    key = F.struct(F.col(options.get("key", "doc_id")).alias("id"), F.col("_row").alias("row"))
+    taken = (mix(placed.withColumn("_key", key), **{**options, "key": "_key"}).where(F.col("copies") > 0)
+             .select(F.col("doc_id.row").alias("_of"), "copies"))
     return (placed.join(taken, F.col("_row") == F.col("_of"))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
             .select(*docs.columns))

@@ -255,7 +255,7 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return found.groupBy("a", "b").agg(F.lit(1).alias("_x")).select("a", "b")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest fingerprint reached.
 
     Alternating stars: a large star links every larger neighbour of a node to the
@@ -265,7 +265,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = common.cut(edges.select("a", "b"), "star")
     state = None
-    for _ in range(max_rounds):
+    while True:
         now = common.cut(star(star(now, large=True), large=False), "star")
         # a sum over hashes tells whether the edge set has changed
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
