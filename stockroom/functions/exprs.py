@@ -80,3 +80,26 @@ def list_text(col: str | Column) -> Column:
     """
     text = F.concat_ws(",", F.array_sort(F.collect_set(_c(col))))
     return F.nullif(text, F.lit(""))
+
+
+def order_entries(orders: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """(keys, side, value, q): the distinct values of several columns of order lines, from
+    one pass over them.  Entries are pre-aggregated in each task and spread by their
+    value.  Those of the first column carry the units.
+    """
+    none = F.lit(None).cast(orders.schema["quantity"].dataType)
+    sides = [F.struct(F.lit(c).alias("side"), F.col(c).cast("string").alias("value"),
+                      (none if i else F.col("quantity")).alias("q")) for i, c in enumerate(columns)]
+    return (orders.select(*keys, F.inline(F.array(*sides))).groupBy(*keys, "side", "value")
+            .agg(F.sum("q").alias("q")))
+
+
+def held(side: str) -> Column:
+    """How many distinct values of a column there are, of its entries."""
+    return F.count_if((F.col("side") == side) & F.col("value").isNotNull())
+
+
+def order_sides(orders: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_po, qty, n_sku): distinct orders, units and distinct skus of order lines."""
+    return (order_entries(orders, list(keys), "po_number", "sku").groupBy(*keys)
+            .agg(held("po_number").alias("n_po"), F.sum("q").alias("qty"), held("sku").alias("n_sku")))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import list_text
+from stockroom.functions.exprs import held, list_text, order_entries
 
 # Node labels and relationship names.
 SUPPLIER, PRODUCT, ORDER = "Supplier", "Product", "PurchaseOrder"
@@ -39,17 +39,11 @@ def product_orders(orders: DataFrame, inventory: DataFrame, with_list: bool = Tr
     two locations give one row whose units are *not* doubled (a join at line
     grain would double them).  ``with_list=False`` leaves the supplier list out.
     """
-    # order lines at (sku, po, supplier) grain
-    grain = (orders.groupBy("sku", "po_number", "supplier_id")
-             .agg(F.sum("quantity").alias("q")))
-    per = grain.groupBy("sku").agg(F.countDistinct("po_number").alias("num_orders"),
-                                   F.sum("q").alias("total_ordered"))
+    aggs = [held("po_number").alias("num_orders"), F.sum("q").alias("total_ordered")]
     if with_list:
-        # the supplier list is built from distinct (sku, supplier) pairs, once
-        # per sku, outside the distinct-count path
-        pairs = grain.where(F.col("supplier_id").isNotNull()).select("sku", "supplier_id").distinct()
-        per = per.join(pairs.groupBy("sku").agg(list_text("supplier_id").alias("suppliers")),
-                       "sku", "left")
+        aggs.append(list_text(F.when(F.col("side") == "supplier_id", F.col("value"))).alias("suppliers"))
+    per = (order_entries(orders, ["sku"], "po_number", *(["supplier_id"] if with_list else []))
+           .groupBy("sku").agg(*aggs))
     stock = inventory.select("sku", "qty_on_hand").distinct()
     return (per.join(stock, "sku", "left")
             .select("sku", "num_orders", "total_ordered", *(["suppliers"] if with_list else []),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import exact_avg, exact_sum, first, ratio
+from stockroom.functions.exprs import exact_avg, exact_sum, first, order_sides, ratio
 
 
 def sales_filter(sales: DataFrame, start_date: str | None = None, end_date: str | None = None,
@@ -117,10 +117,10 @@ def kpi_suppliers(suppliers: DataFrame) -> DataFrame:
 
 def kpi_orders(orders: DataFrame) -> DataFrame:
     """K5: distinct purchase orders, units ordered, distinct skus."""
-    return orders.agg(
-        F.countDistinct("po_number").alias("total_purchase_orders"),
-        F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_units_ordered"),
-        F.countDistinct("sku").alias("unique_skus_ordered"),
+    return order_sides(orders).select(
+        F.col("n_po").alias("total_purchase_orders"),
+        F.coalesce(F.col("qty"), F.lit(0.0)).alias("total_units_ordered"),
+        F.col("n_sku").alias("unique_skus_ordered"),
     )
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import list_text
+from stockroom.functions.exprs import list_text, order_sides
 
 SUPPLIER_COLS = ("supplier_id", "supplier_name", "lead_time", "contact_email", "rating", "country")
 
@@ -46,10 +46,7 @@ def supplier_profile(suppliers: DataFrame, orders: DataFrame,
     po = orders.where(F.col("supplier_id").isNotNull())
     if supplier_id:
         po = po.where(F.col("supplier_id") == F.lit(supplier_id))
-    per = po.groupBy("supplier_id").agg(
-        F.countDistinct("po_number").alias("n_po"),
-        F.sum("quantity").alias("qty"),
-        F.countDistinct("sku").alias("n_sku"))
+    per = order_sides(po, "supplier_id")
     return (_only(suppliers, supplier_id).select(*SUPPLIER_COLS)
             .join(per, "supplier_id", "left")
             .select(*SUPPLIER_COLS,

@@ -31,7 +31,7 @@ def _canon(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else ("f", v)
+        return ("f", "nan") if math.isnan(v) else ("f", v)
     if isinstance(v, bool):
         return ("b", v)
     if isinstance(v, int):

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockroom.operators import anomalies, lookups, network, sales, stock, suppliers
 from stockroom.schemas import INVENTORY, PURCHASE_ORDER, SALES, SUPPLIER
@@ -214,3 +215,14 @@ def test_parameter_variants(spark, sup, inv, po, sal):
     trace = network.product_trace(sup, inv, po, sku="H").collect()
     assert {(r["kind"], r["item_id"]) for r in trace} == {("supplier", "S4"), ("order", "P1"),
                                                           ("order", "P2")}
+
+
+def test_order_counts_read_the_lines_once(spark):
+    """J2, J8 and K5 copy no line per distinct count and scan the lines once."""
+    t = Tables(spark, SF_MID)
+    stocked = t.supplier.select(F.col("supplier_id").alias("sku"), F.lit(1).alias("qty_on_hand"))
+    for df in (suppliers.supplier_profile(t.supplier, t.purchase_orders), sales.kpi_orders(t.purchase_orders),
+               network.product_orders(t.purchase_orders, stocked)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not any("Expand" in line for line in plan)
+        assert sum("Relation" in line and "l_quantity" in line for line in plan) == 1
