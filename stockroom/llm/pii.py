@@ -163,33 +163,34 @@ def spans_of(text: Column, kind: Kind) -> Column:
     rank = [k.name for k in KINDS].index(kind.name)
     none = F.from_json(F.lit("[]"), "array<struct<kind:string,rank:int,start:int,end:int,score:double>>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern)
-    # context: the end of the piece before and the start of the piece after
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)),
-                       lambda m, before: F.struct(m.alias("m"), F.length(before).alias("gap"),
-                                                  F.lower(F.right(before, F.lit(CONTEXT))).alias("left")))
-    pairs = F.zip_with(pairs, F.slice(between, 2, F.size(found)),
-                       lambda p, after: F.struct(p["m"].alias("m"), p["gap"].alias("gap"),
-                                                 F.concat(p["left"], F.lit(" "),
-                                                          F.lower(F.left(after, F.lit(CONTEXT)))).alias("near")))
-
-    def score(p: Column) -> Column:
-        near = F.when(p["near"].rlike(rf"\b(?:{kind.near})"), F.lit(NEAR)).otherwise(F.lit(0.0))
-        far = F.when(p["near"].rlike(rf"\b(?:{UNLIKELY})"), F.lit(NEAR)).otherwise(F.lit(0.0))
-        return F.round(F.lit(kind.base) + near - far, 3)
-
-    shape = "array<struct<kind:string,rank:int,start:int,end:int,score:double,ok:boolean>>"
+    pairs = F.zip_with(found, F.slice(F.split(text, kind.pattern), 1, F.size(found)),
+                       lambda m, before: F.struct(m.alias("m"), F.length(before).alias("gap")))
 
     def judged(ps: Column) -> Column:
         past = running(ps, F.lit(0), lambda at, p: at + p["gap"] + F.length(p["m"]))
         return F.zip_with(ps, F.slice(past, 1, F.size(ps)), lambda p, at: F.struct(
-            F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), (at + p["gap"]).alias("start"),
-            (at + p["gap"] + F.length(p["m"])).alias("end"), score(p).alias("score"),
-            valid(kind.name, p["m"]).alias("ok"))).cast(shape)
-    good = F.filter(let(pairs, judged), lambda s: s["ok"] & (F.lit(kind.always) | (s["score"] >= KEEP)))
-    plain = F.transform(good, lambda s: F.struct(
-        s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"),
-        s["end"].alias("end"), s["score"].alias("score")))
+            (at + p["gap"]).alias("s"), (at + p["gap"] + F.length(p["m"])).alias("e"),
+            valid(kind.name, p["m"]).alias("ok")))
+
+    def score(near_by: Column) -> Column:
+        near = F.when(near_by.rlike(rf"\b(?:{kind.near})"), F.lit(NEAR)).otherwise(F.lit(0.0))
+        far = F.when(near_by.rlike(rf"\b(?:{UNLIKELY})"), F.lit(NEAR)).otherwise(F.lit(0.0))
+        return F.round(F.lit(kind.base) + near - far, 3)
+
+    def scored(at: Column) -> Column:
+        """Context: the code points before and after a span, whatever stands there."""
+        left = pieces(text, F.transform(at, lambda x: F.struct(
+            F.greatest(x["s"] - CONTEXT, F.lit(0)).alias("s"), x["s"].alias("e"))))
+        right = pieces(text, F.transform(at, lambda x: F.struct(x["e"].alias("s"), (x["e"] + CONTEXT).alias("e"))))
+        near = F.zip_with(left, right, lambda a, b: F.lower(F.concat(a, F.lit(" "), b)))
+        return F.zip_with(at, near, lambda x, n: F.struct(
+            F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), x["s"].alias("start"),
+            x["e"].alias("end"), score(n).alias("score"))).cast(shape)
+    shape = "array<struct<kind:string,rank:int,start:int,end:int,score:double>>"
+    good = F.filter(let(pairs, judged), lambda x: x["ok"])
+    plain = let(good, lambda at: F.when(F.size(at) > 0, scored(at)).otherwise(none))
+    if not kind.always:
+        plain = F.filter(plain, lambda x: x["score"] >= KEEP)
     return F.when(text.rlike(kind.gate), plain).otherwise(none)
 
 

@@ -182,6 +182,20 @@ def test_pii_needs_checksum_and_context(spark):
     assert got == {1: [], 2: ["card_short"], 3: [], 4: ["iban"], 5: [], 6: []}
 
 
+def test_pii_context_of_listed_numbers(spark):
+    """The words before a list are context of every number within reach."""
+    rows = [(1, "SSN list: 123-45-6789, 987-65-4321, 222-33-4444."), (2, "amex 378282246310005, 371449635398431"),
+            (3, "123-45-6789, 987-65-4321 are ssn"), (4, "ssn 123-45-6789," + " " * 60 + "987-65-4321"),
+            (5, "example amex 378282246310005, 371449635398431"), (6, "İé🙂 ssn 123-45-6789, 987-65-4321"),
+            (7, "ssn " + "123-45-6789, ssn " * 600 + "987-65-4321")]
+    got = {r.doc_id: [(s["kind"], r.text[s["start"]:s["end"]]) for s in r["pii"]]
+           for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ssn = [("ssn", "123-45-6789"), ("ssn", "987-65-4321")]
+    short = [("card_short", "378282246310005"), ("card_short", "371449635398431")]
+    assert got == {1: [*ssn, ("ssn", "222-33-4444")], 2: short, 3: ssn, 4: ssn[:1], 5: [], 6: ssn,
+                   7: ssn[:1] * 600 + ssn[1:]}
+
+
 def test_pii_redaction(docs):
     for r in pii.redact(docs).collect():
         if r.doc_id == 12:
