@@ -11,7 +11,9 @@ Kinds and evidence:
 * ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19 digits, Luhn) and
   ``phone`` (8 to 15 digits) are always kept once they pass their check;
 * ``iban``: country, two check digits and 11 to 30 letters or digits, optionally
-  grouped by single spaces, confirmed by the mod-97 checksum;
+  grouped by single spaces, ending at a word border and confirmed by the mod-97
+  checksum.  Capitals or digits may follow it: of the word borders the country's own
+  length is tried first, then the longest; every border if the country is unknown;
 * ``card_short``: 13 to 15 digits passing Luhn, kept only when a payment word
   stands nearby; ``ssn``: 3-2-4 digits, kept only beside an identity word.
 
@@ -21,7 +23,7 @@ such as "example" does; kinds that need context are kept from ``KEEP`` on.
 
 Defined cases: a null text counts as empty and has no spans; matches of one kind
 never overlap, and matches that fail their check are dropped without another
-try; equal rows get equal spans; other columns are kept (result columns replace
+try (``iban``: see above; the next word may start another); equal rows get equal spans; other columns are kept (result columns replace
 equal names).
 """
 
@@ -49,6 +51,7 @@ class Kind:
     base: float
     near: str            # context words
     always: bool         # kept whatever its score
+    group: int = 0       # the group that is checked; what the whole match takes is passed over
 
 
 # A whole run of digits with single separators, entered at its first digit only.  Runs
@@ -64,14 +67,22 @@ KINDS = (
          "card|visa|credit|payment|account", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7,
          "phone|call|tel|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-         r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|transfer", True),
+    # takes the first four characters only, so that each word may start one; what may belong
+    # to it, and one character more to see a word cut, is looked at ahead
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}",
+         r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|transfer", True, 1),
     Kind("card_short", RUN.format(more=12), r"[0-9](?:[\x20-]?[0-9]){12}", 0.4,
          "card|visa|credit|amex|payment", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4,
          "ssn|social|security|insurance|identity", False),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
+# ISO 13616: the whole length in each country
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,"
+    "RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for c in cs.split(",")}
 UNLIKELY = "example|sample|dummy|invalid"
 
 
@@ -112,11 +123,51 @@ def valid(kind: str, found: Column) -> Column:
         return F.when(n.between(lo, hi), luhn(digits(found))).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(digits(found)).between(8, 15)
-    if kind == "iban":
-        return mod97(found)
     return F.lit(True)
 
 
+def iban_extent(ahead: Column) -> Column:
+    """Length of the account number at the start of a text and whether it is its country's
+    own, null where there is none."""
+    country = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    own = F.element_at(country, F.substring(ahead, 1, 2))
+
+    def borders(ws: Column) -> Column:
+        tight = F.transform(F.sequence(F.lit(1), F.size(ws)), lambda j: F.struct(
+            j.alias("j"), F.array_join(F.slice(ws, F.lit(1), j), "").alias("t")))
+        return F.filter(tight, lambda x: x["t"].rlike("^[A-Z0-9]{15,34}$"))
+
+    def best(bs: Column) -> Column:
+        most = F.array_max(F.transform(bs, lambda x: F.length(x["t"])))
+        tried = F.filter(bs, lambda x: (own.isNull() | (F.length(x["t"]) == own) | (F.length(x["t"]) == most))
+                         & mod97(x["t"]))
+        return F.array_max(F.transform(tried, lambda x: F.struct(
+            F.coalesce(F.length(x["t"]) == own, F.lit(False)).alias("own"), F.length(x["t"]).alias("n"),
+            (F.length(x["t"]) + x["j"] - 1).alias("length"))))
+    return let(let(F.split(ahead, " "), borders), best)
+
+
+def extent(kind: str, found: Column) -> Column:
+    """Length of the span that starts a match (null where its check fails), and whether it is sure."""
+    if kind == "iban":
+        return let(iban_extent(found), lambda x: F.struct(x["length"].alias("n"), x["own"].alias("sure")))
+    return F.struct(F.when(valid(kind, found), F.length(found)).alias("n"), F.lit(True).alias("sure"))
+
+
+def apart(xs: Column) -> Column:
+    """Spans without overlap: the first ones, but none that is unsure and meets a sure one."""
+    upcoming = F.reverse(F.slice(running(F.reverse(xs), F.lit(2 ** 31 - 1), lambda n, x: F.when(
+        x["sure"], x["s"]).otherwise(n)), 1, F.size(xs)))
+    free = F.filter(F.zip_with(xs, upcoming, lambda x, n: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), (x["sure"] | (x["e"] <= n)).alias("ok"))), lambda x: x["ok"])
+
+    def first(ys: Column) -> Column:
+        ends = running(ys, F.lit(0), lambda e, y: F.when(y["s"] >= e, y["e"]).otherwise(e))
+        return F.filter(F.zip_with(ys, F.slice(ends, 1, F.size(ys)), lambda y, e: F.struct(
+            y["s"].alias("s"), y["e"].alias("e"), e.alias("past"))), lambda y: y["s"] >= y["past"])
+    return let(free, first)
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is evaluated once, however often it is named."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -163,14 +214,17 @@ def spans_of(text: Column, kind: Kind) -> Column:
     rank = [k.name for k in KINDS].index(kind.name)
     none = F.from_json(F.lit("[]"), "array<struct<kind:string,rank:int,start:int,end:int,score:double>>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, kind.pattern), 1, F.size(found)),
-                       lambda m, before: F.struct(m.alias("m"), F.length(before).alias("gap")))
+    pairs = F.zip_with(found, F.slice(F.split(text, kind.pattern), 1, F.size(found)), lambda m, before: F.struct(
+        m.alias("m"), F.length(before).alias("gap"), F.length(m).alias("taken")))
+    if kind.group:
+        pairs = F.zip_with(pairs, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)),
+                           lambda p, m: F.struct(m.alias("m"), p["gap"].alias("gap"), p["taken"].alias("taken")))
 
     def judged(ps: Column) -> Column:
-        past = running(ps, F.lit(0), lambda at, p: at + p["gap"] + F.length(p["m"]))
-        return F.zip_with(ps, F.slice(past, 1, F.size(ps)), lambda p, at: F.struct(
-            (at + p["gap"]).alias("s"), (at + p["gap"] + F.length(p["m"])).alias("e"),
-            valid(kind.name, p["m"]).alias("ok")))
+        past = running(ps, F.lit(0), lambda at, p: at + p["gap"] + p["taken"])
+        return F.zip_with(ps, F.slice(past, 1, F.size(ps)), lambda p, at: let(
+            extent(kind.name, p["m"]), lambda x: F.struct(
+                (at + p["gap"]).alias("s"), (at + p["gap"] + x["n"]).alias("e"), x["sure"].alias("sure"))))
 
     def score(near_by: Column) -> Column:
         near = F.when(near_by.rlike(rf"\b(?:{kind.near})"), F.lit(NEAR)).otherwise(F.lit(0.0))
@@ -187,7 +241,9 @@ def spans_of(text: Column, kind: Kind) -> Column:
             F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), x["s"].alias("start"),
             x["e"].alias("end"), score(n).alias("score"))).cast(shape)
     shape = "array<struct<kind:string,rank:int,start:int,end:int,score:double>>"
-    good = F.filter(let(pairs, judged), lambda x: x["ok"])
+    good = F.filter(let(pairs, judged), lambda x: x["e"].isNotNull())
+    if kind.group:      # more is looked at than taken
+        good = let(good, apart)
     plain = let(good, lambda at: F.when(F.size(at) > 0, scored(at)).otherwise(none))
     if not kind.always:
         plain = F.filter(plain, lambda x: x["score"] >= KEEP)

@@ -182,6 +182,19 @@ def test_pii_needs_checksum_and_context(spark):
     assert got == {1: [], 2: ["card_short"], 3: [], 4: ["iban"], 5: [], 6: []}
 
 
+def test_pii_ibans_before_capitals_and_digits(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    rows = [(gb + " Please pay", [gb]), (de + " BIC COBADEFFXXX", [de]), ("GB82WEST12345698765432 I paid", ["GB82WEST12345698765432"]),
+            ("GB82WEST12345698765432 2 copies", ["GB82WEST12345698765432"]), (gb + " 2 AND 3 MORE", [gb]),
+            (f"{de} {gb} {no} OK", [de, gb, no]), (f"AB12 {de} AB12 X", [de]), (gb + "é", [gb]), (gb + "x", []),
+            (f"İ🙂 {no}, {no}\n{de}.", [no, no, de]), (de + "0", []), ("GB82 WEST 1234 5698 7654 33 Please", []),
+            ("x" + de, []), ("A B C D " * 3000 + de + " E F" * 3000, [de]), ("AB12 " * 5000 + gb + " P", [gb])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [r.text[s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"] for r in pii.detect(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+    assert pii.redact(df).where("doc_id = 1").first().text == "[IBAN] BIC COBADEFFXXX"
+
+
 def test_pii_context_of_listed_numbers(spark):
     """The words before a list are context of every number within reach."""
     rows = [(1, "SSN list: 123-45-6789, 987-65-4321, 222-33-4444."), (2, "amex 378282246310005, 371449635398431"),
