@@ -55,6 +55,13 @@ def put_struct(df: DataFrame, value: Column, fields: list[str]) -> DataFrame:
                     *[F.col(f"{held}.{f}").alias(f) for f in fields]))
 
 
+def low_bound(have: int, want: int) -> int:
+    """A 64-bit hash below which, of ``have`` distinct ones, surely ``want`` lie (or all,
+    if there are fewer) and not many more."""
+    rate = (1.5 * want + 100) / max(1, have)
+    return (1 << 63) - 1 if rate >= 1 else int(rate * (1 << 64)) - (1 << 63)
+
+
 def python_ready(spark: SparkSession) -> None:
     """Bound the Arrow batches and make this package importable on executors.
 

@@ -160,24 +160,27 @@ def classify(model: ByteConvNet | None, texts: list[str | None]) -> tuple[list[s
 
 def training_windows(labelled: DataFrame, text: str, label: str, per_lang: int,
                      windows: int, max_langs: int) -> pd.DataFrame:
-    """A bounded sample for training: about ``per_lang`` distinct texts of each of
-    at most ``max_langs`` languages, ``windows`` places spread over each whole text.
+    """A bounded sample for training: ``per_lang`` distinct texts (all, if there are fewer)
+    of each of at most ``max_langs`` languages, ``windows`` places spread over each whole text.
 
     The choice follows a hash of the text, so it is the same in every run; copies
-    of a text count once.
+    of a text count once, also where the rate of a language is found.
     """
-    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0))
-    counts = (rows.groupBy(label).count()
-              .orderBy(F.desc("count"), label).limit(max_langs).collect())
+    rows = (labelled.where(F.col(label).isNotNull() & (F.length(text) > 0))
+            .select(F.col(label).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")))
+    seen = common.cut(rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")), "lang-texts")
+    counts = (seen.groupBy("lang").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts"))
+              .orderBy(F.desc("rows"), "lang").limit(max_langs).collect())
     if not counts:
         return pd.DataFrame({"lang": [], "part": []})
-    grain = 1 << 20
-    share = F.create_map(*[x for r in counts for x in
-                           (F.lit(r[0]), F.lit(min(grain, -(-per_lang * grain // r[1]))))])
-    h = F.pmod(F.xxhash64(text), F.lit(grain))
-    sample = (rows.select(F.col(label).alias("lang"), F.col(text).alias("text"), h.alias("h"))
-              .where(F.col("h") < F.element_at(share, F.col("lang")))
-              .dropDuplicates(["lang", "text"]))
+
+    def up_to(last: dict[str, int]) -> Column:
+        each = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+        return F.col("h") <= F.element_at(each, F.col("lang")).cast("long")
+    low = seen.where(up_to({r["lang"]: common.low_bound(r["texts"], per_lang) for r in counts}))
+    low = low.select("lang", "h").toPandas().sort_values("h").groupby("lang")["h"]
+    last = {lang: int(hs.iloc[:per_lang].iloc[-1]) for lang, hs in low}
+    sample = rows.where(up_to(last)).dropDuplicates(["lang", "text"])
     room = F.greatest(F.lit(1), F.length("text") - WINDOW + 1)
     places = F.array(*[F.pmod(F.xxhash64(F.col("text"), F.lit(i)), room) + 1
                        for i in range(windows)])

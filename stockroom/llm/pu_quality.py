@@ -127,29 +127,34 @@ def feature_udf():
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000,
           text: str = "text", key: str = "doc_id", mark: str = "quality") -> Network | None:
-    """Fit on at most ``positives`` trusted and ``unlabelled`` other texts (parameters),
-    chosen by a hash of the text, copies once; only their features reach the driver."""
+    """Fit on at most ``positives`` trusted and ``unlabelled`` other texts (parameters; all, if
+    there are fewer), chosen by a hash of the text, copies once; only their features reach the driver."""
     common.python_ready(docs.sparkSession)
     marks = (labels.where(F.col(key).isNotNull() & F.col(mark).isNotNull())
              .groupBy(F.col(key).alias("_id")).agg(F.max(mark).alias("_mark")))
-    share = marks.agg(F.avg((F.col("_mark") == 1).cast("double")), F.sum((F.col("_mark") == 1).cast("long")),
-                      F.count(F.lit(1))).first()
-    total = docs.count()
-    if not share[1] or not total:
+    good = (F.col("_mark") == 1).cast("double")
+    share = marks.agg(F.avg(good), F.sum(good)).first()
+    if not share[1]:
         return None
-    h = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30))
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), h.alias("h"))
-
-    def pick(df: DataFrame, have: int, want: int) -> np.ndarray:
-        bound = min(1.0, 1.5 * want / max(1, have))
-        part = df.where(F.col("h") < F.lit(int(bound * (1 << 30)))).dropDuplicates(["h"])
-        got = part.select("h", feature_udf()("text").alias("f")).orderBy("h").limit(want).toPandas()["f"]
-        return np.array(got.tolist(), np.float64).reshape(-1, len(FEATURES))
-    pos = pick(rows.join(marks.where(F.col("_mark") == 1), F.col("id") == F.col("_id"), "left_semi"),
-               share[1], positives)
-    unl = pick(rows, total, unlabelled)
-    if not len(pos) or not len(unl):
+    trusted = rows.select("id", "h").join(marks.where(F.col("_mark") == 1), F.col("id") == F.col("_id"), "left_semi")
+    every = rows.select("h", F.lit(False).alias("good")).union(trusted.select("h", F.lit(True)))
+    seen = common.cut(every.groupBy("h").agg(F.max("good").alias("good")), "pu-texts")
+
+    def last(hashes: DataFrame, want: int) -> int | None:
+        """The hash of the ``want``th distinct text, or of the last."""
+        low = hashes.where(F.col("h") <= F.lit(common.low_bound(hashes.count(), want))).select("h").toPandas()["h"]
+        return int(low.sort_values().iloc[:want].iloc[-1]) if len(low) else None
+    to_pos, to_unl = last(seen.where("good"), positives), last(seen, unlabelled)
+    if to_pos is None or to_unl is None:
         return None
+    chosen = seen.select(F.col("h").alias("_h"), (F.col("good") & (F.col("h") <= to_pos)).alias("pos"),
+                         (F.col("h") <= to_unl).alias("unl")).where("pos OR unl")
+    # a bounded table: at most ``positives`` + ``unlabelled`` rows
+    part = rows.join(F.broadcast(chosen), F.col("h") == F.col("_h")).dropDuplicates(["h"])
+    got = part.select("h", "pos", "unl", feature_udf()("text").alias("f")).toPandas().sort_values("h")
+    pos, unl = (np.array(got["f"][got[side]].tolist(), np.float64).reshape(-1, len(FEATURES)) for side in ("pos", "unl"))
     return fit(pos, unl, min(0.99, max(0.01, float(share[0]))))
 
 

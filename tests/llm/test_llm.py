@@ -80,6 +80,16 @@ def test_language_id(spark, docs, rows, empty):
     assert lang_id.identify(empty, model).count() == 0
 
 
+def test_language_sample_counts_texts_not_copies(spark):
+    rows = [("de", "der eine Text")] * 1990 + [("de", f"ein Text mit Nummer {i}") for i in range(10)]
+    rows += [("en", f"a text of number {i}") for i in range(500)] + [("fr", "un seul")] * 700
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = lang_id.training_windows(docs, "text", "lang", 600, 4, 400)
+    assert sorted(zip(got["lang"], got["part"])) == sorted(set(rows))
+    few = lang_id.training_windows(docs, "text", "lang", 20, 4, 400)
+    assert few["lang"].value_counts().to_dict() == {"en": 20, "de": 11, "fr": 1}
+
+
 def test_convolution_matches_a_direct_one():
     net = lang_id.ByteConvNet.start(["a", "b"])
     w = np.random.default_rng(0).integers(0, 256, (3, 40)).astype(np.uint8)
@@ -287,6 +297,15 @@ def test_pu_quality(spark, docs, empty):
     assert pu_quality.score(empty, net).count() == 0
 
 
+def test_pu_sample_counts_texts_not_copies(spark, monkeypatch):
+    rows = [(i, "the same good text") for i in range(3000)] + [(3000 + i, f"text of number {i}") for i in range(79)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3040)) for i in range(3060)], "doc_id long, quality int")
+    monkeypatch.setattr(pu_quality, "fit", lambda pos, unl, prior: (len(pos), len(unl)))
+    assert pu_quality.train(docs, labels, positives=50, unlabelled=60) == (41, 60)
+    assert pu_quality.train(docs, labels, positives=30, unlabelled=500) == (30, 80)
+
+
 def test_pu_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     mark = {r.doc_id: r.quality for r in common.read(spark, sf, "labels").collect()}
