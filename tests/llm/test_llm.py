@@ -118,6 +118,25 @@ def test_line_quality(docs, rows, empty):
     assert line_quality.score(empty).count() == 0
 
 
+def test_boilerplate_lines_are_removed(docs, rows, empty):
+    """The documents themselves, without the lines that others of their host share."""
+    per = {}
+    for _, t, _, host, _ in rows:
+        for x in {brute.norm_line(x) for x in (t or "").split("\n") if brute.words(x)}:
+            per[host, x] = per.get((host, x), 0) + 1
+    left = lambda t, host: t and "\n".join(x for x in t.split("\n") if per.get((host, brute.norm_line(x)), 0) < 2)
+    got = line_quality.clean(clash(docs, "N_WORDS", "kept", "gone", "place"), least=1).collect()
+    want = [(r[0], left(r[1], r[3]), *r[2:]) for r in rows]
+    assert sorted(map(repr, ((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got))) == sorted(map(repr, want))
+    assert any(a[1] != b[1] for a, b in zip(want, rows))
+    for r in got:
+        assert len(brute.words(r.text)) == r.n_words - r.removed_words
+    counts = ("doc_id", *line_quality.COUNTS)
+    assert sorted(repr(tuple(r[c] for c in counts)) for r in got) == sorted(
+        repr(tuple(r)) for r in line_quality.score(docs, least=1).select(*counts).collect())
+    assert line_quality.clean(empty).count() == 0
+
+
 def test_token_counts(docs, rows, empty):
     from tokenizers import Tokenizer
     own = Tokenizer.from_file(token_count.vocabulary_path(token_count.VOCABULARY))
