@@ -40,6 +40,7 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))      # first bit, width
 COVERED = 15                                # bits of a block under the Hamming code
 SEED = 42
 HOME = 1024         # members of an anchor that one home group holds
+SLICE = 1 << 16     # rows that a worker compares at a time, about
 SHINGLES = 65536    # shingles hashed at once
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -214,13 +215,39 @@ def linked(members: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     return out[out["a"] != out["b"]].drop_duplicates()
 
 
+def sliced(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Groups (anchor, part), their home members first, in frames of about ``most`` rows; a
+    group that goes on meets its home members again in every further frame."""
+    held, n = [], 0
+
+    def whole() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        key = rows[["anchor", "part"]].to_numpy()
+        new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
+        return rows.assign(group=np.cumsum(new))
+
+    def frame(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["group", "fp", "home"]].rename(columns={"group": "anchor"})
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= most:
+            rows = whole()
+            yield frame(rows)
+            last = rows[(rows["group"] == rows["group"].iloc[-1]) & rows["home"]]
+            # the last group may go on: its home members stay, and do not count as new rows
+            held, n = [last[["anchor", "part", "fp", "home"]]], 0
+    if n:
+        yield frame(whole())
+
+
 def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b): spanning edges among distinct fingerprints, a < b.
 
     Anchors with more than ``HOME`` home members are split: each of their home
     members goes to one of several groups by its hash, every member is a guest
-    of all groups of the anchor.  Group sizes are bounded by what one anchor's
-    ball in one block can hold beside its share of home members.
+    of all groups of the anchor.  A group's home members are thereby bounded; its
+    guests may be many, so they pass by in slices and a worker holds one of them.
     """
     spark = distinct.sparkSession
     spread = common.cut(replicated(distinct, max_bits), "simhash-anchors")
@@ -233,23 +260,12 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
              .select("anchor", "part", "fp",
                      (F.col("home") & (F.col("own") == F.col("part"))).alias("home")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
+    dealt = dealt.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
+    most = SLICE
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for part in parts:      # whole groups only; the last one waits for its next rows
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            key = part["anchor"].to_numpy() * 4096 + part["part"].to_numpy() % 4096
-            same = key == key[-1] if len(key) else np.zeros(0, bool)
-            rest, ready = part[same], part[~same]
-            if len(ready):
-                yield one(ready, key[~same])
-        if rest is not None and len(rest):
-            key = rest["anchor"].to_numpy() * 4096 + rest["part"].to_numpy() % 4096
-            yield one(rest, key)
-
-    def one(rows: pd.DataFrame, key: np.ndarray) -> pd.DataFrame:
-        return linked(rows.assign(anchor=key)[["anchor", "fp", "home"]], max_bits)
+        for rows in sliced(parts, most):
+            yield linked(rows, max_bits)
 
     found = dealt.mapInPandas(compare, "a long, b long")
     return found.groupBy("a", "b").agg(F.lit(1).alias("_x")).select("a", "b")

@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,6 +435,18 @@ def test_links_of_dense_groups(spark, monkeypatch, home):
         [sorted(i for i in want if want[i][1] == c) for c in {v[1] for v in want.values()}])
 
 
+def test_guests_pass_in_slices():
+    """No frame holds all members of a crowded group, and no pair of home member and member is lost."""
+    rows = [(a, p, a * 1000 + p * 100_000 + i, i < 7) for a, p, m in ((1, 0, 300), (1, 4096, 9), (2, 0, 5), (2, 1, 100))
+            for i in range(m)]
+    df = pd.DataFrame(rows, columns=["anchor", "part", "fp", "home"])
+    frames = list(simhash.sliced((df[i:i + 3] for i in range(0, len(df), 3)), 20))
+    assert max(map(len, frames)) <= 20 + 3 + 7
+    met = {(x, y) for f in frames for _, g in f.groupby("anchor") for x in g["fp"][g["home"]] for y in g["fp"]}
+    want = {(x, y) for _, g in df.groupby(["anchor", "part"]) for x in g["fp"][g["home"]] for y in g["fp"]}
+    assert met == want
+
+
 def test_near_duplicates_of_small_table(spark):
     sf = SF_SMALL
     want = brute.near_duplicates([(r.doc_id, r.text) for r in common.read(spark, sf, "documents").collect()])
