@@ -33,6 +33,7 @@ from stockroom.session import scratch_path
 
 LEAST = 1000
 FILE_BYTES = 24 << 20       # payload bytes in one archive, about
+FILE_RECORDS = 100_000      # records after which an archive is closed
 END = "\r\n\r\n"
 FIRST_DAY = "2024-01-01"
 CAPTURE = ("url_key string, ts string, page_id long, record_type string, refers_to long, "
@@ -103,14 +104,16 @@ def record(page_id: str = "page_id") -> Column:
 def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> int:
     """Write the archives; returns how many records there are.
 
-    Records are dealt evenly by a hash of their id; the number of files follows the
-    payload bytes, and a file is closed early after a bounded number of records."""
-    kept = common.cut(assign(pages, least), "warc-records")
+    Records are dealt evenly by a hash of their id and of the place they are stored at, so
+    that equal pages spread too; the number of files follows the payload bytes, and a file
+    is closed early after a bounded number of records."""
+    kept = common.stored_rows(common.cut(assign(pages, least), "warc-records"), "warc-rows")
+    kept = kept.withColumn("_salt", F.xxhash64("_row.file", "_row.place")).drop("_row")
     n, size = kept.agg(F.count(F.lit(1)), F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes"))
                                                 .otherwise(0) + 600)).first()
     files = max(1, -(-int(size or 0) // file_bytes))
-    (kept.repartition(files, F.xxhash64("page_id", "url")).select(record().alias("value"))
-     .write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(path))
+    (kept.repartition(files, F.xxhash64("page_id", "url", "_salt")).select(record().alias("value"))
+     .write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", END).option("compression", "gzip").text(path))
     return n
 
 
@@ -196,9 +199,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """Captures in global order over the partitions, with ``place`` in the partition."""
+    """Captures in global order over the partitions, with ``place`` in the partition.
+
+    Captures equal in that order may be split between partitions: where they are archived
+    is the last part of the key."""
     n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = [F.col("url_key").cast("binary"), F.col("ts"), F.col("page_id"), F.col("record_type")]
+    key = [F.col("url_key").cast("binary"), F.col("ts"), F.col("page_id"), F.col("record_type"),
+           F.col("archive"), F.col("offset")]
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple]] = {}

@@ -354,6 +354,21 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_equal_pages_spread_over_archives_and_partitions(spark, monkeypatch):
+    rows = [(None, None, "same")] * 1500 + [(7, "http://a.org", "p" * 1200)] * 300 + [(None, None, "other")] * 200
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive(df, file_bytes=24_000).withColumn("part", F.spark_partition_id()).collect()
+    count = lambda xs: pd.Series(list(xs)).value_counts()
+    assert len(got) == len(rows) and sum(r.page_id is None for r in got) == 1700
+    assert count(r.payload_bytes for r in got).to_dict() == {4: 1500, 1200: 300, 5: 200}
+    assert count(r.archive for r in got).max() < 200
+    assert count(r.part for r in got if r.page_id is None).max() < 1000
+    order = [warc.order_of(tuple(r)) for r in sorted(got, key=lambda r: (r.part, r.place))]
+    assert order == sorted(order)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 50)
+    assert count(r.archive for r in warc.archive(df).collect()).max() <= 50
+
+
 def test_loser_tree():
     rnd = random.Random(2)
     for k in range(0, 9):
