@@ -49,7 +49,7 @@ def put_struct(df: DataFrame, value: Column, fields: list[str]) -> DataFrame:
     """Like ``put`` for a struct-valued expression, evaluated once per row."""
     names = {c.lower() for c in fields}
     kept = [c for c in df.columns if c.lower() not in names]
-    held = "_value_of_row"
+    held = free_name(df, "value_of_row")
     return (df.select(*[F.col(f"`{c}`") for c in kept], value.alias(held))
             .select(*[F.col(f"`{c}`") for c in kept],
                     *[F.col(f"{held}.{f}").alias(f) for f in fields]))
@@ -88,18 +88,54 @@ def python_ready(spark: SparkSession) -> None:
 _SENT: dict[str, str] = {}
 
 
-def stored_rows(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with ``_row``, the file and place a row is stored at, in stored order.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` bears it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+# Logical nodes through which a row of a file stays one row.
+_ROW_WISE = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one stored row of a file: its plan only reads,
+    filters and projects.  After an explode, union or join a place names several rows."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROW_WISE:
+        if node.children().size() == 0:
+            return True
+        node = node.children().head()
+    return False
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it is a scan whose rows have a place, else written and read back."""
+    if is_scan(df):
+        try:
+            df.select("_metadata.row_index")
+            return df
+        except AnalysisException:
+            pass
+    return cut(df, name)
+
+
+def placed(stored: DataFrame, name: str) -> DataFrame:
+    """A settled table with column ``name``: the file and place each row is stored at."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return stored.withColumn(name, place)
+
+
+def stored_rows(df: DataFrame, name: str, column: str = "_row") -> DataFrame:
+    """``df`` with the file and place a row is stored at.
 
     Unlike a running id it does not depend on how a scan is split, so two reads of the
     table agree even if executors come or go between them.  Rows that are not read
-    from files are written first.
+    one by one from files are written first.
     """
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    try:
-        return df.withColumn("_row", place)
-    except AnalysisException:
-        return cut(df, name).withColumn("_row", place)
+    return placed(settled(df, name), column)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

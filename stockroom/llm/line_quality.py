@@ -130,12 +130,15 @@ def clean(docs: DataFrame, least: int = 10, share: float = 0.01, remain: float =
 
     Rows meet their verdict on the place they are stored at, as in ``mixture.emit``.
     """
-    placed = common.stored_rows(docs, "line-rows")
-    verdict = judge(placed, least, share, remain, text, host, key, F.col("_row"))
-    verdict = verdict.select(F.col("place").alias("_of"), F.struct(*COUNTS).alias("_counts"), F.col("gone").alias("_gone"))
-    lines = F.split(text, "\n")
+    stored = common.settled(docs, "line-rows")
+    row, found = common.free_name(docs, "row"), common.free_name(docs, "found")
+    placed = common.placed(stored, row)
+    verdict = judge(placed, least, share, remain, text, host, key, F.col(row)).select(
+        F.col("place").alias("of"), F.struct(*COUNTS, "gone").alias("v"))
+    met = placed.alias("d").join(verdict.alias("o"), F.col(f"d.{row}") == F.col("o.of")).select(
+        *[F.col(f"d.`{c}`") for c in docs.columns], F.col("o.v").alias(found))
+    gone, lines = F.col(f"{found}.gone"), F.split(F.col(f"`{text}`"), "\n")
     whole = F.zip_with(lines, line_words(lines), lambda x, ws: F.struct(x.alias("x"), line_hash(ws).alias("h")))
-    left = F.transform(F.filter(whole, lambda x: ~F.array_contains("_gone", x["h"])), lambda x: x["x"])
-    out = common.put(placed.join(verdict, F.col("_row") == F.col("_of")),
-                     **{text: F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col(text))})
-    return common.put(out, **{c: F.col(f"_counts.{c}") for c in COUNTS}).drop("_row", "_of", "_counts", "_gone")
+    left = F.transform(F.filter(whole, lambda x: ~F.array_contains(gone, x["h"])), lambda x: x["x"])
+    out = common.put(met, **{text: F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(f"`{text}`"))})
+    return common.put(out, **{c: F.col(f"{found}.{c}") for c in COUNTS}).drop(found)

@@ -13,7 +13,8 @@ over partitions; a source that holds most rows is spread over many partitions.
 
 Defined cases: a null text has size 0 and takes no words; a null source is a
 source of its own, last in the order; sources of no words have target 0; equal
-rows are told apart by their place in their partition; other columns are kept.
+rows are told apart by their place in their partition; ``mix`` returns its own
+columns only, ``emit`` keeps all columns of the documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -118,10 +119,16 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     Rows meet their copies on the place they are stored at, so rows that are equal or
     share an id are still told apart; the place decides nothing else, so reruns agree.
     """
-    placed = common.stored_rows(docs, "mix-rows")
-    key = F.struct(F.col(options.get("key", "doc_id")).alias("id"), F.col("_row").alias("row"))
-    taken = (mix(placed.withColumn("_key", key), **{**options, "key": "_key"}).where(F.col("copies") > 0)
-             .select(F.col("doc_id.row").alias("_of"), "copies"))
-    return (placed.join(taken, F.col("_row") == F.col("_of"))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+    stored = common.settled(docs, "mix-rows")
+    row = common.free_name(docs, "row")
+    key, text, source = (options.get(k, d) for k, d in (("key", "doc_id"), ("text", "text"), ("source", "source")))
+    # the columns that mixing reads, under names of their own
+    read = common.placed(stored.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"),
+                                       F.col(f"`{source}`").alias("source")), "row")
+    asked = {k: v for k, v in options.items() if k not in ("key", "text", "source")}
+    taken = (mix(read.select(F.struct("id", "row").alias("key"), "text", "source"), key="key", **asked)
+             .where(F.col("copies") > 0).select(F.col("doc_id.row").alias("row"), "copies"))
+    d, t = common.placed(stored, row).alias("d"), taken.alias("t")
+    return (d.join(t, F.col(f"d.{row}") == F.col("t.row"))
+            .select(*[F.col(f"d.`{c}`") for c in docs.columns],
+                    F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias(row)).drop(row))

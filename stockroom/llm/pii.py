@@ -250,10 +250,10 @@ def spans_of(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.gate), plain).otherwise(none)
 
 
-def detect(docs: DataFrame, text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """``docs`` with ``pii``: its spans by kind as listed, then by start."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return common.put(docs, pii=F.concat(*[spans_of(whole, k) for k in KINDS]))
+    return common.put(docs, **{spans: F.concat(*[spans_of(whole, k) for k in KINDS])})
 
 
 def written(spans: Column) -> Column:
@@ -271,8 +271,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    found = detect(docs, text)
-    ordered = F.array_sort(F.transform(F.col("pii"), lambda s: F.struct(
+    spans, at = common.free_name(docs, "spans"), common.free_name(docs, "cuts")
+    found = detect(docs, text, spans)
+    ordered = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(
         s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k"))))
 
     def merged(xs: Column) -> Column:
@@ -287,12 +288,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 lambda x, e: F.struct(x["s"].alias("s"), e.alias("e"), x["k"].alias("k"))))
         return let(running(xs, F.lit(0), lambda e, x: F.greatest(e, x["e"])), cuts)
     t = F.col(text)
-    held = found.withColumn("_cuts", F.when(F.size("pii") > 0, let(ordered, merged)))
-    m = F.col("_cuts")
+    held = found.withColumn(at, F.when(F.size(spans) > 0, let(ordered, merged)))
+    m = F.col(at)
     starts = F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["e"]))
     ends = F.concat(F.transform(m, lambda x: x["s"]), F.array(F.length(t)))
     between = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     masks = F.concat(F.transform(m, lambda x: F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))),
                      F.array(F.lit("")))
     clean = F.array_join(F.zip_with(let(between, lambda b: pieces(t, b)), masks, lambda p, k: F.concat(p, k)), "")
-    return common.put(held, **{text: F.when(m.isNotNull(), clean).otherwise(t)}).drop("_cuts", "pii")
+    return common.put(held, **{text: F.when(m.isNotNull(), clean).otherwise(t)}).drop(at, spans)

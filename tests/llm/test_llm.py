@@ -503,3 +503,29 @@ def test_sql_agrees(spark):
     from tests.oracle_harness import compare
     got = compare(spark, SF_SMALL, list(oracles.ORACLES), verbose=False)
     assert all(v.startswith("ok") for v in got.values()), got
+
+
+def test_rows_made_from_one_stored_row_stay_apart(spark, docs, rows):
+    """Three rows from each stored one: emitted and cleaned one by one."""
+    few = docs.where(F.length("text") < 2000)
+    tripled = few.withColumn("nr", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    assert common.is_scan(few) and not common.is_scan(tripled) and not common.is_scan(few.union(few))
+    n = tripled.count()
+    mixed = mixture.emit(tripled)
+    assert mixed.columns == tripled.columns
+    assert mixed.count() == mixture.mix(tripled).agg(F.sum("copies")).first()[0]
+    kept = line_quality.clean(tripled, least=100)
+    assert kept.count() == n and kept.select("nr", "doc_id", "text").exceptAll(
+        tripled.select("nr", "doc_id", "text")).count() == 0
+
+
+def test_columns_named_like_internal_ones_are_kept(docs):
+    names = ["copies", "_row", "row", "pii", "spans", "cuts", "value_of_row", "_value_of_row", "of", "found", "id"]
+    few = clash(docs.where(F.length("text") < 2000), *names)
+    n = few.count()
+    for made, some in ((mixture.emit(few), True), (line_quality.clean(few), False), (pii.redact(few), False),
+                       (lang_id.identify(few, None), False), (bpe_codec.encode(few), False)):
+        assert set(few.columns) <= set(made.columns)
+        values = made.select(*names).distinct().collect()
+        assert [tuple(v) for v in values] == [("old",) * len(names)]
+        assert some or made.count() == n
