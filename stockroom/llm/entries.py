@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.llm import (bpe_codec, common, hamming_topk, lang_id, line_quality, mixture, pii, pu_quality,
-                           simhash, token_count, warc)
+from stockroom.llm import (alignment, bpe_codec, common, exact_dedup, hamming_topk, hard_negatives, lang_id,
+                           line_quality, mixture, pii, pu_quality, simhash, token_count, warc)
 from stockroom.llm.oracles import ORACLES
 
 
@@ -75,9 +75,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 "component_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs).select("doc_id", *alignment.SUMS, "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_language_id, op2_line_quality, op3_token_counts, op4_pii, op5_source_mixture, op6_pu_quality,
-           op7_warc, op8_bpe_codec, op9_hamming_topk, op10_simhash]
+           op7_warc, op8_bpe_codec, op9_hamming_topk, op10_simhash, op11_exact_dedup, op12_hard_negatives,
+           op13_alignment]
     return {f.__name__: f for f in own}
 
 

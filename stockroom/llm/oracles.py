@@ -120,9 +120,36 @@ SELECT p.page_id, payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN k USING (html) JOIN h ON h.page_id = p.page_id
 """
 
+OP11 = """
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars,
+                  regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS plain FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(plain) AS text_sha256
+FROM n WINDOW best AS (PARTITION BY plain ORDER BY chars DESC, doc_id NULLS LAST, r)
+"""
+
+OP12 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) <= 5),
+met AS (SELECT q.anchor_id, q.id AS positive_id, n.id AS negative_id, q.score AS positive_score, n.score AS negative_score,
+               row_number() OVER (PARTITION BY q.r, q.id ORDER BY n.score DESC, n.id) AS place
+        FROM positive AS q JOIN p AS n ON n.r = q.r AND NOT n.same
+         AND 80 * q.score <= 100 * n.score AND 100 * n.score <= 100 * q.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM met WHERE place <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op2_line_quality": OP2,
     "op5_source_mixture": OP5,
     "op7_warc": OP7,
     "op9_hamming_topk": OP9,
+    "op11_exact_dedup": OP11,
+    "op12_hard_negatives": OP12,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -139,3 +140,90 @@ def components(prints, max_bits=4):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (f"{prints[i]:016x}", find(i)) for i in ids}
+
+
+def exact_groups(rows):
+    """(doc_id, text) rows as stored -> (doc_id, keep_id, size, kept, sha) of each."""
+    plain = [re.sub("[\\x20\\x09-\\x0D]", "", t or "") for _, t in rows]
+    members = {}
+    for i, p in enumerate(plain):
+        members.setdefault(p, []).append(i)
+    first = {p: min(m, key=lambda i: (-len(rows[i][1] or ""), rows[i][0] is None, rows[i][0] or 0, i))
+             for p, m in members.items()}
+    return [(d, rows[first[p]][0], len(members[p]), first[p] == i, sha256(p.encode()))
+            for i, ((d, _), p) in enumerate(zip(rows, plain))]
+
+
+def hard_negatives(rows, every=100, positives=5, negatives=5, low=80, high=100):
+    """(id, vector, label) rows -> mined rows."""
+    fine = [(i, [math.floor(256 * float(x)) for x in v], k) for i, v, k in rows
+            if i is not None and k is not None and v is not None
+            and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, v, k in fine:
+        if i % every:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j, m == k) for j, w, m in fine
+                        if j != i and len(w) == len(v))
+        for s, p, _ in [x for x in scored if x[2]][:positives]:
+            near = [(n, t) for t, n, same in scored if not same and -low * s <= -high * t <= -high * s]
+            out += [(i, p, r + 1, n, -s, -t) for r, (n, t) in enumerate(near[:negatives])]
+    return out
+
+
+def alignment(rows, a_path, b_path):
+    """(doc_id, text) rows -> doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a_lib, b_lib = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a_lib.encode_special_tokens = True
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
+
+    def a_bytes(i):
+        return bytes(byte[c] for c in a_lib.id_to_token(i))
+
+    def b_bytes(i):
+        p = b_lib.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+
+    def spans(ids, of):
+        ends = [sum(len(of(i)) for i in ids[:n + 1]) for n in range(len(ids))] if len(ids) < 50 else None
+        if ends is None:
+            ends, at = [], 0
+            for i in ids:
+                at += len(of(i))
+                ends.append(at)
+        return list(zip([0, *ends], ends))
+    made, total = [], {}
+    for d, t in rows:
+        a, b = (a_lib.encode(" " + (t or ""), add_special_tokens=False).ids, b_lib.encode(t or ""))
+        raw = (" " + (t or "")).encode()
+        if not t or b"".join(map(a_bytes, a)) != raw or b"".join(map(b_bytes, b)) != raw:
+            made.append((d, [], [], [], ""))
+            continue
+        sa, sb = spans(a, a_bytes), spans(b, b_bytes)
+        linked, j = [], 0
+        for x, (s, e) in zip(a, sa):
+            while sb[j][1] <= s:
+                j += 1
+            n = j
+            while n < len(sb) and sb[n][0] < e:
+                linked.append((x, b[n]))
+                n += 1
+        for p in linked:
+            total[p] = total.get(p, 0) + 1
+        groups, i, j = [], 0, 0
+        for e in sorted({e for _, e in sa} & {e for _, e in sb}):
+            x, y = i, j
+            while i < len(sa) and sa[i][1] <= e:
+                i += 1
+            while j < len(sb) and sb[j][1] <= e:
+                j += 1
+            groups.append(",".join(map(str, a[x:i])) + "|" + ",".join(map(str, b[y:j])))
+        made.append((d, a, b, linked, ";".join(groups)))
+    top = {}
+    for (_, y), n in total.items():
+        top[y] = max(top.get(y, 0), n)
+    return [(d, len(a), len(b), len(g.split(";")) if g else 0, len(p), sum(total[x] == top[x[1]] for x in p),
+             sum(total[x] for x in p), sha256(g.encode()) if g else "") for d, a, b, p, g in made]
