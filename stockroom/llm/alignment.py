@@ -11,24 +11,29 @@ tokens of both vocabularies end.
 Both vocabularies keep a space with the word after it: a space between two characters
 that are not white is the start of a token in both (B is checked for it when it is
 loaded).  Texts are cut there, and equal fragments are aligned once per task and kept
-in a table of bounded size; all counts are sums over fragments.
+in a table of bounded size; all counts of a text are sums over its fragments.
 
-How often an id pair is linked in the whole corpus is counted first (pairs of a task are
-added up before they are shuffled).  Then every document is gone through again with the
-counts at hand: the pairs above a count that at most FREQUENT pairs reach are sent to
-every task; links of rarer pairs are added up per document and joined with their counts.
+Every text is aligned once.  Its linked id pairs, each once with how often it is linked,
+are written beside its counts as packed integers.  From these the corpus-wide counts of
+pairs are added up (per task before they are shuffled), and a last pass over them adds
+up what each document needs: the pairs above a count that at most FREQUENT pairs reach
+are held by every task; rarer ones are joined with their counts.
 
 Defined cases: a null or empty text has no tokens; neither has one whose tokens do not
 spell space + text; special strings are plain text; repeated rows are documents of their
-own; other columns are kept (result columns replace equal names).
+own; other columns, or those named in ``keep``, are kept (result columns replace equal
+names).
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,16 +43,18 @@ from pyspark.sql import functions as F
 
 from stockroom.llm import common
 from stockroom.llm.merging import byte_letters
-from stockroom.llm.token_count import vocabulary_path
+from stockroom.llm.token_count import PATTERN, SETTLED, vocabulary_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"                # how pieces write a space
 BETWEEN = r"(?<=\S) (?=\S)"     # a certain cut in both vocabularies
-EDGES = r"\S(?s:.*)\S|\S"
+BESIDE_WHITE = r" \s|\s |^ | $"  # spaces that are none
 FREQUENT = 1_000_000            # pairs whose counts every task holds
 KNOWN, KNOWN_CHARS = 400_000, 1 << 26    # fragments, and characters of theirs, a task holds
 AT_ONCE = 400_000               # characters encoded together
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+PAIRS_HELD = 4_000_000          # entries a task adds up before it passes them on
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+SUMS = (*COUNTS, "n_best", "count_sum")
 
 
 class Ragged:
@@ -69,32 +76,48 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Vocabularies:
-    """Both encoders and the bytes of their tokens."""
+    """Both encoders and the bytes of their tokens.
+
+    A's merges rank in the order of their ids, so tiktoken, several times as fast, gives
+    the ids of the tokenizers library; that library itself encodes where ranks differ
+    from ids or characters are too new for all Unicode tables to agree on their class.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.library = Tokenizer.from_file(a_path)
+        self.library.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in byte_letters().items()}
-        names = {i: t for t, i in spec["model"]["vocab"].items()}
-        self.a_bytes = Ragged([bytes(byte_of[c] for c in names[i]) if i in names else b""
-                               for i in range(max(names) + 1)])
+        vocab, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+        names = {i: t for t, i in vocab.items()}
+        spelled = {i: bytes(byte_of[c] for c in t) for i, t in names.items() if t not in added}
+        self.a_bytes = Ragged([spelled.get(i, b"") for i in range(max(names) + 1)])
+        ranked = all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(spec["model"]["merges"]))
+        self.fast = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks={t: i for i, t in spelled.items()},
+                                      special_tokens={}) if ranked else None
+        self.unsettled = regex.compile(SETTLED).search
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        n = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
+        self.n_b = self.b.get_piece_size()
+        pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = Ragged([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else
                                p.replace(SPACE, " ").encode("utf-8") for i, p in enumerate(pieces)])
         # no piece holds a space behind another character, so no piece crosses a cut
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.n_b = n
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return (np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64),
-                np.array(self.b.encode(text, num_threads=1), np.int64))
+    def settled(self, text: str) -> bool:
+        return self.fast is not None and (text.isascii() or not self.unsettled(text))
+
+    def encode(self, fragments: list[str], settled: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both vocabularies of fragments with a certain cut between each two."""
+        text = " " + " ".join(fragments)
+        a = self.fast.encode_ordinary(text) if settled else self.library.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(fragments, num_threads=1)
+        return np.array(a, np.int64), np.fromiter(chain.from_iterable(b), np.int64)
 
 
 def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +144,14 @@ def links(a_starts, a_ends, b_starts, b_ends) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Aligns fragments and keeps what their documents need.
 
-    ``sums[i]`` holds SUMS of fragment i, ``strings[i]`` its groups as written;
+    ``sums[i]`` holds COUNTS of fragment i, ``strings[i]`` its groups as written;
     ``pairs`` its linked id pairs (``a * n_b + b``).  A fragment whose tokens do not
     spell it has ``good[i]`` false.
     """
 
     def __init__(self, words: Vocabularies, frequent: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.words, self.frequent = words, frequent
-        self.split = regex.compile(BETWEEN).split if words.cuttable else lambda t: [t]
-        self.joins = regex.compile(EDGES).fullmatch
+        self.between, self.beside_white = regex.compile(BETWEEN), re.compile(BESIDE_WHITE)
         digits = max(len(words.a_bytes.sizes), words.n_b)
         self.written = Ragged([f"{i}{s}".encode() for s in ",|;" for i in range(digits)])
         self.digits = digits
@@ -138,7 +160,7 @@ class Aligner:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.chars = 0
-        self.sums = np.zeros((1024, len(SUMS)), np.int64)
+        self.sums = np.zeros((1024, len(COUNTS)), np.int64)
         self.good = np.zeros(1024, bool)
         self.strings: list[bytes] = []
         self.pairs: list[np.ndarray] = []       # of every chunk of fragments
@@ -147,37 +169,46 @@ class Aligner:
     def full(self) -> bool:
         return len(self.place) > KNOWN or self.chars > KNOWN_CHARS
 
+    def split(self, text: str) -> list[str]:
+        """A text's fragments; none of an empty text."""
+        if not self.words.cuttable or not text:
+            return [text] if text else []
+        return self.between.split(text) if self.beside_white.search(text) else text.split(" ")
+
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(fragment indices of all texts end to end, number of fragments of each)."""
-        cut = [self.split(t) if t else [] for t in texts]
-        new = [f for f in dict.fromkeys(x for c in cut for x in c) if f not in self.place]
-        held, size = [], 0
+        cut = [self.split(t) for t in texts]
+        new = [f for f in set().union(*cut) if f not in self.place] if cut else []
+        kinds: dict[bool, list[str]] = {True: [], False: []}
         for f in new:
-            if not self.joins(f):       # begins or ends with white characters: encoded alone
-                self.learn([f])
-                continue
-            held.append(f)
-            size += len(f) + 1
-            if size >= AT_ONCE:
-                self.learn(held)
-                held, size = [], 0
-        if held:
-            self.learn(held)
-        flat = [self.place[f] for c in cut for f in c]
-        return np.array(flat, np.int64), np.fromiter(map(len, cut), np.int64, len(cut))
-
-    def learn(self, fragments: list[str]) -> None:
-        """Align new fragments, encoded as one text with a cut before each."""
+            settled = self.words.settled(f)
+            if f[0].isspace() or f[-1].isspace():       # no certain cut beside it: encoded alone
+                self.learn([f], settled)
+            else:
+                kinds[settled].append(f)
+        for settled, held in kinds.items():
+            start, size = 0, 0
+            for i, f in enumerate(held):
+                size += len(f) + 1
+                if size >= AT_ONCE or i == len(held) - 1:
+                    self.learn(held[start:i + 1], settled)
+                    start, size = i + 1, 0
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = map(self.place.__getitem__, chain.from_iterable(cut))
+        return np.fromiter(flat, np.int64, int(sizes.sum())), sizes
+
+    def learn(self, fragments: list[str], settled: bool) -> None:
+        """Align new fragments, laid end to end with a cut before each."""
         first = len(self.strings)
-        a, b = self.words.encode(" ".join(fragments))
+        a, b = self.words.encode(fragments, settled)
         spelled = b"".join(b" " + f.encode("utf-8", "replace") for f in fragments)
         if self.words.a_bytes.join(a) != spelled or self.words.b_bytes.join(b) != spelled:
             if len(fragments) > 1:      # find the ones at fault
                 half = len(fragments) // 2
-                self.learn(fragments[:half])
-                self.learn(fragments[half:])
+                self.learn(fragments[:half], settled)
+                self.learn(fragments[half:], settled)
                 return
-            self.keep(fragments, np.zeros((1, 4), np.int64), [b""], np.array([False]))
+            self.keep(fragments, np.zeros((1, len(COUNTS)), np.int64), [b""], np.array([False]))
             return
         a_ends, b_ends = np.cumsum(self.words.a_bytes.sizes[a]), np.cumsum(self.words.b_bytes.sizes[b])
         ends = np.cumsum([len(f.encode("utf-8", "replace")) + 1 for f in fragments])
@@ -191,8 +222,6 @@ class Aligner:
         self.keep(fragments, sums, strings, np.ones(n, bool))
         self.pairs.append(a[x] * self.words.n_b + b[y])
         self.owners.append(first + a_of[x])
-        if self.frequent is not None:
-            self.weigh(first, n)
 
     def groups(self, a, b, a_last, b_last, a_of, b_of, n: int) -> list[bytes]:
         """The groups of each fragment as written: A's ids, a bar, B's ids, a semicolon."""
@@ -213,25 +242,12 @@ class Aligner:
         while first + n > len(self.good):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
             self.good = np.concatenate([self.good, np.zeros_like(self.good)])
-        self.sums[first:first + n, :sums.shape[1]] = sums
+        self.sums[first:first + n] = sums
         self.good[first:first + n] = good
         self.strings += strings
         self.place.update(zip(fragments, range(first, first + n)))
         self.chars += sum(map(len, fragments))
 
-    def weigh(self, first: int, n: int) -> None:
-        """n_best and count_sum of the links with frequent pairs; the others stay in ``pairs``."""
-        keys, counts, best = self.frequent
-        pairs, owners = self.pairs.pop(), self.owners.pop()
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-            hit = keys[at] == pairs
-            np.add.at(self.sums[:, 4], owners[hit], best[at[hit]])
-            np.add.at(self.sums[:, 5], owners[hit], counts[at[hit]])
-            pairs, owners = pairs[~hit], owners[~hit]
-        self.pairs.append(pairs)
-        self.owners.append(owners)
-
     def all_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pairs of all fragments end to end, first place and number of each fragment)."""
         pairs = np.concatenate([np.zeros(0, np.int64), *self.pairs])
@@ -259,81 +275,107 @@ def whole(good: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (bad == 0) & (sizes > 0)
 
 
-def pair_counter(a_file: str, b_file: str):
-    """Texts -> (pair, n), added up per task."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Aligner(Vocabularies(vocabulary_path(a_file), vocabulary_path(b_file)))
-        seen = np.zeros(1024, np.int64)
-
-        def added() -> pd.DataFrame:
-            pairs, _, sizes = own.all_pairs()
-            keys, inverse = np.unique(pairs, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, inverse, np.repeat(seen[:len(sizes)], sizes))
-            return pd.DataFrame({"pair": keys[n > 0], "n": n[n > 0]})
-        for part in parts:
-            for texts in groups_of_texts(part["text"].fillna("").tolist()):
-                at, sizes = own.places(texts)
-                if len(seen) < len(own.good):
-                    seen = np.r_[seen, np.zeros(len(own.good) - len(seen), np.int64)]
-                read = np.repeat(whole(own.good, at, sizes), sizes)
-                seen[:len(own.strings)] += np.bincount(at[read], minlength=len(own.strings))
-                if own.full():
-                    yield added()
-                    own.forget()
-                    seen[:] = 0
-        yield added()
-    return run
+def packed(values: np.ndarray) -> bytes:
+    """Counts or ids in as few bytes each as hold the largest."""
+    top = int(values.max(initial=0))
+    return values.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << (8 * n))).tobytes()
 
 
-def scorer(a_file: str, b_file: str, frequent):
-    """A text expression -> struct of SUMS, groups_sha256, and the links of rarer pairs."""
-    fields = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
+def unpacked(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Packed arrays of known lengths, end to end."""
+    return np.concatenate([np.zeros(0, np.int64), *(
+        np.frombuffer(p, f"<u{len(p) // n}").astype(np.int64) for p, n in zip(parts, sizes.tolist()) if n)])
 
-    @F.pandas_udf(f"{fields}, groups_sha256 string, rare array<struct<pair: long, n: long>>")
+
+def aligner(a_file: str, b_file: str):
+    """A text expression -> struct of COUNTS, groups_sha256, and its id pairs with how
+    often each is linked (packed)."""
+    fields = ", ".join(f"{c} long" for c in COUNTS)
+
+    @F.pandas_udf(f"{fields}, groups_sha256 string, n_pairs int, pairs binary, times binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Aligner(Vocabularies(vocabulary_path(a_file), vocabulary_path(b_file)), frequent)
+        own = Aligner(Vocabularies(vocabulary_path(a_file), vocabulary_path(b_file)))
+        span = np.int64(len(own.words.a_bytes.sizes) * own.words.n_b)
+        gc.disable()            # millions of short-lived lists, none of them in a cycle
         for part in parts:
             rows: list[tuple] = []
             for texts in groups_of_texts(part.tolist()):
                 at, sizes = own.places(texts)
                 fine = whole(own.good, at, sizes)
-                pairs, starts, many = own.all_pairs()
                 stops = np.cumsum(sizes)
-                for ok, i, j in zip(fine, (stops - sizes).tolist(), stops.tolist()):
+                pairs, starts, many = own.all_pairs()
+                doc = np.repeat(np.arange(len(texts)), sizes)
+                keys, times = np.unique(np.repeat(doc * span, many[at]) + pairs[spread(starts[at], many[at])],
+                                        return_counts=True)
+                edges = np.searchsorted(keys, np.arange(len(texts) + 1) * span).tolist()
+                sums = np.zeros((len(texts), len(COUNTS)), np.int64)
+                np.add.at(sums, doc, own.sums[at])
+                order = at.tolist()
+                for d, (ok, i, j) in enumerate(zip(fine, (stops - sizes).tolist(), stops.tolist())):
                     if not ok:
-                        rows.append((0,) * len(SUMS) + ("", []))
+                        rows.append((0,) * len(COUNTS) + ("", 0, b"", b""))
                         continue
-                    mine = at[i:j]
-                    digest = hashlib.sha256(b";".join([own.strings[x] for x in mine.tolist()])).hexdigest()
-                    rare = mine[many[mine] > 0]
-                    keys, n = np.unique(pairs[spread(starts[rare], many[rare])], return_counts=True)
-                    rows.append((*own.sums[mine].sum(axis=0).tolist(), digest,
-                                 [{"pair": k, "n": c} for k, c in zip(keys.tolist(), n.tolist())]))
+                    digest = hashlib.sha256(b";".join([own.strings[x] for x in order[i:j]])).hexdigest()
+                    lo, hi = edges[d], edges[d + 1]
+                    rows.append((*sums[d].tolist(), digest, hi - lo, packed(keys[lo:hi] - d * span), packed(times[lo:hi])))
                 if own.full():
                     own.forget()
-            yield pd.DataFrame(rows, columns=[*SUMS, "groups_sha256", "rare"])
+            yield pd.DataFrame(rows, columns=[*COUNTS, "groups_sha256", "n_pairs", "pairs", "times"])
     return run
 
 
-def pair_counts(docs: DataFrame, text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed pairs and times of documents -> (pair, n), added up per task."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, inverse, np.concatenate([c for _, c in held]))
+        return keys, n
+    for part in parts:
+        sizes = part["n_pairs"].to_numpy()
+        held.append((unpacked(part["pairs"].tolist(), sizes), unpacked(part["times"].tolist(), sizes)))
+        if sum(len(k) for k, _ in held) > PAIRS_HELD:
+            held = [together()]
+            if len(held[0][0]) > PAIRS_HELD // 2:
+                yield pd.DataFrame({"pair": held[0][0], "n": held[0][1]})
+                held = held[:0]
+    if held:
+        keys, n = together()
+        yield pd.DataFrame({"pair": keys, "n": n})
+
+
+def weigher(keys: np.ndarray, counts: np.ndarray, best: np.ndarray):
+    """Packed pairs -> n_best and count_sum over the frequent ones, and the rarer ones."""
+    @F.pandas_udf("n_best long, count_sum long, rare array<long>, rare_times array<long>")
+    def run(n_pairs: pd.Series, pairs: pd.Series, times: pd.Series) -> pd.DataFrame:
+        sizes = n_pairs.to_numpy(np.int64)
+        p, t = unpacked(pairs.tolist(), sizes), unpacked(times.tolist(), sizes)
+        at = np.minimum(np.searchsorted(keys, p), max(0, len(keys) - 1))
+        hit = keys[at] == p if len(keys) else np.zeros(len(p), bool)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.zeros((len(sizes), 2), np.int64)
+        np.add.at(out[:, 0], doc[hit], t[hit] * best[at[hit]])
+        np.add.at(out[:, 1], doc[hit], t[hit] * counts[at[hit]])
+        edges = np.searchsorted(doc[~hit], np.arange(1, len(sizes)))
+        return pd.DataFrame({"n_best": out[:, 0], "count_sum": out[:, 1], "rare": np.split(p[~hit], edges),
+                             "rare_times": np.split(t[~hit], edges)})
+    return run
+
+
+def pair_counts(linked: DataFrame, n_b: int) -> DataFrame:
     """(pair, n, best): corpus-wide links of every id pair, with ``a * n_b + b`` as pair,
     and 1 where no other A id is linked more often with its B id."""
-    common.python_ready(docs.sparkSession)
-    counted = docs.select(F.col(f"`{text}`").alias("text")).mapInPandas(pair_counter(a_file, b_file), "pair long, n long")
+    counted = linked.select("n_pairs", "pairs", "times").mapInPandas(added, "pair long, n long")
     total = common.cut(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-pairs")
-    b = F.pmod("pair", F.lit(_pieces(b_file)))
+    b = F.pmod("pair", F.lit(n_b))
     # one row per id of vocabulary B at most
     top = total.groupBy(b.alias("b")).agg(F.max("n").alias("top"))
     return common.cut(total.join(F.broadcast(top), b == F.col("b")).select(
         "pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best")), "align-counts")
 
 
-def _pieces(b_file: str) -> int:
-    import sentencepiece
-    return sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(b_file)).get_piece_size()
-
-
 def frequent_pairs(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """``counts`` in two: the pairs above a power of two that at most ``most`` pairs
     reach, and the rest."""
@@ -349,27 +391,33 @@ def frequent_pairs(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 
 def align(docs: DataFrame, text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE,
-          frequent: int = FREQUENT) -> DataFrame:
+          frequent: int = FREQUENT, keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with SUMS and ``groups_sha256``.
 
     ``frequent``: how many pairs' counts every task may hold; the result does not
-    depend on it.
+    depend on it.  ``keep``: the columns of ``docs`` to return, by default all.
     """
-    counts = pair_counts(docs, text, a_file, b_file)
-    often, seldom = frequent_pairs(counts, frequent)
-    table = often.toPandas().sort_values("pair")         # at most ``frequent`` rows
-    held = tuple(table[c].to_numpy(np.int64) for c in ("pair", "n", "best"))
+    import sentencepiece
+    common.python_ready(docs.sparkSession)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (*SUMS, "groups_sha256")]
     row, found = common.free_name(docs, "row"), common.free_name(docs, "found")
-    run = scorer(a_file, b_file, held)
-    scored = common.cut(docs.withColumn(found, run(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-                        .withColumn(row, F.monotonically_increasing_id()), "align-scored")
-    rare = (scored.select(F.col(row).alias("of"), F.explode(f"{found}.rare").alias("x"))
-            .select("of", "x.pair", F.col("x.n").alias("times")).join(seldom, "pair").groupBy("of")
+    run = aligner(a_file, b_file)
+    linked = common.cut(docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row),
+                                    run(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias(found)), "align-linked")
+    n_b = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(b_file)).get_piece_size()
+    often, seldom = frequent_pairs(pair_counts(linked.select(f"{found}.*"), n_b), frequent)
+    table = often.toPandas().sort_values("pair")         # at most ``frequent`` rows
+    weigh = weigher(*(table[c].to_numpy(np.int64) for c in ("pair", "n", "best")))
+    mine = F.struct(*[F.col(f"{found}.{c}") for c in (*COUNTS, "groups_sha256")],
+                    weigh(*[F.col(f"{found}.{c}") for c in ("n_pairs", "pairs", "times")]).alias("w")).alias(found)
+    weighed = common.cut(linked.select(*[F.col(f"`{c}`") for c in kept], row, mine), "align-weighed")
+    rare = (weighed.select(F.col(row).alias("of"), F.explode(F.arrays_zip(
+        F.col(f"{found}.w.rare").alias("pair"), F.col(f"{found}.w.rare_times").alias("times"))).alias("x"))
+            .select("of", "x.pair", "x.times").join(seldom, "pair").groupBy("of")
             .agg(F.sum(F.col("times") * F.col("best")).alias("more_best"),
                  F.sum(F.col("times") * F.col("n")).alias("more_sum")))
-    new = {c: F.col(f"d.{found}.{c}") for c in (*SUMS, "groups_sha256")}
-    new["n_best"] = new["n_best"] + F.coalesce("r.more_best", F.lit(0))
-    new["count_sum"] = new["count_sum"] + F.coalesce("r.more_sum", F.lit(0))
-    kept = [c for c in docs.columns if c.lower() not in new]
-    return scored.alias("d").join(rare.alias("r"), F.col(f"d.{row}") == F.col("r.of"), "left").select(
-        *[F.col(f"d.`{c}`") for c in kept], *[v.alias(k) for k, v in new.items()])
+    new = {c: F.col(f"d.{found}.{c}") for c in (*COUNTS, "groups_sha256")}
+    new["n_best"] = F.col(f"d.{found}.w.n_best") + F.coalesce("r.more_best", F.lit(0))
+    new["count_sum"] = F.col(f"d.{found}.w.count_sum") + F.coalesce("r.more_sum", F.lit(0))
+    return weighed.alias("d").join(rare.alias("r"), F.col(f"d.{row}") == F.col("r.of"), "left").select(
+        *[F.col(f"d.`{c}`") for c in kept], *[new[c].alias(c) for c in (*SUMS, "groups_sha256")])
