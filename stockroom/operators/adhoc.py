@@ -8,8 +8,14 @@ to the driver to be cut there.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from stockroom.functions import exprs
+from stockroom.session import scratch_path
 
 # Statement words that make a query not read-only.
 FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE", "TRUNCATE", "EXEC", "MERGE")
@@ -19,10 +25,21 @@ FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "ALTER", "CREATE", "TRUNCATE"
 _QUOTED_OR_COMMENT = re.compile(
     r"(?P<q>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(?P<c>--[^\n]*|/\*.*?\*/)", re.S)
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
-# functions that reach outside the query
-_OUTSIDE = re.compile(r"'(?:java_method|reflect|try_reflect)\(", re.I)
-_RELATION = re.compile(r"'?Unresolved(?:Relation|TableValuedFunction) \[([^\]]*)\]")
-_CTE = re.compile(r"CTE \[([^\]]*)\]")
+
+# Nodes an analysed statement may consist of outside the given tables.  Anything else —
+# files, other tables and views, scripts, commands — is refused.
+_NODES = frozenset("""
+    Project Filter Aggregate Join LateralJoin Sort Window Generate Expand Sample Union Intersect Except Distinct
+    Deduplicate GlobalLimit LocalLimit Offset Tail SubqueryAlias WithCTE CTERelationDef CTERelationRef OneRowRelation
+    LocalRelation Range ResolvedHint Repartition RepartitionByExpression RebalancePartitions Pivot Unpivot UnionLoop
+    UnionLoopRef View""".split())
+# Expressions: Spark's own, without those that run code of a user or read outside data.
+_JAVA = frozenset(("reflect", "java_method", "try_reflect"))
+_OWN = "org.apache.spark.sql.catalyst.expressions."
+_XML = _OWN + "xml."            # XML may name entities elsewhere
+_CALLS_OUT = frozenset("""
+    CallMethodViaReflection ScalaUDF PythonUDF PythonUDAF PythonUDTF UnresolvedPolymorphicPythonUDTF
+    UserDefinedGenerator ScalaAggregator ScalaUDAF ApplyFunctionExpression""".split())
 
 
 class ReadOnlyViolation(ValueError):
@@ -49,17 +66,63 @@ def check_read_only(text: str) -> str:
     return text.strip().rstrip(";")
 
 
-def check_plan(spark: SparkSession, stmt: str, tables: dict[str, DataFrame]) -> None:
-    """Q2 on the parsed plan: it reads the given tables and its own WITH names only,
-    and calls no function that reaches outside the query."""
-    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt).treeString()
-    if _OUTSIDE.search(tree):
-        raise ReadOnlyViolation("Function is not allowed")
-    own = {n.strip().lower() for m in _CTE.findall(tree) for n in m.split(",")}
-    known = own | {n.lower() for n in tables}
-    for name in _RELATION.findall(tree):
-        if name.strip().lower() not in known:
-            raise ReadOnlyViolation(f"Unknown table: {name}")
+def _each(seq):
+    """The elements of a Scala sequence."""
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def check_parsed(spark: SparkSession, stmt: str) -> None:
+    """Q2 before analysis, which already loads the class that a call of Java names: no such
+    call, and no name that is computed (``IDENTIFIER``)."""
+    def look(e) -> None:
+        kind = e.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in kind:
+            raise ReadOnlyViolation("Computed names are not allowed")
+        if kind == "UnresolvedFunction" and list(_each(e.nameParts()))[-1].lower() in _JAVA:
+            raise ReadOnlyViolation("Calls of Java are not allowed")
+        for child in _each(e.children()):
+            look(child)
+
+    def walk(node) -> None:
+        if "UnresolvedIdentifier" in node.nodeName():
+            raise ReadOnlyViolation("Computed names are not allowed")
+        for e in _each(node.expressions()):
+            look(e)
+        for plan in (*_each(node.children()), *_each(node.innerChildren()), *_each(node.subqueries())):
+            walk(plan)
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt))
+
+
+def _check_expression(e) -> None:
+    name = e.getClass().getName()
+    short = name.rsplit(".", 1)[-1].rstrip("$")
+    if not name.startswith(_OWN) or name.startswith(_XML) or short in _CALLS_OUT:
+        raise ReadOnlyViolation(f"Expression is not allowed: {e.prettyName() if name.startswith(_OWN) else short}")
+    for child in _each(e.children()):
+        _check_expression(child)
+
+
+def check_plan(out: DataFrame, tables: dict[str, DataFrame]) -> None:
+    """Q2 on the analysed plan: it reads the given tables only, through their views, and
+    every other node and expression is on the lists above.  Nothing has run yet."""
+    given = {n.lower() for n in tables}
+
+    def walk(node) -> None:
+        kind = node.nodeName()
+        if kind == "View" and node.isTempView():
+            name = node.desc().identifier()
+            if name.database().isEmpty() and name.table().lower() in given:
+                return                      # a given table; how it is made is the caller's business
+            raise ReadOnlyViolation(f"Unknown table: {name.table()}")
+        if kind not in _NODES or kind == "View":
+            raise ReadOnlyViolation(f"Not a query over the given tables: {kind}")
+        for e in _each(node.expressions()):
+            _check_expression(e)
+        for plan in (*_each(node.children()), *_each(node.subqueries())):
+            walk(plan)
+    walk(out._jdf.queryExecution().analyzed())
 
 
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str,
@@ -70,27 +133,55 @@ def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str,
     text.  ``limit`` caps the result inside the plan.
     """
     stmt = check_read_only(text)
-    check_plan(spark, stmt, tables)
+    check_parsed(spark, stmt)
     # the statement is resolved at once, so the caller's own views come back after it
     before = {n: spark.table(n) for n in tables if spark.catalog.tableExists(n)}
     try:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
-        out = spark.sql(stmt, args=args) if args else spark.sql(stmt)
+        try:
+            out = spark.sql(stmt, args=args) if args else spark.sql(stmt)
+        except AnalysisException as e:
+            if "NOT_FOUND" in (e.getCondition() or "") and "TABLE" in (e.getCondition() or ""):
+                raise ReadOnlyViolation(f"Unknown table: {e.getMessageParameters().get('relationName')}") from None
+            raise
     finally:
         for name in tables:
             if name in before:
                 before[name].createOrReplaceTempView(name)
             else:
                 spark.catalog.dropTempView(name)
-    return out if limit is None else out.limit(limit)
+    check_plan(out, tables)
+    return exprs.first(out, limit)
 
 
 def run_sql_capped(spark: SparkSession, tables: dict[str, DataFrame], text: str, cap: int,
                    args: dict | None = None) -> tuple[DataFrame, int]:
-    """Q3: the first ``cap`` rows (a ``LIMIT`` in the plan) and the full row count.
+    """Q3: the first ``cap`` rows and the full row count, from one run of the statement.
 
-    The count is a distributed aggregate; the full result is never collected.
+    Its result is written once to the shared folder, counted on the way (an
+    ``Observation``); the head is read from there in the statement's own order.
     """
     full = run_sql(spark, tables, text, args)
-    return full.limit(cap), full.count()
+    place = "_place"
+    while place in full.columns:
+        place = "_" + place
+    rows, path = Observation(), scratch_path(spark, "statement")
+    (full.observe(rows, F.count(F.lit(1)).alias("n")).withColumn(place, F.monotonically_increasing_id())
+     .write.mode("overwrite").parquet(path))
+    head = spark.read.parquet(path).orderBy(place).limit(cap).drop(place)
+    return head, int(rows.get["n"])
+
+
+def verdicts(spark: SparkSession, tables: dict[str, DataFrame], statements: list[str]) -> DataFrame:
+    """(statement, accepted, n_rows): which statements the guard lets through, by their
+    place in the list, and how many rows each of those returns."""
+    parts = []
+    for i, text in enumerate(statements):
+        head = (F.lit(i).alias("statement"),)
+        try:
+            out = run_sql(spark, tables, text)
+            parts.append(out.agg(F.count(F.lit(1)).alias("n_rows")).select(*head, F.lit(True).alias("accepted"), "n_rows"))
+        except ReadOnlyViolation:
+            parts.append(spark.range(1).select(*head, F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("n_rows")))
+    return reduce(DataFrame.unionByName, parts)
