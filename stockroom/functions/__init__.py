@@ -4,7 +4,6 @@ from stockroom.functions.exprs import (  # noqa: F401
     code,
     exact_avg,
     exact_sum,
-    list_text,
     ratio,
     stock_label,
     times,

@@ -72,16 +72,6 @@ def stock_label(qty: str | Column, rp: str | Column, below: str, low: str,
             .otherwise(F.lit(ok)))
 
 
-def list_text(col: str | Column) -> Column:
-    """Sorted distinct values joined by ',' (null when there are none).
-
-    Used only on groups whose distinct-value count is bounded by a dimension
-    (suppliers of a product, products of a supplier).
-    """
-    text = F.concat_ws(",", F.array_sort(F.collect_set(_c(col))))
-    return F.nullif(text, F.lit(""))
-
-
 def order_entries(orders: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     """(keys, side, value, q): the distinct values of several columns of order lines, from
     one pass over them.  Entries are pre-aggregated in each task and spread by their

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import stock_label, times
+from stockroom.functions.exprs import first, stock_label, times
 
 
 def _where(df: DataFrame, conds: list[Column]) -> DataFrame:
@@ -40,7 +40,7 @@ def inventory_rows(inventory: DataFrame, sku: str | None = None, location: str |
                    "location", "unit_cost", "supplier_id")
            .orderBy(F.when(q <= rp, 0).otherwise(1), q.asc_nulls_last(),
                     F.col("sku").asc_nulls_last(), F.col("location").asc_nulls_last()))
-    return out.limit(limit) if limit else out
+    return first(out, limit)
 
 
 def supplier_rows(suppliers: DataFrame, supplier_id: str | None = None,
@@ -59,7 +59,7 @@ def supplier_rows(suppliers: DataFrame, supplier_id: str | None = None,
         conds.append(F.col("rating") >= F.lit(float(min_rating)))
     out = _where(suppliers, conds).orderBy(F.col("rating").desc_nulls_last(),
                                            F.col("supplier_id").asc_nulls_last())
-    return out.limit(limit) if limit else out
+    return first(out, limit)
 
 
 def po_rows(orders: DataFrame, po_number: str | None = None, sku: str | None = None,
@@ -74,4 +74,4 @@ def po_rows(orders: DataFrame, po_number: str | None = None, sku: str | None = N
         conds.append(F.col("supplier_id") == F.lit(supplier_id))
     rest = [F.col(c).asc_nulls_last() for c in orders.columns if c != "order_date"]
     out = _where(orders, conds).orderBy(F.col("order_date").desc_nulls_last(), *rest)
-    return out.limit(limit) if limit else out
+    return first(out, limit)

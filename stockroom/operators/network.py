@@ -7,12 +7,16 @@ keyed by id: one supplier node per supplier row, one product node per sku
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import held, list_text, order_entries
+from stockroom.functions.exprs import held, order_entries
+from stockroom.functions.ordering import joined_pages, pages
+from stockroom.session import remove, scratch_path
 
 # Node labels and relationship names.
 SUPPLIER, PRODUCT, ORDER = "Supplier", "Product", "PurchaseOrder"
@@ -37,20 +41,27 @@ def product_orders(orders: DataFrame, inventory: DataFrame, with_list: bool = Tr
     (sku, qty_on_hand) pairs of inventory.  A sku stocked at several
     locations with different levels gives one row per level; equal levels at
     two locations give one row whose units are *not* doubled (a join at line
-    grain would double them).  ``with_list=False`` leaves the supplier list out.
+    grain would double them).  The supplier list is joined from pages
+    (``product_supplier_pages``); ``with_list=False`` leaves it out.
     """
-    aggs = [held("po_number").alias("num_orders"), F.sum("q").alias("total_ordered")]
-    if with_list:
-        aggs.append(list_text(F.when(F.col("side") == "supplier_id", F.col("value"))).alias("suppliers"))
-    per = (order_entries(orders, ["sku"], "po_number", *(["supplier_id"] if with_list else []))
-           .groupBy("sku").agg(*aggs))
+    per = (order_entries(orders, ["sku"], "po_number").groupBy("sku")
+           .agg(held("po_number").alias("num_orders"), F.sum("q").alias("total_ordered")))
     stock = inventory.select("sku", "qty_on_hand").distinct()
-    return (per.join(stock, "sku", "left")
-            .select("sku", "num_orders", "total_ordered", *(["suppliers"] if with_list else []),
-                    F.col("qty_on_hand").alias("current_stock"))
+    out = per.join(stock, "sku", "left")
+    if with_list:
+        text = joined_pages(product_supplier_pages(orders), "sku").withColumnRenamed("sku", "_k")
+        out = out.join(text, F.col("sku") == F.col("_k"), "left")
+    return (out.select("sku", "num_orders", "total_ordered", *([F.col("text").alias("suppliers")] if with_list else []),
+                       F.col("qty_on_hand").alias("current_stock"))
             .orderBy(F.col("total_ordered").desc_nulls_last(), "sku"))
 
 
+def product_supplier_pages(orders: DataFrame, size: int = 1000) -> DataFrame:
+    """J8 in pages: (sku, page, entries, n), at most ``size`` suppliers a row, sorted."""
+    pairs = orders.select("sku", "supplier_id").distinct()
+    return pages(pairs, "sku", "supplier_id", size, scratch_path(orders.sparkSession, "sku-pages"))
+
+
 # ---------------------------------------------------------------------------
 # Nodes
 # ---------------------------------------------------------------------------
@@ -95,20 +106,29 @@ def product_nodes(inventory: DataFrame) -> DataFrame:
 def order_lines(orders: DataFrame) -> DataFrame:
     """Order lines at (po, sku, supplier) grain: Σ quantity, earliest order date.
 
-    Order nodes and the single edge types roll up from this aggregate.  ``graph_edges``
-    has a pass of its own for both types; the traces read it twice (totals of whole
-    orders beside the lines that qualify), since a filter on one side is pushed below it.
+    Order nodes and the single edge types roll up from this aggregate; ``graph_edges``
+    has a pass of its own for both types.
     """
     return (orders.where(F.col("po_number").isNotNull())
             .groupBy("po_number", "sku", "supplier_id")
-            .agg(F.sum("quantity").alias("q"), F.min("order_date").alias("d")))
+            .agg(F.sum("quantity").alias("quantity"), F.min("order_date").alias("order_date")))
+
+
+def staged_lines(orders: DataFrame) -> DataFrame:
+    """``order_lines`` written once to the shared folder.  They are order lines themselves
+    (their sums and earliest dates are the same), so nodes and edges can be derived from
+    them without another pass over the orders; a filter of one consumer cannot keep the
+    others from sharing it, and an order of very many lines stays spread over tasks."""
+    path = scratch_path(orders.sparkSession, "order-lines")
+    order_lines(orders).write.mode("overwrite").parquet(path)
+    return orders.sparkSession.read.parquet(path)
 
 
 def order_nodes(orders: DataFrame) -> DataFrame:
     """One node per PO number; quantity is the PO total, date the earliest."""
     per = (order_lines(orders).groupBy("po_number")
-           .agg(F.sum("q").alias("q"), F.min("d").alias("d")))
-    return _node(per, ORDER, node_id=F.col("po_number"), quantity=F.col("q"), order_date=F.col("d"))
+           .agg(F.sum("quantity").alias("quantity"), F.min("order_date").alias("order_date")))
+    return _node(per, ORDER, node_id=F.col("po_number"), quantity=F.col("quantity"), order_date=F.col("order_date"))
 
 
 def graph_nodes(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame) -> DataFrame:
@@ -133,7 +153,7 @@ def orders_edges(orders: DataFrame, inventory: DataFrame) -> DataFrame:
     skus = first_inventory_row(inventory).select(F.col("sku").alias("dst"))   # product nodes
     per = (order_lines(orders).where(F.col("sku").isNotNull())
            .groupBy(F.col("po_number").alias("src"), F.col("sku").alias("dst"))
-           .agg(F.sum("q").alias("quantity")))
+           .agg(F.sum("quantity").alias("quantity")))
     return per.join(skus, "dst").select(F.lit(ORDERS).alias("rel"), "src", "dst", "quantity")
 
 
@@ -197,7 +217,11 @@ def network_links(suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def supplier_dependencies(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
                           supplier_id: str | None = None) -> DataFrame:
-    """Per supplier, its products (SUPPLIES) and orders (FROM_SUPPLIER), long form."""
+    """Per supplier, its products (SUPPLIES) and orders (FROM_SUPPLIER), long form.
+
+    The orders are read once; edges and order totals come from their staged lines.
+    """
+    orders = staged_lines(orders)
     prods = (supplies_edges(suppliers, inventory).select("src", "dst")
              .join(product_nodes(inventory).select(F.col("node_id").alias("dst"), "qty_on_hand"), "dst")
              .select(F.col("src").alias("supplier_id"), F.lit("product").alias("kind"),
@@ -215,7 +239,11 @@ def supplier_dependencies(suppliers: DataFrame, inventory: DataFrame, orders: Da
 
 def product_trace(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
                   sku: str | None = None) -> DataFrame:
-    """Per product, its suppliers (SUPPLIES) and orders (ORDERS), long form."""
+    """Per product, its suppliers (SUPPLIES) and orders (ORDERS), long form.
+
+    The orders are read once; edges and order dates come from their staged lines.
+    """
+    orders = staged_lines(orders)
     sup = suppliers.select(F.col("supplier_id").alias("src"), "supplier_name", "lead_time", "rating")
     sups = (supplies_edges(suppliers, inventory).select("src", "dst").join(sup, "src")
             .select(F.col("dst").alias("sku"), F.lit("supplier").alias("kind"),
@@ -233,13 +261,35 @@ def product_trace(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
     return out.where(F.col("sku") == F.lit(sku)) if sku else out
 
 
-def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str) -> None:
-    """Rebuild — overwrite the node and edge tables, uncapped.
+# ---------------------------------------------------------------------------
+# G10 — the stored graph
+# ---------------------------------------------------------------------------
+def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str, keep: int = 2) -> str:
+    """Rebuild the node and edge tables, uncapped, as a new version; its name.
 
-    Each table is written by its own distributed job; a rebuild replaces the
-    previous graph as a whole (no per-node round trips, no row cap).
+    Nodes and edges go to a folder of their own under ``versions/``; only when both are
+    written does a pointer to it become readable (a file appended to ``pointers/``).  A
+    rebuild that fails leaves the graph that readers see as it was.  Of older versions
+    the newest ``keep - 1`` stay, for readers that have just resolved one.
     """
-    graph_nodes(suppliers, inventory, orders).write.mode("overwrite").partitionBy("label") \
-        .parquet(f"{path.rstrip('/')}/nodes")
-    graph_edges(suppliers, inventory, orders).write.mode("overwrite").partitionBy("rel") \
-        .parquet(f"{path.rstrip('/')}/edges")
+    spark, base = suppliers.sparkSession, path.rstrip("/")
+    version = f"{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    lines, at = staged_lines(orders), f"{base}/versions/{version}"
+    # one file per kind and task that holds enough rows of it, not tasks x kinds small ones
+    graph_nodes(suppliers, inventory, lines).hint("rebalance", "label") \
+        .write.mode("overwrite").partitionBy("label").parquet(f"{at}/nodes")
+    graph_edges(suppliers, inventory, lines).hint("rebalance", "rel") \
+        .write.mode("overwrite").partitionBy("rel").parquet(f"{at}/edges")
+    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{base}/pointers")
+    known = spark.read.parquet(f"{base}/pointers").select("version").distinct().orderBy(F.desc("version"))
+    for row in known.limit(keep + 20).collect()[keep:]:       # a few old versions per rebuild
+        remove(spark, f"{base}/versions/{row['version']}")
+    return version
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the newest complete version."""
+    base = path.rstrip("/")
+    version = spark.read.parquet(f"{base}/pointers").agg(F.max("version")).first()[0]
+    nodes, edges = (spark.read.parquet(f"{base}/versions/{version}/{name}") for name in ("nodes", "edges"))
+    return nodes.select(*NODE_COLS), edges.select("rel", "src", "dst", "quantity")

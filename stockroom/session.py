@@ -86,6 +86,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _count():
     n = 0
     while True:
