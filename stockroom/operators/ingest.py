@@ -22,9 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.schemas import CategoryRules, rules_for
-from stockroom.sources.files import (csv_reader, missing_as_null, read_upload, text_schema, write_keyed,
-                                     write_table)
+from stockroom.schemas import CATEGORIES, CategoryRules, rules_for, unknown_category
+from stockroom.sources.files import write_keyed
 
 VALID = "valid"
 DUPLICATE = "duplicate_rows"
@@ -49,9 +48,9 @@ def _recorded(spark: SparkSession, store: str, upload_id: int, category: str,
     return True
 
 
-def _file_bytes(spark: SparkSession, path: str) -> int | None:
+def _file_bytes(spark: SparkSession, path: str) -> int:
     """Size of an upload from file metadata; the content column is not read."""
-    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
 # ---------------------------------------------------------------------------
@@ -96,8 +95,12 @@ def validate_schema(df: DataFrame, category: str) -> SchemaCheck:
     missing = tuple(c for c in rules.required if c not in cols)
     present = tuple(c for c in rules.required if c in cols)
     extra = tuple(c for c in cols if c not in rules.known)
-    return SchemaCheck(category, not missing, present, missing, extra,
-                       f"Missing required columns: {', '.join(missing)}" if missing else None)
+    twice = sorted({c for c in cols if cols.count(c) > 1})
+    hidden = [c for c in cols if c.startswith("_")]
+    error = (f"columns named twice: {', '.join(twice)}" if twice else
+             f"column names starting with an underscore: {', '.join(hidden)}" if hidden else
+             f"required columns not found: {', '.join(missing)}" if missing else None)
+    return SchemaCheck(category, error is None, present, missing, extra, error)
 
 
 def _typed(df: DataFrame, rules: CategoryRules) -> DataFrame:
@@ -119,14 +122,23 @@ def _typed(df: DataFrame, rules: CategoryRules) -> DataFrame:
 
 
 # Date layouts tried after ISO dates, in this order.
-DATE_LAYOUTS = ("MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+DATE_LAYOUTS = ("yyyy/MM/dd", "yyyyMMdd", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+# Dates that may name the month or the day first: 03/04/2024, 3-4-2024, 03.04.2024.
+TWO_WAY = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$"
 
 
-def as_date(c: Column) -> Column:
-    """A date from a date, a timestamp or text in one of several layouts; else null."""
+def as_date(c: Column, day_first: bool = False) -> Column:
+    """A date from a date, a timestamp or text in one of several layouts; else null.
+
+    A date that can be read both ways has its month first, or its day if ``day_first``;
+    one that can be read in one way only is read so.
+    """
     text = F.trim(c.cast("string"))
+    slashed = F.translate(text, "-.", "//")
+    month, day = (F.try_to_timestamp(slashed, F.lit(p)).cast("date") for p in ("M/d/yyyy", "d/M/yyyy"))
+    two_way = F.coalesce(day, month) if day_first else F.coalesce(month, day)
     tries = [F.try_to_timestamp(text, F.lit(p)).cast("date") for p in DATE_LAYOUTS]
-    return F.coalesce(text.try_cast("date"), *tries)
+    return F.when(text.rlike(TWO_WAY), two_way).otherwise(F.coalesce(text.try_cast("date"), *tries))
 
 
 def as_type(c: Column, to: T.DataType) -> Column:
@@ -176,14 +188,18 @@ def tag_rows(upload: DataFrame, category: str) -> DataFrame:
     Rows are compared as they were uploaded; the typed values stand beside them, and
     ``_raw`` keeps the uploaded ones for the rejects.
     """
-    rules = rules_for(category)
     df = normalise_columns(upload)
     cols = [c for c in df.columns if not c.startswith("_")]
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return tag_grouped(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")), category, cols)
+
+
+def tag_grouped(grouped: DataFrame, category: str, cols: list[str]) -> DataFrame:
+    """``tag_rows`` of rows that are distinct already and have their multiplicity ``_n``;
+    ``cols`` are the uploaded columns, any others are passed through."""
+    rules = rules_for(category)
     raw = F.struct(*[F.col(c) for c in cols]).alias("_raw")
-    beside = [c for c in df.columns if c not in cols]
-    held = grouped.select(*cols, *beside, "_n", raw)
-    typed = _typed(held.select(*cols, *beside, "_n", "_raw"), rules)
+    beside = [c for c in grouped.columns if c not in cols]
+    typed = _typed(grouped.select(*cols, *beside, raw), rules)
     return typed.withColumn("_rule", _rule_ladder(rules, cols))
 
 
@@ -198,75 +214,94 @@ def _future(rules: CategoryRules, as_of) -> Column:
     return as_date(F.col(d)) > _as_of(as_of)
 
 
-def _kinds(tagged: DataFrame, rules: CategoryRules, as_of):
-    """(issue_type, severity, column, auto_resolved, counter expression) in report order."""
-    cols = [c for c in tagged.columns if not c.startswith("_")]
+# The kinds of issue and their severities.
+DUPLICATE_ROWS, NULL_FIELD, BELOW_MINIMUM, FUTURE, UNPARSED = (
+    ("duplicate_rows", "warning"), ("null_required_field", "error"), ("constraint_violation", "warning"),
+    ("future_dates", "warning"), ("unparsed_dates", "warning"))
+
+
+def _date_columns(rules: CategoryRules) -> list[str]:
+    return [f.name for f in rules.schema.fields if isinstance(f.dataType, T.DateType)]
+
+
+def _kinds(cols: list[str], rules: CategoryRules, as_of=None, unparsed: bool = False):
+    """((issue_type, severity), column, auto_resolved, counter expression) in report order."""
     rule = F.col("_rule")
-    kinds = [("duplicate_rows", "warning", None, True, F.sum(F.col("_n") - 1))]
-    kinds += [("null_required_field", "error", c, True, F.count_if(rule == f"null:{c}"))
-              for c in rules.required if c in cols]
-    kinds += [("constraint_violation", "warning", c, True, F.count_if(rule == f"min:{c}"))
-              for c, _ in rules.minimums if c in cols]
+    kinds = [(DUPLICATE_ROWS, None, True, F.sum(F.col("_n") - 1))]
+    kinds += [(NULL_FIELD, c, True, F.count_if(rule == f"null:{c}")) for c in rules.required if c in cols]
+    kinds += [(BELOW_MINIMUM, c, True, F.count_if(rule == f"min:{c}")) for c, _ in rules.minimums if c in cols]
     if rules.date_column and rules.date_column in cols:
-        kinds.append(("future_dates", "warning", rules.date_column, False,
-                      F.count_if((rule == VALID) & _future(rules, as_of))))
+        kinds.append((FUTURE, rules.date_column, False, F.count_if((rule == VALID) & _future(rules, as_of))))
+    if unparsed:
+        kinds += [(UNPARSED, c, True, F.count_if((rule == VALID) & F.col(f"_unparsed_{c}"))) for c in _date_columns(rules)]
     return kinds
 
 
+def _uploaded(tagged: DataFrame) -> list[str]:
+    return [c for c in tagged.columns if not c.startswith("_")]
+
+
 def quality_counts(tagged: DataFrame, category: str, as_of=None,
-                   by: list[str] | None = None) -> DataFrame:
+                   by: list[str] | None = None, unparsed: bool = False) -> DataFrame:
     """One aggregate pass: every issue counter plus total and valid row counts.
 
-    ``by`` groups the counters (e.g. per source file of a directory upload).
+    ``by`` groups the counters (e.g. per source file of a directory upload); ``unparsed``
+    also counts dates that could not be read (a tagged table of ``batch.with_dates``).
     """
-    kinds = _kinds(tagged, rules_for(category), as_of)
+    kinds = _kinds(_uploaded(tagged), rules_for(category), as_of, unparsed)
     return (tagged.groupBy(*by) if by else tagged).agg(
-        *[F.coalesce(k[4], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(kinds)],
+        *[F.coalesce(k[3], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(kinds)],
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
         F.count_if(F.col("_rule") == VALID).cast("long").alias("valid_rows"))
 
 
-def quality_issues(tagged: DataFrame, category: str, as_of=None,
-                   by: list[str] | None = None) -> DataFrame:
-    """``(issue_type, severity, column_name, issue_count, auto_resolved)``.
-
-    The one-row counter aggregate, unpivoted; kinds with a zero count are left
-    out.  Future dates are counted among the rows that survive cleaning and
-    are the only unresolved kind.
-    """
-    kinds = _kinds(tagged, rules_for(category), as_of)
-    rows = ", ".join(
-        f"'{t}', '{s}', {('NULL' if c is None else repr(c))}, k{i}, {str(a).lower()}"
-        for i, (t, s, c, a, _) in enumerate(kinds))
+def issues_of(counts: DataFrame, category: str, by: list[str] | None = None, cols: list[str] | None = None,
+              unparsed: bool = False) -> DataFrame:
+    """The counters of ``quality_counts``, unpivoted; kinds with a zero count are left out."""
+    rules = rules_for(category)
+    kinds = _kinds(list(rules.known) if cols is None else cols, rules, None, unparsed)
+    rows = ", ".join(f"'{t}', '{s}', {('NULL' if c is None else repr(c))}, k{i}, {str(a).lower()}"
+                     for i, ((t, s), c, a, _) in enumerate(kinds))
     keys = [f"`{k}`" for k in (by or [])]
-    return (quality_counts(tagged, category, as_of, by).selectExpr(
+    return (counts.selectExpr(
         *keys,
         f"stack({len(kinds)}, {rows}) AS (issue_type, severity, column_name, issue_count, auto_resolved)")
         .where(F.col("issue_count") > 0))
 
 
-def quality_score(tagged: DataFrame, category: str, as_of=None,
-                  by: list[str] | None = None) -> DataFrame:
-    """``valid/total·100 − 2·(unresolved kinds)``, rounded to 2, clamped 0..100.
-
-    Computed from the same one-row counter aggregate as the issues.
-    """
-    kinds = _kinds(tagged, rules_for(category), as_of)
+def score_of(counts: DataFrame, category: str, by: list[str] | None = None,
+             cols: list[str] | None = None) -> DataFrame:
+    """I10 from the counters: ``valid/total·100 − 2·(unresolved kinds)``, rounded to 2, clamped 0..100."""
+    rules = rules_for(category)
     unresolved = F.lit(0)
-    for i, k in enumerate(kinds):
-        if not k[3]:
+    for i, k in enumerate(_kinds(list(rules.known) if cols is None else cols, rules)):
+        if not k[2]:
             unresolved = unresolved + F.when(F.col(f"k{i}") > 0, 1).otherwise(0)
     t, v, u = F.col("total_rows"), F.col("valid_rows"), F.col("unresolved_issues")
     raw = F.round(v.cast("double") / t.cast("double") * F.lit(100.0) - u * F.lit(2.0), 2)
     score = F.when(t == 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)))
     keys = list(by or [])
-    return (quality_counts(tagged, category, as_of, keys)
-            .select(*keys, "total_rows", "valid_rows",
-                    unresolved.cast("int").alias("unresolved_issues"))
+    return (counts.select(*keys, "total_rows", "valid_rows", unresolved.cast("int").alias("unresolved_issues"))
             .select(*keys, "total_rows", "valid_rows", (t - v).alias("rejected_rows"),
                     "unresolved_issues", score.alias("quality_score")))
 
 
+def quality_issues(tagged: DataFrame, category: str, as_of=None,
+                   by: list[str] | None = None) -> DataFrame:
+    """``(issue_type, severity, column_name, issue_count, auto_resolved)``.
+
+    Future dates are counted among the rows that survive cleaning and are the only
+    unresolved kind.
+    """
+    return issues_of(quality_counts(tagged, category, as_of, by), category, by, _uploaded(tagged))
+
+
+def quality_score(tagged: DataFrame, category: str, as_of=None,
+                  by: list[str] | None = None) -> DataFrame:
+    """I10 of a tagged table."""
+    return score_of(quality_counts(tagged, category, as_of, by), category, by, _uploaded(tagged))
+
+
 def clean_rows(tagged: DataFrame, category: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows that pass every rule, in the stored layout (bad dates → null, kept).
 
@@ -299,7 +334,7 @@ def quality_report(upload: DataFrame, category: str, as_of=None) -> DataFrame:
     head = [F.lit(category).alias("category"), F.lit(check.valid).alias("schema_valid"),
             F.lit(",".join(check.missing)).alias("missing_columns"),
             F.lit(",".join(check.extra)).alias("extra_columns")]
-    if check.error and not check.missing:          # unknown category: nothing to score
+    if check.error and not check.missing:          # unknown category or unusable names: nothing to score
         return upload.sparkSession.range(1).select(
             *head, *[F.lit(None).cast(t).alias(n) for n, t in
                      (("total_rows", "long"), ("valid_rows", "long"),
@@ -349,57 +384,78 @@ class UploadResult:
     message: str = ""
 
 
+def _reject(records: DataFrame, store: str, category: str, filename: str, uid: int,
+            message: str, size: int | None) -> UploadResult:
+    """Keep a refused upload as it is, under its name, category and id, and note why."""
+    sink = os.path.join(store, "rejected", filename, f"file_category={category}", f"{UPLOAD_KEY}={uid}")
+    records.write.mode("overwrite").parquet(sink)
+    note = records.sparkSession.createDataFrame([(category, filename, size, message, str(uid))],
+                                 f"file_category string, filename string, file_size_bytes long, message string, {UPLOAD_KEY} string")
+    write_keyed(note, os.path.join(store, "rejected_uploads"), UPLOAD_KEY)
+    return UploadResult("error", category, filename, message=message)
+
+
 def process_upload(spark: SparkSession, path: str, category: str, store: str,
                    mode: str = "replace", uploaded_by: str = "system", upload_id: int | None = None,
-                   as_of=None) -> UploadResult:
+                   as_of=None, multi_line: bool = True) -> UploadResult:
     """Read → check schema → tag → write clean data → write issues → ledger row last.
 
-    ``store`` is a shared folder.  The tagged table is written once under the
-    store (cutting lineage, and the point from which a lost executor's work is
-    recomputed), and every output is derived from that written table.  Clean
-    rows, rejected rows and issues carry the upload id as the partition column
-    ``upload_key`` (replace: static overwrite; append: dynamic partition
-    overwrite), so re-running an upload rewrites its own partitions.  The data
-    is written before the ledger row, so a failed load never leaves a ledger
-    row pointing at missing data, and a retry with the same ``upload_id`` after
-    a completed run is a no-op.  Only small aggregates (issue counts, score)
-    reach the driver.
+    ``path`` is a file, or a folder whose files are one upload; CSV files may order their
+    columns differently.  ``store`` is a shared folder.  The records and the tagged table
+    are written once under the store (cutting lineage, and the point from which a lost
+    executor's work is recomputed), and every output is derived from the tagged table;
+    the counters of issues and score are computed once.  Clean rows, rejected rows and
+    issues carry the upload id as the partition column ``upload_key`` (replace: static
+    overwrite; append: dynamic partition overwrite), so re-running an upload rewrites its
+    own partitions.  The data is written before the ledger row, so a failed load never
+    leaves a ledger row pointing at missing data, and a retry with the same ``upload_id``
+    after a completed run is a no-op.  Only one row of counters reaches the driver.
+
+    ``multi_line``: quoted fields may hold line breaks; a file is then read by one task.
     """
-    from stockroom.operators.ledger import record_upload  # local: avoids a cycle
+    from stockroom.operators import batch  # local: avoids a cycle
+    from stockroom.operators.ledger import record_upload
 
     filename = os.path.basename(path.rstrip("/"))
     if upload_id is not None and _recorded(spark, store, upload_id, category, filename):   # a finished retry
         return UploadResult("success", category, filename,
                             message=f"upload {upload_id} is already recorded")
     uid = upload_id if upload_id is not None else _new_id()
-    upload = normalise_columns(read_upload(spark, path))
-    check = validate_schema(upload, category)
-    if not check.valid:
-        write_table(upload, os.path.join(store, "rejected", filename), "replace")
-        return UploadResult("error", category, filename, message=check.error or "invalid schema")
-    rules = rules_for(category)
+    size = _file_bytes(spark, path)
     stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    staged = os.path.join(store, "staging", f"{category}-{stamp}")
-    tag_rows(upload, category).write.mode("overwrite").parquet(staged)
-    tagged = spark.read.parquet(staged)
+    folder = os.path.join(store, "staging", f"{category}-{stamp}")
+    batch.read_records(spark, path, filename, multi_line=multi_line).write.mode("overwrite").parquet(f"{folder}/records")
+    records = spark.read.parquet(f"{folder}/records")
+    if category not in CATEGORIES:
+        return _reject(records, store, category, filename, uid, unknown_category(category), size)
+    files = batch.manifest(spark, path, records, rules_for(category), folder).withColumn(UPLOAD_KEY, F.lit(str(uid)))
+    refused = files.agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("place")))).first()[0]
+    if refused:
+        return _reject(records, store, category, filename, uid, refused, size)
+    tagged = batch.with_dates(batch.tag_records(records, files, category), category)
+    rules = rules_for(category)
+    tagged.write.mode("overwrite").parquet(f"{folder}/tagged")
+    tagged = spark.read.parquet(f"{folder}/tagged")
 
-    key = F.lit(str(uid)).alias(UPLOAD_KEY)
+    cols = _uploaded(tagged)
+    counted = quality_counts(tagged, category, as_of)
+    counts = spark.createDataFrame([counted.first()], counted.schema)         # one row
     table_path = os.path.join(store, rules.table)
-    write_keyed(clean_rows(tagged, category).select("*", key), table_path, UPLOAD_KEY, mode)
-    write_keyed(rejected_rows(tagged).select("*", key),
-                os.path.join(store, "rejected_rows", category), UPLOAD_KEY)
-    issues_df = quality_issues(tagged, category, as_of)
+    key = F.lit(str(uid)).alias(UPLOAD_KEY)
+    write_keyed(clean_rows(tagged, category, keep=(UPLOAD_KEY,)), table_path, UPLOAD_KEY, mode)
+    write_keyed(rejected_rows(tagged), os.path.join(store, "rejected_rows", category), UPLOAD_KEY)
+    issues_df = issues_of(counts, category, cols=cols)
     issues = [r.asDict() for r in issues_df.collect()]            # at most a dozen rows
-    write_keyed(issues_df.select("*", F.lit(filename).alias("upload_file"), key),
-                os.path.join(store, "data_quality_issues"), UPLOAD_KEY)
-    score = quality_score(tagged, category, as_of).first()        # one row
+    if issues:
+        write_keyed(issues_df.select("*", F.lit(filename).alias("upload_file"), key),
+                    os.path.join(store, "data_quality_issues"), UPLOAD_KEY)
+    score = score_of(counts, category, cols=cols).first()         # one row
     unresolved = [i for i in issues if not i["auto_resolved"]]
     record_upload(spark, os.path.join(store, "file_uploads"), category=category, filename=filename,
                   row_count=int(score["valid_rows"]), quality_score=float(score["quality_score"]),
                   upload_mode=mode, uploaded_by=uploaded_by,
                   storage_path=f"{table_path}/{UPLOAD_KEY}={uid}",
-                  validation_errors=json.dumps(unresolved, default=str), upload_id=uid,
-                  file_size_bytes=_file_bytes(spark, path))
+                  validation_errors=json.dumps(unresolved, default=str), upload_id=uid, file_size_bytes=size)
     return UploadResult("success", category, filename, int(score["total_rows"]),
                         int(score["valid_rows"]), float(score["quality_score"]), issues,
                         f"Uploaded {int(score['valid_rows'])} rows to {category}")
@@ -407,63 +463,8 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
 
 def process_directory(spark: SparkSession, directory: str, category: str, store: str,
                       mode: str = "replace", uploaded_by: str = "system", as_of=None,
-                      pattern: str = "*.csv", batch_id: int | None = None) -> list[UploadResult]:
-    """I14 over a directory: every matching file is one upload, cleaned in one job.
-
-    All files are read together (CSV headers validated against the first
-    file's layout; ``pattern="*.parquet"`` reads parquet files), each row keeps
-    its source file, and duplicates are detected within a file.  Clean rows of
-    the whole batch replace or extend the stored table in one write; rejected
-    rows and per-file issues are written under each file's upload key; one
-    ledger row per file is written last — the first file (by name) carries the
-    batch's mode, the others are recorded as appends, so the derived archive
-    status matches what the table holds.  File *i* (in name order) gets the
-    upload id ``batch_id + i``, which also keys its rows in every output, so a
-    retried batch (same ``batch_id``) rewrites its own partitions instead of
-    adding rows twice.  The file list and per-file summary rows reach the driver.
-    """
-    from stockroom.operators.ledger import ledger_rows_for_files  # local: avoids a cycle
-
-    rules = rules_for(category)
-    if pattern.lower().endswith(".parquet"):                      # typed files
-        raw = spark.read.option("pathGlobFilter", pattern).parquet(directory)
-    else:                                                         # CSV, all text
-        reader = csv_reader(spark).option("pathGlobFilter", pattern)
-        names = reader.csv(directory).columns                     # header of one file
-        raw = missing_as_null(reader.option("enforceSchema", False).schema(text_schema(names)).csv(directory))
-    upload = normalise_columns(raw.withColumn("_file", F.input_file_name()))
-    check = validate_schema(upload.drop("_file"), category)
-    if not check.valid:
-        write_table(upload, os.path.join(store, "rejected", os.path.basename(directory.rstrip("/"))), "replace")
-        return [UploadResult("error", category, directory, message=check.error or "invalid schema")]
-    base = batch_id if batch_id is not None else _new_id()
-    if _recorded(spark, store, base, category):                            # a finished retry
-        return [UploadResult("success", category, directory,
-                             message=f"batch {base} is already recorded")]
-    staged = os.path.join(store, "staging", f"{category}-{base}")
-    tag_rows(upload, category).write.mode("overwrite").parquet(staged)
-    files = sorted(r["_file"] for r in spark.read.parquet(staged).select("_file").distinct().collect())
-    ids = spark.createDataFrame([(f, str(base + i)) for i, f in enumerate(files)],
-                                f"_file string, {UPLOAD_KEY} string")
-    tagged = spark.read.parquet(staged).join(ids, "_file")
-
-    write_keyed(clean_rows(tagged, category, keep=(UPLOAD_KEY,)),
-                os.path.join(store, rules.table), UPLOAD_KEY, mode)
-    write_keyed(rejected_rows(tagged),                    # carries upload_key
-                os.path.join(store, "rejected_rows", category), UPLOAD_KEY)
-    issues = quality_issues(tagged, category, as_of, by=["_file", UPLOAD_KEY])
-    write_keyed(issues.withColumnRenamed("_file", "upload_file"),
-                os.path.join(store, "data_quality_issues"), UPLOAD_KEY)
-    per_file = quality_score(tagged, category, as_of, by=["_file"])
-    unresolved = (issues.where(~F.col("auto_resolved")).groupBy("_file")
-                  .agg(F.to_json(F.collect_list(F.struct("issue_type", "severity", "column_name",
-                                                          "issue_count"))).alias("errors")))
-    summary = (per_file.join(unresolved, "_file", "left")
-               .select("_file", "total_rows", "valid_rows", "quality_score",
-                       F.coalesce(F.col("errors"), F.lit("[]")).alias("errors"))
-               .orderBy("_file").collect())               # one row per file
-    ledger_rows_for_files(spark, os.path.join(store, "file_uploads"), category, summary, mode,
-                          uploaded_by, first_id=base)
-    return [UploadResult("success", category, os.path.basename(r["_file"]), int(r["total_rows"]),
-                         int(r["valid_rows"]), float(r["quality_score"]), None,
-                         f"Uploaded {int(r['valid_rows'])} rows to {category}") for r in summary]
+                      pattern: str = "*.csv", batch_id: int | None = None, **options):
+    """I14 over a directory: every matching file is one upload (``batch.process_batch``)."""
+    from stockroom.operators import batch  # local: avoids a cycle
+    return batch.process_batch(spark, directory, category, store, mode, uploaded_by, as_of, pattern,
+                               batch_id, **options)

@@ -51,28 +51,6 @@ def record_upload(spark: SparkSession, ledger_path: str, *, category: str, filen
     return uid
 
 
-def ledger_rows_for_files(spark: SparkSession, ledger_path: str, category: str, summary: list,
-                          mode: str, uploaded_by: str, when: _dt.datetime | None = None,
-                          first_id: int | None = None) -> list[int]:
-    """Append one ledger row per file of a batch (``summary``: per-file result rows).
-
-    Files are recorded one microsecond apart in name order; the first carries
-    the batch mode and the rest are appends.
-    """
-    when = when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    base = first_id if first_id is not None else int(
-        (when - _dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
-    rows = []
-    for i, r in enumerate(summary):
-        ts = when + _dt.timedelta(microseconds=i)
-        rows.append((base + i, category, r["_file"].rsplit("/", 1)[-1], ts,
-                     mode if i == 0 else "append", uploaded_by, int(r["valid_rows"]), None,
-                     float(r["quality_score"]), r["errors"], r["_file"]))
-    if rows:
-        spark.createDataFrame(rows, LEDGER).write.mode("append").parquet(ledger_path)
-    return [r[0] for r in rows]
-
-
 def ledger_versions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     """U4: every upload with ``status``, ``version_number`` and ``replaced_at``.
 
@@ -173,6 +151,19 @@ def ledger_history(ledger: DataFrame, n: int = 10, bucket: str = "day",
             .orderBy(CAT, *newest))
 
 
+def ledger_file_history(ledger: DataFrame, n: int = 10, bucket: str = "day") -> DataFrame:
+    """U5 whole: per category its current upload (``part`` current) and the newest ``n``
+    archived ones (``part`` previous), with file sizes where the ledger has them."""
+    size = F.col("file_size_bytes") if "file_size_bytes" in ledger.columns else F.lit(None).cast("long")
+    sizes = ledger.select(F.col(ID).alias("_id"), size.alias("file_size_bytes"))
+    cols = [CAT, *DETAIL_COLS, "status", "version_number", "replaced_at"]
+    current = (ledger_active(ledger).withColumn("version_number", F.lit(None).cast("int"))
+               .withColumn("replaced_at", F.lit(None).cast(ledger.schema[TS].dataType)).select(F.lit("current").alias("part"), *cols))
+    previous = ledger_history(ledger, n, bucket).select(F.lit("previous").alias("part"), *cols)
+    return (current.unionByName(previous).join(sizes, F.col(ID) == F.col("_id"), "left").drop("_id")
+            .orderBy(CAT, "part", F.col(TS).desc(), F.col(ID).desc()))
+
+
 def ledger_quality_report(ledger: DataFrame, bucket: str = "day") -> DataFrame:
     """Every upload, newest first, with derived status."""
     return (ledger_versions(ledger, bucket).select(*REPORT_COLS, ID)
@@ -218,3 +209,15 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
 def describe(df: DataFrame) -> list[tuple[str, str]]:
     """Column names and types (schema metadata only)."""
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def describe_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """U9 as a table: table_name, position, column_name, data_type, and how many rows have
+    no value in the column, counted in one pass per table."""
+    from functools import reduce
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        rows = ", ".join(f"'{name}', {i}, '{c}', '{t}', c{i}" for i, (c, t) in enumerate(describe(df)))
+        return nulls.selectExpr(f"stack({len(df.columns)}, {rows}) AS (table_name, position, column_name, data_type, null_rows)")
+    return reduce(DataFrame.unionByName, [one(n, df) for n, df in tables.items()])

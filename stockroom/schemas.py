@@ -122,8 +122,11 @@ CATEGORIES: dict[str, CategoryRules] = {
 ALLOWED_EXTENSIONS = (".csv", ".xlsx", ".parquet")
 
 
+def unknown_category(category: str) -> str:
+    return f"Unknown category {category!r}; the categories are {', '.join(CATEGORIES)}"
+
+
 def rules_for(category: str) -> CategoryRules:
-    try:
-        return CATEGORIES[category]
-    except KeyError:
-        raise ValueError(f"Unknown category: {category}") from None
+    if category not in CATEGORIES:
+        raise ValueError(unknown_category(category))
+    return CATEGORIES[category]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,12 @@ def allowed_file(filename: str) -> bool:
     return os.path.splitext(filename)[1].lower() in ALLOWED_EXTENSIONS
 
 
+def has_allowed_name(name: Column) -> Column:
+    """I2 as an expression, for tables of file names."""
+    extension = F.lower(F.regexp_extract(name, r"[^./\\][^/\\]*([.][^./\\]*)$", 1))
+    return F.coalesce(extension.isin(*ALLOWED_EXTENSIONS), F.lit(False))
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV upload, read from its header line only."""
     return csv_reader(spark).csv(path).columns
