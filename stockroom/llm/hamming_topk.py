@@ -1,16 +1,19 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 Vectors become 64-bit codes (one sign bit per projected direction).  A code is
-cut into m segments.  If a code has been probed in every segment within radius
-r, all codes at Hamming distance up to m * (r + 1) - 1 have been seen: a code
-further than r in every segment differs in at least m * (r + 1) bits.  Radii
-grow until a query's kth verified distance is covered by that bound, so the
-result is exact.
+cut into m segments, as many as the measured number of codes n calls for: segments of
+about log2(n) - 2 bits, so that a value of a segment is held by a few codes.  If
+a code has been probed in every segment within radius r, all codes at Hamming distance
+up to m * (r + 1) - 1 have been seen: a code further than r in every segment differs in
+at least m * (r + 1) bits.  Radii grow until a query's kth verified distance is
+covered by that bound, so the result is exact; every query is answered by the index.
+
+The probes of radius r + 1 are made from those of radius r, each by flipping one more
+bit behind its last one, on the executors and for the queries still open only.  A
+segment has no more than about n values, which bounds the probes of a query.
 
 Equal codes are one entry with its k smallest ids (all that ties by id can
-use), so a group of copies costs one probe.  When the radius of the queries
-still open would probe more values than there are codes, they are compared
-with all codes in blocks (``scan``): exact, and the query set is the stated one.
+use), so a group of copies costs one probe.
 
 Defined cases: a vector that is null, empty or holds a null or NaN has no code
 and neither asks nor is found; ties in distance go to the smaller id; a query
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,6 @@ from pyspark.sql import functions as F
 from stockroom.llm import common
 
 BITS = 64
-BLOCK = 1 << 14     # codes in one row of a scan
-QUERIES = 256       # queries in one row of a scan
 
 
 def directions(dim: int, seed: int = 5) -> np.ndarray:
@@ -67,6 +67,11 @@ def codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", se
             .where(F.col("code").isNotNull() & F.col("id").isNotNull()))
 
 
+def segment_count(n_codes: int) -> int:
+    """How many segments suit so many codes."""
+    return max(1, min(BITS, round(BITS / max(1.0, math.log2(max(2, n_codes)) - 2))))
+
+
 def segments(m: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, width) of each of m segments, as even as can be."""
     edges = [round(i * bits / m) for i in range(m + 1)]
@@ -88,13 +93,6 @@ def ceilings(queries: DataFrame, sized: DataFrame, k: int, sample: int) -> DataF
     return queries.select("code", kth("code").alias("most"))
 
 
-def masks(spark: SparkSession, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(seg, mask): all values of weight ``radius`` in each segment."""
-    rows = [(s, sum(1 << b for b in places)) for s, (_, width) in enumerate(cuts)
-            for places in combinations(range(width), radius)]
-    return spark.createDataFrame(rows, "seg int, mask long")
-
-
 def with_segments(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     """One row per segment: seg, val."""
     values = F.array(*[F.struct(F.lit(s).alias("seg"),
@@ -103,6 +101,14 @@ def with_segments(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return df.withColumn("_x", F.explode(values)).select(*df.columns, "_x.seg", "_x.val")
 
 
+def flipped(probes: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """The probes of the next radius: one more bit flipped, behind the last one (``at``)."""
+    width = F.element_at(F.array(*[F.lit(w) for _, w in cuts]), F.col("seg") + 1)
+    behind = F.when(F.col("at") + 1 < width, F.sequence(F.col("at") + 1, width - 1))
+    return probes.withColumn("at", F.explode(behind)).withColumn(
+        "val", F.col("val").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))))
+
+
 def smallest(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """The first k rows per key; Spark limits each task's groups before the shuffle."""
     w = W.partitionBy(*by).orderBy(*order)
@@ -110,13 +116,13 @@ def smallest(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFram
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id",
-          vector: str = "embedding", seed: int = 5, parts: int = 4, sample: int = 2048) -> DataFrame:
+          vector: str = "embedding", seed: int = 5, parts: int | None = None, sample: int = 2048) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest of every row whose id is
     divisible by ``every``.
 
-    ``parts``: segments of a code; fewer and wider ones suit more codes (a segment of
-    about log2 of their number bits).  ``sample``: codes that give the first bound of
-    a query's kth distance; the result does not depend on it.
+    ``parts``: segments of a code, by default from the measured number of codes.
+    ``sample``: codes that give the first bound of a query's kth distance.  The result
+    depends on neither.
     """
     spark = vectors.sparkSession
     coded = common.cut(codes(vectors, key, vector, seed), "mih-codes")
@@ -124,82 +130,41 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
     kept = smallest(coded, ["code"], ["id"], k)
     index = common.cut(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")),
                        "mih-index")
-    n_codes = index.count()
-    cuts = segments(parts)
+    cuts = segments(parts or segment_count(index.count()))
     # of equal distances the code with the smaller first id comes first: a code behind
     # k others has k ids before its own
     sized = index.select("code", F.element_at("ids", 1).alias("lo"), F.size("ids").alias("n"))
-    entries = common.cut(with_segments(sized, cuts), "mih-entries")
+    entries = common.cut(with_segments(sized, cuts), "mih-entries").withColumnsRenamed({"seg": "_seg", "val": "_val"})
     asked = coded.where(F.col("id") % every == 0).select("code").distinct()
-    open_q, found, r = common.cut(ceilings(asked, sized, k, sample), "mih-queries"), None, 0
-    done: list[DataFrame] = []
-    while not open_q.isEmpty():
-        if sum(math.comb(w, r) for _, w in cuts) > n_codes:
-            done.append(scan(open_q, sized, k, n_codes))
-            break
-        wanted = (with_segments(open_q, cuts).join(F.broadcast(masks(spark, cuts, r)), "seg")
-                  .select(F.col("code").alias("q"), "most", "seg",
-                          F.col("val").bitwiseXOR(F.col("mask")).alias("val")))
+    open_q, found, done, last = common.cut(ceilings(asked, sized, k, sample), "mih-queries"), None, None, max(w for _, w in cuts)
+    probes = with_segments(open_q.select("code"), cuts).select(F.col("code").alias("q"), "seg", "val", F.lit(-1).alias("at"))
+    for r in range(last + 1):
+        probes = common.cut(probes, "mih-probes")
         far = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = (F.col("seg") == F.col("_seg")) & (F.col("val") == F.col("_val")) & (far <= F.col("most"))
-        hits = (wanted.join(entries.withColumnsRenamed({"seg": "_seg", "val": "_val"}), met)
-                .select("q", "code", "lo", "n", far.alias("d")))
+        wanted = probes.join(open_q.select(F.col("code").alias("_q"), "most"), F.col("q") == F.col("_q"))
+        hits = wanted.join(entries, met).select("q", "code", "lo", "n", far.alias("d"))
         pool = (hits if found is None else hits.union(found)).distinct()
         best = common.cut(smallest(pool, ["q"], ["d", "lo", "code"], k).drop("_r"), "mih-best")
         upto = W.partitionBy("q").orderBy("d").rangeBetween(W.unboundedPreceding, 0)
         reach = common.cut(best.withColumn("have", F.sum("n").over(upto)).where(F.col("have") >= k)
                            .groupBy(F.col("q").alias("_q")).agg(F.min("d").alias("kth")), "mih-kth")
-        ended = reach.where(F.col("kth") <= len(cuts) * (r + 1) - 1).select("_q")
-        done.append(best.join(ended, F.col("q") == F.col("_q"), "left_semi"))
-        found = best.join(ended, F.col("q") == F.col("_q"), "left_anti").select(*hits.columns)
-        left = open_q.join(ended, F.col("code") == F.col("_q"), "left_anti")
-        open_q = common.cut(left.join(reach, F.col("code") == F.col("_q"), "left").select(
-            "code", F.least("most", F.coalesce("kth", "most")).alias("most")), "mih-open")
-        r += 1
-    if not done:
-        return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
-    best = done[0].select("q", "code", "d")
-    for more in done[1:]:
-        best = best.union(more.select("q", "code", "d"))
+        # once whole segments have been flipped, every code has been seen
+        covered = F.lit(r == last) | (F.coalesce("kth", F.lit(BITS)) <= len(cuts) * (r + 1) - 1)
+        state = common.cut(open_q.join(reach, F.col("code") == F.col("_q"), "left").select(
+            "code", F.least("most", F.coalesce("kth", "most")).alias("most"), covered.alias("covered")), "mih-open")
+        ended, open_q = state.where("covered"), state.where(~F.col("covered")).drop("covered")
+        mine = best.join(ended.select(F.col("code").alias("_q")), F.col("q") == F.col("_q"), "left_semi").select("q", "code", "d")
+        done = mine if done is None else done.union(mine)
+        if open_q.isEmpty():
+            break
+        still = open_q.select(F.col("code").alias("_q"))
+        found = best.join(still, F.col("q") == F.col("_q"), "left_semi").select(*hits.columns)
+        probes = flipped(probes.join(still, F.col("q") == F.col("_q"), "left_semi"), cuts)
     # codes to ids, k per query code; then to the queries' own ids
-    rows = best.join(index, "code").select("q", "d", F.explode("ids").alias("neighbor_id"))
+    rows = done.join(index, "code").select("q", "d", F.explode("ids").alias("neighbor_id"))
     ranked = smallest(rows, ["q"], ["d", "neighbor_id"], k)
     asked = coded.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"),
                                                          F.col("code").alias("q"))
     return asked.join(ranked, "q").select("query_id", F.col("_r").cast("int").alias("rank"),
                                           "neighbor_id", F.col("d").cast("int").alias("distance"))
-
-
-def scan(open_q: DataFrame, sized: DataFrame, k: int, n_codes: int) -> DataFrame:
-    """(q, code, lo, n, d): for the queries still open, their nearest codes by
-    comparing every part of the codes with blocks of the queries; a task returns at
-    most k per query and part, none beyond the query's bound."""
-    n = max(1, -(-n_codes // BLOCK))
-    groups = int(open_q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.floor((F.row_number().over(W.partitionBy("h").orderBy("code")) - 1) / QUERIES)
-    asked = (open_q.withColumn("h", F.pmod(F.xxhash64("code"), F.lit(groups)))
-             .withColumn("b", block).groupBy("h", "b")
-             .agg(F.collect_list(F.struct("code", "most")).alias("qs"))    # at most QUERIES a row
-             .select(F.col("qs.code").alias("qs"), F.col("qs.most").alias("most"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p")))
-    part = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(n)).cast("int")
-    place = F.floor((F.row_number().over(W.partitionBy("p").orderBy("code")) - 1) / BLOCK)
-    held = (sized.withColumn("p", part).withColumn("b", place).groupBy("p", "b")
-            .agg(F.collect_list(F.struct("code", "lo", "n")).alias("cs"))    # at most BLOCK a row
-            .select("p", F.col("cs.code").alias("code"), F.col("cs.lo").alias("lo"),
-                    F.col("cs.n").alias("n")))
-
-    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for qs, most, code, lo, size in part[["qs", "most", "code", "lo", "n"]].itertuples(index=False):
-                c, lo, size = np.asarray(code, np.int64), np.asarray(lo, np.int64), np.asarray(size)
-                for q, edge in zip(np.asarray(qs, np.int64), most):
-                    d = np.bitwise_count((c ^ q).view(np.uint64))
-                    last = min(k, len(d)) - 1
-                    at = np.flatnonzero(d <= min(edge, np.partition(d, last)[last]))
-                    at = at[np.lexsort((c[at], lo[at], d[at]))][:k]
-                    yield pd.DataFrame({"q": np.full(len(at), q), "code": c[at], "lo": lo[at],
-                                        "n": size[at].astype(np.int32), "d": d[at].astype(np.int32)})
-    some = asked.join(held, "p").select("qs", "most", "code", "lo", "n").mapInPandas(
-        nearest, "q long, code long, lo long, n int, d int")
-    return smallest(some, ["q"], ["d", "lo", "code"], k).drop("_r")

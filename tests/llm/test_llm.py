@@ -393,6 +393,46 @@ def test_hamming_topk(spark, k, parts):
     assert {tuple(r) for r in hamming_topk.top_k(df, k=k, parts=parts, sample=64).collect()} == want
 
 
+@pytest.mark.parametrize("n,parts", [(1, 64), (2, 64), (500, 9), (2000, 7), (51282, 5), (10**6, 4), (10**9, 2)])
+def test_segments_follow_from_the_number_of_codes(n, parts):
+    assert hamming_topk.segment_count(n) == parts
+    assert sum(w for _, w in hamming_topk.segments(parts)) == 64
+
+
+def test_probes_are_all_values_within_the_radius(spark):
+    cuts = [(0, 5), (5, 7)]
+    start = spark.createDataFrame([(7, 0, 19), (7, 1, 100)], "q long, seg int, val long").withColumn("at", F.lit(-1))
+    seen, probes = {0: set(), 1: set()}, start
+    for r in range(4):
+        rows = probes.collect()
+        for seg, (_, width) in enumerate(cuts):
+            first = (19, 100)[seg]
+            mine = [x.val for x in rows if x.seg == seg]
+            assert sorted(mine) == sorted(v for v in range(1 << width) if (v ^ first).bit_count() == r)
+        probes = hamming_topk.flipped(probes, cuts)
+
+
+def test_every_query_is_answered_by_the_index(spark):
+    """The registered query on the small tables, whose distances no radius of zero covers."""
+    rows = {r.vec_id: np.array(r.embedding) > 0 for r in common.read(spark, "/root/testdata/sf0.01", "embeddings").collect()}
+    want = {(q, n + 1, i, d) for q in rows if q % 100 == 0 for n, (d, i) in enumerate(
+        sorted((int((rows[q] != v).sum()), i) for i, v in rows.items())[:10])}
+    assert {tuple(r) for r in entries.op9_hamming_topk(spark, "/root/testdata/sf0.01").collect()} == want
+    assert not hasattr(hamming_topk, "scan")
+
+
+def test_capture_times_do_not_depend_on_the_zone(spark):
+    ids = spark.createDataFrame([(15_000_000,), (0,), (999_999_999,), (1_000_000_000,), (None,), (-1,)], "id long")
+    before, got = spark.conf.get("spark.sql.session.timeZone"), set()
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got.add(tuple(r[0] for r in ids.select(warc.capture_time(F.col("id"))).collect()))
+    spark.conf.set("spark.sql.session.timeZone", before)
+    first = np.datetime64("2024-01-01T00:00:00")
+    want = [str(first + np.timedelta64((i or 0) % 10**9, "s")) + "Z" for i in (15_000_000, 0, 999_999_999, 10**9, None, -1)]
+    assert got == {tuple(want)}
+
+
 def test_hamming_topk_of_few(spark):
     schema = "vec_id long, embedding array<double>"
     assert hamming_topk.top_k(spark.createDataFrame([], schema)).count() == 0
