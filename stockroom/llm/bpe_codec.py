@@ -3,8 +3,8 @@
 Two neighbouring byte symbols that are neighbours inside no vocabulary token can
 never be merged: between them is a certain cut.  Pre-tokens are split at all
 such places, the fragments are encoded independently (a fragment's merges never
-look across a cut) and their ids concatenated.  Fragments repeat far more often
-than pre-tokens, so the table of known fragments stays small.
+look across a cut) and their ids concatenated.  The ids of known pre-tokens are kept in
+a table of bounded size per task.
 
 Normalising, pre-token pattern and word ends follow the vocabulary file: NFC,
 white space runs as one space, lower case per character; letters, single digits
@@ -136,7 +136,7 @@ class Codec:
         for c in cuts:
             pairs = [self.known[t] for t in c]
             out.append((b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])))
-        if len(self.known) > KNOWN or size > 4 * AT_ONCE:
+        if len(self.known) > KNOWN:
             self.known = {c: self.known[c] for c in self.special}
         else:
             for t in new:

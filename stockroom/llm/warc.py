@@ -35,6 +35,7 @@ LEAST = 1000
 FILE_BYTES = 24 << 20       # payload bytes in one archive, about
 FILE_RECORDS = 100_000      # records after which an archive is closed
 END = "\r\n\r\n"
+MERGED_ROWS = 200_000    # captures merged in one partition
 FIRST_DAY = "2024-01-01"
 CAPTURE = ("url_key string, ts string, page_id long, record_type string, refers_to long, "
            "payload_bytes long, payload_digest string, archive string, offset long, length long")
@@ -56,9 +57,13 @@ def url_key(url: Column) -> Column:
 
 
 def capture_time(page_id: Column) -> Column:
-    """The pages carry no time: seconds after a first day, from the page id."""
-    at = F.unix_timestamp(F.lit(FIRST_DAY), "yyyy-MM-dd") + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(10 ** 9))
-    return F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The pages carry no time: seconds after a first day, from the page id, in UTC
+    whatever the session's zone."""
+    at = F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(10 ** 9))
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.floor(at / 86400).cast("int")).cast("string")
+    clock = [F.lpad(F.pmod(F.floor(at / unit), F.lit(top)).cast("string"), 2, "0")
+             for unit, top in ((3600, 24), (60, 60), (1, 60))]
+    return F.concat(day, F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
 
 
 def assign(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -203,7 +208,8 @@ def merged(runs: DataFrame) -> DataFrame:
 
     Captures equal in that order may be split between partitions: where they are archived
     is the last part of the key."""
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a partition's slices are held while they are merged: their number follows from the rows
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGED_ROWS))
     key = [F.col("url_key").cast("binary"), F.col("ts"), F.col("page_id"), F.col("record_type"),
            F.col("archive"), F.col("offset")]
 
