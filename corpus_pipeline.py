@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from stockroom.llm import bpe_codec, common, entries, lang_id, mixture, pii, simhash  # noqa: E402
+from stockroom.session import Intermediates  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SURE = 0.3      # a document's mean probability of its language, below which it is rejected
@@ -71,8 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each written and read again."""
+    """All stages in order over ``documents``, each written and read again; what a stage
+    wrote on its way, and its input from the stage before, is then removed."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with Intermediates(spark) as all_stages:
+        for name, stage in STAGES:
+            with Intermediates(spark) as own:
+                docs = own.keep(common.cut(stage(spark, docs, sf_dir), f"stage-{name}"))
+        return all_stages.keep(docs)
