@@ -82,8 +82,43 @@ _LOCAL_DIR: str | None = None
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-path of the shared folder for one written intermediate."""
-    base = shared_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+    path = os.path.join(shared_dir(spark), f"{name}-{os.getpid()}-{next(_counter)}")
+    _WRITTEN.append(path)
+    return path
+
+
+_WRITTEN: list[str] = []        # intermediates of this session that have not been removed
+
+
+class Intermediates:
+    """Removes the intermediates that are written inside a ``with`` block when it ends,
+    but those the kept DataFrames read.
+
+    For jobs whose result is written by then: what the steps below wrote is of no more
+    use.  An operator that returns a lazy DataFrame leaves its intermediates to the
+    caller's block; ``Intermediates(spark).clear()`` removes all that are left.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before, self.kept = spark, set(_WRITTEN), []
+
+    def keep(self, df):
+        self.kept.append(df)
+        return df
+
+    def __enter__(self) -> "Intermediates":
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        if not failed:
+            self.clear([p for p in _WRITTEN if p not in self.before])
+
+    def clear(self, paths: list[str] | None = None) -> None:
+        read = [f for df in self.kept for f in df.inputFiles()]
+        for path in list(_WRITTEN if paths is None else paths):
+            if not any(f"/{os.path.basename(path)}/" in f for f in read):
+                remove(self.spark, path)
+                _WRITTEN.remove(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
