@@ -72,6 +72,12 @@ def stock_label(qty: str | Column, rp: str | Column, below: str, low: str,
             .otherwise(F.lit(ok)))
 
 
+def list_text(col: str | Column) -> Column:
+    """The values of a group, distinct already, sorted and joined by ',' (null when there are
+    none).  The text is one row's; lists of any length come in pages (``ordering.pages``)."""
+    return F.nullif(F.array_join(F.array_sort(F.collect_list(_c(col))), ","), F.lit(""))
+
+
 def order_entries(orders: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     """(keys, side, value, q): the distinct values of several columns of order lines, from
     one pass over them.  Entries are pre-aggregated in each task and spread by their

@@ -38,10 +38,3 @@ def pages(pairs: DataFrame, key: str, value: str, size: int, path: str) -> DataF
     return (placed.join(first, F.col(key) == F.col("_key")).groupBy(key, page.alias("page"))
             .agg(F.array_sort(F.collect_list(value)).alias("entries"))        # at most ``size``
             .withColumn("n", F.size("entries")))
-
-
-def joined_pages(paged: DataFrame, key: str) -> DataFrame:
-    """(key, text): the pages of each key as one comma-joined text."""
-    parts = paged.select(key, F.struct("page", F.array_join("entries", ",").alias("text")).alias("p"))
-    texts = F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"])
-    return parts.groupBy(key).agg(F.array_join(texts, ",").alias("text"))

@@ -19,12 +19,13 @@ columns, more than MAX_COLUMNS columns) keep their rows in the rejected sink.
 from __future__ import annotations
 
 import datetime as _dt
-import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
@@ -32,6 +33,7 @@ from stockroom.functions.ordering import numbered
 from stockroom.operators import ingest
 from stockroom.operators.ledger import stored_table
 from stockroom.schemas import CategoryRules, rules_for
+from stockroom.sources import xlsx
 from stockroom.sources.files import MISSING, csv_reader, text_schema, write_keyed
 
 MAX_COLUMNS = 256       # columns of one file; a wider one is refused
@@ -95,6 +97,49 @@ def csv_fields(spark: SparkSession, path: str, pattern: str | None = None, recur
         F.monotonically_increasing_id().alias("pos"), F.array(*names).alias("fields"))
 
 
+def split_csv_fields(spark: SparkSession, path: str, at: str, pattern: str | None = None,
+                     recursive: bool = False) -> DataFrame:
+    """``csv_fields`` of files whose quoted fields hold line breaks, each read by many tasks.
+
+    A line begins inside a quoted field if the quotes before it in the file are odd in
+    number.  Quotes are counted per block of a file, the blocks' parities summed in order
+    (one row per block), and every block then follows its own lines.  A line that begins
+    outside opens a record; the lines up to the next such line belong to it, also those of
+    later blocks.  The lines with their records are written to ``at``.
+    """
+    names = [f"c{i}" for i in range(header_width(spark, path, pattern, recursive))]
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), "value", odd.alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lines.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd")).select(
+        "file", "block", (F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).alias("inside"))
+    in_block = Window.partitionBy("file", "block").orderBy("pos")
+    so_far = F.sum("odd").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("odd")
+    followed = (lines.join(inside, ["file", "block"]).withColumn("within", (F.col("inside") + so_far) % 2)
+                .withColumn("opened", F.last(F.when(F.col("within") == 0, F.col("pos")), True).over(
+                    in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    followed.select("file", "block", "pos", "value", "odd", "within", "opened").write.mode("overwrite").parquet(at)
+    held = spark.read.parquet(at)
+    carried = held.groupBy("file", "block").agg(F.max_by("opened", "pos").alias("opened")).select(
+        F.col("file").alias("_file"), F.col("block").alias("_block"), F.last("opened", True).over(earlier).alias("before"))
+    known = held.join(carried, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    known = known.withColumn("record", F.coalesce("opened", "before"))
+    alone = (F.col("within") == 0) & (F.col("odd") == 0)
+    single = known.where(alone).select("file", "block", "pos", "value")
+    line = F.array_sort(F.collect_list(F.struct("block", "pos", "value")))
+    joined = (known.where(~alone).groupBy("file", "record").agg(line.alias("ls"))
+              .select("file", F.col("ls")[0]["block"].alias("block"), F.col("record").alias("pos"),
+                      F.array_join(F.transform("ls", lambda x: x["value"]), "\n").alias("value")))
+    parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"'})
+    return single.unionByName(joined).where(F.trim("value") != "").select(
+        "file", "block", "pos", parsed.alias("r")).select("file", "block", "pos", F.array(*[f"r.{n}" for n in names]).alias("fields"))
+
+
 def parquet_fields(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """The records of typed files in the shape of ``csv_fields``: values as text, behind a
     header record per file.  Columns that some files lack are null in these."""
@@ -112,15 +157,48 @@ def parquet_fields(spark: SparkSession, path: str, pattern: str | None = None, r
     return values.unionByName(heads)
 
 
-def read_records(spark: SparkSession, path: str, name: str, pattern: str | None = None, recursive: bool = False,
-                 multi_line: bool = True) -> DataFrame:
-    """Records of the files under ``path``, read as the ending of ``name`` says."""
-    ending = os.path.splitext(name)[1].lower()
-    if ending == ".parquet":
-        return parquet_fields(spark, path, pattern, recursive)
-    if ending in ("", ".csv") or pattern and ending.strip(".[]cCsSvV*") == "":
-        return csv_fields(spark, path, pattern, recursive, multi_line)
-    raise ValueError(f"Unsupported file format: {ending}")
+def xlsx_fields(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
+    """The rows of every workbook's first sheet in the shape of ``csv_fields``; one task
+    reads one file (``sources.xlsx``)."""
+    cloudpickle.register_pickle_by_value(xlsx)          # executors need no copy of this package
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    books = reader.load(path).select(F.col("_metadata.file_path").alias("file"), "content")
+    rows = books.mapInPandas(xlsx.records, "file string, pos long, fields array<string>")
+    return rows.select("file", F.lit(0).cast("long").alias("block"), "pos", "fields")
+
+
+def ending_of(name: str) -> str:
+    """The format that a file name or a pattern of names ends in; none means CSV."""
+    return re.sub(r"\[(.)[^\]]*\]", r"\1", os.path.splitext(name)[1]).lower().lstrip(".") or "csv"
+
+
+def stage_records(spark: SparkSession, path: str, name: str, at: str, pattern: str | None = None,
+                  recursive: bool = False, multi_line: bool | str = True) -> DataFrame:
+    """The records of the files under ``path``, read as the ending of ``name`` says, written to ``at``.
+
+    ``multi_line`` of CSV files: False, fields hold no line breaks; True, a file is read by
+    one task; "split", large files are read by many (``split_csv_fields``).
+    """
+    ending = ending_of(name)
+    if ending == "csv" and multi_line == "split":
+        split_csv_fields(spark, path, f"{at}-lines", pattern, recursive).write.mode("overwrite").parquet(at)
+    elif ending == "csv":
+        csv_fields(spark, path, pattern, recursive, multi_line).write.mode("overwrite").parquet(at)
+    elif ending == "parquet":
+        parquet_fields(spark, path, pattern, recursive).write.mode("overwrite").parquet(at)
+    elif ending == "xlsx":
+        size, before = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+        before = spark.conf.get(size)
+        spark.conf.set(size, "1")           # workbooks pass to a task one by one
+        try:
+            xlsx_fields(spark, path, pattern, recursive).write.mode("overwrite").parquet(at)
+        finally:
+            spark.conf.set(size, before)
+    else:
+        raise ValueError(f"Unsupported file format: .{ending}")
+    return spark.read.parquet(at)
 
 
 def headers(records: DataFrame) -> DataFrame:
@@ -151,12 +229,14 @@ def checked(files: DataFrame, rules: CategoryRules) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, records: DataFrame, rules: CategoryRules, folder: str,
-             pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """One row per file in name order, files without rows included; written under ``folder``."""
-    files = listed(spark, path, pattern, recursive).join(headers(records), "file", "left")
-    placed = numbered(checked(files, rules), ["name", "file"], os.path.join(folder, "listed"))
+             pattern: str | None = None, recursive: bool = False, ordered: bool = True) -> DataFrame:
+    """One row per file, files without rows included, with its ``place`` in name order if
+    ``ordered``; written under ``folder``."""
+    files = checked(listed(spark, path, pattern, recursive).join(headers(records), "file", "left"), rules)
+    if ordered:
+        files = numbered(files, ["name", "file"], os.path.join(folder, "listed"))
     out = os.path.join(folder, "manifest")
-    placed.write.mode("overwrite").parquet(out)
+    files.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -196,13 +276,15 @@ def day_first(tagged: DataFrame, columns: list[str], by: str = KEY) -> DataFrame
     return tagged.groupBy(F.col(by).alias("_of")).agg(*[fits(c) for c in columns])
 
 
-def with_dates(tagged: DataFrame, category: str) -> DataFrame:
-    """The tagged table with its date columns as dates in the layouts of their upload, and
-    ``_unparsed_<column>``: whether a value was there but is no date in any layout."""
+def with_dates(tagged: DataFrame, category: str, path: str) -> DataFrame:
+    """The (written) tagged table with its date columns as dates in the layouts of their
+    upload, and ``_unparsed_<column>``: whether a value was there but is no date in any
+    layout.  The layouts, one row per upload, are written to ``path``."""
     columns = ingest._date_columns(rules_for(category))
     if not columns:
         return tagged
-    read = tagged.join(day_first(tagged, columns), F.col(KEY) == F.col("_of"), "left")
+    day_first(tagged, columns).write.mode("overwrite").parquet(path)
+    read = tagged.join(tagged.sparkSession.read.parquet(path), F.col(KEY) == F.col("_of"), "left")
     dates = {c: F.when(F.col(f"_day_{c}"), ingest.as_date(F.col(f"_raw.{c}"), day_first=True))
              .otherwise(ingest.as_date(F.col(f"_raw.{c}"))) for c in columns}
     # a required date column counts as present by its text; only its value becomes a date
@@ -210,6 +292,13 @@ def with_dates(tagged: DataFrame, category: str) -> DataFrame:
                             ).withColumns(dates).drop("_of", *[f"_day_{c}" for c in columns])
 
 
+def tag_upload(records: DataFrame, files: DataFrame, category: str, folder: str) -> DataFrame:
+    """``tag_records``, written under ``folder``, with its dates read."""
+    at = os.path.join(folder, "tagged")
+    tag_records(records, files, category).write.mode("overwrite").parquet(at)
+    return with_dates(records.sparkSession.read.parquet(at), category, os.path.join(folder, "layouts"))
+
+
 # ---------------------------------------------------------------------------
 # I14 — a batch of files
 # ---------------------------------------------------------------------------
@@ -242,8 +331,9 @@ class BatchResult:
 
 def process_batch(spark: SparkSession, path: str, category: str, store: str, mode: str = "replace",
                   uploaded_by: str = "system", as_of=None, pattern: str = "*.[cC][sS][vV]",
-                  batch_id: int | None = None, multi_line: bool = True, recursive: bool = False) -> BatchResult:
-    """Every matching file (CSV, or parquet) under ``path`` is one upload; all are cleaned in one job.
+                  batch_id: int | None = None, multi_line: bool | str = True, recursive: bool = False) -> BatchResult:
+    """Every matching file under ``path`` (CSV; by the pattern's ending also parquet or xlsx)
+    is one upload; all are cleaned in one job.
 
     File number *i* in name order has upload id ``batch_id + i``, which keys its rows in
     every output.  The first accepted file carries the batch's mode, the others are
@@ -267,13 +357,11 @@ def process_batch(spark: SparkSession, path: str, category: str, store: str, mod
     staged = os.path.join(folder, "records")
     files = stored_table(spark, os.path.join(folder, "manifest"))
     if files is None:           # a retry goes on from the records and files of the first attempt
-        read_records(spark, path, pattern, pattern, recursive, multi_line).write.mode("overwrite").parquet(staged)
-        files = manifest(spark, path, spark.read.parquet(staged), rules, folder, pattern, recursive)
+        found = stage_records(spark, path, pattern, staged, pattern, recursive, multi_line)
+        files = manifest(spark, path, found, rules, folder, pattern, recursive)
     records = spark.read.parquet(staged)
     files = files.withColumn(KEY, (F.lit(base) + F.col("place")).cast("string"))
-    tagged_at = os.path.join(folder, "tagged")
-    with_dates(tag_records(records, files, category), category).write.mode("overwrite").parquet(tagged_at)
-    tagged = spark.read.parquet(tagged_at)
+    tagged = tag_upload(records, files, category, folder)
 
     counts_at = os.path.join(folder, "counts")
     counted = ingest.quality_counts(tagged, category, as_of, by=[KEY], unparsed=True)

@@ -397,7 +397,7 @@ def _reject(records: DataFrame, store: str, category: str, filename: str, uid: i
 
 def process_upload(spark: SparkSession, path: str, category: str, store: str,
                    mode: str = "replace", uploaded_by: str = "system", upload_id: int | None = None,
-                   as_of=None, multi_line: bool = True) -> UploadResult:
+                   as_of=None, multi_line: bool | str = True) -> UploadResult:
     """Read → check schema → tag → write clean data → write issues → ledger row last.
 
     ``path`` is a file, or a folder whose files are one upload; CSV files may order their
@@ -411,7 +411,8 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
     leaves a ledger row pointing at missing data, and a retry with the same ``upload_id``
     after a completed run is a no-op.  Only one row of counters reaches the driver.
 
-    ``multi_line``: quoted fields may hold line breaks; a file is then read by one task.
+    ``multi_line``: quoted fields may hold line breaks; a file is then read by one task, or
+    by many if "split".
     """
     from stockroom.operators import batch  # local: avoids a cycle
     from stockroom.operators.ledger import record_upload
@@ -421,21 +422,18 @@ def process_upload(spark: SparkSession, path: str, category: str, store: str,
         return UploadResult("success", category, filename,
                             message=f"upload {upload_id} is already recorded")
     uid = upload_id if upload_id is not None else _new_id()
-    size = _file_bytes(spark, path)
     stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     folder = os.path.join(store, "staging", f"{category}-{stamp}")
-    batch.read_records(spark, path, filename, multi_line=multi_line).write.mode("overwrite").parquet(f"{folder}/records")
-    records = spark.read.parquet(f"{folder}/records")
+    records = batch.stage_records(spark, path, filename, f"{folder}/records", multi_line=multi_line)
     if category not in CATEGORIES:
-        return _reject(records, store, category, filename, uid, unknown_category(category), size)
-    files = batch.manifest(spark, path, records, rules_for(category), folder).withColumn(UPLOAD_KEY, F.lit(str(uid)))
-    refused = files.agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("place")))).first()[0]
+        return _reject(records, store, category, filename, uid, unknown_category(category), _file_bytes(spark, path))
+    rules = rules_for(category)
+    files = batch.manifest(spark, path, records, rules, folder, ordered=False).withColumn(UPLOAD_KEY, F.lit(str(uid)))
+    refused, size = files.agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("name"))),
+                              F.coalesce(F.sum("bytes"), F.lit(0))).first()
     if refused:
         return _reject(records, store, category, filename, uid, refused, size)
-    tagged = batch.with_dates(batch.tag_records(records, files, category), category)
-    rules = rules_for(category)
-    tagged.write.mode("overwrite").parquet(f"{folder}/tagged")
-    tagged = spark.read.parquet(f"{folder}/tagged")
+    tagged = batch.tag_upload(records, files, category, folder)
 
     cols = _uploaded(tagged)
     counted = quality_counts(tagged, category, as_of)

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import held, order_entries
-from stockroom.functions.ordering import joined_pages, pages
+from stockroom.functions.exprs import held, list_text, order_entries
+from stockroom.functions.ordering import pages
 from stockroom.session import remove, scratch_path
 
 # Node labels and relationship names.
@@ -41,18 +41,18 @@ def product_orders(orders: DataFrame, inventory: DataFrame, with_list: bool = Tr
     (sku, qty_on_hand) pairs of inventory.  A sku stocked at several
     locations with different levels gives one row per level; equal levels at
     two locations give one row whose units are *not* doubled (a join at line
-    grain would double them).  The supplier list is joined from pages
-    (``product_supplier_pages``); ``with_list=False`` leaves it out.
+    grain would double them).  The supplier list is one text; ``with_list=False``
+    leaves it out (read ``product_supplier_pages``).
     """
-    per = (order_entries(orders, ["sku"], "po_number").groupBy("sku")
-           .agg(held("po_number").alias("num_orders"), F.sum("q").alias("total_ordered")))
-    stock = inventory.select("sku", "qty_on_hand").distinct()
-    out = per.join(stock, "sku", "left")
+    aggs = [held("po_number").alias("num_orders"), F.sum("q").alias("total_ordered")]
     if with_list:
-        text = joined_pages(product_supplier_pages(orders), "sku").withColumnRenamed("sku", "_k")
-        out = out.join(text, F.col("sku") == F.col("_k"), "left")
-    return (out.select("sku", "num_orders", "total_ordered", *([F.col("text").alias("suppliers")] if with_list else []),
-                       F.col("qty_on_hand").alias("current_stock"))
+        aggs.append(list_text(F.when(F.col("side") == "supplier_id", F.col("value"))).alias("suppliers"))
+    per = (order_entries(orders, ["sku"], "po_number", *(["supplier_id"] if with_list else []))
+           .groupBy("sku").agg(*aggs))
+    stock = inventory.select("sku", "qty_on_hand").distinct()
+    return (per.join(stock, "sku", "left")
+            .select("sku", "num_orders", "total_ordered", *(["suppliers"] if with_list else []),
+                    F.col("qty_on_hand").alias("current_stock"))
             .orderBy(F.col("total_ordered").desc_nulls_last(), "sku"))
 
 
@@ -264,8 +264,21 @@ def product_trace(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
 # ---------------------------------------------------------------------------
 # G10 — the stored graph
 # ---------------------------------------------------------------------------
-def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str, keep: int = 2) -> str:
-    """Rebuild the node and edge tables, uncapped, as a new version; its name.
+def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str) -> None:
+    """Write the node and edge tables, uncapped, into a folder.
+
+    The order lines are derived once; each table is one file per kind and task that holds
+    enough rows of it, not tasks x kinds small ones.
+    """
+    lines, at = staged_lines(orders), path.rstrip("/")
+    graph_nodes(suppliers, inventory, lines).hint("rebalance", "label") \
+        .write.mode("overwrite").partitionBy("label").parquet(f"{at}/nodes")
+    graph_edges(suppliers, inventory, lines).hint("rebalance", "rel") \
+        .write.mode("overwrite").partitionBy("rel").parquet(f"{at}/edges")
+
+
+def rebuild_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str, keep: int = 2) -> str:
+    """Rebuild the stored graph as a new version; its name.
 
     Nodes and edges go to a folder of their own under ``versions/``; only when both are
     written does a pointer to it become readable (a file appended to ``pointers/``).  A
@@ -274,12 +287,7 @@ def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, p
     """
     spark, base = suppliers.sparkSession, path.rstrip("/")
     version = f"{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    lines, at = staged_lines(orders), f"{base}/versions/{version}"
-    # one file per kind and task that holds enough rows of it, not tasks x kinds small ones
-    graph_nodes(suppliers, inventory, lines).hint("rebalance", "label") \
-        .write.mode("overwrite").partitionBy("label").parquet(f"{at}/nodes")
-    graph_edges(suppliers, inventory, lines).hint("rebalance", "rel") \
-        .write.mode("overwrite").partitionBy("rel").parquet(f"{at}/edges")
+    write_graph(suppliers, inventory, orders, f"{base}/versions/{version}")
     spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{base}/pointers")
     known = spark.read.parquet(f"{base}/pointers").select("version").distinct().orderBy(F.desc("version"))
     for row in known.limit(keep + 20).collect()[keep:]:       # a few old versions per rebuild

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.functions.exprs import order_sides
-from stockroom.functions.ordering import joined_pages, pages
+from stockroom.functions.exprs import list_text, order_sides
+from stockroom.functions.ordering import pages
 from stockroom.session import scratch_path
 
 SUPPLIER_COLS = ("supplier_id", "supplier_name", "lead_time", "contact_email", "rating", "country")
@@ -97,22 +97,22 @@ def supplier_products(suppliers: DataFrame, inventory: DataFrame,
                       with_list: bool = True) -> DataFrame:
     """Distinct products, total stock and sorted sku list per supplier.
 
-    The sku list is joined from pages (``supplier_product_pages``), whose skus are
-    sorted and numbered by many tasks; its length is the output's own.  Ordered by
-    products supplied, descending.  ``with_list=False`` leaves the list out, for
-    suppliers whose text would not fit a row: read their pages.
+    The sku list holds the distinct skus, found by a distributed aggregate, in one text.
+    Ordered by products supplied, descending.  ``with_list=False`` leaves the list out, for
+    suppliers whose text would not fit a row: read ``supplier_product_pages``.
     """
     pairs = (inventory.where(F.col("supplier_id").isNotNull())
              .groupBy("supplier_id", "sku")
              .agg(F.sum("qty_on_hand").alias("stock")))
-    per = pairs.groupBy("supplier_id").agg(F.count("sku").alias("n_sku"), F.sum("stock").alias("total_stock"))
-    out = suppliers.select("supplier_id", "supplier_name", "country").join(per, "supplier_id", "left")
+    aggs = [F.count("sku").alias("n_sku"), F.sum("stock").alias("total_stock")]
     if with_list:
-        text = joined_pages(supplier_product_pages(inventory), "supplier_id").withColumnRenamed("supplier_id", "_s")
-        out = out.join(text, F.col("supplier_id") == F.col("_s"), "left")
-    return (out.select("supplier_id", "supplier_name", "country",
-                       F.coalesce(F.col("n_sku"), F.lit(0)).alias("products_supplied"),
-                       "total_stock", *([F.col("text").alias("sku_list")] if with_list else []))
+        aggs.append(list_text("sku").alias("sku_list"))
+    per = pairs.groupBy("supplier_id").agg(*aggs)
+    return (suppliers.select("supplier_id", "supplier_name", "country")
+            .join(per, "supplier_id", "left")
+            .select("supplier_id", "supplier_name", "country",
+                    F.coalesce(F.col("n_sku"), F.lit(0)).alias("products_supplied"),
+                    "total_stock", *(["sku_list"] if with_list else []))
             .orderBy(F.col("products_supplied").desc(), "supplier_id"))
 
 

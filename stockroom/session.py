@@ -80,10 +80,12 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIR: str | None = None
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-path of the shared folder for one written intermediate."""
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A unique sub-path of the shared folder for one written intermediate, or for a
+    ``lasting`` result."""
     path = os.path.join(shared_dir(spark), f"{name}-{os.getpid()}-{next(_counter)}")
-    _WRITTEN.append(path)
+    if not lasting:
+        _WRITTEN.append(path)
     return path
 
 

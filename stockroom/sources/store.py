@@ -17,8 +17,8 @@ splittable files become the table and queries fall back to shuffles, where
 partial aggregation and AQE's skew-join split handle the hot key.
 ``Store.layout`` records the decision per table.
 
-Size ``buckets`` so that one bucket is about a task's worth of data
-(≈ table bytes / 1 GB); each bucket is written as one file.
+The bucket count follows from the bytes of the largest staged table, so that one bucket
+is about a task's worth of data (1 GB); each bucket is written as one file.
 
 The landed dirty upload and the upload ledger are written too (plain parquet
 over several files): they are inputs that exist as files before any query.
@@ -36,7 +36,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.session import scratch_path
+from stockroom.session import bucket_count, scratch_path
 from stockroom.sources.derived import Tables
 
 BUSINESS = ("sales_data", "inventory_data", "supplier_data", "purchase_order_data")
@@ -58,15 +58,22 @@ class Store:
         return f"{self.prefix}_{table}"
 
     @classmethod
-    def materialize(cls, tables: Tables, path: str | None = None, buckets: int = 16,
+    def materialize(cls, tables: Tables, path: str | None = None, buckets: int | None = None,
                     prefix: str = "stockroom", skew_factor: float = 2.0) -> "Store":
         """Write (overwrite) the business tables under ``path`` and register them.
 
-        ``path`` defaults to a new folder under the session's shared folder.
+        ``path`` defaults to a new folder under the session's shared folder; ``buckets`` to
+        what the largest bucketed table needs, measured on its staged files.
         """
-        path = path or scratch_path(tables.spark, "store")
+        path = path or scratch_path(tables.spark, "store", lasting=True)
         store = cls(tables.spark, path, tables, prefix)
         spark = tables.spark
+        for name in BUCKETED:       # derive once into staging (cuts lineage), decide on the written files
+            tables.table(name).write.mode("overwrite").parquet(os.path.join(store.path, "_staged", name))
+        if buckets is None:         # joins need one count: the one that suits the largest
+            size = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            buckets = bucket_count(max(size.load(os.path.join(store.path, "_staged", n)).agg(F.sum("length")).first()[0] or 0
+                                       for n in BUCKETED))
         for name in BUSINESS:
             key = BUCKETED.get(name)
             table = store._name(name)
@@ -76,9 +83,7 @@ class Store:
                  .option("path", os.path.join(store.path, name)).saveAsTable(table))
                 store.layout[name] = "plain"
                 continue
-            # derive once into staging (cuts lineage), then decide on the written files
             staged = os.path.join(store.path, "_staged", name)
-            tables.table(name).write.mode("overwrite").parquet(staged)
             staged_df = spark.read.parquet(staged)
             if _balanced(staged_df, key, buckets, skew_factor):
                 (staged_df.repartition(buckets, key)              # one file per bucket

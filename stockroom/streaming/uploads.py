@@ -34,6 +34,9 @@ from stockroom.session import shared_dir
 from stockroom.sources.files import missing_as_null
 
 
+FILE, SIZE = "_file", "_file_bytes"      # where a row comes from, beside its columns
+
+
 def upload_schema(category: str) -> T.StructType:
     """All known columns of the category, as text, in rule order."""
     rules = rules_for(category)
@@ -52,22 +55,29 @@ def _batch_writer(category: str, store: str, as_of, uploaded_by: str):
         # micro-batch replayed after a failure replaces what it wrote before
         # instead of appending it twice (foreachBatch is at-least-once).
         staged = os.path.join(store, "staging", f"{category}-stream-{epoch}")
+        size = None
+        if FILE in batch.columns:      # the files of the micro-batch, at most the trigger's number
+            size = batch.groupBy(FILE).agg(F.max(SIZE).alias("n")).agg(F.sum("n")).first()[0]
+            batch = batch.drop(FILE, SIZE)
         ingest.tag_rows(missing_as_null(batch), category).write.mode("overwrite").parquet(staged)
         tagged = batch.sparkSession.read.parquet(staged)
         ingest.clean_rows(tagged, category).write.mode("overwrite").parquet(
             part(rules.table, epoch))
         ingest.rejected_rows(tagged).write.mode("overwrite").parquet(
             part("rejected_rows", epoch))
-        issues = ingest.quality_issues(tagged, category, as_of)
+        cols = ingest._uploaded(tagged)
+        counted = ingest.quality_counts(tagged, category, as_of)
+        counts = batch.sparkSession.createDataFrame([counted.first()], counted.schema)      # one row
+        issues = ingest.issues_of(counts, category, cols=cols)
         issues.write.mode("overwrite").parquet(part("data_quality_issues", epoch))
-        score = ingest.quality_score(tagged, category, as_of).first()
+        score = ingest.score_of(counts, category, cols=cols).first()
         if score["total_rows"] == 0:
             return
         unresolved = [r.asDict() for r in issues.where(~F.col("auto_resolved")).collect()]
         when = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         # ids of different categories' epochs do not meet
         row = ((zlib.crc32(category.encode()) << 30) + int(epoch), category, f"{category}-epoch-{epoch}", when, "append", uploaded_by,
-               int(score["valid_rows"]), None, float(score["quality_score"]),
+               int(score["valid_rows"]), size, float(score["quality_score"]),
                json.dumps(unresolved, default=str), part(rules.table, epoch))
         (batch.sparkSession.createDataFrame([row], LEDGER).write.mode("overwrite")
          .parquet(part("file_uploads", epoch)))
@@ -84,7 +94,8 @@ def start_upload_stream(spark: SparkSession, upload_dir: str, category: str, sto
     stream = (spark.readStream.schema(upload_schema(category))
               .option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"')
               .option("maxFilesPerTrigger", max_files_per_trigger)
-              .csv(upload_dir))
+              .csv(upload_dir)
+              .select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_size").alias(SIZE)))
     writer = (stream.writeStream.foreachBatch(_batch_writer(category, store, as_of, uploaded_by))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(

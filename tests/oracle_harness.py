@@ -1,7 +1,8 @@
 """Compare registered Spark queries with their DuckDB SQL on the same parquet files.
 
-Order-insensitive, column-name-sorted, exact value comparison (floats compared
-by their exact binary value).  Usage::
+Column-name-sorted, exact value comparison (floats compared by their exact binary
+value).  Rows are compared as sets of rows, and, where the SQL ends in an ORDER BY of its
+own, also in their order.  Usage::
 
     python -m tests.oracle_harness /root/testdata/sf0.01 [key ...]
 """
@@ -47,11 +48,24 @@ def _canon(v):
     return ("s", str(v))
 
 
-def _rows(cols, rows):
+def _listed(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = [tuple(_canon(r[i]) for i in order) for r in rows]
-    out.sort(key=repr)
-    return [cols[i] for i in order], out
+    return [cols[i] for i in order], [tuple(_canon(r[i]) for i in order) for r in rows]
+
+
+def _rows(cols, rows):
+    cols, out = _listed(cols, rows)
+    return cols, sorted(out, key=repr)
+
+
+def is_ordered(sql: str) -> bool:
+    """Whether a statement's own ORDER BY, outside all brackets, orders its rows."""
+    depth, outside = 0, []
+    for c in sql:
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            outside.append(c)
+    return "ORDER BY" in "".join(outside)
 
 
 def spark_rows(df):
@@ -73,7 +87,8 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True):
     for key in keys or list(qs):
         t0 = time.time()
         try:
-            sc, sr = _rows(*spark_rows(qs[key](spark, sf_dir)))
+            sc, sl = _listed(*spark_rows(qs[key](spark, sf_dir)))
+            sr = sorted(sl, key=repr)
         except Exception as e:  # noqa: BLE001
             results[key] = f"SPARK ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
@@ -84,7 +99,8 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True):
             results[key] = f"rows-only ({len(sr)} rows)"
         else:
             try:
-                dc, dr = _rows(*duck_rows(con, sqls[key]))
+                dc, dl = _listed(*duck_rows(con, sqls[key]))
+                dr = sorted(dl, key=repr)
             except Exception as e:  # noqa: BLE001
                 results[key] = f"DUCK ERROR {str(e)[:300]}"
                 if verbose:
@@ -97,8 +113,11 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True):
             elif sr != dr:
                 bad = [(a, b) for a, b in zip(sr, dr) if a != b][:2]
                 results[key] = f"VALUES differ, e.g. {bad}"
+            elif is_ordered(sqls[key]) and sl != dl:
+                at = next(i for i, (a, b) in enumerate(zip(sl, dl)) if a != b)
+                results[key] = f"ORDER differs from row {at}: {sl[at]} {dl[at]}"
             else:
-                results[key] = f"ok ({len(sr)} rows)"
+                results[key] = f"ok ({len(sr)} rows{', in order' if is_ordered(sqls[key]) else ''})"
         if verbose:
             print(f"{key}: {results[key]}  [{t1 - t0:.2f}s]", flush=True)
     return results

@@ -70,6 +70,7 @@ def test_stream_upload_directory(spark, workdir):
     assert sorted(r["sku"] for r in data.collect()) == ["A", "B"]
     led = spark.read.parquet(os.path.join(store, "stream", "file_uploads")).collect()
     assert sum(r["row_count"] for r in led) == 2
+    assert sum(r["file_size_bytes"] for r in led) == sum(os.path.getsize(os.path.join(up, n)) for n in ("a.csv", "b.csv"))
 
 
 def test_run_sql_capped_reports_full_count(spark):

@@ -178,3 +178,36 @@ def test_reserved_and_doubled_names_of_a_frame(spark):
     assert not check.valid and "_n" in check.error
     assert ingest.quality_report(df, "sales").first()["total_rows"] is None
     assert "twice" in ingest.validate_schema(df.select("date", F.lit(1).alias("Date"), "sku", "quantity", "revenue"), "sales").error
+
+
+def test_records_of_split_files(spark, workdir):
+    """Quoted line breaks, also long ones over several blocks: the same records as from one task."""
+    up = os.path.join(workdir, "in")
+    long = "\n".join(f"line {i} with \"\"quotes\"\", commas" for i in range(60))
+    body = "".join([f'S{i},2024-01-0{i % 9 + 1},{i},"{"a" * (i % 40)}"\n' if i % 7 else f'"S{i}\nsecond, part",2024-01-01,{i},\n\n'
+                    for i in range(200)])
+    _files(up, a_csv=f'sku,date,quantity,"rev\nenue"\n{body}"{long}",x,1,2\nlast,"",3,4', b_csv='sku,date\r\n"p\r\nq",1\r\n', c_csv="",
+           d_csv="sku\n" + "\n".join(f"only{i}" for i in range(300)) + "\n")
+    conf = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(up).rdd.getNumPartitions() > 20
+        got = batch.split_csv_fields(spark, up, os.path.join(workdir, "lines")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = batch.csv_fields(spark, up).collect()
+    assert sorted((r.file, tuple(map(str, r.fields))) for r in got) == sorted((r.file, tuple(map(str, r.fields))) for r in want)
+    firsts = {r.file: min((x for x in got if x.file == r.file), key=lambda x: (x.block, x.pos)).fields for r in got}
+    assert {f.rsplit("/", 1)[1]: v for f, v in firsts.items()}["a.csv"][:4] == ["sku", "date", "quantity", "rev\nenue"]
+    assert len({r.block for r in got}) > 20
+
+
+@pytest.mark.parametrize("multi_line", [False, "split"])
+def test_uploads_read_by_many_tasks(spark, workdir, multi_line):
+    up = _files(os.path.join(workdir, "in"), a_csv=MIXED["a_csv"], f_csv=MIXED["f_csv"], c_csv=MIXED["c_CSV"])
+    store = os.path.join(workdir, "s")
+    res = {r.filename: r.total_rows for r in batch.process_batch(spark, up, "sales", store, multi_line=multi_line)}
+    assert res["a.csv"] == 2 and res["f.csv"] == 0 and (multi_line != "split" or res["c.csv"] == 2)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stockroom.functions.ordering import joined_pages, numbered, pages
+from stockroom.functions.ordering import numbered, pages
 from stockroom.operators import adhoc, ledger, lookups, network, suppliers
 from stockroom.sources.derived import Tables
 from stockroom.sources.files import allowed_file, has_allowed_name
@@ -23,8 +23,6 @@ def test_places_and_pages(spark, workdir):
         mine = [r for r in rows if r.k == k]
         assert [r.page for r in mine] == list(range(len(mine))) and all(r.n == 10 for r in mine[:-1])
         assert [x for r in mine for x in r.entries] == [f"{i:04}" for i in range(1000) if i % 7 == k]
-    texts = {r.k: r.text for r in joined_pages(paged, "k").collect()}
-    assert texts[3] == ",".join(f"{i:04}" for i in range(1000) if i % 7 == 3)
     empty = pages(df.where("k > 9"), "k", "v", 10, os.path.join(workdir, "e"))
     assert empty.count() == 0
 
@@ -37,6 +35,8 @@ def test_lists_of_suppliers_and_products(spark):
             skus.setdefault(r.supplier_id, set()).add(r.sku)
     got = {r.supplier_id: r.sku_list for r in suppliers.supplier_products(t.supplier, t.inventory).collect()}
     assert {k: v for k, v in got.items() if v} == {k: ",".join(sorted(v)) for k, v in skus.items()}
+    paged = sorted(suppliers.supplier_product_pages(t.inventory, 7).collect(), key=lambda r: r.page)
+    assert {k: ",".join(",".join(r.entries) for r in paged if r.supplier_id == k) for k in skus} == {k: got[k] for k in skus}
     plan = suppliers.supplier_products(t.supplier, t.inventory)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
     assert "suppliers" not in network.product_orders(t.purchase_orders, t.inventory, with_list=False).columns
@@ -44,15 +44,15 @@ def test_lists_of_suppliers_and_products(spark):
 
 def test_a_failed_rebuild_keeps_the_old_graph(spark, workdir):
     t, path = Tables(spark, SF_SMALL), os.path.join(workdir, "graph")
-    first = network.write_graph(t.supplier, t.inventory, t.purchase_orders, path)
+    first = network.rebuild_graph(t.supplier, t.inventory, t.purchase_orders, path)
     n = [df.count() for df in network.read_graph(spark, path)]
     broken = t.purchase_orders.withColumn("sku", F.when(F.col("sku").isNotNull(), F.raise_error(F.lit("lost"))))
     with pytest.raises(Exception, match="lost"):
-        network.write_graph(t.supplier, t.inventory, broken, path)
+        network.rebuild_graph(t.supplier, t.inventory, broken, path)
     assert [df.count() for df in network.read_graph(spark, path)] == n
     few = t.supplier.limit(3)
-    second = network.write_graph(few, t.inventory, t.purchase_orders, path)
-    third = network.write_graph(few, t.inventory, t.purchase_orders, path)
+    second = network.rebuild_graph(few, t.inventory, t.purchase_orders, path)
+    third = network.rebuild_graph(few, t.inventory, t.purchase_orders, path)
     assert network.read_graph(spark, path)[0].where("label = 'Supplier'").count() == 3
     kept = set(os.listdir(os.path.join(path, "versions")))
     assert {second, third} <= kept and first not in kept

@@ -1,0 +1,73 @@
+"""Uploads in .xlsx: cells of every kind, odd workbooks, the upload jobs."""
+
+import io
+import os
+import zipfile
+
+import pytest
+
+from stockroom.operators import batch, ingest
+from stockroom.sources.xlsx import sheet_rows
+
+NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def book(sheet, strings=(), formats=(), props="", target="worksheets/data.xml"):
+    """A workbook whose second part in the zip is its first sheet."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {NS} xmlns:r="{REL}">{props}<sheets><sheet name="d" sheetId="1" r:id="rId7"/>'
+                                      '<sheet name="other" sheetId="2" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/no.xml"/>'
+                                                 f'<Relationship Id="rId7" Target="{target}"/></Relationships>')
+        z.writestr("xl/worksheets/no.xml", f"<worksheet {NS}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/data.xml", f"<worksheet {NS}><sheetData>{sheet}</sheetData></worksheet>")
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f"<sst {NS}>{''.join(f'<si>{s}</si>' for s in strings)}</sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {NS}><numFmts><numFmt numFmtId="170" formatCode="{formats[0] if formats else "0.0"}"/>'
+                   '</numFmts><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/>'
+                   '<xf numFmtId="170"/></cellXfs></styleSheet>')
+    return out.getvalue()
+
+
+def inline(*values):
+    return "<row>" + "".join(f'<c t="inlineStr"><is><t>{v}</t></is></c>' for v in values) + "</row>"
+
+
+def test_cells():
+    sheet = ('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"/>'
+             '<row r="4"><c r="A4"><v>10</v></c><c r="B4"><v>2.50</v></c><c r="C4" s="1"><v>45306</v></c><c r="D4" s="1"><v>45306.5</v></c>'
+             '<c r="E4" t="b"><v>1</v></c><c r="F4" t="e"><v>#N/A</v></c><c r="G4" t="str"><f>A1</f><v>text</v></c>'
+             '<c r="AA4" t="inlineStr"><is><r><t>in</t></r><r><t>line</t></r></is></c><c r="AB4"/></row>')
+    rows = list(sheet_rows(book(sheet, ["<t>sku</t>", "<r><t>da</t></r><r><t>te</t></r><rPh><t>x</t></rPh>"])))
+    assert rows[0] == ["sku", None, "date"]
+    assert rows[1] == ["10", "2.5", "2024-01-15", "2024-01-15 12:00:00", "True", None, "text", *[None] * 19, "inline", None]
+    styled = '<row><c s="2"><v>1</v></c></row>'
+    assert list(sheet_rows(book(styled, formats=["yyyy&quot;h&quot;"]))) == [["1899-12-31"]]
+    assert list(sheet_rows(book(styled, formats=["[Red]0.0&quot;days&quot;"]))) == [["1"]]
+    late = book('<row><c s="1"><v>0</v></c></row>', props='<workbookPr date1904="1"/>', target="/xl/worksheets/data.xml")
+    assert list(sheet_rows(late)) == [["1904-01-01"]]
+
+
+def test_workbook_uploads(spark, workdir):
+    up, store = os.path.join(workdir, "in"), os.path.join(workdir, "store")
+    os.makedirs(up)
+    number = lambda *vs: "<row>" + "".join(f'<c s="{int(i == 2)}"><v>{v}</v></c>' if not isinstance(v, str) else
+                                           f'<c t="inlineStr"><is><t>{v}</t></is></c>' for i, v in enumerate(vs)) + "</row>"
+    head = inline(" Revenue ", "SKU", "Date", "Quantity")
+    files = {"a.xlsx": book(head + number(10.5, "A", 45306, 2) * 2 + number(-1, "B", 45307, 1)),
+             "b.XLSX": book(inline("sku") + inline("x")), "c.xlsx": b"no zip", "d.xlsx": b"", "e.xlsx": book(head)}
+    for name, content in files.items():
+        with open(os.path.join(up, name), "wb") as f:
+            f.write(content)
+    res = {r.filename: (r.status, r.total_rows, r.valid_rows) for r in batch.process_batch(
+        spark, up, "sales", store, as_of="2026-01-01", pattern="*.[xX][lL][sS][xX]")}
+    assert res == {"a.xlsx": ("success", 3, 1), "b.XLSX": ("error", 0, 0), "c.xlsx": ("error", 0, 0),
+                   "d.xlsx": ("error", 0, 0), "e.xlsx": ("success", 0, 0)}
+    row = spark.read.parquet(f"{store}/sales_data").first()
+    assert (row.sku, row.quantity, row.revenue, str(row.date)) == ("A", 2.0, 10.5, "2024-01-15")
+    one = ingest.process_upload(spark, os.path.join(up, "a.xlsx"), "sales", os.path.join(workdir, "other"))
+    assert (one.status, one.total_rows, one.valid_rows) == ("success", 3, 1)
+    with pytest.raises(ValueError, match="Unsupported"):
+        ingest.process_upload(spark, os.path.join(up, "a.txt"), "sales", store)
