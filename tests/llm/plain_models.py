@@ -1,0 +1,183 @@
+"""Plain versions of the learned operators and of the personal-data kinds beyond the
+base ones: loops over documents, positions, units and parameters."""
+
+from __future__ import annotations
+
+import math
+import re
+
+
+# --- byte convolutional network ------------------------------------------------------
+def conv_forward(net, window, widths, per_width):
+    """(probabilities, pooled responses, where each is highest) of one window of bytes."""
+    places = len(window) - max(widths) + 1
+    pooled, where = [], []
+    for f in range(len(widths) * per_width):
+        width = widths[f // per_width]
+        sums = []
+        for p in range(places):
+            total = 0.0
+            for o in range(width):
+                byte = net["embed"][window[p + o]]
+                total += sum(x * net["kernel"][o * len(byte) + i][f] for i, x in enumerate(byte))
+            sums.append(total)
+        best = max(range(places), key=lambda p: sums[p])
+        where.append(best)
+        pooled.append(max(sums[best] + net["bias"][f], 0.0))
+    z = [sum(pooled[f] * net["out"][f][k] for f in range(len(pooled))) + net["out_bias"][k]
+         for k in range(len(net["out_bias"]))]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e], pooled, where
+
+
+def conv_loss(net, windows, targets, widths, per_width):
+    return -sum(math.log(conv_forward(net, w, widths, per_width)[0][t]) for w, t in zip(windows, targets)) / len(windows)
+
+
+def conv_predict(net, langs, text, widths, per_width, size):
+    """(language, score): probabilities of the windows, weighted by their bytes."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    data = text.encode("utf-8", "replace")
+    mean = [0.0] * len(langs)
+    for i in range(0, len(data), size):
+        part = data[i:i + size]
+        p, _, _ = conv_forward(net, list(part) + [0] * (size - len(part)), widths, per_width)
+        mean = [m + x * len(part) / len(data) for m, x in zip(mean, p)]
+    best = max(range(len(langs)), key=lambda k: mean[k])
+    return langs[best], min(1.0, mean[best])
+
+
+# --- positive-unlabelled risk --------------------------------------------------------
+def text_features(text):
+    text = text or ""
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>~^_=+{}[]\\@/", "!?", ".,;:", "\"'()-`"]
+    data = text.encode("utf-8", "replace")
+    n_of = [sum(chr(b) in g for b in data if b < 128) for g in groups]
+    white, high = sum(chr(b) in " \t\n\r\x0b\x0c" for b in data), sum(b >= 128 for b in data)
+    inked = max(1, len(data) - white)
+    words = text.split()
+    n = max(1, len(words))
+    lines = [x for x in text.split("\n") if x.strip()]
+    m = max(1, len(lines))
+    share = [math.sqrt(c / inked) for c in (*n_of, high)]
+    return [math.log(1 + len(words)), sum(len(w) for w in words) / n, *share, len(set(words)) / n ** 0.75,
+            math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / n), math.sqrt(1 - len(set(lines)) / m),
+            math.log(1 + len(words) / m), math.sqrt(sum(len(w) > 20 for w in words) / n)]
+
+
+def margin(w, x):
+    """g(x) of one row of clipped features."""
+    hidden = [math.tanh(sum(x[i] * w["w1"][i][j] for i in range(len(x))) + w["b1"][j]) for j in range(len(w["b1"]))]
+    return sum(h * v for h, v in zip(hidden, w["w2"])) + w["b2"][0]
+
+
+def loss(z):
+    """log(1 + e^-z)"""
+    return math.log1p(math.exp(-z)) if z > 0 else -z + math.log1p(math.exp(z))
+
+
+def risks(w, positive, unlabelled, prior):
+    """(risk of the positives, estimated risk of the negatives)."""
+    gp, gu = [margin(w, x) for x in positive], [margin(w, x) for x in unlabelled]
+    good = prior * sum(map(loss, gp)) / len(gp)
+    return good, sum(loss(-g) for g in gu) / len(gu) - prior * sum(loss(-g) for g in gp) / len(gp)
+
+
+# --- personal data -------------------------------------------------------------------
+LETTER = re.compile("[A-Za-z0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        v = int(d) * (2 if i % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def iban_ok(tight):
+    turned = tight[4:] + tight[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def near(text, start, end, kind):
+    around = (text[max(0, start - 40):start] + " " + text[end:end + 40]).lower()
+    found = lambda words: any(re.search(r"(?a:\b)" + w, around) for w in words.split("|"))
+    return round(kind.base + (0.2 if found(kind.near) else 0) - (0.2 if found("example|sample|dummy|invalid") else 0), 3)
+
+
+def ssn_spans(text, kind):
+    out, i = [], 0
+    while i <= len(text) - 11:
+        part = text[i:i + 11]
+        if (re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", part) and not (i and text[i - 1] in "0123456789-")
+                and not (i + 11 < len(text) and text[i + 11] in "0123456789-")):
+            if near(text, i, i + 11, kind) >= 0.6:
+                out.append(("ssn", i, i + 11))
+            i += 11
+        else:
+            i += 1
+    return out
+
+
+def short_card_spans(text, kind):
+    """Whole runs of digits with single separators; 13 to 15 of them that pass Luhn."""
+    out, i = [], 0
+    while i < len(text):
+        if text[i] not in "0123456789":
+            i += 1
+            continue
+        j = i + 1
+        while True:
+            if j < len(text) and text[j] in "0123456789":
+                j += 1
+            elif j + 1 < len(text) and text[j] in " -" and text[j + 1] in "0123456789":
+                j += 2
+            else:
+                break
+        digits = re.sub("[^0-9]", "", text[i:j])
+        if 13 <= len(digits) <= 15 and luhn(digits) and near(text, i, j, kind) >= 0.6:
+            out.append(("card_short", i, j))
+        i = j
+    return out
+
+
+def iban_candidates(text, start, lengths):
+    """Ends of account numbers that start here: every word border that passes, as (sure, length, end)."""
+    found, tight, at = [], "", start
+    while at < len(text) and len(tight) <= 34:
+        c = text[at]
+        if re.match("[A-Z0-9]", c):
+            tight += c
+            at += 1
+            closed = at == len(text) or not LETTER.match(text[at])
+            if closed and 15 <= len(tight) <= 34:
+                found.append((tight, at))
+        elif c == " " and at + 1 < len(text) and re.match("[A-Z0-9]", text[at + 1]):
+            at += 1
+        else:
+            break
+    own = lengths.get(text[start:start + 2])
+    most = max((len(t) for t, _ in found), default=0)
+    return [(len(t) == own, len(t), e) for t, e in found
+            if (own is None or len(t) in (own, most)) and iban_ok(t)]
+
+
+def iban_spans(text, lengths):
+    """Each start's best end (its country's length first, then the longest); then from the
+    left without overlap, but an unsure one gives way to a sure one that begins inside it."""
+    best = []
+    for i in range(len(text)):
+        if re.match("[A-Z]{2}[0-9]{2}", text[i:i + 4]) and not (i and LETTER.match(text[i - 1])):
+            ends = iban_candidates(text, i, lengths)
+            if ends:
+                sure, _, end = max(ends)
+                best.append((i, end, sure))
+    kept = [x for n, x in enumerate(best) if x[2] or not any(y[2] and y[0] < x[1] for y in best[n + 1:])]
+    out, past = [], 0
+    for s, e, _ in kept:
+        if s >= past:
+            out.append(("iban", s, e))
+            past = e
+    return out

@@ -569,3 +569,31 @@ def test_columns_named_like_internal_ones_are_kept(docs):
         values = made.select(*names).distinct().collect()
         assert [tuple(v) for v in values] == [("old",) * len(names)]
         assert some or made.count() == n
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    """The shared folder holds no intermediate of a finished run."""
+    import os
+
+    from stockroom.session import shared_dir
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF_SMALL)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-bpe_codec") and out.count() > 0
+
+
+def test_pipeline_values_on_awkward_rows(spark, docs, rows):
+    """Stage by stage: what stays of rows without text, copies, long texts and personal data."""
+    kept = common.cut(corpus_pipeline.known_language(spark, docs, SF_SMALL), "kept")
+    ids = [r.doc_id for r in kept.collect()]
+    lettered = [r[0] for r in rows if any(c.isalpha() for c in r[1] or "")]
+    assert set(ids) <= set(lettered) and ids.count(5) == 2 and ids.count(8) == 2        # repeated rows are rows
+    one = common.cut(corpus_pipeline.one_of_each(spark, kept, SF_SMALL), "one")
+    prints = brute.near_duplicates([((r.doc_id is None, r.doc_id or 0, i), r.text) for i, r in enumerate(kept.collect())])
+    assert one.count() == len({c for _, c in prints.values()})
+    assert {5, 8} & {r.doc_id for r in one.collect()} == {5, 8} and 6 not in {r.doc_id for r in one.collect()}
+    clean = {r.doc_id: r.text for r in corpus_pipeline.without_personal_data(spark, one, SF_SMALL).collect()}
+    for i in {12, 13} & set(clean):
+        assert "[IBAN]" in clean[i] and "[EMAIL]" in clean[i] and not brute.base_spans(clean[i])
+    assert clean[8] == rows[8][1]
