@@ -120,24 +120,26 @@ def test_odd_file_names(spark, workdir):
     assert res == {n: ("success", 1) for n in names[:5]} | {names[5]: ("error", 0)}
 
 
-@pytest.mark.parametrize("dates,want", [
+LAYOUTS = [
     (["03/04/2024", "15/01/2024", "not a date"], ["2024-04-03", "2024-01-15", None]),
     (["03/04/2024", "01/15/2024"], ["2024-03-04", "2024-01-15"]),
     (["03-04-2024", "15-1-2024"], ["2024-04-03", "2024-01-15"]),
     (["03.04.2024", "05.06.2024"], ["2024-03-04", "2024-05-06"]),         # both readings fit: month first
     (["15/01/2024", "01/16/2024", "02/03/2024"], ["2024-01-15", "2024-01-16", "2024-02-03"]),   # no one layout
     (["2024-02-03", "20240204", "5-Feb-2024", "31/12/2023"], ["2024-02-03", "2024-02-04", "2024-02-05", "2023-12-31"]),
-])
-def test_date_layout_of_a_column(spark, workdir, dates, want):
-    text = "date,sku,quantity,revenue\n" + "".join(f"{d},S{i},1,1\n" for i, d in enumerate(dates))
+]
+
+
+def test_date_layout_of_a_column(spark, workdir):
+    """Every file of a batch has a layout of its own."""
+    texts = {f"f{n}_csv": "date,sku,quantity,revenue\n" + "".join(f"{d},F{n}S{i},1,1\n" for i, d in enumerate(dates))
+             for n, (dates, _) in enumerate(LAYOUTS)}
     store = os.path.join(workdir, "store")
-    up = _files(os.path.join(workdir, "in"), a_csv=text, b_csv="date,sku,quantity,revenue\n01/31/2024,other,1,1\n")
-    batch.process_batch(spark, up, "sales", store, as_of=AS_OF)
+    batch.process_batch(spark, _files(os.path.join(workdir, "in"), **texts), "sales", store, as_of=AS_OF)
     got = {r.sku: r.date and str(r.date) for r in spark.read.parquet(f"{store}/sales_data").collect()}
-    assert got == {f"S{i}": w for i, w in enumerate(want)} | {"other": "2024-01-31"}
-    issues = ledger.stored_table(spark, f"{store}/data_quality_issues")
-    bad = [] if issues is None else issues.where("issue_type = 'unparsed_dates'").collect()
-    assert sum(r.issue_count for r in bad) == want.count(None)
+    assert got == {f"F{n}S{i}": w for n, (_, want) in enumerate(LAYOUTS) for i, w in enumerate(want)}
+    bad = spark.read.parquet(f"{store}/data_quality_issues").where("issue_type = 'unparsed_dates'").collect()
+    assert [(r.upload_file, r.column_name, r.issue_count, r.auto_resolved) for r in bad] == [("f0.csv", "date", 1, True)]
 
 
 def test_dates_of_orders(spark, workdir):
