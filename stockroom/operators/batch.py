@@ -23,6 +23,8 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -251,11 +253,13 @@ def tag_records(records: DataFrame, files: DataFrame, category: str) -> DataFram
     accepted = files.where(F.col("error").isNull()).select(
         F.col("file").alias("of"), "first", KEY, *[v.alias(f"at_{c}") for c, v in at.items()], extras.alias("at_extra"))
     rows = records.join(accepted, (F.col("file") == F.col("of")) & (F.col("pos") != F.col("first")))
-    value = F.transform("fields", lambda x: F.when(~F.trim(x).isin(*MISSING), x))
-    rows = rows.withColumn("fields", value).select(
-        *[F.get("fields", F.col(f"at_{c}").cast("int")).alias(c) for c in rules.known],
-        F.transform("at_extra", lambda s: F.struct(s["name"].alias("name"), F.get("fields", s["at"]).alias("value")))
-        .alias(EXTRA), KEY)
+    def value(at: Column) -> Column:
+        x = F.get("fields", at)
+        return F.when(~F.trim(x).isin(*MISSING), x)
+    rows = rows.select(
+        *[value(F.col(f"at_{c}").cast("int")).alias(c) for c in rules.known],
+        F.transform("at_extra", lambda s: F.struct(s["name"].alias("name"), value(s["at"]).alias("value"))).alias(EXTRA),
+        KEY)
     grouped = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
     return ingest.tag_grouped(grouped, category, [*rules.known, EXTRA])
 
@@ -266,14 +270,16 @@ def tag_records(records: DataFrame, files: DataFrame, category: str) -> DataFram
 def day_first(tagged: DataFrame, columns: list[str], by: str = KEY) -> DataFrame:
     """``by`` and, per date column, ``_day_<column>``: whether an upload's dates of the kind
     03/04/2024 or 3-4-2024 name the day first: all of them can be read so, and not all with
-    the month first.  Both readings are AND-ed over the values by partial aggregates."""
+    the month first.  Both readings are AND-ed over the values by partial aggregates; an
+    upload without such dates has no row."""
     def fits(c: str) -> Column:
         text = F.trim(F.col(f"_raw.{c}").cast("string"))
         x, y = (F.regexp_extract(text, ingest.TWO_WAY, i).try_cast("int") for i in (1, 2))
         day = F.bool_and(x.between(1, 31) & y.between(1, 12))       # null, so left out, where not of the kind
         month = F.bool_and(x.between(1, 12) & y.between(1, 31))
         return F.coalesce(day & ~month, F.lit(False)).alias(f"_day_{c}")
-    return tagged.groupBy(F.col(by).alias("_of")).agg(*[fits(c) for c in columns])
+    some = reduce(or_, [F.trim(F.col(f"_raw.{c}").cast("string")).rlike(ingest.TWO_WAY) for c in columns])
+    return tagged.where(some).groupBy(F.col(by).alias("_of")).agg(*[fits(c) for c in columns])
 
 
 def with_dates(tagged: DataFrame, category: str, path: str) -> DataFrame:
