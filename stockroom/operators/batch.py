@@ -69,27 +69,42 @@ def listed(spark: SparkSession, path: str, pattern: str | None, recursive: bool)
     return some.unionByName(none).select("file", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "bytes")
 
 
-def header_width(spark: SparkSession, path: str, pattern: str | None, recursive: bool) -> int:
-    """Upper bound of the columns of any file: commas in its first line, plus one.  A first
-    line that ends inside quotes says nothing, so the bound is MAX_COLUMNS + 1 then."""
-    reader = spark.read.option("recursiveFileLookup", recursive)
+# A line whose quotes all belong to quoted fields that end on it; possessive, so without recursion.
+WHOLE_LINE = r'^(?:"(?:[^"]++|"")*+"|[^",]*+)(?:,(?:"(?:[^"]++|"")*+"|[^",]*+))*+\z'
+
+
+def csv_lines(spark: SparkSession, path: str, pattern: str | None, recursive: bool) -> tuple[int, bool]:
+    """From one pass over the lines of all files: an upper bound of the columns of any file,
+    and whether in all of them every line is a record of its own, however it is read.
+
+    The bound is the commas in a file's first line, plus one.  A first line that ends inside
+    quotes says nothing, so the bound is MAX_COLUMNS + 1 then.  Lines are records if none
+    leaves a quote open, has quotes inside an unquoted field or is blank but not empty, and
+    if all lines of a file end alike, without other carriage returns.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    count = lambda sign: F.length("value") - F.length(F.replace("value", F.lit(sign)))
+    text, returned = F.col("text"), F.col("value").endswith("\r")
+    count = lambda sign: F.length(text) - F.length(F.replace(text, F.lit(sign)))
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("value")).where((F.col("block") == 0) & (
-            F.col("value") != ""))
-    first = lines.groupBy("file").agg(
-        F.min_by(F.when(count('"') % 2 == 0, count(",") + 1).otherwise(MAX_COLUMNS + 1), "pos").alias("n"))
-    return min(first.agg(F.max("n")).first()[0] or 1, MAX_COLUMNS + 1)
+        F.monotonically_increasing_id().alias("pos"), returned.alias("returned"),
+        F.when(returned, F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value")).alias("text"))
+    whole = (~text.contains("\r") & ~text.rlike(r"^[\x00-\x20]++\z") & (~text.contains('"') | text.rlike(WHOLE_LINE)))
+    width = F.when(count('"') % 2 == 0, count(",") + 1).otherwise(MAX_COLUMNS + 1)
+    each = lines.groupBy("file").agg(
+        F.min_by(width, F.when((F.col("block") == 0) & (F.trim(text) != ""), F.col("pos"))).alias("n"),
+        (F.bool_and(whole) & (F.bool_and("returned") == F.bool_or("returned"))).alias("whole"))
+    found = each.agg(F.max("n").alias("n"), F.bool_and("whole").alias("whole")).first()
+    return min(found["n"] or 1, MAX_COLUMNS + 1), found["whole"] is not False
 
 
 def csv_fields(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False,
-               multi_line: bool = True) -> DataFrame:
+               multi_line: bool = True, width: int | None = None) -> DataFrame:
     """Every record of every CSV file, headers included: file, block, pos (ascending
-    within a block of a file) and its fields as text."""
-    names = [f"c{i}" for i in range(header_width(spark, path, pattern, recursive))]
+    within a block of a file) and its fields as text, at least ``width`` if that is known."""
+    names = [f"c{i}" for i in range(width or csv_lines(spark, path, pattern, recursive)[0])]
     reader = (csv_reader(spark, multi_line).option("header", False).schema(text_schema(names))
               .option("recursiveFileLookup", recursive))
     if pattern:
@@ -100,7 +115,7 @@ def csv_fields(spark: SparkSession, path: str, pattern: str | None = None, recur
 
 
 def split_csv_fields(spark: SparkSession, path: str, at: str, pattern: str | None = None,
-                     recursive: bool = False) -> DataFrame:
+                     recursive: bool = False, width: int | None = None) -> DataFrame:
     """``csv_fields`` of files whose quoted fields hold line breaks, each read by many tasks.
 
     A line begins inside a quoted field if the quotes before it in the file are odd in
@@ -109,7 +124,7 @@ def split_csv_fields(spark: SparkSession, path: str, at: str, pattern: str | Non
     outside opens a record; the lines up to the next such line belong to it, also those of
     later blocks.  The lines with their records are written to ``at``.
     """
-    names = [f"c{i}" for i in range(header_width(spark, path, pattern, recursive))]
+    names = [f"c{i}" for i in range(width or csv_lines(spark, path, pattern, recursive)[0])]
     reader = spark.read.option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -180,14 +195,18 @@ def stage_records(spark: SparkSession, path: str, name: str, at: str, pattern: s
                   recursive: bool = False, multi_line: bool | str = True) -> DataFrame:
     """The records of the files under ``path``, read as the ending of ``name`` says, written to ``at``.
 
-    ``multi_line`` of CSV files: False, fields hold no line breaks; True, a file is read by
-    one task; "split", large files are read by many (``split_csv_fields``).
+    ``multi_line`` of CSV files: False, fields hold no line breaks; True, they may, and a file
+    is read by one task; "split", large files are read by many (``split_csv_fields``).  If no
+    field of any file holds one (``csv_lines``), files are split by their lines in any case.
     """
     ending = ending_of(name)
-    if ending == "csv" and multi_line == "split":
-        split_csv_fields(spark, path, f"{at}-lines", pattern, recursive).write.mode("overwrite").parquet(at)
-    elif ending == "csv":
-        csv_fields(spark, path, pattern, recursive, multi_line).write.mode("overwrite").parquet(at)
+    if ending == "csv":
+        width, whole = csv_lines(spark, path, pattern, recursive)
+        if multi_line == "split" and not whole:
+            records = split_csv_fields(spark, path, f"{at}-lines", pattern, recursive, width)
+        else:
+            records = csv_fields(spark, path, pattern, recursive, bool(multi_line) and not whole, width)
+        records.write.mode("overwrite").parquet(at)
     elif ending == "parquet":
         parquet_fields(spark, path, pattern, recursive).write.mode("overwrite").parquet(at)
     elif ending == "xlsx":
@@ -203,10 +222,14 @@ def stage_records(spark: SparkSession, path: str, name: str, at: str, pattern: s
     return spark.read.parquet(at)
 
 
-def headers(records: DataFrame) -> DataFrame:
-    """file, first (the place of its header record), names (normalised)."""
-    found = (records.where(F.col("block") == 0).groupBy("file")
-             .agg(F.min_by("fields", "pos").alias("fields"), F.min("pos").alias("first")))
+def headers(records: DataFrame, at: str) -> DataFrame:
+    """file, first (the place of its header record), names (normalised).
+
+    The places are found on numbers alone, without a sort, and written to ``at``, one row per
+    file, so that the records need not be shuffled to pick them."""
+    top = records.where(F.col("block") == 0)
+    top.groupBy(F.col("file").alias("of")).agg(F.min("pos").alias("first")).write.mode("overwrite").parquet(at)
+    found = top.join(records.sparkSession.read.parquet(at), (F.col("file") == F.col("of")) & (F.col("pos") == F.col("first")))
     plain = F.transform("fields", lambda x: F.regexp_replace(
         F.lower(F.trim(F.replace(x, F.lit(BOM), F.lit("")))), " ", "_"))
     last = F.array_max(F.transform(plain, lambda x, i: F.when(F.coalesce(x, F.lit("")) != "", i + 1)))
@@ -234,7 +257,8 @@ def manifest(spark: SparkSession, path: str, records: DataFrame, rules: Category
              pattern: str | None = None, recursive: bool = False, ordered: bool = True) -> DataFrame:
     """One row per file, files without rows included, with its ``place`` in name order if
     ``ordered``; written under ``folder``."""
-    files = checked(listed(spark, path, pattern, recursive).join(headers(records), "file", "left"), rules)
+    files = checked(listed(spark, path, pattern, recursive).join(
+        headers(records, os.path.join(folder, "first")), "file", "left"), rules)
     if ordered:
         files = numbered(files, ["name", "file"], os.path.join(folder, "listed"))
     out = os.path.join(folder, "manifest")
@@ -242,11 +266,9 @@ def manifest(spark: SparkSession, path: str, records: DataFrame, rules: Category
     return spark.read.parquet(out)
 
 
-def tag_records(records: DataFrame, files: DataFrame, category: str) -> DataFrame:
-    """The tagged table (``ingest.tag_rows``) of the records of accepted files, whose rows
-    in ``files`` carry their upload's key.  Equal rows of one upload are one row with a
-    multiplicity; columns are compared by name."""
-    rules = rules_for(category)
+def accepted_rows(records: DataFrame, files: DataFrame, rules: CategoryRules) -> DataFrame:
+    """The rows of accepted files, whose rows in ``files`` carry their upload's key: known
+    columns by name, the others in EXTRA."""
     at = {c: F.array_position("names", c) - 1 for c in rules.known}
     extras = F.array_sort(F.transform(F.filter(F.transform("names", lambda x, i: F.struct(
         x.alias("name"), i.alias("at"))), lambda s: F.array_contains("extra", s["name"])), lambda s: s))
@@ -256,12 +278,17 @@ def tag_records(records: DataFrame, files: DataFrame, category: str) -> DataFram
     def value(at: Column) -> Column:
         x = F.get("fields", at)
         return F.when(~F.trim(x).isin(*MISSING), x)
-    rows = rows.select(
+    return rows.select(
         *[value(F.col(f"at_{c}").cast("int")).alias(c) for c in rules.known],
         F.transform("at_extra", lambda s: F.struct(s["name"].alias("name"), value(s["at"]).alias("value"))).alias(EXTRA),
         KEY)
+
+
+def tag_records(rows: DataFrame, category: str) -> DataFrame:
+    """The tagged table (``ingest.tag_rows``) of ``accepted_rows``.  Equal rows of one upload
+    are one row with a multiplicity; columns are compared by name."""
     grouped = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return ingest.tag_grouped(grouped, category, [*rules.known, EXTRA])
+    return ingest.tag_grouped(grouped, category, [*rules_for(category).known, EXTRA])
 
 
 # ---------------------------------------------------------------------------
@@ -282,27 +309,30 @@ def day_first(tagged: DataFrame, columns: list[str], by: str = KEY) -> DataFrame
     return tagged.where(some).groupBy(F.col(by).alias("_of")).agg(*[fits(c) for c in columns])
 
 
-def with_dates(tagged: DataFrame, category: str, path: str) -> DataFrame:
-    """The (written) tagged table with its date columns as dates in the layouts of their
-    upload, and ``_unparsed_<column>``: whether a value was there but is no date in any
-    layout.  The layouts, one row per upload, are written to ``path``."""
+def with_dates(tagged: DataFrame, category: str, rows: DataFrame, path: str) -> DataFrame:
+    """The tagged table with its date columns as dates in the layouts of their upload, and
+    ``_unparsed_<column>``: whether a value was there but is no date in any layout.  The
+    layouts, one row per upload, follow from the ``rows`` tagged and are written to ``path``."""
     columns = ingest._date_columns(rules_for(category))
     if not columns:
         return tagged
-    day_first(tagged, columns).write.mode("overwrite").parquet(path)
+    day_first(rows.select(KEY, F.struct(*columns).alias("_raw")), columns).write.mode("overwrite").parquet(path)
     read = tagged.join(tagged.sparkSession.read.parquet(path), F.col(KEY) == F.col("_of"), "left")
     dates = {c: F.when(F.col(f"_day_{c}"), ingest.as_date(F.col(f"_raw.{c}"), day_first=True))
              .otherwise(ingest.as_date(F.col(f"_raw.{c}"))) for c in columns}
     # a required date column counts as present by its text; only its value becomes a date
-    return read.withColumns({f"_unparsed_{c}": F.col(f"_raw.{c}").isNotNull() & d.isNull() for c, d in dates.items()}
-                            ).withColumns(dates).drop("_of", *[f"_day_{c}" for c in columns])
+    return (read.withColumns(dates).withColumns(
+        {f"_unparsed_{c}": F.col(f"_raw.{c}").isNotNull() & F.col(c).isNull() for c in columns})
+        .drop("_of", *[f"_day_{c}" for c in columns]))
 
 
 def tag_upload(records: DataFrame, files: DataFrame, category: str, folder: str) -> DataFrame:
-    """``tag_records``, written under ``folder``, with its dates read."""
-    at = os.path.join(folder, "tagged")
-    tag_records(records, files, category).write.mode("overwrite").parquet(at)
-    return with_dates(records.sparkSession.read.parquet(at), category, os.path.join(folder, "layouts"))
+    """``tag_records`` with its dates read, written once under ``folder``: every output is
+    derived from dates, none parses them again."""
+    at, rows = os.path.join(folder, "tagged"), accepted_rows(records, files, rules_for(category))
+    dated = with_dates(tag_records(rows, category), category, rows, os.path.join(folder, "layouts"))
+    dated.write.mode("overwrite").parquet(at)
+    return records.sparkSession.read.parquet(at)
 
 
 # ---------------------------------------------------------------------------

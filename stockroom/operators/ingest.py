@@ -138,7 +138,9 @@ def as_date(c: Column, day_first: bool = False) -> Column:
     month, day = (F.try_to_timestamp(slashed, F.lit(p)).cast("date") for p in ("M/d/yyyy", "d/M/yyyy"))
     two_way = F.coalesce(day, month) if day_first else F.coalesce(month, day)
     tries = [F.try_to_timestamp(text, F.lit(p)).cast("date") for p in DATE_LAYOUTS]
-    return F.when(text.rlike(TWO_WAY), two_way).otherwise(F.coalesce(text.try_cast("date"), *tries))
+    # ISO first, which is none of the others; a failed try is costly and no layout lacks digits
+    return F.coalesce(text.try_cast("date"), F.when(text.rlike(TWO_WAY), two_way)
+                      .when(text.rlike("[0-9]"), F.coalesce(*tries)))
 
 
 def as_type(c: Column, to: T.DataType) -> Column:
@@ -160,10 +162,12 @@ def conform(df: DataFrame, category: str, keep: tuple[str, ...] = ()) -> DataFra
     ``keep`` names extra columns passed through unchanged after the layout.
     """
     rules = rules_for(category)
-    present = set(df.columns)
+    present = dict(df.dtypes)
     cols = []
     for f in rules.schema.fields:
-        if f.name in present:
+        if present.get(f.name) == "date" and isinstance(f.dataType, T.DateType):
+            cols.append(F.col(f.name))          # read already
+        elif f.name in present:
             cols.append(as_type(F.col(f.name), f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
@@ -186,7 +190,7 @@ def tag_rows(upload: DataFrame, category: str) -> DataFrame:
     """Distinct rows of the upload with multiplicity ``_n`` and first failed ``_rule``.
 
     Rows are compared as they were uploaded; the typed values stand beside them, and
-    ``_raw`` keeps the uploaded ones for the rejects.
+    ``_raw`` keeps the uploaded ones that a type may change for the rejects.
     """
     df = normalise_columns(upload)
     cols = [c for c in df.columns if not c.startswith("_")]
@@ -197,7 +201,9 @@ def tag_grouped(grouped: DataFrame, category: str, cols: list[str]) -> DataFrame
     """``tag_rows`` of rows that are distinct already and have their multiplicity ``_n``;
     ``cols`` are the uploaded columns, any others are passed through."""
     rules = rules_for(category)
-    raw = F.struct(*[F.col(c) for c in cols]).alias("_raw")
+    types, given = {f.name: f.dataType for f in rules.schema.fields}, dict(grouped.dtypes)
+    changed = [c for c in cols if c in types and not (given[c] == "string" and isinstance(types[c], T.StringType))]
+    raw = F.struct(*[F.col(c) for c in changed or cols]).alias("_raw")      # the others stay as they are
     beside = [c for c in grouped.columns if c not in cols]
     typed = _typed(grouped.select(*cols, *beside, raw), rules)
     return typed.withColumn("_rule", _rule_ladder(rules, cols))
@@ -209,9 +215,9 @@ def _as_of(as_of) -> Column:
     return F.lit(str(as_of)).cast("date")
 
 
-def _future(rules: CategoryRules, as_of) -> Column:
-    d = rules.date_column
-    return as_date(F.col(d)) > _as_of(as_of)
+def _future(rules: CategoryRules, as_of, dated: bool = False) -> Column:
+    d = F.col(rules.date_column)
+    return (d if dated else as_date(d)) > _as_of(as_of)
 
 
 # The kinds of issue and their severities.
@@ -224,14 +230,15 @@ def _date_columns(rules: CategoryRules) -> list[str]:
     return [f.name for f in rules.schema.fields if isinstance(f.dataType, T.DateType)]
 
 
-def _kinds(cols: list[str], rules: CategoryRules, as_of=None, unparsed: bool = False):
-    """((issue_type, severity), column, auto_resolved, counter expression) in report order."""
+def _kinds(cols: list[str], rules: CategoryRules, as_of=None, unparsed: bool = False, dated: bool = False):
+    """((issue_type, severity), column, auto_resolved, counter expression) in report order;
+    ``dated``: the date column holds dates, not text."""
     rule = F.col("_rule")
     kinds = [(DUPLICATE_ROWS, None, True, F.sum(F.col("_n") - 1))]
     kinds += [(NULL_FIELD, c, True, F.count_if(rule == f"null:{c}")) for c in rules.required if c in cols]
     kinds += [(BELOW_MINIMUM, c, True, F.count_if(rule == f"min:{c}")) for c, _ in rules.minimums if c in cols]
     if rules.date_column and rules.date_column in cols:
-        kinds.append((FUTURE, rules.date_column, False, F.count_if((rule == VALID) & _future(rules, as_of))))
+        kinds.append((FUTURE, rules.date_column, False, F.count_if((rule == VALID) & _future(rules, as_of, dated))))
     if unparsed:
         kinds += [(UNPARSED, c, True, F.count_if((rule == VALID) & F.col(f"_unparsed_{c}"))) for c in _date_columns(rules)]
     return kinds
@@ -248,7 +255,9 @@ def quality_counts(tagged: DataFrame, category: str, as_of=None,
     ``by`` groups the counters (e.g. per source file of a directory upload); ``unparsed``
     also counts dates that could not be read (a tagged table of ``batch.with_dates``).
     """
-    kinds = _kinds(_uploaded(tagged), rules_for(category), as_of, unparsed)
+    rules = rules_for(category)
+    dated = dict(tagged.dtypes).get(rules.date_column) == "date"
+    kinds = _kinds(_uploaded(tagged), rules, as_of, unparsed, dated)
     return (tagged.groupBy(*by) if by else tagged).agg(
         *[F.coalesce(k[3], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(kinds)],
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),

@@ -213,3 +213,57 @@ def test_uploads_read_by_many_tasks(spark, workdir, multi_line):
     store = os.path.join(workdir, "s")
     res = {r.filename: r.total_rows for r in batch.process_batch(spark, up, "sales", store, multi_line=multi_line)}
     assert res["a.csv"] == 2 and res["f.csv"] == 0 and (multi_line != "split" or res["c.csv"] == 2)
+
+
+_LINES = {
+    "plain": ("date,sku,quantity,revenue\n2024-01-02,A,1,2\n\n2024-01-03,,,\n2024-01-04,B,1,2,3", True),
+    "quoted": ('"date",sku\n"a,""b""",""\n"","x\ty"\n', True),
+    "returns": ("date,sku\r\na,b\r\n\r\nc,\"d\"\r\n", True),
+    "break": ('date,sku\na,"b\nc"\nd,e\n', False),
+    "inside": ('date,sku\n5" x,"b\nc"\nd,e\n', False),        # quotes even in number, but a field goes on
+    "literal": ('date,sku\n5" x,b\n"a"b,c\n', False),
+    "blank": ("date,sku\n   \na,b\n", False),
+    "mixed": ("date,sku\r\na,b\nc,d\r\n", False),
+    "return": ("date,sku\na\rb,c\n", False),
+}
+
+
+@pytest.mark.parametrize("name", _LINES)
+def test_lines_that_are_records_are_found(spark, workdir, name):
+    text, whole = _LINES[name]
+    up = _files(os.path.join(workdir, "in"), a_csv=text)
+    assert batch.csv_lines(spark, up, None, False)[1] is whole
+    want = [r.fields for r in batch.csv_fields(spark, up).orderBy("pos").collect()]
+    got = batch.stage_records(spark, up, "a.csv", os.path.join(workdir, "records"))
+    assert [r.fields for r in got.orderBy("pos").collect()] == want
+
+
+def test_one_file_with_a_line_break_keeps_all_files_whole(spark, workdir):
+    up = _files(os.path.join(workdir, "in"), a_csv=_LINES["plain"][0], b_csv=_LINES["break"][0])
+    assert batch.csv_lines(spark, up, "*.csv", False) == (4, False)
+    long = _files(os.path.join(workdir, "long"), a_csv="d" + ",x" * 400 + "\n")
+    assert batch.csv_lines(spark, long, None, False) == (batch.MAX_COLUMNS + 1, True)
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, workdir):
+    rows = "".join(f"2024-01-{i % 28 + 1:02},S{i},{i},1\n" for i in range(3000))
+    up, store = _files(os.path.join(workdir, "in"), a_csv="date,sku,quantity,revenue\n" + rows), os.path.join(workdir, "store")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        res = list(batch.process_batch(spark, up, "sales", store, as_of=AS_OF, batch_id=64))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.status, r.total_rows, r.valid_rows) for r in res] == [("success", 3000, 3000)]
+    assert spark.read.parquet(f"{store}/batches/64/records").select("block").distinct().count() > 3
+
+
+def test_dates_are_read_once(spark, workdir):
+    up = _files(os.path.join(workdir, "in"), a_csv="date,sku,quantity,revenue\n13/01/2024,A,1,1\n02/01/2024,B,1,1\nnever,C,1,1\n5,D,1,1\n")
+    store = os.path.join(workdir, "store")
+    batch.process_batch(spark, up, "sales", store, as_of=AS_OF, batch_id=64)
+    tagged = spark.read.parquet(f"{store}/batches/64/tagged")
+    assert dict(tagged.dtypes)["date"] == "date"                     # no later pass parses them
+    assert {r.sku: (str(r.date), r["_unparsed_date"], r["_raw"].date) for r in tagged.collect()} == {
+        "A": ("2024-01-13", False, "13/01/2024"), "B": ("2024-01-02", False, "02/01/2024"),
+        "C": ("None", True, "never"), "D": ("None", True, "5")}
