@@ -96,9 +96,9 @@ def first_inventory_row(inventory: DataFrame) -> DataFrame:
             .select("sku", "r.location", "r.qty_on_hand", "r.reorder_point", "r.supplier_id"))
 
 
-def product_nodes(inventory: DataFrame) -> DataFrame:
-    """One node per sku, from its first inventory row."""
-    first = first_inventory_row(inventory)
+def product_nodes(inventory: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """One node per sku, from its first inventory row (``first``, if these are known)."""
+    first = first_inventory_row(inventory) if first is None else first
     return _node(first, PRODUCT, node_id=F.col("sku"), qty_on_hand=F.col("qty_on_hand"),
                  reorder_point=F.col("reorder_point"), location=F.col("location"))
 
@@ -106,8 +106,8 @@ def product_nodes(inventory: DataFrame) -> DataFrame:
 def order_lines(orders: DataFrame) -> DataFrame:
     """Order lines at (po, sku, supplier) grain: Σ quantity, earliest order date.
 
-    Order nodes and the single edge types roll up from this aggregate; ``graph_edges``
-    has a pass of its own for both types.
+    The single edge types roll up from this aggregate; order nodes and ``graph_edges``
+    have passes of their own.
     """
     return (orders.where(F.col("po_number").isNotNull())
             .groupBy("po_number", "sku", "supplier_id")
@@ -124,26 +124,36 @@ def staged_lines(orders: DataFrame) -> DataFrame:
     return orders.sparkSession.read.parquet(path)
 
 
+def staged_firsts(inventory: DataFrame) -> DataFrame:
+    """``first_inventory_row`` written once to the shared folder, one row per sku."""
+    path = scratch_path(inventory.sparkSession, "first-inventory")
+    first_inventory_row(inventory).write.mode("overwrite").parquet(path)
+    return inventory.sparkSession.read.parquet(path)
+
+
 def order_nodes(orders: DataFrame) -> DataFrame:
-    """One node per PO number; quantity is the PO total, date the earliest."""
-    per = (order_lines(orders).groupBy("po_number")
+    """One node per PO number; quantity is the PO total, date the earliest.  Orders are
+    cut down to one row per task before the shuffle, also those of very many lines."""
+    per = (orders.where(F.col("po_number").isNotNull()).groupBy("po_number")
            .agg(F.sum("quantity").alias("quantity"), F.min("order_date").alias("order_date")))
     return _node(per, ORDER, node_id=F.col("po_number"), quantity=F.col("quantity"), order_date=F.col("order_date"))
 
 
-def graph_nodes(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame) -> DataFrame:
+def graph_nodes(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
+                first: DataFrame | None = None) -> DataFrame:
+    """G1–G3 together; ``first``: the first inventory rows, if they are known."""
     return reduce(DataFrame.unionByName,
-                  [supplier_nodes(suppliers), product_nodes(inventory), order_nodes(orders)])
+                  [supplier_nodes(suppliers), product_nodes(inventory, first), order_nodes(orders)])
 
 
 # ---------------------------------------------------------------------------
 # Edges (src, dst) — only where both ends exist
 # ---------------------------------------------------------------------------
-def supplies_edges(suppliers: DataFrame, inventory: DataFrame) -> DataFrame:
+def supplies_edges(suppliers: DataFrame, inventory: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Supplier → product, from the product's representative inventory row."""
     sup_ids = suppliers.select(F.col("supplier_id").alias("src")).distinct()
-    first = first_inventory_row(inventory).where(F.col("supplier_id").isNotNull())
-    return (first.select(F.col("supplier_id").alias("src"), F.col("sku").alias("dst"))
+    first = first_inventory_row(inventory) if first is None else first
+    return (first.where(F.col("supplier_id").isNotNull()).select(F.col("supplier_id").alias("src"), F.col("sku").alias("dst"))
             .join(sup_ids, "src")
             .select(F.lit(SUPPLIES).alias("rel"), "src", "dst", F.lit(None).cast("double").alias("quantity")))
 
@@ -167,19 +177,22 @@ def from_supplier_edges(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
                     F.lit(None).cast("double").alias("quantity")))
 
 
-def graph_edges(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame) -> DataFrame:
+def graph_edges(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
+                first: DataFrame | None = None) -> DataFrame:
     """G4–G6 together.  Every order line becomes its two candidate edges, which are
-    aggregated and matched with the existing nodes once: one pass over the orders."""
+    aggregated and matched with the existing nodes once: one pass over the orders.
+    ``first``: the first inventory rows, if they are known."""
+    first = first_inventory_row(inventory) if first is None else first
     none = F.lit(None).cast("double")
     ends = F.array(F.struct(F.lit(ORDERS).alias("rel"), F.col("sku").alias("dst"), F.col("quantity").alias("q")),
                    F.struct(F.lit(FROM_SUPPLIER).alias("rel"), F.col("supplier_id").alias("dst"), none.alias("q")))
     lines = (orders.where(F.col("po_number").isNotNull())
              .select(F.col("po_number").alias("src"), F.inline(ends)).where(F.col("dst").isNotNull())
              .groupBy("rel", "src", "dst").agg(F.sum("q").alias("quantity")))
-    nodes = (first_inventory_row(inventory).select(F.lit(ORDERS).alias("rel"), F.col("sku").alias("dst"))
+    nodes = (first.select(F.lit(ORDERS).alias("rel"), F.col("sku").alias("dst"))
              .union(suppliers.select(F.lit(FROM_SUPPLIER).alias("rel"), F.col("supplier_id").alias("dst"))
                     .distinct()))
-    return (supplies_edges(suppliers, inventory)
+    return (supplies_edges(suppliers, inventory, first)
             .unionByName(lines.join(nodes, ["rel", "dst"]).select("rel", "src", "dst", "quantity")))
 
 
@@ -267,14 +280,13 @@ def product_trace(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
 def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str) -> None:
     """Write the node and edge tables, uncapped, into a folder.
 
-    The order lines are derived once; each table is one file per kind and task that holds
-    enough rows of it, not tasks x kinds small ones.
+    The order lines and the first inventory rows are derived once.  Tasks write what they
+    hold, without another shuffle: nodes of a task are of one kind, and edges of two at
+    most, so the files of a kind are as many as the tasks that AQE leaves of the last join.
     """
-    lines, at = staged_lines(orders), path.rstrip("/")
-    graph_nodes(suppliers, inventory, lines).hint("rebalance", "label") \
-        .write.mode("overwrite").partitionBy("label").parquet(f"{at}/nodes")
-    graph_edges(suppliers, inventory, lines).hint("rebalance", "rel") \
-        .write.mode("overwrite").partitionBy("rel").parquet(f"{at}/edges")
+    lines, first, at = staged_lines(orders), staged_firsts(inventory), path.rstrip("/")
+    graph_nodes(suppliers, inventory, lines, first).write.mode("overwrite").partitionBy("label").parquet(f"{at}/nodes")
+    graph_edges(suppliers, inventory, lines, first).write.mode("overwrite").partitionBy("rel").parquet(f"{at}/edges")
 
 
 def rebuild_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str, keep: int = 2) -> str:

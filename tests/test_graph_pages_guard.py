@@ -42,6 +42,22 @@ def test_lists_of_suppliers_and_products(spark):
     assert "suppliers" not in network.product_orders(t.purchase_orders, t.inventory, with_list=False).columns
 
 
+def test_a_rebuild_derives_its_inputs_once_and_shuffles_little(spark, workdir):
+    """Order nodes and product nodes follow from what is staged, without another aggregate by
+    line or sku, and the tables are written by the tasks that hold them."""
+    t = Tables(spark, SF_SMALL)
+    lines, first = network.staged_lines(t.purchase_orders), network.staged_firsts(t.inventory)
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert dealt(network.order_nodes(lines)) == 1 and dealt(network.product_nodes(t.inventory, first)) == 0
+    network.write_graph(t.supplier, t.inventory, t.purchase_orders, workdir)
+    for name, want in (("nodes", network.graph_nodes(t.supplier, t.inventory, t.purchase_orders)),
+                       ("edges", network.graph_edges(t.supplier, t.inventory, t.purchase_orders))):
+        got = spark.read.parquet(os.path.join(workdir, name)).select(*want.columns)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        kinds = os.listdir(os.path.join(workdir, name))
+        assert all(len(os.listdir(os.path.join(workdir, name, k))) <= 2 * 8 for k in kinds if "=" in k)    # few files
+
+
 def test_a_failed_rebuild_keeps_the_old_graph(spark, workdir):
     t, path = Tables(spark, SF_SMALL), os.path.join(workdir, "graph")
     first = network.rebuild_graph(t.supplier, t.inventory, t.purchase_orders, path)
