@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stockroom.functions.exprs import held, list_text, order_entries
 from stockroom.functions.ordering import pages
-from stockroom.session import remove, scratch_path
+from stockroom.session import remove, scratch_path, small_tasks
 
 # Node labels and relationship names.
 SUPPLIER, PRODUCT, ORDER = "Supplier", "Product", "PurchaseOrder"
@@ -115,19 +115,21 @@ def order_lines(orders: DataFrame) -> DataFrame:
 
 
 def staged_lines(orders: DataFrame) -> DataFrame:
-    """``order_lines`` written once to the shared folder.  They are order lines themselves
-    (their sums and earliest dates are the same), so nodes and edges can be derived from
-    them without another pass over the orders; a filter of one consumer cannot keep the
-    others from sharing it, and an order of very many lines stays spread over tasks."""
+    """The columns of the order lines that nodes and edges need, written once to the shared
+    folder: derived from them, they need no other pass over the orders, and a filter of one
+    consumer cannot keep the others from sharing it.  Each of them groups the lines by its
+    own keys, so they are not shuffled to be grouped here as well, and an order of very many
+    lines stays spread over tasks."""
     path = scratch_path(orders.sparkSession, "order-lines")
-    order_lines(orders).write.mode("overwrite").parquet(path)
+    (orders.where(F.col("po_number").isNotNull()).select("po_number", "sku", "supplier_id", "quantity", "order_date")
+     .write.mode("overwrite").option("compression", "zstd").parquet(path))
     return orders.sparkSession.read.parquet(path)
 
 
 def staged_firsts(inventory: DataFrame) -> DataFrame:
     """``first_inventory_row`` written once to the shared folder, one row per sku."""
     path = scratch_path(inventory.sparkSession, "first-inventory")
-    first_inventory_row(inventory).write.mode("overwrite").parquet(path)
+    first_inventory_row(inventory).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return inventory.sparkSession.read.parquet(path)
 
 
@@ -285,8 +287,9 @@ def write_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, p
     most, so the files of a kind are as many as the tasks that AQE leaves of the last join.
     """
     lines, first, at = staged_lines(orders), staged_firsts(inventory), path.rstrip("/")
-    graph_nodes(suppliers, inventory, lines, first).write.mode("overwrite").partitionBy("label").parquet(f"{at}/nodes")
-    graph_edges(suppliers, inventory, lines, first).write.mode("overwrite").partitionBy("rel").parquet(f"{at}/edges")
+    nodes, edges = graph_nodes(suppliers, inventory, lines, first), graph_edges(suppliers, inventory, lines, first)
+    for df, kind, to in ((nodes, "label", f"{at}/nodes"), (edges, "rel", f"{at}/edges")):
+        df.write.mode("overwrite").partitionBy(kind).option("compression", "zstd").parquet(to)
 
 
 def rebuild_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame, path: str, keep: int = 2) -> str:
@@ -299,7 +302,8 @@ def rebuild_graph(suppliers: DataFrame, inventory: DataFrame, orders: DataFrame,
     """
     spark, base = suppliers.sparkSession, path.rstrip("/")
     version = f"{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    write_graph(suppliers, inventory, orders, f"{base}/versions/{version}")
+    with small_tasks(spark):
+        write_graph(suppliers, inventory, orders, f"{base}/versions/{version}")
     spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{base}/pointers")
     known = spark.read.parquet(f"{base}/pointers").select("version").distinct().orderBy(F.desc("version"))
     for row in known.limit(keep + 20).collect()[keep:]:       # a few old versions per rebuild

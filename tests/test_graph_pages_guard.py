@@ -1,5 +1,6 @@
 """Stored graph versions, paged lists, the guard on analysed plans, capped statements."""
 
+import datetime
 import os
 
 import pytest
@@ -155,3 +156,24 @@ def test_file_history_has_the_current_upload(spark):
         assert [r.part for r in mine] == ["current", "previous", "previous"]
         assert mine[0].upload_timestamp >= mine[1].upload_timestamp >= mine[2].upload_timestamp
     assert all(r.file_size_bytes is None for r in got)
+
+
+def test_staged_lines_are_not_shuffled_to_be_grouped(spark, workdir):
+    """Lines of an order, sku and supplier are staged as they come: nodes and edges group them."""
+    row = "po_number string, sku string, supplier_id string, quantity double, order_date date, delivery_date date"
+    day = datetime.date(2024, 1, 2)
+    rows = [("PO-1", "A", "S1", 1.0, day, None), ("PO-1", "A", "S1", 2.0, None, day), ("PO-1", "A", "S2", 4.0, day, None),
+            ("PO-1", "A", "S2", 4.0, day, None), (None, "A", "S1", 8.0, day, None), ("PO-2", None, "S9", None, None, None)]
+    orders = spark.createDataFrame(rows, row)
+    lines = network.staged_lines(orders)
+    assert lines.count() == 5 and set(lines.columns) == {"po_number", "sku", "supplier_id", "quantity", "order_date"}
+    suppliers_ = spark.createDataFrame([("S1", "s", "FR", 1.0, 3), ("S2", "t", "FR", None, 4)],
+                                       "supplier_id string, supplier_name string, country string, rating double, lead_time int")
+    stock = spark.createDataFrame([("A", "W", 1, 2, "S1")], "sku string, location string, qty_on_hand int, reorder_point int, supplier_id string")
+    network.rebuild_graph(suppliers_, stock, orders, workdir)
+    nodes, edges = network.read_graph(spark, workdir)
+    assert {(r.node_id, r.quantity, r.order_date) for r in nodes.where("label = 'PurchaseOrder'").collect()} == {
+        ("PO-1", 11.0, day), ("PO-2", None, None)}
+    assert sorted((r.rel, r.src, r.dst, r.quantity) for r in edges.collect()) == [
+        ("FROM_SUPPLIER", "PO-1", "S1", None), ("FROM_SUPPLIER", "PO-1", "S2", None), ("ORDERS", "PO-1", "A", 11.0),
+        ("SUPPLIES", "S1", "A", None)]
