@@ -35,6 +35,7 @@ from stockroom.functions.ordering import numbered
 from stockroom.operators import ingest
 from stockroom.operators.ledger import stored_table
 from stockroom.schemas import CategoryRules, rules_for
+from stockroom.session import in_small_tasks
 from stockroom.sources import xlsx
 from stockroom.sources.files import MISSING, csv_reader, text_schema, write_keyed
 
@@ -86,15 +87,18 @@ def csv_lines(spark: SparkSession, path: str, pattern: str | None, recursive: bo
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     text, returned = F.col("text"), F.col("value").endswith("\r")
-    count = lambda sign: F.length(text) - F.length(F.replace(text, F.lit(sign)))
+    count = lambda sign: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign)))
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), returned.alias("returned"),
         F.when(returned, F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value")).alias("text"))
-    whole = (~text.contains("\r") & ~text.rlike(r"^[\x00-\x20]++\z") & (~text.contains('"') | text.rlike(WHOLE_LINE)))
-    width = F.when(count('"') % 2 == 0, count(",") + 1).otherwise(MAX_COLUMNS + 1)
+    # only a line that sorts before "!" begins with a blank
+    blank = (text < F.lit("!")) & text.rlike(r"^[\x00-\x20]++\z")
+    whole = ~text.contains("\r") & ~blank & (~text.contains('"') | text.rlike(WHOLE_LINE))
+    width = F.when(~text.contains('"') | (count('"') % 2 == 0), count(",") + 1).otherwise(MAX_COLUMNS + 1)
+    top = (F.col("block") == 0) & (F.trim(text) != "")
     each = lines.groupBy("file").agg(
-        F.min_by(width, F.when((F.col("block") == 0) & (F.trim(text) != ""), F.col("pos"))).alias("n"),
+        F.min_by(F.when(top, width), F.when(top, F.col("pos"))).alias("n"),
         (F.bool_and(whole) & (F.bool_and("returned") == F.bool_or("returned"))).alias("whole"))
     found = each.agg(F.max("n").alias("n"), F.bool_and("whole").alias("whole")).first()
     return min(found["n"] or 1, MAX_COLUMNS + 1), found["whole"] is not False
@@ -278,10 +282,11 @@ def accepted_rows(records: DataFrame, files: DataFrame, rules: CategoryRules) ->
     def value(at: Column) -> Column:
         x = F.get("fields", at)
         return F.when(~F.trim(x).isin(*MISSING), x)
+    beside = F.transform("at_extra", lambda s: F.struct(s["name"].alias("name"), value(s["at"]).alias("value")))
+    none = F.array().cast("array<struct<name:string,value:string>>")     # nothing to look up in most files
     return rows.select(
         *[value(F.col(f"at_{c}").cast("int")).alias(c) for c in rules.known],
-        F.transform("at_extra", lambda s: F.struct(s["name"].alias("name"), value(s["at"]).alias("value"))).alias(EXTRA),
-        KEY)
+        F.when(F.size("at_extra") > 0, beside).otherwise(none).alias(EXTRA), KEY)
 
 
 def tag_records(rows: DataFrame, category: str) -> DataFrame:
@@ -365,6 +370,7 @@ class BatchResult:
         return self.frame.count()
 
 
+@in_small_tasks
 def process_batch(spark: SparkSession, path: str, category: str, store: str, mode: str = "replace",
                   uploaded_by: str = "system", as_of=None, pattern: str = "*.[cC][sS][vV]",
                   batch_id: int | None = None, multi_line: bool | str = True, recursive: bool = False) -> BatchResult:

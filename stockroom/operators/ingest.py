@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockroom.schemas import CATEGORIES, CategoryRules, rules_for, unknown_category
+from stockroom.session import in_small_tasks
 from stockroom.sources.files import write_keyed
 
 VALID = "valid"
@@ -230,17 +231,17 @@ def _date_columns(rules: CategoryRules) -> list[str]:
     return [f.name for f in rules.schema.fields if isinstance(f.dataType, T.DateType)]
 
 
-def _kinds(cols: list[str], rules: CategoryRules, as_of=None, unparsed: bool = False, dated: bool = False):
-    """((issue_type, severity), column, auto_resolved, counter expression) in report order;
-    ``dated``: the date column holds dates, not text."""
-    rule = F.col("_rule")
-    kinds = [(DUPLICATE_ROWS, None, True, F.sum(F.col("_n") - 1))]
-    kinds += [(NULL_FIELD, c, True, F.count_if(rule == f"null:{c}")) for c in rules.required if c in cols]
-    kinds += [(BELOW_MINIMUM, c, True, F.count_if(rule == f"min:{c}")) for c, _ in rules.minimums if c in cols]
+def _kinds(cols: list[str], rules: CategoryRules, unparsed: bool = False):
+    """((issue_type, severity), column, auto_resolved, counter) in report order.  Counters
+    are expressions over one row per rule (``quality_counts``)."""
+    of_rule = lambda rule: F.sum(F.when(F.col("_rule") == rule, F.col("_rows")))
+    kinds = [(DUPLICATE_ROWS, None, True, F.sum(F.col("_all") - F.col("_rows")))]
+    kinds += [(NULL_FIELD, c, True, of_rule(f"null:{c}")) for c in rules.required if c in cols]
+    kinds += [(BELOW_MINIMUM, c, True, of_rule(f"min:{c}")) for c, _ in rules.minimums if c in cols]
     if rules.date_column and rules.date_column in cols:
-        kinds.append((FUTURE, rules.date_column, False, F.count_if((rule == VALID) & _future(rules, as_of, dated))))
+        kinds.append((FUTURE, rules.date_column, False, F.sum("_late")))
     if unparsed:
-        kinds += [(UNPARSED, c, True, F.count_if((rule == VALID) & F.col(f"_unparsed_{c}"))) for c in _date_columns(rules)]
+        kinds += [(UNPARSED, c, True, F.sum(f"_none_{c}")) for c in _date_columns(rules)]
     return kinds
 
 
@@ -250,25 +251,32 @@ def _uploaded(tagged: DataFrame) -> list[str]:
 
 def quality_counts(tagged: DataFrame, category: str, as_of=None,
                    by: list[str] | None = None, unparsed: bool = False) -> DataFrame:
-    """One aggregate pass: every issue counter plus total and valid row counts.
+    """One aggregate pass: every issue counter plus total and valid row counts.  Rows are
+    counted per rule, and the few counts added up, so that no row is held against each rule.
 
     ``by`` groups the counters (e.g. per source file of a directory upload); ``unparsed``
     also counts dates that could not be read (a tagged table of ``batch.with_dates``).
     """
     rules = rules_for(category)
-    dated = dict(tagged.dtypes).get(rules.date_column) == "date"
-    kinds = _kinds(_uploaded(tagged), rules, as_of, unparsed, dated)
-    return (tagged.groupBy(*by) if by else tagged).agg(
-        *[F.coalesce(k[3], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(kinds)],
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
-        F.count_if(F.col("_rule") == VALID).cast("long").alias("valid_rows"))
+    cols, valid = _uploaded(tagged), F.col("_rule") == VALID
+    counts = [F.count(F.lit(1)).alias("_rows"), F.sum("_n").alias("_all")]
+    if rules.date_column and rules.date_column in cols:
+        dated = dict(tagged.dtypes)[rules.date_column] == "date"
+        counts.append(F.count_if(valid & _future(rules, as_of, dated)).alias("_late"))
+    if unparsed:
+        counts += [F.count_if(valid & F.col(f"_unparsed_{c}")).alias(f"_none_{c}") for c in _date_columns(rules)]
+    per_rule = tagged.groupBy(*(by or []), "_rule").agg(*counts)
+    return (per_rule.groupBy(*by) if by else per_rule).agg(
+        *[F.coalesce(k[3], F.lit(0)).cast("long").alias(f"k{i}") for i, k in enumerate(_kinds(cols, rules, unparsed))],
+        F.coalesce(F.sum("_all"), F.lit(0)).cast("long").alias("total_rows"),
+        F.coalesce(F.sum(F.when(valid, F.col("_rows"))), F.lit(0)).cast("long").alias("valid_rows"))
 
 
 def issues_of(counts: DataFrame, category: str, by: list[str] | None = None, cols: list[str] | None = None,
               unparsed: bool = False) -> DataFrame:
     """The counters of ``quality_counts``, unpivoted; kinds with a zero count are left out."""
     rules = rules_for(category)
-    kinds = _kinds(list(rules.known) if cols is None else cols, rules, None, unparsed)
+    kinds = _kinds(list(rules.known) if cols is None else cols, rules, unparsed)
     rows = ", ".join(f"'{t}', '{s}', {('NULL' if c is None else repr(c))}, k{i}, {str(a).lower()}"
                      for i, ((t, s), c, a, _) in enumerate(kinds))
     keys = [f"`{k}`" for k in (by or [])]
@@ -333,7 +341,8 @@ def rejected_rows(tagged: DataFrame) -> DataFrame:
     # a column added after tagging (the upload's key) has no uploaded value
     raw = tagged.schema["_raw"].dataType.names
     shown = [F.col(f"_raw.{c}").alias(c) if c in raw else F.col(c) for c in cols]
-    return (tagged.select(*shown, F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    rejected = tagged.where((F.col("_n") > 1) | (F.col("_rule") != VALID))      # most rows have no entry
+    return (rejected.select(*shown, F.inline(F.filter(entries, lambda e: e.isNotNull())))
             .select(*cols, "rule", "rejected_count"))
 
 
@@ -404,6 +413,7 @@ def _reject(records: DataFrame, store: str, category: str, filename: str, uid: i
     return UploadResult("error", category, filename, message=message)
 
 
+@in_small_tasks
 def process_upload(spark: SparkSession, path: str, category: str, store: str,
                    mode: str = "replace", uploaded_by: str = "system", upload_id: int | None = None,
                    as_of=None, multi_line: bool | str = True) -> UploadResult:

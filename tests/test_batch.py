@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stockroom import session
 from stockroom.operators import batch, ingest, ledger
 
 AS_OF = "2026-01-01"
@@ -267,3 +268,39 @@ def test_dates_are_read_once(spark, workdir):
     assert {r.sku: (str(r.date), r["_unparsed_date"], r["_raw"].date) for r in tagged.collect()} == {
         "A": ("2024-01-13", False, "13/01/2024"), "B": ("2024-01-02", False, "02/01/2024"),
         "C": ("None", True, "never"), "D": ("None", True, "5")}
+
+
+def test_jobs_read_large_files_in_small_tasks(spark, workdir, monkeypatch):
+    """The jobs set the size of their tasks, and leave the session's as it was."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(n) for n in names]
+    with session.small_tasks(spark):
+        assert [spark.conf.get(n) for n in names] == [str(16 << 20)] * 2
+    assert [spark.conf.get(n) for n in names] == before
+    monkeypatch.setattr(session, "TASK_BYTES", 16 << 10)
+    rows = "".join(f"2024-01-{i % 28 + 1:02},S{i},{i},1\n" for i in range(3000))
+    up, store = _files(os.path.join(workdir, "in"), a_csv="date,sku,quantity,revenue\n" + rows), os.path.join(workdir, "store")
+    res = list(batch.process_batch(spark, up, "sales", store, as_of=AS_OF, batch_id=64))
+    assert [(r.status, r.total_rows, r.valid_rows) for r in res] == [("success", 3000, 3000)]
+    assert spark.read.parquet(f"{store}/batches/64/records").select("block").distinct().count() > 3
+    one = os.path.join(workdir, "one")
+    assert ingest.process_upload(spark, f"{up}/a.csv", "sales", one, as_of=AS_OF).valid_rows == 3000
+    assert spark.read.parquet(f"{one}/staging/*/records").select("block").distinct().count() > 3
+    with pytest.raises(ValueError):
+        batch.process_batch(spark, up, "sales", store, as_of=AS_OF, batch_id=65, pattern="*.txt")
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_counters_come_from_one_count_per_rule(spark):
+    rows = [("2024-01-01", "A", "1", "1")] * 3 + [("2999-01-01", "B", "1", "1"), ("never", "C", "1", "1"), (None, "D", "1", "1"),
+            ("2024-01-01", "E", "-1", "1"), ("2024-01-01", "E", "-1", "1"), ("2024-01-01", None, "1", "1")]
+    tagged = ingest.tag_rows(spark.createDataFrame(rows, "date string, sku string, quantity string, revenue string"), "sales")
+    counts = ingest.quality_counts(tagged, "sales", AS_OF)
+    assert "keys=[_rule" in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.issue_type, r.column_name, r.issue_count) for r in ingest.quality_issues(tagged, "sales", AS_OF).collect()} == {
+        ("duplicate_rows", None, 3), ("null_required_field", "date", 1), ("null_required_field", "sku", 1),
+        ("constraint_violation", "quantity", 1), ("future_dates", "date", 1)}
+    assert counts.select("total_rows", "valid_rows").first()[:] == (9, 3)
+    assert ingest.quality_counts(tagged.limit(0), "sales", AS_OF).select("total_rows", "valid_rows", "k0").first()[:] == (0, 0, 0)
+    assert {(r.sku, r.rule, r.rejected_count) for r in ingest.rejected_rows(tagged).collect()} == {
+        ("A", "duplicate_rows", 2), ("D", "null:date", 1), ("E", "duplicate_rows", 1), ("E", "min:quantity", 1), (None, "null:sku", 1)}
