@@ -10,10 +10,13 @@ open window, and a window closes when it is full or the scores have fallen below
 It holds the open windows of one anchor, never the anchor's rows.
 
 The anchors are a stated query set against all rows: both sides are packed into blocks
-of bounded size and a block of anchors meets a block of rows in one matrix product.
-Only rows that can matter are shuffled, per anchor and block: first the block's best
-positives; then, with an anchor's positives known, the first negatives the block has in
-each of their windows.  Both are merged exactly; no row is left out of a product.
+of bounded size, the rows' blocks are dealt to parts of bounded bytes, and a copy of the
+anchors' blocks is shuffled to every part.  Nothing is broadcast, so the driver holds
+neither anchors nor rows.  A task holds the rows of one part and meets one block of
+anchors after the other with all of them in matrix products.  Only rows that can matter
+are shuffled on, per anchor and part: first the part's best positives; then, with an
+anchor's positives known, the first negatives the part has in each of their windows.
+Both are merged exactly; no row is left out of a product.
 
 Defined cases: rows with a null id, label or vector, or a null or non-finite component
 take no part; ties in score go to the smaller id; an anchor's own id is neither its
@@ -35,12 +38,16 @@ from pyspark.sql import functions as F
 
 from stockroom.llm import common
 
-BLOCK = 1 << 12         # rows in one block
+BLOCK = 1 << 10         # rows in one block
 ANCHORS = 1 << 8        # anchors in one block
-PART = 1 << 20          # rows that one copy of the anchors is sent to, at most
+PART = 32 << 20         # bytes of components that one copy of the anchors is sent to, about
+AT_ONCE = 1 << 20       # scores of rows with anchors that are held at once
+STEP = 1 << 13          # rows of them, at most
 SCALE = 256.0
-EXACT = float(1 << 53)  # doubles are exact integers up to here
+EXACT = (("<f4", float(1 << 24)), ("<f8", float(1 << 53)))     # floats are exact integers up to here
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
+FIELDS = ["dim", "n", "keys", "ids", "labels", "vals"]
 PACKED = "dim int, n int, keys binary, ids binary, labels array<string>, vals binary"
 HITS = "anchor long, anchor_id long, score long, id long"
 
@@ -72,7 +79,6 @@ def packer(size: int):
                 list(labels), vals.tobytes())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["dim", "n", "keys", "ids", "labels", "vals"]
         held: dict[int, list[tuple]] = {}
         for part in parts:
             full = []
@@ -83,10 +89,10 @@ def packer(size: int):
                     full.append(block(len(row.vector), rows))
                     held[len(row.vector)] = []
             if full:
-                yield pd.DataFrame(full, columns=names)
+                yield pd.DataFrame(full, columns=FIELDS)
         for dim, rows in held.items():
             if rows:
-                yield pd.DataFrame([block(dim, rows)], columns=names)
+                yield pd.DataFrame([block(dim, rows)], columns=FIELDS)
     return run
 
 
@@ -98,21 +104,78 @@ class Block:
         self.labels = list(labels)
         width = len(vals) // (dim * n) if dim else 2
         self.vals = np.frombuffer(vals, f"<i{width}").reshape(n, dim)
-        self.edge = float(np.abs(self.vals.astype(np.float64)).max(initial=0))
-
-    def scores(self, rows: Block) -> np.ndarray:
-        """Every inner product: through doubles where these are exact."""
-        if self.edge * rows.edge * max(1, self.vals.shape[1]) < EXACT:
-            return (self.vals.astype(np.float64) @ rows.vals.astype(np.float64).T).astype(np.int64)
-        return self.vals.astype(np.int64) @ rows.vals.astype(np.int64).T
-
-
-def first(score: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Of the places ``at``, the first n by descending score, then id."""
-    if len(at) > 8 * n:       # those at least as good as the nth
-        s = score[at]
-        at = at[s >= np.partition(s, len(at) - n)[len(at) - n]]
-    return at[np.lexsort((ids[at], ~score[at]))[:n]]
+        self.norms = np.sqrt(np.square(self.vals, dtype=np.float64).sum(axis=1))
+
+    def scores(self, rows: Block | Part, mine=slice(None), theirs=slice(None)) -> np.ndarray:
+        """Every inner product, as whole numbers: through floats where these are exact.
+        No sum of some of the products is larger than the product of both norms."""
+        edge = self.norms[mine].max(initial=0) * rows.norms[theirs].max(initial=0) * (1 + 1e-6)
+        kind = next((k for k, top in EXACT if edge < top), "<i8")
+        return self.vals[mine].astype(kind) @ rows.vals[theirs].astype(kind).T
+
+
+class Part:
+    """Blocks of rows of one length as one table, by label and id."""
+
+    def __init__(self, blocks: list[Block]):
+        codes, kinds = pd.factorize(np.array([x for b in blocks for x in b.labels], object))
+        ids = np.concatenate([b.ids for b in blocks])
+        order = np.lexsort((ids, codes))
+        self.ids, self.codes = ids[order], codes[order]
+        self.vals = np.concatenate([b.vals for b in blocks])[order]
+        self.norms = np.concatenate([b.norms for b in blocks])[order]
+        edges = np.searchsorted(self.codes, np.arange(len(kinds) + 1))
+        self.code_of = {k: i for i, k in enumerate(kinds)}
+        self.span_of = {k: (edges[i], edges[i + 1]) for i, k in enumerate(kinds)}
+
+
+def steps(begin: int, end: int, most: int) -> Iterator[slice]:
+    """The places from begin to end: few at first, as the first ones bound the others."""
+    size = max(1, min(most, 64))
+    while begin < end:
+        yield slice(begin, min(begin + size, end))
+        begin, size = begin + size, max(1, min(most, 8 * size))
+
+
+def foremost(anchors: Block, mine: np.ndarray, part: Part, span: tuple[int, int], lower: np.ndarray,
+             upper: np.ndarray, n: int, others: bool, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor (of the places ``mine``) and window of scores (a column of ``lower`` and
+    ``upper``) the first n rows of the span by descending score, then id, but rows with the
+    anchor's id and, with ``others``, its label: places of anchors, scores, ids.
+
+    A window's nth score so far becomes its lower bound, so few scores of later rows are
+    looked at twice.
+    """
+    own = anchors.ids[mine]
+    code = np.array([part.code_of.get(anchors.labels[i], -1) for i in mine])
+    lower, open_ = lower.copy(), lower <= upper
+    high = np.where(open_, upper, LEAST).max(axis=1)
+    who, score, ids = (np.zeros(0, np.int64) for _ in range(3))
+    for at in steps(*span, min(at_once // len(mine), STEP)):
+        table = anchors.scores(part, mine, at)
+        low = np.where(open_, lower, MOST).min(axis=1).astype(table.dtype)
+        i, j = np.divmod(np.flatnonzero(table >= low[:, None]), table.shape[1])
+        fine = (table[i, j] <= high.astype(table.dtype)[i]) & (part.ids[at][j] != own[i])
+        if others:
+            fine &= part.codes[at][j] != code[i]
+        i, j = i[fine], j[fine]
+        if not len(i):
+            continue
+        who, score = np.r_[who, i], np.r_[score, table[i, j].astype(np.int64)]
+        ids = np.r_[ids, part.ids[at][j]]
+        order = np.lexsort((ids, ~score, who))
+        who, score, ids = who[order], score[order], ids[order]
+        begin = np.searchsorted(who, np.arange(len(mine)))
+        keep = np.zeros(len(who), bool)
+        for w in range(lower.shape[1]):
+            within = (score >= lower[who, w]) & (score <= upper[who, w])
+            count = np.r_[0, np.cumsum(within)]
+            rank = count[1:] - count[begin][who]
+            keep |= within & (rank <= n)
+            last = within & (rank == n)
+            lower[who[last], w] = score[last]
+        who, score, ids = who[keep], score[keep], ids[keep]
+    return mine[who], score, ids
 
 
 def floor_of(score: int, low: int, high: int) -> int:
@@ -120,31 +183,72 @@ def floor_of(score: int, low: int, high: int) -> int:
     return -((-low * score) // high)
 
 
+def dealt(number: Column, parts: int) -> Column:
+    """The part of a numbered block: a task's blocks lie in successive parts, and each task
+    begins elsewhere."""
+    task = F.shiftrightunsigned(number, 33)
+    begin = F.floor(F.pmod(task * F.lit(0.6180339887498949), F.lit(1.0)) * parts)
+    return F.pmod(begin + number.bitwiseAND((1 << 33) - 1), F.lit(parts)).cast("int")
+
+
 def meet(anchors: DataFrame, rows: DataFrame, parts: int, chosen) -> DataFrame:
-    """Every block of anchors with every block of rows of the same length; ``chosen``
-    gives, per pair of blocks, the places in the rows that each anchor keeps."""
-    mine = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns],
-                          F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("a_part"))
-    pairs = rows.join(mine, (F.col("dim") == F.col("a_dim")) & (F.col("part") == F.col("a_part")))
-    fields = ["dim", "n", "keys", "ids", "labels", "vals"]
-    windows = "a_windows" in pairs.columns
+    """Every block of anchors with all rows of the same length, part by part; ``chosen``
+    gives, per block of anchors and part, the places of anchors, scores and ids to keep.
+
+    The copies of the anchors are shuffled beside the rows.  As a join their size would be
+    guessed from the anchors' file before the copying, and a table of many times that size
+    broadcast through the driver.
+    """
+    windows = "windows" if "windows" in anchors.columns else "cast(null as array<array<long>>) as windows"
+    copies = anchors.selectExpr(f"explode(sequence(0, {parts - 1})) as part", "1 as side", *FIELDS, windows)
+    held = rows.selectExpr("part", "0 as side", *FIELDS, "cast(null as array<array<long>>) as windows")
+    both = held.union(copies).repartitionById(parts, "part").sortWithinPartitions("part", "dim", "side")
     names = [c.strip().split(" ")[0] for c in HITS.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, blocks, part = None, [], None
         for batch in batches:
             for r in batch.to_dict("records"):
-                mine, held = Block(*[r[f"a_{f}"] for f in fields]), Block(*[r[f] for f in fields])
-                kinds, codes = np.unique(np.array(held.labels, object), return_inverse=True)
-                code_of = {k: i for i, k in enumerate(kinds)}
-                score = mine.scores(held)
-                out = []
-                for i, (key, own) in enumerate(zip(mine.keys, mine.ids)):
-                    same = codes == code_of.get(mine.labels[i], -1)
-                    at = chosen(score[i], held.ids, same, held.ids != own, r["a_windows"][i] if windows else None)
-                    out.append(pd.DataFrame({names[0]: np.full(len(at), key), names[1]: np.full(len(at), own),
-                                             names[2]: score[i][at], names[3]: held.ids[at]}))
-                yield pd.concat(out)
-    return pairs.select(*fields, *[f"a_{c}" for c in anchors.columns]).mapInPandas(run, HITS)
+                if at != (r["part"], r["dim"]):
+                    at, blocks, part = (r["part"], r["dim"]), [], None
+                block = Block(*[r[f] for f in FIELDS])
+                if r["side"] == 0:
+                    blocks.append(block)
+                    continue
+                if blocks:
+                    blocks, part = [], Part(blocks)
+                if part is not None:
+                    who, score, ids = chosen(block, part, r["windows"])
+                    yield pd.DataFrame(dict(zip(names, (block.keys[who], block.ids[who], score, ids))))
+    return both.mapInPandas(run, HITS)
+
+
+def best(positives: int, at_once: int):
+    """The first rows of an anchor's label."""
+    def chosen(block: Block, part: Part, _) -> tuple[np.ndarray, ...]:
+        labels = np.array(block.labels, object)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for label in set(block.labels) & set(part.span_of):
+            mine = np.flatnonzero(labels == label)
+            every = np.full((len(mine), 1), LEAST), np.full((len(mine), 1), MOST)
+            found.append(foremost(block, mine, part, part.span_of[label], *every, positives, False, at_once))
+        return tuple(map(np.concatenate, zip(*found)))
+    return chosen
+
+
+def inside(negatives: int, low: int, high: int, at_once: int):
+    """The first rows of other labels in each window below an anchor's positives."""
+    def chosen(block: Block, part: Part, windows) -> tuple[np.ndarray, ...]:
+        scores = [set(map(int, x)) for x in windows]
+        upper = np.full((len(scores), max(map(len, scores))), LEAST)
+        lower = np.full_like(upper, MOST)
+        for i, x in enumerate(scores):
+            for w, s in enumerate(x):
+                if floor_of(s, low, high) <= s:
+                    lower[i, w], upper[i, w] = max(floor_of(s, low, high), LEAST), s
+        every = np.arange(len(scores))
+        return foremost(block, every, part, (0, len(part.ids)), lower, upper, negatives, True, at_once)
+    return chosen
 
 
 def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80,
@@ -159,21 +263,21 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     common.python_ready(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
                           F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")))
-    anchors = common.cut(rows.where(F.col("id") % every == 0)
+    fine = F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector"))
+    anchors = common.cut(rows.where(F.col("id") % every == 0).where(fine)      # vectors of few rows are looked at
                          .select(F.monotonically_increasing_id().alias("key"), "id", "label", "vector"), "mined-anchors")
-    packed = rows.select(F.lit(0).cast("long").alias("key"), "id", "label", "vector").mapInPandas(
+    packed = rows.where(fine).select(F.lit(0).cast("long").alias("key"), "id", "label", "vector").mapInPandas(
         packer(BLOCK), PACKED)
     packed = common.cut(packed.withColumn("number", F.monotonically_increasing_id()), "mined-rows")
-    n = packed.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART))
-    dealt = packed.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int"))
-
-    def best(score, ids, same, other, _):
-        return first(score, ids, np.flatnonzero(same & other), positives)
+    blocks, n, size = packed.agg(F.count("n"), F.sum("n"), F.sum(F.length("vals"))).first()
+    # a part per task, unless the copies of the anchors came to over a quarter of the rows
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = max((n or 0) // max(1, 4 * anchors.count()), 2 * spark.sparkContext.defaultParallelism)
+    parts = max(1, -(-(size or 0) // PART), min(tasks, blocks, copies))
+    placed = packed.withColumn("part", dealt(F.col("number"), parts))
 
     asked = anchors.mapInPandas(packer(ANCHORS), PACKED)
-    found = meet(asked, dealt, parts, best)
+    found = meet(asked, placed, parts, best(positives, AT_ONCE))
     w = W.partitionBy("anchor").orderBy(F.desc("score"), "id")
     found = common.cut(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= positives).drop("r"),
                        "mined-positives")
@@ -189,23 +293,15 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
                     for block in packer(ANCHORS)(iter([held])):
                         yield block.assign(windows=[[list(x) for x in held["windows"]]])
 
-    opened = anchors.join(known, "key").mapInPandas(with_windows, PACKED + ", windows array<array<long>>")
-
-    def inside(score, ids, same, other, windows):
-        kept = []
-        for s in set(map(int, windows)):
-            at = np.flatnonzero(~same & other & (score <= s) & (score >= floor_of(s, low, high)))
-            kept.append(first(score, ids, at, negatives))
-        return np.unique(np.concatenate(kept))
-
-    near = meet(opened, dealt, parts, inside)
+    opened = anchors.join(known.hint("merge"), "key")
+    opened = opened.mapInPandas(with_windows, PACKED + ", windows array<array<long>>")
+    near = meet(opened, placed, parts, inside(negatives, low, high, AT_ONCE))
     keyed = found.withColumn("kind", F.lit(0)).union(near.withColumn("kind", F.lit(1)))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = keyed.withColumn("drop", F.bitwise_not("score"))      # ascending where scores descend
-    dealt_out = keyed.repartition(tasks, "anchor").sortWithinPartitions("anchor", "drop", "kind", "id")
-    return dealt_out.mapInPandas(stream(negatives, low, high),
-                                 "anchor_id long, positive_id long, rank int, negative_id long, "
-                                 "positive_score long, negative_score long")
+    sorted_keys = keyed.repartition(tasks, "anchor").sortWithinPartitions("anchor", "drop", "kind", "id")
+    return sorted_keys.mapInPandas(stream(negatives, low, high),
+                                   "anchor_id long, positive_id long, rank int, negative_id long, "
+                                   "positive_score long, negative_score long")
 
 
 def stream(negatives: int, low: int, high: int):

@@ -113,6 +113,33 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, hard_negatives.mine(df).collect())) == sorted(brute.hard_negatives(rows))
 
 
+def test_many_parts_and_steps_change_nothing(spark, monkeypatch):
+    for name, value in (("BLOCK", 5), ("ANCHORS", 3), ("PART", 200), ("AT_ONCE", 21)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rnd = random.Random(5)
+    # all alike: nearly every row lies in every window, and many scores are equal
+    rows = [(i, [1 + rnd.randrange(3) / 16 for _ in range(3)], rnd.randrange(3)) for i in range(250)]
+    df = spark.createDataFrame(rows + vectors(), "vec_id long, embedding array<double>, label int").repartition(3)
+    for options in ({}, {"every": 20, "positives": 7, "negatives": 3, "low": 97}):
+        got = hard_negatives.mine(df, **options).collect()
+        assert sorted(map(tuple, got)) == sorted(brute.hard_negatives(rows + vectors(), **options))
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """The copies of the anchors outgrow by far what Spark guesses from the anchors' file."""
+    plans, cut = [], common.cut
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(common, "cut", lambda df, name: cut(planned(df), name))
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, label int")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    planned(hard_negatives.mine(df))
+    assert len(plans) == 4 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_huge_components():
     x = hard_negatives.whole_numbers(np.array([[1e300, -1e300, 0.5, 2.0 ** 53]]))
     assert x.tolist() == [[2**63 - 1, -2**63, 128, 2**61]]
